@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from railyard.session import cut_lineage
+
 ColLike = str | Column
 
 
@@ -80,11 +82,16 @@ def dense_ordinal(
     be unique within ``part``. Rows are range-partitioned by (part, order), so
     a single huge feed spans many ranges. Each range numbers its rows locally;
     the per-range counts (one small row per range and feed) give the offsets.
+    The ranged rows are checkpointed once (reliable checkpoint in the shared
+    ``spark.checkpoint.dir``), which also cuts the lineage.
     """
     spark = df.sparkSession
     n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*part, *order_cols]
     ranged = df.repartitionByRange(n, *[F.col(c) for c in keys]).withColumn("_range", F.spark_partition_id())
+    # Range bounds come from sampling whose seed depends on the RDD, so two
+    # evaluations may cut differently: materialise the ranges exactly once.
+    ranged = cut_lineage(ranged)
     local_w = Window.partitionBy("_range", *part).orderBy(*order_cols)
     local = ranged.withColumn("_local", F.row_number().over(local_w))
     counts = ranged.groupBy("_range", *part).agg(F.count(F.lit(1)).alias("_n"))

@@ -93,4 +93,7 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     if not used:
         return sql
     body = ",\n".join(f"{n} AS ({ctes[n]})" for n in used)
+    stripped = sql.lstrip()
+    if re.match(r"(?i)^with\s", stripped):
+        return f"WITH {body},\n{stripped[4:].lstrip()}"
     return f"WITH {body}\n{sql}"

@@ -32,4 +32,6 @@ def load_all() -> None:
     """Import every query module so that their ``register`` calls run."""
     from railyard.plans import (  # noqa: F401
         q_integrity,
+        q_scalars,
+        q_ordered,
     )

@@ -34,4 +34,5 @@ def load_all() -> None:
         q_integrity,
         q_scalars,
         q_ordered,
+        q_validate,
     )

@@ -35,4 +35,5 @@ def load_all() -> None:
         q_scalars,
         q_ordered,
         q_validate,
+        q_store,
     )

@@ -211,13 +211,13 @@ def hour_of_day(ts: ColOrName) -> Column:
     return F.when((F.hour(t) == 0) & (F.minute(t) == 0), F.lit(None).cast("int")).otherwise(F.hour(t))
 
 
-def temporal_features(ts: ColOrName, is_holiday: ColOrName) -> list[Column]:
+def temporal_features(ts: ColOrName, is_holiday: ColOrName, day_of_month: bool = True) -> list[Column]:
     t = _c(ts)
     dow = weekday0(t)
     return [
         hour_of_day(t).alias("hour_of_day"),
         dow.alias("day_of_week"),
-        F.dayofmonth(t).alias("day_of_month"),
+        *([F.dayofmonth(t).alias("day_of_month")] if day_of_month else []),
         F.month(t).alias("month"),
         F.year(t).alias("year"),
         (dow >= 5).alias("is_weekend"),

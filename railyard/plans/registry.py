@@ -36,4 +36,5 @@ def load_all() -> None:
         q_ordered,
         q_validate,
         q_store,
+        q_quality,
     )

@@ -37,4 +37,5 @@ def load_all() -> None:
         q_validate,
         q_store,
         q_quality,
+        q_features,
     )

@@ -38,4 +38,5 @@ def load_all() -> None:
         q_store,
         q_quality,
         q_features,
+        q_mapping,
     )

@@ -39,4 +39,5 @@ def load_all() -> None:
         q_quality,
         q_features,
         q_mapping,
+        q_service,
     )

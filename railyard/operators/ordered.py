@@ -88,18 +88,18 @@ def dense_ordinal(
     spark = df.sparkSession
     n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*part, *order_cols]
-    ranged = df.repartitionByRange(n, *[F.col(c) for c in keys]).withColumn("_range", F.spark_partition_id())
+    ranged = df.repartitionByRange(n, *[F.col(c) for c in keys]).withColumn("__rng", F.spark_partition_id())
     # Range bounds come from sampling whose seed depends on the RDD, so two
     # evaluations may cut differently: materialise the ranges exactly once.
     ranged = cut_lineage(ranged)
-    local_w = Window.partitionBy("_range", *part).orderBy(*order_cols)
-    local = ranged.withColumn("_local", F.row_number().over(local_w))
-    counts = ranged.groupBy("_range", *part).agg(F.count(F.lit(1)).alias("_n"))
+    local_w = Window.partitionBy("__rng", *part).orderBy(*order_cols)
+    local = ranged.withColumn("__loc", F.row_number().over(local_w))
+    counts = ranged.groupBy("__rng", *part).agg(F.count(F.lit(1)).alias("__cnt"))
     # one row per (range, feed): bounded by ranges + feeds, safe to broadcast
-    offs_w = Window.partitionBy(*part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(offs_w), F.lit(0))).drop("_n")
-    out = local.join(F.broadcast(offsets), on=["_range", *part], how="inner")
-    return out.withColumn(name, (F.col("_off") + F.col("_local")).cast("long")).drop("_range", "_local", "_off")
+    offs_w = Window.partitionBy(*part).orderBy("__rng").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(offs_w), F.lit(0))).drop("__cnt")
+    out = local.join(F.broadcast(offsets), on=["__rng", *part], how="inner")
+    return out.withColumn(name, (F.col("__off") + F.col("__loc")).cast("long")).drop("__rng", "__loc", "__off")
 
 
 def top_n_per_group(

@@ -40,4 +40,5 @@ def load_all() -> None:
         q_features,
         q_mapping,
         q_service,
+        q_netex,
     )

@@ -47,8 +47,10 @@ def demand(validations: str = "number_of_validations"):
 def mode_a_samples(passengers: DataFrame, weather: DataFrame | None = None,
                    calendar_events: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """TimeSeriesDemandSample rows (good, errors) — one per passenger row."""
-    p = with_holiday(passengers, "timestamp", calendar_events)
-    p = with_weather(p, "timestamp", weather)
+    # weather first: the as-of join reads its left side twice (rows and day
+    # span), so it should see the plain scan, not the results of other joins
+    p = with_weather(passengers, "timestamp", weather)
+    p = with_holiday(p, "timestamp", calendar_events)
     res = F.col("temporal_resolution") if "temporal_resolution" in passengers.columns else F.lit("daily")
     samples = p.select(
         FEED, "row_num", F.col("timestamp"), F.col("line_id").cast("string").alias("line_id"), demand(),
@@ -73,10 +75,10 @@ def mode_b_samples(passengers: DataFrame, stops: DataFrame, weather: DataFrame |
     nodes, _ = stop_nodes(stops)
     node_cols = nodes.select(FEED, F.col("stop_id").alias("_node"), "latitude", "longitude", "zone_type",
                              "population_density", "num_lines_served", "is_terminal", "is_interchange")
-    p = passengers.withColumn("_node", F.col("stop_id").cast("string"))
+    p = with_weather(passengers, "timestamp", weather)
+    p = p.withColumn("_node", F.col("stop_id").cast("string"))
     p = p.join(node_cols, [FEED, "_node"], "inner")
     p = with_holiday(p, "timestamp", calendar_events)
-    p = with_weather(p, "timestamp", weather)
     res = F.col("temporal_resolution") if "temporal_resolution" in passengers.columns else F.lit("daily")
     feats = S.temporal_features("timestamp", "_is_holiday", day_of_month=False)
     samples = p.select(

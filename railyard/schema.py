@@ -108,8 +108,9 @@ class Schema:
         problems: list[Column] = []
         for f in self.fields:
             raw = F.col(f.name) if f.name in present else F.lit(None).cast("string")
-            clean = _clean(raw, df.schema[f.name].dataType if f.name in present else T.StringType())
-            val, type_bad = _parse(clean, f.type)
+            dtype = df.schema[f.name].dataType if f.name in present else T.StringType()
+            clean = _clean(raw, dtype)
+            val, type_bad = _parse_typed(clean, f.type, dtype)
             problems.append(F.when(clean.isNull() & F.lit(f.required), F.lit(f"{f.name}: Field required")))
             problems.append(F.when(type_bad, F.lit(f"{f.name}: Input should be {TYPE_WORDS[f.type]}")))
             for cond, msg in _constraints(f, val):
@@ -136,6 +137,32 @@ def _clean(raw: Column, dtype: T.DataType) -> Column:
     return raw
 
 
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_NUMERIC = (*_INTEGRAL, T.FloatType, T.DoubleType, T.DecimalType)
+
+
+def _parse_typed(clean: Column, kind: str, dtype: T.DataType) -> tuple[Column, Column]:
+    """Fast path when the column already has a compatible Spark type (Gold
+    rows built by our own operators); text goes through ``_parse``."""
+    no = F.lit(False)
+    if kind == "str" and isinstance(dtype, T.StringType):
+        return clean, no
+    if kind == "int" and isinstance(dtype, _INTEGRAL):
+        return clean.cast("long"), no
+    if kind == "int" and isinstance(dtype, _NUMERIC):
+        d = clean.cast("double")
+        return F.when(d == F.floor(d), d.cast("long")), clean.isNotNull() & (d != F.floor(d))
+    if kind == "float" and isinstance(dtype, _NUMERIC):
+        return clean.cast("double"), no
+    if kind == "bool" and isinstance(dtype, T.BooleanType):
+        return clean, no
+    if kind == "date" and isinstance(dtype, T.DateType):
+        return clean, no
+    if kind == "datetime" and isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return clean.cast("timestamp_ntz"), no
+    return _parse(clean, kind)
+
+
 def _parse(clean: Column, kind: str) -> tuple[Column, Column]:
     """(typed value, type-failure flag) for one cleaned cell."""
     txt = clean.cast("string")

@@ -41,4 +41,5 @@ def load_all() -> None:
         q_mapping,
         q_service,
         q_netex,
+        q_sources,
     )

@@ -138,7 +138,16 @@ class GtfsStore:
                 feeds = f if feeds is None else feeds.unionByName(f)
             feeds = feeds.distinct()
             current = {t: df.join(feeds, FEED, "left_anti") for t, df in current.items()}
-        accepted, rejected = joins.fk_enforced_load(new_tables, catalog.FK_EDGES, catalog.INSERT_ORDER, current)
+        # PRJ-08: type / range / pattern checks per row; failures never reach the store
+        typed, invalid = {}, {}
+        for name, df in new_tables.items():
+            good, bad = schemas.GTFS[name].validate(df, row_col="row_num", keep=[FEED])
+            typed[name], invalid[name] = good, bad
+        accepted, rejected = joins.fk_enforced_load(typed, catalog.FK_EDGES, catalog.INSERT_ORDER, current)
+        for name, bad in invalid.items():
+            errs = bad.select(FEED, "row_num", F.col("message").alias("error"))
+            rej = rejected.get(name)
+            rejected[name] = errs if rej is None else rej.select(FEED, "row_num", "error").unionByName(errs)
         merged = {}
         for name, df in accepted.items():
             pk = list(catalog.PRIMARY_KEYS[name])

@@ -125,12 +125,15 @@ def fk_enforced_load(
     edges: Sequence[FkEdge],
     order: Sequence[str],
     store: Mapping[str, DataFrame] | None = None,
+    materialize=None,
 ) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """Accept rows whose every non-NULL FK exists in the parent (store ∪ accepted).
 
     Tables are visited parent-first (``order``), so children of rejected
     parents are rejected too. Returns (accepted, rejected) per table; rejected
-    rows carry ``error`` text.
+    rows carry ``error`` text. ``materialize`` (e.g. a reliable checkpoint)
+    is applied to each accepted table before its children refer to it, so
+    a child's plan never re-derives its parents.
     """
     store = store or {}
     accepted: dict[str, DataFrame] = {}
@@ -157,7 +160,7 @@ def fk_enforced_load(
                 bad_rows = ok.where(fk.isNotNull()).join(pk, on=cond, how="left_anti")
                 ok = ok.join(pk, on=cond, how="left_semi").unionByName(ok.where(fk.isNull()))
             errs.append(bad_rows.withColumn("error", F.lit(f"FOREIGN KEY constraint failed: {e.column}")))
-        accepted[name] = ok
+        accepted[name] = materialize(ok) if materialize is not None else ok
         if errs:
             r = errs[0]
             for x in errs[1:]:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from railyard import catalog, schemas
 from railyard.operators import joins
+from railyard.session import cut_lineage
 
 FEED = "feed_id"
 MODES = ("replace", "merge", "merge_partial", "abort_if_not_empty")
@@ -122,6 +123,26 @@ class GtfsStore:
         return version
 
     # import -------------------------------------------------------------------------
+    def import_archives(self, path: str, mode: str = "merge") -> tuple[DataFrame, dict[str, DataFrame]]:
+        """SRC-03 → SL-07 → load: parse every archive once (checkpointed),
+        gate each feed for ``mode``, then load the accepted feeds' tables.
+        Returns (gate rows, rejected rows per table)."""
+        from railyard.sources import archive
+
+        rows = cut_lineage(archive.scan_archives(self.spark, path))
+        members = rows.where(F.col("table_name").isNotNull() & F.col("reject").isNull()).select(
+            FEED, "table_name").distinct()
+        populated = self.counts().groupBy(FEED).agg((F.sum("records") > 0).alias("store_populated"))
+        feeds = rows.select(FEED).distinct().join(populated, FEED, "left").select(
+            FEED, F.lit(mode).alias("mode"), F.coalesce("store_populated", F.lit(False)).alias("store_populated"))
+        gate = import_gate(feeds, members)
+        bad_archives = rows.where(F.col("reject").isNotNull() & F.col("member").isNull()).select(FEED).distinct()
+        ok_feeds = gate.where(F.col("reject_reason").isNull()).select(FEED).join(bad_archives, FEED, "left_anti")
+        present = [r.table_name for r in members.select("table_name").distinct().collect()]  # <= 15 names
+        tables = {t: archive.table_rows(rows, t).join(ok_feeds, FEED, "left_semi") for t in present}
+        rejected = self.load(tables, mode) if tables else {}
+        return gate, rejected
+
     def load(self, new_tables: Mapping[str, DataFrame], mode: str = "merge") -> dict[str, DataFrame]:
         """Apply a parsed feed (tables carry ``feed_id`` and ``row_num``).
 
@@ -143,7 +164,8 @@ class GtfsStore:
         for name, df in new_tables.items():
             good, bad = schemas.GTFS[name].validate(df, row_col="row_num", keep=[FEED])
             typed[name], invalid[name] = good, bad
-        accepted, rejected = joins.fk_enforced_load(typed, catalog.FK_EDGES, catalog.INSERT_ORDER, current)
+        accepted, rejected = joins.fk_enforced_load(typed, catalog.FK_EDGES, catalog.INSERT_ORDER, current,
+                                                    materialize=cut_lineage)
         for name, bad in invalid.items():
             errs = bad.select(FEED, "row_num", F.col("message").alias("error"))
             rej = rejected.get(name)

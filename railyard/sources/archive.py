@@ -1,7 +1,7 @@
 """GTFS feed archives (ZIP) as distributed row sources (SRC-03..06, SRC-13, SRC-14).
 
 ``binaryFile`` lists the archives; the size guard filters on ``length``
-before any content is read. ``mapInPandas`` opens one archive per input row
+before any content is read. ``mapInArrow`` opens one archive per input row
 (the only per-row Python in the engine: a ZIP container has no Spark
 reader) and streams its members in bounded batches of rows
 ``(feed_id, member, table_name, row_num, keys, vals)``. Everything after
@@ -16,7 +16,7 @@ import posixpath
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,12 +92,12 @@ def _rows_from_archive(feed_id: str, data: bytes, raw: bool) -> Iterator[dict]:
         reader = csv.reader(io.StringIO(text, newline=""))
         header = next(reader, None)
         if header is None:
-            yield {FEED: feed_id, "member": info.filename, "table_name": table, "row_num": -1, "keys": [], "vals": []}
+            yield {FEED: feed_id, "member": info.filename, "table_name": table, "row_num": -1, "keys": [], "vals": None}
             continue
         names = [h if raw else h.strip() for h in header]
         last = {k: j for j, k in enumerate(names)}  # a repeated header name: the last column wins
         keys, pos = list(last), list(last.values())
-        yield {FEED: feed_id, "member": info.filename, "table_name": table, "row_num": -1, "keys": keys, "vals": []}
+        yield {FEED: feed_id, "member": info.filename, "table_name": table, "row_num": -1, "keys": keys, "vals": None}
         for i, cells in enumerate(reader):
             if not cells:
                 continue
@@ -109,20 +109,25 @@ def _rows_from_archive(feed_id: str, data: bytes, raw: bool) -> Iterator[dict]:
                    "vals": vals}
 
 
-def _parse_batches(raw: bool):
-    cols = [f.name for f in ROW_SCHEMA.fields]
+_ARROW = pa.schema([
+    pa.field(FEED, pa.string()), pa.field("member", pa.string()), pa.field("table_name", pa.string()),
+    pa.field("row_num", pa.int64()), pa.field("keys", pa.list_(pa.string())), pa.field("vals", pa.list_(pa.string())),
+    pa.field("reject", pa.string()),
+])
+
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for feed_id, content in zip(pdf[FEED], pdf["content"]):
+def _parse_batches(raw: bool):
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for feed_id, content in zip(batch.column(FEED).to_pylist(), batch.column("content").to_pylist()):
                 buf: list[dict] = []
-                for row in _rows_from_archive(feed_id, bytes(content), raw):
+                for row in _rows_from_archive(feed_id, content, raw):
                     buf.append(row)
                     if len(buf) >= BATCH_ROWS:
-                        yield pd.DataFrame(buf, columns=cols)
+                        yield pa.RecordBatch.from_pylist(buf, schema=_ARROW)
                         buf = []
                 if buf:
-                    yield pd.DataFrame(buf, columns=cols)
+                    yield pa.RecordBatch.from_pylist(buf, schema=_ARROW)
 
     return parse
 
@@ -142,7 +147,7 @@ def scan_archives(spark: SparkSession, path: str, raw: bool = False) -> DataFram
     ok = files.where(F.col("length") <= MAX_ARCHIVE_BYTES).select(feed.alias(FEED), "content")
     # one archive per task: spread archives before the (memory-bound) parse
     ok = ok.repartition(max(1, spark.sparkContext.defaultParallelism), F.col(FEED))
-    rows = ok.mapInPandas(_parse_batches(raw), ROW_SCHEMA)
+    rows = ok.mapInArrow(_parse_batches(raw), ROW_SCHEMA)
     return rows.unionByName(too_big)
 
 
@@ -150,19 +155,23 @@ def rejects(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("reject").isNotNull()).select(FEED, "member", "reject")
 
 
+def _cell(name: str):
+    """The value under header ``name`` (NULL when the member has no such column)."""
+    pos = F.array_position(F.col("keys"), F.lit(name))
+    return F.when(pos > 0, F.try_element_at(F.col("vals"), pos.cast("int")))
+
+
 def table_rows(rows: DataFrame, table: str) -> DataFrame:
     """SRC-04 + PRJ-09: one GTFS table as text columns in canonical order."""
     names = schemas.GTFS[table].names
     data = rows.where((F.col("table_name") == table) & (F.col("row_num") >= 0) & F.col("reject").isNull())
-    cells = F.map_from_arrays("keys", "vals")
-    return data.select(FEED, "row_num", *[F.try_element_at(cells, F.lit(c)).alias(c) for c in names])
+    return data.select(FEED, "row_num", *[_cell(c).alias(c) for c in names])
 
 
 def raw_table_rows(rows: DataFrame, table: str, columns: list[str]) -> DataFrame:
     """Validator view: the member's own header, cells untrimmed (SRC-14)."""
     data = rows.where((F.col("table_name") == table) & (F.col("row_num") >= 0) & F.col("reject").isNull())
-    cells = F.map_from_arrays("keys", "vals")
-    return data.select(FEED, "row_num", *[F.try_element_at(cells, F.lit(c)).alias(c) for c in columns])
+    return data.select(FEED, "row_num", *[_cell(c).alias(c) for c in columns])
 
 
 def headers(rows: DataFrame) -> DataFrame:

@@ -142,32 +142,35 @@ def fk_enforced_load(
         df = new_tables.get(name)
         if df is None:
             continue
-        ok = df
-        errs = []
-        for e in [e for e in edges if e.table == name]:
+        cols = df.columns
+        flagged = df
+        fails = []
+        for i, e in enumerate([e for e in edges if e.table == name]):
             parent_frames = [f for f in (store.get(e.ref_table), accepted.get(e.ref_table)) if f is not None]
+            hit = f"_hit{i}"
             fk = F.col(e.column)
-            if not parent_frames:
-                bad_rows = ok.where(fk.isNotNull())
-                ok = ok.where(fk.isNull())
-            else:
+            if parent_frames:
                 pk = None
                 for p in parent_frames:
-                    k = p.select(FEED, F.col(e.ref_column).alias("_pk"))
+                    k = p.select(F.col(FEED).alias("_pf"), F.col(e.ref_column).alias("_pk"))
                     pk = k if pk is None else pk.unionByName(k)
-                pk = pk.distinct()
-                cond = [ok[FEED] == pk[FEED], fk == pk["_pk"]]
-                bad_rows = ok.where(fk.isNotNull()).join(pk, on=cond, how="left_anti")
-                ok = ok.join(pk, on=cond, how="left_semi").unionByName(ok.where(fk.isNull()))
-            errs.append(bad_rows.withColumn("error", F.lit(f"FOREIGN KEY constraint failed: {e.column}")))
-        accepted[name] = materialize(ok) if materialize is not None else ok
-        if errs:
-            r = errs[0]
-            for x in errs[1:]:
-                r = r.unionByName(x)
-            rejected[name] = r
-        else:
-            rejected[name] = df.where(F.lit(False)).withColumn("error", F.lit(None).cast("string"))
+                # one left join per edge against the distinct parent keys: keeps every row once
+                pk = pk.distinct().withColumn(hit, F.lit(True))
+                flagged = flagged.join(pk, (flagged[FEED] == pk["_pf"]) & (fk == pk["_pk"]), "left").drop("_pf", "_pk")
+            else:
+                flagged = flagged.withColumn(hit, F.lit(None).cast("boolean"))
+            fails.append((fk.isNotNull() & F.col(hit).isNull(), f"FOREIGN KEY constraint failed: {e.column}"))
+        if materialize is not None and fails:
+            flagged = materialize(flagged)
+        failed = F.lit(False)
+        for cond, _ in fails:
+            failed = failed | cond
+        error = F.coalesce(*[F.when(cond, F.lit(msg)) for cond, msg in fails], F.lit(None).cast("string")) \
+            if fails else F.lit(None).cast("string")
+        ok = flagged.where(~failed).select(*cols)
+        is_parent = any(e.ref_table == name for e in edges)
+        accepted[name] = materialize(ok) if (materialize is not None and not fails and is_parent) else ok
+        rejected[name] = flagged.where(failed).select(*cols, error.alias("error"))
     return accepted, rejected
 
 

@@ -129,7 +129,13 @@ class GtfsStore:
         Returns (gate rows, rejected rows per table)."""
         from railyard.sources import archive
 
-        rows = cut_lineage(archive.scan_archives(self.spark, path))
+        return self.import_rows(archive.scan_archives(self.spark, path), mode)
+
+    def import_rows(self, parsed: DataFrame, mode: str = "merge") -> tuple[DataFrame, dict[str, DataFrame]]:
+        """Gate and load archive rows produced by ``archive.parse_files``."""
+        from railyard.sources import archive
+
+        rows = cut_lineage(parsed)
         members = rows.where(F.col("table_name").isNotNull() & F.col("reject").isNull()).select(
             FEED, "table_name").distinct()
         populated = self.counts().groupBy(FEED).agg((F.sum("records") > 0).alias("store_populated"))

@@ -133,13 +133,19 @@ def _parse_batches(raw: bool):
 
 
 def scan_archives(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
-    """All archives under ``path`` (``*.zip``); feed_id = archive file stem.
-
-    Returns the row stream. Header rows have ``row_num = -1``; rejected
-    archives/members carry ``reject``; unknown ``.txt`` members have a NULL
-    table. Oversized archives are rejected before their bytes are read."""
+    """All archives under ``path`` (``*.zip``); feed_id = archive file stem."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true")
              .load(path))
+    return parse_files(files, raw)
+
+
+def parse_files(files: DataFrame, raw: bool = False) -> DataFrame:
+    """Row stream of ``binaryFile`` rows (a batch or a micro-batch).
+
+    Header rows have ``row_num = -1``; rejected archives/members carry
+    ``reject``; unknown ``.txt`` members have a NULL table. Oversized archives
+    are rejected before their bytes are read."""
+    spark = files.sparkSession
     feed = F.regexp_extract(F.col("path"), r"([^/]+)\.zip$", 1)
     too_big = files.where(F.col("length") > MAX_ARCHIVE_BYTES).select(
         feed.alias(FEED), *[F.lit(None).cast(f.dataType).alias(f.name) for f in ROW_SCHEMA.fields[1:-1]],

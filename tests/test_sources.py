@@ -169,3 +169,23 @@ def test_import_gate_modes(spark):
     assert g["d"] == ("Archive is missing required GTFS files: agency, routes, trips, stop_times, "
                       "calendar_or_calendar_dates")
     assert set(catalog.REQUIRED_TABLES) <= set(catalog.TABLES)
+
+
+def test_incremental_merge_stream(spark, scratch):
+    from railyard.streaming.incremental import merge_archive_stream
+
+    src = f"{scratch}/landing"
+    os.makedirs(src)
+    _zip(f"{src}/feedS.zip", MINIMAL)
+    root = f"{scratch}/store"
+    ckpt = f"{scratch}/stream-ckpt"
+    merge_archive_stream(spark, src, root, mode="merge", checkpoint_location=ckpt).awaitTermination(600)
+    st = store.GtfsStore(spark, root)
+    assert sorted(r.stop_id for r in st.read("stops").collect()) == ["S1", "S2"]
+    os.makedirs(f"{src}/later")
+    _zip(f"{src}/later/feedS.zip", {"stops.txt": "stop_id,stop_name,stop_lat,stop_lon\nS1,Renamed,41.15,-8.61\n"
+                                                  "S3,Three,41.2,-8.6\n"})
+    merge_archive_stream(spark, src, root, mode="merge_partial", checkpoint_location=ckpt).awaitTermination(600)
+    got = sorted((r.stop_id, r.stop_name) for r in st.read("stops").collect())
+    assert got == [("S1", "Renamed"), ("S2", "Two"), ("S3", "Three")]
+    assert st.read("stop_times").count() == 2

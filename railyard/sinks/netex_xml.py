@@ -86,7 +86,7 @@ def render_operating_periods(periods: DataFrame, cfg: NetexConfig) -> DataFrame:
 
 def render_assignments(assignments: DataFrame, cfg: NetexConfig) -> DataFrame:
     """NX-12: DayTypeAssignment(order) ← OperatingPeriodRef or Date, DayTypeRef, isAvailable."""
-    el = F.struct(F.col("id").alias("_id"), F.lit(cfg.version).alias("_version"), F.col("order").alias("_order"),
+    el = F.struct(F.col("id").alias("_id"), F.lit(cfg.version).alias("_version"), F.col("order").alias("Order"),
                   _ref(F.col("operating_period_ref")).alias("OperatingPeriodRef"), F.col("date").alias("Date"),
                   _ref(F.col("day_type_ref")).alias("DayTypeRef"),
                   F.when(F.col("is_available"), "true").otherwise("false").alias("isAvailable"))
@@ -106,7 +106,7 @@ def render_organisations(orgs: DataFrame, cfg: NetexConfig) -> DataFrame:
 
 def render_passing_times(pt: DataFrame) -> DataFrame:
     """NX-18: TimetabledPassingTime ← StopPointInJourneyPatternRef, times, offsets (> 0 only)."""
-    el = F.struct(F.col("id").alias("_id"), _ref(F.col("spjp_ref"), None).alias("StopPointInJourneyPatternRef"),
+    el = F.struct(F.col("id").alias("_id"), _ref(F.col("spjp_ref")).alias("StopPointInJourneyPatternRef"),
                   F.col("arrival_time").alias("ArrivalTime"),
                   F.when(F.col("arrival_day_offset") > 0, F.col("arrival_day_offset")).alias("ArrivalDayOffset"),
                   F.col("departure_time").alias("DepartureTime"),
@@ -146,3 +146,224 @@ def write_documents(rows: DataFrame, path: str) -> None:
     """Each (feed, document) is sorted and written by one task, one file."""
     (rows.repartition(FEED, "document").sortWithinPartitions(FEED, "document", "section", "ordinal")
      .select(FEED, "document", "text").write.mode("overwrite").partitionBy(FEED, "document").text(path))
+
+
+# --- remaining entities (NX-01/02/06/14..17/19) ------------------------------------------------
+def _passing_struct(pt: Column) -> Column:
+    return F.struct(
+        pt["id"].alias("_id"), _ref(pt["spjp_ref"]).alias("StopPointInJourneyPatternRef"),
+        pt["arrival_time"].alias("ArrivalTime"),
+        F.when(pt["arrival_day_offset"] > 0, pt["arrival_day_offset"]).alias("ArrivalDayOffset"),
+        pt["departure_time"].alias("DepartureTime"),
+        F.when(pt["departure_day_offset"] > 0, pt["departure_day_offset"]).alias("DepartureDayOffset"))
+
+
+def render_service_journeys(journeys: DataFrame, passing: DataFrame, cfg: NetexConfig) -> DataFrame:
+    """NX-19: ServiceJourney ← Name?, dayTypes?, JourneyPatternRef, LineRef,
+    OperatorRef?, passingTimes (one journey's times: bounded by its length)."""
+    per = passing.groupBy(FEED, "trip_id").agg(F.array_sort(F.collect_list(F.struct(
+        "idx", "id", "spjp_ref", "arrival_time", "arrival_day_offset", "departure_time",
+        "departure_day_offset"))).alias("_pt"))
+    j = journeys.join(per, [FEED, "trip_id"], "left")
+    el = F.struct(
+        F.col("id").alias("_id"), F.lit(cfg.version).alias("_version"),
+        _text(F.col("name"), cfg.default_lang).alias("Name"),
+        F.struct(_ref(F.col("day_type_ref")).alias("DayTypeRef")).alias("dayTypes"),
+        _ref(F.col("journey_pattern_ref")).alias("JourneyPatternRef"), _ref(F.col("line_ref")).alias("LineRef"),
+        _ref(F.col("operator_ref")).alias("OperatorRef"),
+        F.struct(F.transform(F.coalesce("_pt", F.array()), _passing_struct).alias("TimetabledPassingTime"))
+        .alias("passingTimes"))
+    return j.select(FEED, F.lit("ServiceJourney").alias("entity"), "id", "line_ref",
+                    F.regexp_replace(F.to_xml(el, {"rowTag": "ServiceJourney"}), r"\s+$", "").alias("xml"))
+
+
+def render_stop_points(points: DataFrame, cfg: NetexConfig) -> DataFrame:
+    """NX-14: ScheduledStopPoint ← Name?."""
+    el = F.struct(F.col("ssp_id").alias("_id"), F.lit(cfg.version).alias("_version"),
+                  _text(F.col("name"), cfg.default_lang).alias("Name"))
+    return _xml(points.withColumn("id", F.col("ssp_id")), "ScheduledStopPoint", el, "ScheduledStopPoint")
+
+
+def render_stop_assignments(points: DataFrame, cfg: NetexConfig) -> DataFrame:
+    """NX-15: PassengerStopAssignment(order) ← ScheduledStopPointRef, QuayRef."""
+    el = F.struct(F.col("psa_id").alias("_id"), F.lit(cfg.version).alias("_version"), F.col("order").alias("_order"),
+                  _ref(F.col("ssp_id")).alias("ScheduledStopPointRef"), _ref(F.col("quay_ref")).alias("QuayRef"))
+    out = _xml(points.withColumn("id", F.col("psa_id")), "PassengerStopAssignment", el, "PassengerStopAssignment")
+    return out.join(points.select(FEED, F.col("psa_id").alias("id"), "order"), [FEED, "id"])
+
+
+def render_journey_patterns(patterns: DataFrame, points: DataFrame, cfg: NetexConfig) -> DataFrame:
+    """NX-16/17: ServiceJourneyPattern ← Name, LineRef, DirectionType, pointsInSequence."""
+    spjp = lambda p: F.struct(
+        p["id"].alias("_id"), F.lit(cfg.version).alias("_version"), p["order"].alias("_order"),
+        _ref(p["ssp_ref"]).alias("ScheduledStopPointRef"), F.lit("true").alias("ForAlighting"),
+        F.lit("true").alias("ForBoarding"))
+    per = points.groupBy(FEED, "local_id").agg(
+        F.array_sort(F.collect_list(F.struct("order", "id", "ssp_ref"))).alias("_pts"))
+    j = patterns.join(per, [FEED, "local_id"], "left")
+    el = F.struct(F.col("id").alias("_id"), F.lit(cfg.version).alias("_version"),
+                  _text(F.col("local_id"), cfg.default_lang).alias("Name"), _ref(F.col("line_ref")).alias("LineRef"),
+                  F.col("direction_type").alias("DirectionType"),
+                  F.struct(F.transform(F.coalesce("_pts", F.array()), spjp).alias("StopPointInJourneyPattern"))
+                  .alias("pointsInSequence"))
+    return _xml(j, "ServiceJourneyPattern", el, "ServiceJourneyPattern")
+
+
+def _resource_texts(cfg: NetexConfig) -> tuple[str, str]:
+    """Codespace + DataSource (NX-01/02) before the organisations; the
+    responsibility set (NX-06) after them. Fixed per export configuration."""
+    cs, v = cfg.codespace, cfg.version
+    head = (f'<ResourceFrame id="{cs}:ResourceFrame:ResourceFrame_1" version="{v}">'
+            f'<codespaces><Codespace id="PT:{cs}:Codespace:{cs}"><Xmlns>{cs}</Xmlns>'
+            f"<XmlnsUrl>http://www.pndt.pt/netex/{cs}</XmlnsUrl>"
+            f"<Description>PT-EPIP codespace for {_esc(cfg.operator.name)}</Description></Codespace></codespaces>"
+            f'<dataSources><DataSource id="PT:{cs}:DataSource:default" version="{v}">'
+            f'<Name lang="{cfg.default_lang}">{_esc(cfg.authority.name)}</Name></DataSource></dataSources>'
+            "<organisations>")
+    role = (lambda r, org: f'<ResponsibilityRoleAssignment id="PT:{cs}:ResponsibilityRoleAssignment:{r}" version="{v}">'
+            f'<ResponsibleOrganisationRef ref="{org}" version="any"/>'
+            f"<ResponsibilityRoleType>{r}</ResponsibilityRoleType></ResponsibilityRoleAssignment>")
+    tail = ("</organisations><responsibilitySets>"
+            f'<ResponsibilitySet id="{cs}:ResponsibilitySet:default" version="{v}"><roles>'
+            + role("ownership", f"PT:{cs}:Authority:{cfg.authority.id}")
+            + role("operation", f"PT:{cs}:Operator:{cfg.operator.id}")
+            + "</roles></ResponsibilitySet></responsibilitySets></ResourceFrame>")
+    return head, tail
+
+
+def _esc(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def _section(entities: DataFrame, doc: Column, sec: int, order: Column, open_text: str, close_text: str) -> DataFrame:
+    """Entity rows of one section plus its wrapper rows — wrappers only for
+    documents where the section has rows (empty containers are left out)."""
+    body = entities.select(FEED, doc.alias("document"), F.lit(sec + 1).alias("section"),
+                           order.cast("string").alias("ordinal"), F.col("xml").alias("text"))
+    docs = body.select(FEED, "document").distinct()
+    wrap_rows = docs.select(FEED, "document", F.lit(sec).alias("section"), F.lit("").alias("ordinal"),
+                            F.lit(open_text).alias("text")).unionByName(
+        docs.select(FEED, "document", F.lit(sec + 2).alias("section"), F.lit("").alias("ordinal"),
+                    F.lit(close_text).alias("text")))
+    return body.unionByName(wrap_rows)
+
+
+def _num(c: str) -> Column:
+    return F.lpad(F.col(c).cast("string"), 12, "0")
+
+
+def _wrappers(bodies: list[DataFrame], open_sec: int, close_sec: int, open_text, close_text: str) -> DataFrame:
+    """Open/close rows of a frame for every document that has one of its sections."""
+    docs = bodies[0].select(FEED, "document")
+    for b in bodies[1:]:
+        docs = docs.unionByName(b.select(FEED, "document"))
+    docs = docs.distinct()
+    opener = open_text if isinstance(open_text, Column) else F.lit(open_text)
+    return docs.select(FEED, "document", F.lit(open_sec).alias("section"), F.lit("").alias("ordinal"),
+                       opener.alias("text")).unionByName(
+        docs.select(FEED, "document", F.lit(close_sec).alias("section"), F.lit("").alias("ordinal"),
+                    F.lit(close_text).alias("text")))
+
+
+def netex_documents(tables: dict, cfg: NetexConfig, timestamp: str, st_order=("stop_sequence",),
+                    stop_order=("stop_id",), trip_order=("trip_id",), agency_order=("agency_id",)) -> DataFrame:
+    """SNK-12 / JN-21 / NX-20..30: all document rows (feed_id, document, section, ordinal, text).
+
+    Documents: ``SiteFrame_Stops`` (resource + site + calendar frames),
+    ``ServiceFrame_Lines`` (resource + service frames) and one
+    ``TimetableFrame_Schedules_Line_<line>`` per line (resource + timetable)."""
+    from railyard.operators import netex as NX
+
+    st, stops, routes, trips = tables["stop_times"], tables["stops"], tables["routes"], tables["trips"]
+    modes = NX.stop_modes(routes, trips, st, list(st_order))
+    places = render_stop_places(NX.stop_places(stops, modes, cfg, list(stop_order)), cfg)
+    day_types, periods, assignments = NX.calendar_fold(tables["calendar"], tables["calendar_dates"], cfg,
+                                                       ["service_id"], ["service_id", "date"])
+    lines = NX.lines(routes, cfg)
+    points = NX.stop_points(stops, cfg, list(stop_order))
+    patterns, t2p = NX.journey_patterns(trips, st, cfg, list(trip_order), list(st_order))
+    spjp = NX.stop_points_in_pattern(patterns, cfg)
+    journeys = NX.service_journeys(trips, t2p, cfg)
+    passing = NX.passing_times(st, t2p, cfg, list(st_order))
+    orgs = render_organisations(NX.organisations(tables["agency"], cfg, list(agency_order)), cfg)
+    validity = NX.validity(periods)
+    cs, v = cfg.codespace, cfg.version
+    stops_doc, lines_doc = F.lit("SiteFrame_Stops"), F.lit("ServiceFrame_Lines")
+    line_local = F.regexp_extract(F.col("line_ref"), r"([^:]+)$", 1)
+
+    site = [_section(places, stops_doc, 21, F.col("id"), "<stopPlaces>", "</stopPlaces>")]
+    calendar = [
+        _section(render_day_types(day_types, cfg), stops_doc, 31, F.col("id"), "<dayTypes>", "</dayTypes>"),
+        _section(render_operating_periods(periods, cfg), stops_doc, 34, F.col("id"), "<operatingPeriods>",
+                 "</operatingPeriods>"),
+        _section(render_assignments(assignments, cfg).join(assignments.select(FEED, "id", "order"), [FEED, "id"]),
+                 stops_doc, 37, _num("order"), "<dayTypeAssignments>", "</dayTypeAssignments>"),
+    ]
+    service = [
+        _section(render_lines(lines, cfg), lines_doc, 41, F.col("id"), "<lines>", "</lines>"),
+        _section(render_stop_points(points, cfg).join(points.select(FEED, F.col("ssp_id").alias("id"), "order"),
+                                                      [FEED, "id"]),
+                 lines_doc, 44, _num("order"), "<scheduledStopPoints>", "</scheduledStopPoints>"),
+        _section(render_stop_assignments(points, cfg), lines_doc, 47, _num("order"), "<stopAssignments>",
+                 "</stopAssignments>"),
+        _section(render_journey_patterns(patterns, spjp, cfg).join(patterns.select(FEED, "id", "_n"), [FEED, "id"]),
+                 lines_doc, 50, _num("_n"), "<journeyPatterns>", "</journeyPatterns>"),
+    ]
+    journeys_xml = render_service_journeys(journeys, passing, cfg)
+    timetable = [_section(journeys_xml, F.concat(F.lit("TimetableFrame_Schedules_Line_"), line_local), 61, F.col("id"),
+                          "<vehicleJourneys>", "</vehicleJourneys>")]
+    frames = [
+        _wrappers(site, 20, 29, f'<SiteFrame id="{cs}:SiteFrame:SiteFrame_1" version="{v}">', "</SiteFrame>"),
+        _wrappers(calendar, 30, 39, f'<ServiceCalendarFrame id="{cs}:ServiceCalendarFrame:ServiceCalendarFrame_1" '
+                                    f'version="{v}">', "</ServiceCalendarFrame>"),
+        _wrappers(service, 40, 59, f'<ServiceFrame id="{cs}:ServiceFrame:ServiceFrame_1" version="{v}">',
+                  "</ServiceFrame>"),
+        _wrappers(timetable, 60, 69, F.concat(F.lit(f'<TimetableFrame id="{cs}:TimetableFrame:Line_'),
+                                              F.regexp_extract("document", r"Line_(.*)$", 1),
+                                              F.lit(f'" version="{v}">')), "</TimetableFrame>"),
+    ]
+    body = site[0]
+    for part in [*calendar, *service, *timetable, *frames]:
+        body = body.unionByName(part)
+
+    docs = body.select(FEED, "document").distinct()
+    head, tail = _resource_texts(cfg)
+    org_rows = orgs.join(docs, FEED).select(FEED, "document", F.lit(11).alias("section"),
+                                            F.concat(F.when(F.col("entity") == "Authority", "0").otherwise("1"),
+                                                     F.col("id")).alias("ordinal"), F.col("xml").alias("text"))
+    doc = F.col("document")
+    line_of_doc = F.regexp_extract("document", r"Line_(.*)$", 1)
+    profile = (F.when(doc == "SiteFrame_Stops", "epip:EU_PI_STOP")
+               .when(doc == "ServiceFrame_Lines", "epip:EU_PI_LINE_OFFER").otherwise("epip:EU_PI_TIMETABLE"))
+    frame_key = (F.when(doc == "SiteFrame_Stops", "Stops").when(doc == "ServiceFrame_Lines", "Lines")
+                 .otherwise(F.concat(F.lit("Timetable_Line_"), line_of_doc)))
+    description = (F.when(doc == "SiteFrame_Stops", F.lit(f"NeTEx stops &amp; calendar for {_esc(cfg.operator.name)}"))
+                   .when(doc == "ServiceFrame_Lines", F.lit(f"NeTEx lines for {_esc(cfg.operator.name)}"))
+                   .otherwise(F.concat(F.lit(f"NeTEx schedules for line PT:{cs}:Line:"), line_of_doc)))
+    participant = cfg.participant_ref or cfg.operator.short_name or cfg.operator.id
+    header = F.concat(
+        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n'
+              f'<PublicationDelivery xmlns="{NETEX_NS}" xmlns:gml="http://www.opengis.net/gml/3.2" '
+              'xmlns:siri="http://www.siri.org.uk/siri" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" '
+              f'version="1.15:PT-EPIP-1.0"><PublicationTimestamp>{timestamp}</PublicationTimestamp>'
+              f'<ParticipantRef>{_esc(participant)}</ParticipantRef><Description lang="{cfg.default_lang}">'),
+        description, F.lit("</Description><dataObjects>"),
+        F.lit(f'<CompositeFrame id="{cs}:CompositeFrame:'), frame_key, F.lit(f'" version="{v}">'),
+        F.lit("<ValidBetween><FromDate>"), F.col("from_date"), F.lit("T00:00:00</FromDate><ToDate>"), F.col("to_date"),
+        F.lit('T00:00:00</ToDate></ValidBetween><TypesOfFrameRef><TypeOfFrameRef ref="'), profile,
+        F.lit('" versionRef="1.0"/></TypesOfFrameRef><frames>'))
+    fixed = docs.join(validity, FEED, "left").select(FEED, "document", F.explode(F.array(
+        F.struct(F.lit(0).alias("section"), F.lit("").alias("ordinal"), header.alias("text")),
+        F.struct(F.lit(10).alias("section"), F.lit("").alias("ordinal"), F.lit(head).alias("text")),
+        F.struct(F.lit(12).alias("section"), F.lit("").alias("ordinal"), F.lit(tail).alias("text")),
+        F.struct(F.lit(99).alias("section"), F.lit("").alias("ordinal"),
+                 F.lit("</frames></CompositeFrame></dataObjects></PublicationDelivery>").alias("text")),
+    )).alias("_r")).select(FEED, "document", "_r.section", "_r.ordinal", "_r.text")
+    return body.unionByName(org_rows).unionByName(fixed)
+
+
+def export_netex(tables: dict, cfg: NetexConfig, path: str, timestamp: str, **orders) -> DataFrame:
+    """SNK-12: write every document; returns the document list with row counts."""
+    rows = netex_documents(tables, cfg, timestamp, **orders)
+    write_documents(rows, path)
+    return rows.groupBy(FEED, "document").agg(F.count(F.lit(1)).alias("rows"))

@@ -306,3 +306,40 @@ def test_active_dates_and_restriction(spark):
     sub = service.restrict_to_routes(f, spark.createDataFrame([(FEED, "R2")], "feed_id string, route_id string"))
     assert _rows(sub["trips"], "trip_id") == [("T_NIGHT",)]
     assert _rows(sub["stops"], "stop_id") == [("ORPHAN",), ("QUAY_A",), ("STATION_1",)]
+
+
+def test_netex_export_documents_are_well_formed(spark, scratch):
+    import glob
+    import xml.etree.ElementTree as ET
+
+    from railyard.sinks import netex_xml
+
+    f = _netex_feed(spark)
+    f["agency"] = spark.createDataFrame([(FEED, 0, "GUIMABUS", "Guimabus", "info@guimabus.pt")],
+                                        "feed_id string, row_num long, agency_id string, agency_name string, "
+                                        "agency_email string")
+    out = f"{scratch}/netex"
+    docs = netex_xml.export_netex(f, CFG, out, "2026-04-21T08:55:45Z")
+    names = sorted(r.document for r in docs.collect())
+    assert names == ["ServiceFrame_Lines", "SiteFrame_Stops", "TimetableFrame_Schedules_Line_R1",
+                     "TimetableFrame_Schedules_Line_R2"]
+    ns = {"n": "http://www.netex.org.uk/netex"}
+    parsed = {}
+    for name in names:
+        files = glob.glob(f"{out}/feed_id={FEED}/document={name}/part-*.txt")
+        assert len(files) == 1  # one file per document
+        parsed[name] = ET.fromstring(open(files[0], encoding="utf-8").read().encode("utf-8"))
+    night = parsed["TimetableFrame_Schedules_Line_R2"]
+    offsets = [e.text for e in night.iter("{http://www.netex.org.uk/netex}ArrivalDayOffset")]
+    assert offsets == ["1"]
+    times = [e.text for e in night.iter("{http://www.netex.org.uk/netex}ArrivalTime")]
+    assert times == ["23:50:00", "01:10:00"]
+    stops = parsed["SiteFrame_Stops"]
+    station = stops.find(".//n:StopPlace[@id='PT:GUIMABUS:StopPlace:STATION_1']", ns)
+    assert [q.get("id") for q in station.findall(".//n:Quay", ns)] == ["PT:GUIMABUS:Quay:QUAY_A"]
+    orders = [e.find("n:Order", ns).text for e in stops.iter("{http://www.netex.org.uk/netex}DayTypeAssignment")]
+    assert orders == ["1", "2"]
+    lines = parsed["ServiceFrame_Lines"]
+    assert [p.get("id") for p in lines.iter("{http://www.netex.org.uk/netex}ServiceJourneyPattern")] == [
+        "PT:GUIMABUS:JourneyPattern:R1_0_1", "PT:GUIMABUS:JourneyPattern:R2_0_2"]
+    assert lines.find(".//n:ValidBetween/n:FromDate", ns).text == "2026-01-01T00:00:00"

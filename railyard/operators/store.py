@@ -190,3 +190,59 @@ class GtfsStore:
                 merged.setdefault(t, current[t])
         self.commit(merged)
         return rejected
+
+
+# --- feed loading and reports (SRC-12, AG-21, AG-22, SL-06) ----------------------------------
+FEED_GATE_TABLES = ("agency", "stops", "routes", "trips")
+
+
+def feed_from_store(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """SRC-12: the feeds whose agency, stops, routes and trips all have rows
+    (a per-feed ``left_semi`` gate); empty tables simply have no rows."""
+    counts = table_counts(tables)
+    ok = counts.where(F.col("table_name").isin(*FEED_GATE_TABLES) & (F.col("records") > 0)).groupBy(FEED).agg(
+        F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(FEED_GATE_TABLES)).select(FEED)
+    return {t: df.join(ok, FEED, "left_semi") for t, df in tables.items()}
+
+
+def error_samples(rejected: Mapping[str, DataFrame], limit: int = 50) -> DataFrame:
+    """AG-21: the first ``limit`` error rows per (feed, table), in file order."""
+    from railyard.operators import ordered
+
+    parts = [df.select(FEED, F.lit(t).alias("table_name"), "row_num", "error") for t, df in rejected.items()]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return ordered.top_n_per_group(u, [FEED, "table_name"], ["row_num", "error"], limit, "rank")
+
+
+def mapping_report(mapped: Mapping[str, DataFrame], failed: Mapping[str, DataFrame], warnings: DataFrame,
+                   limit: int = 20) -> tuple[DataFrame, DataFrame]:
+    """AG-22: per feed mapped / failed totals and unmapped tables (SO-03), plus
+    the first ``limit`` warnings. ``warnings``: (feed_id, ordinal, message)."""
+    from railyard.operators import ordered
+
+    m = table_counts(mapped)
+    f = table_counts(failed) if failed else m.select(FEED, "table_name", F.lit(0).cast("long").alias("records"))
+    joined = m.join(f.withColumnRenamed("records", "_failed"), [FEED, "table_name"], "left")
+    totals = joined.groupBy(FEED).agg(
+        F.sum("records").alias("mapped"), F.sum(F.coalesce("_failed", F.lit(0))).alias("failed"),
+        F.array_sort(F.collect_list(F.when(F.col("records") == 0, F.col("table_name")))).alias("unmapped_tables"))
+    first = ordered.top_n_per_group(warnings, [FEED], ["ordinal"], limit, "rank")
+    return totals, first
+
+
+def clear_tables(current: Mapping[str, DataFrame], feeds: DataFrame,
+                 tables: Sequence[str] = tuple(catalog.CLEAR_ORDER)) -> tuple[dict[str, DataFrame], DataFrame]:
+    """SL-06: remove the feeds' rows from ``tables`` (children first); returns
+    the remaining tables and the deleted counts per (feed, table)."""
+    keep, gone = {}, []
+    for t in tables:
+        if t not in current:
+            continue
+        keep[t] = current[t].join(feeds, FEED, "left_anti")
+        gone.append(current[t].join(feeds, FEED, "left_semi").select(FEED, F.lit(t).alias("table_name")))
+    deleted = gone[0]
+    for g in gone[1:]:
+        deleted = deleted.unionByName(g)
+    return keep, deleted.groupBy(FEED, "table_name").agg(F.count(F.lit(1)).alias("deleted"))

@@ -253,3 +253,24 @@ def issue_summary(issues: DataFrame, feeds: DataFrame | None = None) -> DataFram
         .when(F.col("warning_count") > 0, F.lit("warnings"))
         .otherwise(F.lit("certified")).alias("quality_tag"),
     )
+
+
+def validate_text_export(spark, path: str) -> DataFrame:
+    """VAL-10: run the validator on a written text export
+    (``<path>/feed_id=<f>/table=<t>/`` folders), raw cells, real line order."""
+    from railyard.sources import tabular
+
+    tables = {}
+    for t in ("agency", "stops", "routes", "trips", "stop_times", "calendar", "calendar_dates"):
+        try:
+            df = tabular.read_csv_text(spark, f"{path}/feed_id=*/table={t}")
+        except Exception:  # noqa: BLE001 - the table was not exported
+            continue
+        df = df.withColumn(FEED, F.regexp_extract("_file", r"feed_id=([^/]+)", 1)).drop("_file")
+        tables[f"{t}.txt"] = df
+    present = None
+    for name, df in tables.items():
+        p = df.select(FEED).distinct().withColumn("file_name", F.lit(name))
+        present = p if present is None else present.unionByName(p)
+    issues = validate_feed(tables)
+    return issues.unionByName(required_files(present)) if present is not None else issues

@@ -343,3 +343,20 @@ def test_netex_export_documents_are_well_formed(spark, scratch):
     assert [p.get("id") for p in lines.iter("{http://www.netex.org.uk/netex}ServiceJourneyPattern")] == [
         "PT:GUIMABUS:JourneyPattern:R1_0_1", "PT:GUIMABUS:JourneyPattern:R2_0_2"]
     assert lines.find(".//n:ValidBetween/n:FromDate", ns).text == "2026-01-01T00:00:00"
+
+
+def test_feed_gate_error_samples_and_clear(spark):
+    f = _netex_feed(spark)
+    other = spark.createDataFrame([("G", 0, "X", "x", 1.0, 1.0, 0, None)], f["stops"].schema)
+    tables = {**f, "stops": f["stops"].unionByName(other),
+              "agency": spark.createDataFrame([(FEED, 0, "G", "G")], "feed_id string, row_num long, agency_id string, "
+                                                                      "agency_name string")}
+    gated = store.feed_from_store(tables)
+    assert {r.feed_id for r in gated["stops"].collect()} == {FEED}  # feed G has no routes/trips
+    rej = {"trips": spark.createDataFrame([(FEED, i, f"e{i}") for i in range(70)],
+                                          "feed_id string, row_num long, error string")}
+    samples = store.error_samples(rej, 50)
+    assert samples.count() == 50 and samples.agg(F.max("row_num")).first()[0] == 49
+    keep, deleted = store.clear_tables(tables, spark.createDataFrame([(FEED,)], "feed_id string"), ["stops", "trips"])
+    assert keep["stops"].count() == 1
+    assert {(r.table_name, r.deleted) for r in deleted.collect()} == {("stops", 3), ("trips", 2)}

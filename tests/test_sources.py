@@ -71,6 +71,10 @@ def test_round_trip_export_import(spark, scratch):
     text = open(glob.glob(f"{out}/feed_id=feedA/table=stops/part-*.txt")[0], newline="").read()
     assert text.startswith("stop_id,stop_name,stop_lat,stop_lon\r\n") and "None" not in text
     assert "41.15" in text
+    from railyard.operators import validate as V
+
+    issues = V.validate_text_export(spark, out)
+    assert issues.where(F.col("severity") == "error").count() == 0
     # zip the export back and import it again: same tables
     members = {}
     for f in files:

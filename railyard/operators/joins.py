@@ -263,21 +263,23 @@ def as_of_forward(
     left side's day span per feed (one row per feed) widens the open ends.
     """
     rts = right_ts or ts
-    r = right.select(FEED, F.col(rts).alias("_ts"), *measures)
-    r = first_per_key(r, [FEED, "_ts"], list(measures))  # one observation per instant
-    r = r.withColumn("_day", F.to_date("_ts"))
-    # prev_ts: lag inside (feed, day); first of a day takes the previous day's last
-    day_last = r.groupBy(FEED, "_day").agg(F.max("_ts").alias("_day_last"))
-    dw = Window.partitionBy(FEED).orderBy("_day")  # over one row per feed-day
-    day_prev = day_last.withColumn("_prev_day_last", F.lag("_day_last").over(dw)).drop("_day_last")
-    iw = Window.partitionBy(FEED, "_day").orderBy("_ts")
-    r = r.withColumn("_prev", F.lag("_ts").over(iw)).join(day_prev, on=[FEED, "_day"], how="inner")
+    r = right.select(FEED, F.col(rts).alias("_ts"), *measures).withColumn("_day", F.to_date("_ts"))
+    # one window pass per (feed, day): drop repeated instants (first by measures),
+    # then the previous instant of the day; both windows share one shuffle
+    dw = Window.partitionBy(FEED, "_day").orderBy("_ts", *measures)
+    r = r.withColumn("_dup", F.lag("_ts").over(dw) == F.col("_ts")).where(~F.coalesce("_dup", F.lit(False)))
+    r = r.withColumn("_prev", F.lag("_ts").over(Window.partitionBy(FEED, "_day").orderBy("_ts"))).drop("_dup")
+    # per day (same partitioning, no shuffle): last instant and its measures
+    days_of_r = r.groupBy(FEED, "_day").agg(F.max_by(F.struct("_ts", *measures), "_ts").alias("_dl"))
+    # per feed, one row per observed day (bounded by the calendar span)
+    fw = Window.partitionBy(FEED).orderBy("_day")
+    day_prev = days_of_r.select(FEED, "_day", F.lag("_dl._ts").over(fw).alias("_prev_day_last"))
+    r = r.join(day_prev, on=[FEED, "_day"], how="inner")
     r = r.withColumn("_prev", F.coalesce("_prev", "_prev_day_last")).drop("_prev_day_last")
+    last = days_of_r.groupBy(FEED).agg(F.max_by("_dl", "_day").alias("_l")).select(
+        FEED, F.col("_l._ts").alias("_prev"), *[F.col(f"_l.{m}").alias(m) for m in measures])
 
     span = left.groupBy(FEED).agg(F.to_date(F.min(ts)).alias("_lmin"), F.to_date(F.max(ts)).alias("_lmax"))
-    last = r.groupBy(FEED).agg(F.max_by(F.struct("_ts", *measures), "_ts").alias("_l")).select(
-        FEED, F.col("_l._ts").alias("_prev"), *[F.col(f"_l.{m}").alias(m) for m in measures]
-    )
     tail = last.withColumn("_ts", F.lit(None).cast(r.schema["_ts"].dataType))
     intervals = r.select(FEED, "_prev", "_ts", *measures).unionByName(tail)
     intervals = intervals.join(F.broadcast(span), on=FEED, how="inner")

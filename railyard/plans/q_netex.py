@@ -312,3 +312,36 @@ def netex_xml_entities(spark, sf):
     places = NX.stop_places(A.a_stops(spark, sf), _modes(spark, sf), CFG, ["stop_id"])
     lines = NX.lines(A.a_routes(spark, sf), CFG)
     return netex_xml.render_stop_places(places, CFG).unionByName(netex_xml.render_lines(lines, CFG))
+
+
+@register(
+    "stop_assignments",
+    sql=f"""
+    SELECT feed_id, CAST(stop_id AS VARCHAR) AS stop_id, {_urn('ScheduledStopPoint', 'stop_id')} AS ssp_id,
+           stop_name AS name, {_urn('PassengerStopAssignment', 'stop_id')} AS psa_id,
+           row_number() OVER (PARTITION BY feed_id ORDER BY stop_id) AS "order", {_urn('Quay', 'stop_id')} AS quay_ref
+    FROM a_stops WHERE coalesce(location_type, 0) = 0
+    """,
+)
+def stop_assignments(spark, sf):
+    """JN-19 / WN-06: scheduled stop points and their quay assignments, numbered per feed."""
+    return NX.stop_points(A.a_stops(spark, sf), CFG, ["stop_id"])
+
+
+@register(
+    "pattern_stop_points",
+    sql=f"""
+    WITH p AS (SELECT printf('%s_%d_%d', CAST(route_id AS VARCHAR), coalesce(direction_id, 0), num) AS local_id, feed_id,
+                      string_split(stops, ' ') AS s FROM pats),
+         x AS (SELECT feed_id, local_id, unnest(s) AS stop_id, unnest(range(1, len(s) + 1)) AS ord FROM p)
+    SELECT feed_id, local_id, CAST(ord AS INTEGER) AS "order",
+           {_urn('StopPointInJourneyPattern', "local_id || '_' || CAST(ord AS VARCHAR)")} AS id,
+           {_urn('ScheduledStopPoint', 'stop_id')} AS ssp_ref
+    FROM x
+    """,
+    extra_views=_PATTERN_VIEWS,
+)
+def pattern_stop_points(spark, sf):
+    """NX-16 data: the ordered stop points of every journey pattern."""
+    pats, _ = _patterns(spark, sf)
+    return NX.stop_points_in_pattern(pats, CFG)

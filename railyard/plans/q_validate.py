@@ -476,3 +476,27 @@ def clean_null_tokens(spark, sf):
 
     return c.select("conv_id", "turn", cell("role").alias("role"), cell("text").alias("text")).withColumn(
         "n_chars", F.char_length("text").cast("long"))
+
+
+@register(
+    "validation_report",
+    sql="""
+    SELECT 'transported_passengers' AS dataset, count(*) AS total,
+           count(*) FILTER (WHERE CAST(direction_id AS INTEGER) <= 1
+             AND temporal_resolution IN ('15min', '30min', 'hourly', 'daily', 'weekly', 'monthly')
+             AND CAST(number_of_validations AS DOUBLE) = floor(CAST(number_of_validations AS DOUBLE))
+             AND CAST(alighting_count AS INTEGER) >= 0 AND lower(fare_category) NOT IN ('n/a', 'nan', '', 'null')) AS valid,
+           count(*) FILTER (WHERE NOT (CAST(direction_id AS INTEGER) <= 1
+             AND temporal_resolution IN ('15min', '30min', 'hourly', 'daily', 'weekly', 'monthly')
+             AND CAST(number_of_validations AS DOUBLE) = floor(CAST(number_of_validations AS DOUBLE))
+             AND CAST(alighting_count AS INTEGER) >= 0 AND lower(fare_category) NOT IN ('n/a', 'nan', '', 'null'))) AS invalid
+    FROM passenger_upload
+    """,
+    extra_views=_PASSENGER_UPLOAD_SQL,
+)
+def validation_report(spark, sf):
+    """AG-03 / SNK-04 content: total, valid and invalid rows of an upload."""
+    from railyard.sinks import layers
+
+    good, bad = schemas.UPLOADS["Transported Passengers"].validate(passenger_upload(spark, sf), keep=["feed_id"])
+    return layers.validation_report(good, bad, "transported_passengers")

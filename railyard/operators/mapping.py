@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from railyard.functions import scalars as S
-from railyard.operators import ordered
+from railyard.operators import joins, ordered
 
 FEED = "feed_id"
 # fixed values: defaults the mapper writes
@@ -138,10 +138,7 @@ def map_board_alight(passengers: DataFrame, trips: DataFrame) -> DataFrame:
         [FEED, "line_id"], ["_n"]).select(FEED, "line_id", "trip_id")
     p = passengers.withColumn("line_id", F.col("line_id").cast("string")).withColumn(
         "direction_id", F.coalesce(F.col("direction_id").cast("int"), F.lit(0)))
-    exact = t.withColumnRenamed("trip_id", "_t1")
-    fb = first.withColumnRenamed("trip_id", "_t2")
-    j = p.join(exact, [FEED, "line_id", "direction_id"], "left").join(fb, [FEED, "line_id"], "left")
-    j = j.withColumn("trip_id", F.coalesce("_t1", "_t2")).where(F.col("trip_id").isNotNull())
+    j = joins.fallback_lookup(p, t, ["line_id", "direction_id"], first, ["line_id"], "trip_id")
     ts_text = F.substring(F.col("timestamp").cast("string"), 1, 10)
     return j.select(
         FEED, "trip_id", F.col("stop_id").cast("string").alias("stop_id"), F.lit(0).alias("stop_sequence"),

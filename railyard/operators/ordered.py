@@ -121,11 +121,3 @@ def top_n_per_group(
     cand = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= n).drop("_r1", "_salt")
     w2 = Window.partitionBy(*keys).orderBy(*oc)
     return cand.withColumn(rank_name, F.row_number().over(w2)).where(F.col(rank_name) <= n)
-
-
-def collect_top_n(df: DataFrame, keys: Sequence[str], value: str, order_cols: Sequence[ColLike], n: int, name: str):
-    """Top-N values per group as an ordered array (bounded by ``n``)."""
-    top = top_n_per_group(df.select(*keys, value, *[c for c in order_cols if isinstance(c, str) and c != value]),
-                          keys, order_cols, n, rank_name="_rk")
-    agg = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_rk", value))).alias("_l"))
-    return agg.select(*keys, F.transform("_l", lambda x: x[value]).alias(name))

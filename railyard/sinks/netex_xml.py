@@ -115,33 +115,6 @@ def render_passing_times(pt: DataFrame) -> DataFrame:
 
 
 # --- documents (NX-20..30, SNK-12) ----------------------------------------------------------
-def document_rows(entities: DataFrame, document: Column, section: int, order: Column | None = None) -> DataFrame:
-    """Entity XML rows placed in a document section (ordered by ``order`` or id)."""
-    return entities.select(FEED, document.alias("document"), F.lit(section).alias("section"),
-                           (order if order is not None else F.col("id")).cast("string").alias("ordinal"),
-                           F.col("xml").alias("text"))
-
-
-def wrap(feeds: DataFrame, document: Column, header: str, footer: str, first: int = 0, last: int = 99) -> DataFrame:
-    """Header/footer rows of a document (declaration, PublicationDelivery, frames)."""
-    h = feeds.select(FEED, document.alias("document"), F.lit(first).alias("section"), F.lit("").alias("ordinal"),
-                     F.lit(header).alias("text"))
-    f = feeds.select(FEED, document.alias("document"), F.lit(last).alias("section"), F.lit("").alias("ordinal"),
-                     F.lit(footer).alias("text"))
-    return h.unionByName(f)
-
-
-def publication_header(cfg: NetexConfig, profile: str, frames_open: str) -> str:
-    participant = cfg.participant_ref or cfg.operator.short_name or cfg.operator.id
-    return (
-        '<?xml version="1.0" encoding="UTF-8"?>\n'
-        f'<PublicationDelivery xmlns="{NETEX_NS}" version="1.1">\n'
-        f"  <ParticipantRef>{participant}</ParticipantRef>\n"
-        f"  <Description>{profile}</Description>\n"
-        f"  <dataObjects>\n{frames_open}"
-    )
-
-
 def write_documents(rows: DataFrame, path: str) -> None:
     """Each (feed, document) is sorted and written by one task, one file."""
     (rows.repartition(FEED, "document").sortWithinPartitions(FEED, "document", "section", "ordinal")

@@ -71,7 +71,8 @@ def maturity(bronze: DataFrame, silver: DataFrame, store_counts: DataFrame, expo
         return df.select("project").distinct().withColumn(name, F.lit(True))
 
     populated = store_counts.where(F.col("records") > 0).select(F.col("feed_id").alias("project"))
-    projects = (bronze.select("project").unionByName(silver.select("project")).unionByName(populated)
+    known = store_counts.select(F.col("feed_id").alias("project"))
+    projects = (bronze.select("project").unionByName(silver.select("project")).unionByName(known)
                 .unionByName(exports.select("project")).distinct())
     out = projects
     for df, name in ((bronze, "_b"), (silver, "_s"), (populated, "_d"), (exports, "_e")):

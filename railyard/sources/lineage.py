@@ -78,5 +78,5 @@ def maturity(bronze: DataFrame, silver: DataFrame, store_counts: DataFrame, expo
     for df, name in ((bronze, "_b"), (silver, "_s"), (populated, "_d"), (exports, "_e")):
         out = out.join(flag(df, name), "project", "left")
     b, s, d, e = [F.coalesce(F.col(n), F.lit(False)) for n in ("_b", "_s", "_d", "_e")]
-    level = F.when(e & d, 4).when(d, 3).when(s, 2).when(b, 1).otherwise(0)
+    level = F.when(e, 4).when(d, 3).when(s, 2).when(b, 1).otherwise(0)
     return out.select("project", level.alias("maturity_level"))

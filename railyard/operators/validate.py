@@ -64,10 +64,7 @@ def required_files(present: DataFrame) -> DataFrame:
 def required_fields(tables: Mapping[str, DataFrame], row_col: str = "row_num",
                     carry: Sequence[str] = ()) -> list[DataFrame]:
     """Header missing (error, plan-time per table), empty value per row (error).
-
-    A table with no rows yields a warning row per feed that has none (tables
-    here are whole multi-feed frames, so "no rows" is per feed via the
-    caller's feed list; see ``empty_file_warnings``)."""
+    Members without data rows are reported by ``empty_file_warnings``."""
     out = []
     for fname, req in catalog.REQUIRED_FIELDS.items():
         df = tables.get(fname)
@@ -85,6 +82,19 @@ def required_fields(tables: Mapping[str, DataFrame], row_col: str = "row_num",
     return out
 
 
+def empty_file_warnings(archive_rows: DataFrame) -> DataFrame:
+    """VAL-02 (warning): members of the validated files that have a header
+    but no data rows, from the archive row stream (``sources.archive``)."""
+    members = archive_rows.where(F.col("table_name").isNotNull() & F.col("reject").isNull())
+    per = members.groupBy(FEED, "table_name").agg(F.count_if(F.col("row_num") >= 0).alias("_rows"))
+    empty = per.where((F.col("_rows") == 0) & F.col("table_name").isin(
+        *[f[:-4] for f in catalog.REQUIRED_FIELDS]))
+    file_name = F.concat(F.col("table_name"), F.lit(".txt"))
+    return empty.select(FEED, F.lit("warning").alias("severity"), file_name.alias("file_name"),
+                        F.lit(None).cast("string").alias("field"), F.lit(None).cast("long").alias("row_index"),
+                        F.format_string("File '%s' has no data rows", file_name).alias("message"))
+
+
 # VAL-03 ---------------------------------------------------------------------------
 def duplicate_primary_keys(tables: Mapping[str, DataFrame], row_col: str = "row_num") -> list[DataFrame]:
     out = []

@@ -193,3 +193,14 @@ def test_incremental_merge_stream(spark, scratch):
     got = sorted((r.stop_id, r.stop_name) for r in st.read("stops").collect())
     assert got == [("S1", "Renamed"), ("S2", "Two"), ("S3", "Three")]
     assert st.read("stop_times").count() == 2
+
+
+def test_empty_member_warning(spark, scratch):
+    from railyard.operators import validate as V
+
+    d = f"{scratch}/empty"
+    os.makedirs(d)
+    _zip(f"{d}/e.zip", {**MINIMAL, "calendar_dates.txt": "service_id,date,exception_type\n"})
+    rows = archive.scan_archives(spark, d, raw=True)
+    w = [r.message for r in V.empty_file_warnings(rows).collect()]
+    assert w == ["File 'calendar_dates.txt' has no data rows"]

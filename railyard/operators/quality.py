@@ -87,8 +87,9 @@ def gold_metrics(df: DataFrame, dataset: str, numeric: Sequence[str]) -> DataFra
 
 
 def column_profile(df: DataFrame, table: str, pk: Sequence[str] = (), sample_limit: int = 5) -> DataFrame:
-    """AG-08: per column null count, null %, exact distinct count and the
-    ``sample_limit`` smallest distinct values (as text, 40 chars max).
+    """AG-08: per column type, NOT NULL flag, primary-key flag, null count,
+    null %, exact distinct count and the ``sample_limit`` smallest distinct
+    values (as text, 40 chars max).
 
     One unpivot to (column, text value) serves every column; distinct values
     are reduced by a shuffle on (column, value) and the samples are picked by
@@ -109,8 +110,11 @@ def column_profile(df: DataFrame, table: str, pk: Sequence[str] = (), sample_lim
     samples = samples.groupBy("ordinal", "column_name").agg(
         F.array_sort(F.collect_list(F.struct("_rk", S.stringify("v").alias("s")))).alias("_s"))
     out = stats.join(samples, ["ordinal", "column_name"], "left")
+    meta = F.create_map(*[x for c in cols for x in (F.lit(c), F.struct(
+        F.lit(df.schema[c].dataType.simpleString()).alias("dtype"), F.lit(not df.schema[c].nullable).alias("not_null")))])
     return out.select(
         F.lit(table).alias("table_name"), "ordinal", "column_name",
+        meta[F.col("column_name")]["dtype"].alias("dtype"), meta[F.col("column_name")]["not_null"].alias("not_null"),
         F.col("column_name").isin(*pk).alias("is_primary_key"),
         F.col("null_count").cast("long").alias("null_count"),
         F.round(F.when(F.col("_total") > 0, F.col("null_count") * 100.0 / F.col("_total")).otherwise(0.0), 6)

@@ -65,6 +65,9 @@ def gold_metrics(spark, sf):
 
 # --- AG-08 -------------------------------------------------------------------------------
 _PROFILE_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+# column metadata as the engine reports it (Spark type names of the Parquet columns)
+_PROFILE_TYPES = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+                  "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
 
 
 def _profile_sql() -> str:
@@ -72,7 +75,8 @@ def _profile_sql() -> str:
     for i, c in enumerate(_PROFILE_COLS):
         v = f"CAST({c} AS VARCHAR)"
         parts.append(f"""
-        SELECT 'orders' AS table_name, {i} AS ordinal, '{c}' AS column_name, {str(c == 'o_orderkey').upper()} AS is_primary_key,
+        SELECT 'orders' AS table_name, {i} AS ordinal, '{c}' AS column_name, '{_PROFILE_TYPES[c]}' AS dtype,
+               false AS not_null, {str(c == 'o_orderkey').upper()} AS is_primary_key,
                (SELECT count(*) FILTER (WHERE {c} IS NULL) FROM orders) AS null_count,
                round((SELECT count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*) FROM orders), 6) AS null_pct,
                (SELECT count(DISTINCT {c}) FROM orders) AS distinct_count,

@@ -78,3 +78,21 @@ def test_mapping_report(spark):
     r = totals.first()
     assert (r.mapped, r.failed) == (3, 1) and "agency" in r.unmapped_tables and "stops" not in r.unmapped_tables
     assert first.count() == 20
+
+
+def test_feature_store_gold_and_bronze_layout(spark, scratch):
+    from railyard.sinks import layers
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    paths = layers.save_feature_store({"Demand Samples": df}, f"{scratch}/fs", "Base Case", "r7")
+    assert paths["Demand Samples"].endswith("scenario=base_case/run_id=r7/demand_samples")
+    audit = spark.read.json(f"{scratch}/fs/scenario=base_case/run_id=r7/_audit").collect()
+    assert [(r.dataset, r.run_id) for r in audit] == [("Demand Samples", "r7")]
+    gold = layers.save_gold(df, scratch, "P", "r1", "mode_a_samples", {"economic_context": df})
+    assert spark.read.parquet(gold["mode_a_samples"]).count() == 2 and "economic_context" in gold
+    src = f"{scratch}/upload.csv"
+    with open(src, "w") as fh:
+        fh.write("a,b\n1,2\n")
+    out = layers.save_bronze(spark, src, scratch, "P", "r1")
+    row = spark.read.parquet(out).first()
+    assert bytes(row.content) == b"a,b\n1,2\n"

@@ -249,7 +249,7 @@ def passing_times(stop_times: DataFrame, trip_patterns: DataFrame, cfg: NetexCon
     st = st.withColumn("_idx", F.row_number().over(w))
     arr, dep = S.gtfs_time_parts("arrival_time"), S.gtfs_time_parts("departure_time")
     return st.select(
-        FEED, "trip_id", F.col("_idx").alias("idx"),
+        FEED, "trip_id", F.col("_idx").cast("long").alias("idx"),
         cfg.urn("TimetabledPassingTime", F.format_string("%s_%d", _txt("trip_id"), F.col("_idx"))).alias("id"),
         cfg.urn("StopPointInJourneyPattern", F.format_string("%s_%d", F.col("local_id"), F.col("_idx"))).alias("spjp_ref"),
         arr["time"].alias("arrival_time"), arr["day_offset"].alias("arrival_day_offset"),

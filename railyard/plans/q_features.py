@@ -58,7 +58,9 @@ def as_of_weather(spark, sf):
 def temporal_features(spark, sf):
     """SC-13/14 + JN-02 on every event."""
     p = FE.with_holiday(A.a_passengers(spark, sf), "timestamp", A.a_holidays(spark, sf))
-    return p.select("feed_id", "row_num", *S.temporal_features("timestamp", "_is_holiday"))
+    out = p.select("feed_id", "row_num", *S.temporal_features("timestamp", "_is_holiday"))
+    return out.select(*[F.col(c).cast("long").alias(c) if c in ("hour_of_day", "day_of_week", "day_of_month", "month",
+                                                                  "year") else c for c in out.columns])
 
 
 @register(

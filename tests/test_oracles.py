@@ -12,6 +12,8 @@ from tools.oracle_check import TABLES, norm
 
 SF = os.environ.get("RAILYARD_TEST_SF", "/root/testdata/sf0.001")
 QUERIES = entry.queries()
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
 ORACLES = entry.oracle_sql()
 
 
@@ -52,6 +54,11 @@ def test_query_matches_oracle(spark, duck, name):
     d = collections.Counter(tuple(norm(r[i]) for i in idx) for r in drows)
     assert len(srows) == len(drows)
     assert s == d
+    # exact column types agree too (Spark name -> DuckDB name)
+    duck_types = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {ORACLES[name]}").fetchall()}
+    for f in df.schema.fields:
+        st = f.dataType.simpleString()
+        assert SPARK_TO_DUCK.get(st, st) == duck_types[f.name], (f.name, st, duck_types[f.name])
 
 
 def test_rows_only_queries_run(spark):

@@ -7,8 +7,10 @@ time, so no task holds a partition and no Python string is made per word.
 
 from __future__ import annotations
 
+import functools
+import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def reachable(query: Callable) -> Callable:
+    """The query, with this package's folder on the Python path of the workers
+    (where the package isn't installed, as in a checkout)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args):
+        env = spark.sparkContext.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+        return query(spark, *args)
+
+    return run
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder of ``spark.checkpoint.dir`` and
     read it back: lineage is cut, lost executors lose nothing."""

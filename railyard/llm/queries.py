@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from railyard.llm import decontam, quality_rules, token_counts
-from railyard.llm.common import table
+from railyard.llm import chat_format, decontam, html_extract, language_id, quality_model, quality_rules, token_counts
+from railyard.llm.common import reachable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,13 +21,33 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digest(table(spark, sf_dir, "conversations"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.digest(table(spark, sf_dir, "pages"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = [op1_token_counts, op2_decontamination, op4_chat_format, op5_language_id, op6_quality_rules,
+           op9_html_extraction, op10_quality_classifier]
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op6_quality_rules)}
+    return {f.__name__: reachable(f) for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_format": chat_format.DIGEST_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from railyard.llm import chat_format, decontam, html_extract, language_id, quality_model, quality_rules, token_counts
+from railyard.llm import chat_format, decontam, html_extract, language_id, quality_model, quality_rules, substring_dedup, token_counts
 from railyard.llm.common import reachable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(table(spark, sf_dir, "conversations"))
 
@@ -41,7 +45,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = [op1_token_counts, op2_decontamination, op4_chat_format, op5_language_id, op6_quality_rules,
+QUERIES = [op1_token_counts, op2_decontamination, op3_substring_dedup, op4_chat_format, op5_language_id, op6_quality_rules,
            op9_html_extraction, op10_quality_classifier]
 
 

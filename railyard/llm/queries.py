@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from railyard.llm import chat_format, decontam, html_extract, language_id, near_dedup, quality_model, quality_rules, substring_dedup, token_counts
+from railyard.llm import chat_format, decontam, html_extract, language_id, near_dedup, packing, quality_model, quality_rules, substring_dedup, token_counts
 from railyard.llm.common import reachable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = [op1_token_counts, op2_decontamination, op3_substring_dedup, op4_chat_format, op5_language_id, op6_quality_rules, op8_near_dedup,
+QUERIES = [op1_token_counts, op2_decontamination, op3_substring_dedup, op4_chat_format, op5_language_id, op6_quality_rules, op7_packing, op8_near_dedup,
            op9_html_extraction, op10_quality_classifier]
 
 

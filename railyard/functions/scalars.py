@@ -260,16 +260,21 @@ def wheelchair_limitation(flag: ColOrName) -> Column:
 
 # SC-18 / SC-19 / SC-20 / SC-21 / SC-22 ---------------------------------------
 def format_cell(c: ColOrName, is_float: bool) -> Column:
-    """NULL → '' ; whole floats print as integers."""
+    """NULL (and NaN or infinite) → '' ; whole floats print as integers, others
+    as plain decimals (never with an exponent)."""
     x = _c(c)
     if is_float:
-        txt = F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(x.cast("string"))
+        plain = F.regexp_replace(x.cast("string").try_cast("decimal(38,20)").cast("string"), r"\.?0+$", "")
+        whole = F.when(F.abs(x) < 1e18, x.cast("long").cast("string")).otherwise(x.try_cast("decimal(38,0)").cast("string"))
+        txt = F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit("")).when(x == F.floor(x), whole).otherwise(plain)
     else:
         txt = x.cast("string")
     return F.coalesce(txt, F.lit(""))
 
 
 def stringify(c: ColOrName, width: int = 40) -> Column:
+    """SC-19: a cell for display; longer ones are shortened to ``width``. The
+    full value stays in the data: this is for screens only."""
     s = _c(c).cast("string")
     return F.when(s.isNull(), F.lit("")).when(
         F.char_length(s) > width, F.concat(F.substring(s, 1, width - 3), F.lit("…"))
@@ -295,10 +300,28 @@ def null_token(c: ColOrName) -> Column:
     return F.when(F.lower(x).isin(*NULL_TOKENS), F.lit(None)).otherwise(x)
 
 
+#: Text of a whole number (an all-zero fraction is accepted) and of any number.
+INTEGER_TEXT = r"^[+-]?\d+(?:\.0*)?$"
+NUMBER_TEXT = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
+
+
+def parse_number(text: Column) -> Column:
+    """Text as a double; anything that is not a plain number (``1f``, ``2d``, ``inf``) is NULL."""
+    x = strip(text)
+    return F.when(x.rlike(NUMBER_TEXT), x.try_cast("double"))
+
+
+def parse_integer(text: Column) -> Column:
+    """Text as a 64-bit integer, exactly; whole numbers only."""
+    x = strip(text)
+    return F.when(x.rlike(INTEGER_TEXT), F.regexp_extract(x, r"^([+-]?\d+)", 1).try_cast("bigint"))
+
+
 # SC-23 ------------------------------------------------------------------------
 def netex_bundle_name(operator: ColOrName, version: ColOrName, stamp: ColOrName) -> Column:
-    return F.concat(F.lit("NETEX_PT_"), _c(operator), F.lit("_"), _c(version), F.lit("_"),
-                    F.date_format(_c(stamp), "yyyyMMddHHmmss"))
+    """``NETEX_PT_<OPERATOR>_<version>_<yyyyMMddHHmm>``; the operator's name as an id, in upper case."""
+    return F.concat(F.lit("NETEX_PT_"), F.upper(sanitise_local_id(operator)), F.lit("_"), _c(version), F.lit("_"),
+                    F.date_format(_c(stamp), "yyyyMMddHHmm"))
 
 
 def timetable_document_name(line_id: ColOrName) -> Column:

@@ -3,8 +3,7 @@
 Every key includes ``feed_id``. Parents are never hand-broadcast: their size
 grows with the data, so Spark's planner decides (AQE converts a join to a
 broadcast only when the measured size is under the threshold, and splits
-skewed partitions otherwise). Frames with exactly one row per feed are
-broadcast explicitly; the number of feeds is a catalogue-level quantity.
+skewed partitions otherwise).
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railyard.operators.ordered import first_per_key
+from railyard.session import cut_lineage
 
 FEED = "feed_id"
 
@@ -54,7 +54,7 @@ def fk_orphans(tables: Mapping[str, DataFrame], edges: Sequence[FkEdge]) -> Data
             pkeys = parent.select(FEED, F.col(e.ref_column).alias("_fk"))
             orphans = keys.join(pkeys, on=[FEED, "_fk"], how="left_anti")
             present = parent.select(FEED).distinct().withColumn("_parent_rows", F.lit(True))
-            orphans = orphans.join(F.broadcast(present), on=FEED, how="left")
+            orphans = orphans.join(present, on=FEED, how="left")
         val = _text(F.col("_fk"))
         empty_msg = F.concat(
             F.lit(f"{e.table}.{e.column}='"), val,
@@ -94,7 +94,8 @@ def missing_references(
     row_col: str,
     message: str,
 ) -> DataFrame:
-    """Rows of ``child`` whose non-empty ``column`` is in none of ``parents``.
+    """Rows of ``child`` whose non-empty ``column`` is in none of ``parents``
+    (an id of blanks only is not empty).
 
     ``message`` is a format with one ``%s`` for the value. The parent key sets
     are unioned first (SO-01), then one anti join keeps the rows.
@@ -104,7 +105,7 @@ def missing_references(
         k = df.select(FEED, _text(F.col(col)).alias("_ref"))
         keys = k if keys is None else keys.unionByName(k)
     val = _text(F.col(column))
-    rows = child.where(val.isNotNull() & (F.trim(val) != "")).withColumn("_ref", val)
+    rows = child.where(val.isNotNull() & (val != "")).withColumn("_ref", val)
     bad = rows.join(keys, on=[FEED, "_ref"], how="left_anti")
     return bad.select(
         FEED,
@@ -254,46 +255,39 @@ def as_of_forward(
 ) -> DataFrame:
     """For every left row the first right row with ``right.ts >= left.ts``;
     left rows after the last right row take the last one. Keyed by feed only.
-
-    Plan: the right side becomes half-open intervals ``(prev_ts, ts]`` (the
-    first one open to the left, plus a tail ``(last_ts, +inf)`` carrying the
-    last row). Each interval is exploded to the days it touches, so the left
-    side is matched by an equi-join on (feed, day) plus a range filter: no
-    sort of the left side, no nested loop, exactly one match per row. The
-    left side's day span per feed (one row per feed) widens the open ends.
+    A left row without an instant takes the last one too.
+
+    Plan: both sides are united and range-partitioned by (feed, instant), so a
+    busy feed, day or instant is spread over many ranges. Each range finds the
+    next observation inside itself in one ordered pass; the first observation
+    of each range (one small row per range and feed) is carried back over the
+    ranges before it. The work is that of one sort: no pairs, no day join. The
+    ranges are checkpointed once, because their bounds are sampled.
     """
     rts = right_ts or ts
-    r = right.select(FEED, F.col(rts).alias("_ts"), *measures).withColumn("_day", F.to_date("_ts"))
-    # one window pass per (feed, day): drop repeated instants (first by measures),
-    # then the previous instant of the day; both windows share one shuffle
-    dw = Window.partitionBy(FEED, "_day").orderBy("_ts", *measures)
-    r = r.withColumn("_dup", F.lag("_ts").over(dw) == F.col("_ts")).where(~F.coalesce("_dup", F.lit(False)))
-    r = r.withColumn("_prev", F.lag("_ts").over(Window.partitionBy(FEED, "_day").orderBy("_ts"))).drop("_dup")
-    # per day (same partitioning, no shuffle): last instant and its measures
-    days_of_r = r.groupBy(FEED, "_day").agg(F.max_by(F.struct("_ts", *measures), "_ts").alias("_dl"))
-    # per feed, one row per observed day (bounded by the calendar span)
-    fw = Window.partitionBy(FEED).orderBy("_day")
-    day_prev = days_of_r.select(FEED, "_day", F.lag("_dl._ts").over(fw).alias("_prev_day_last"))
-    r = r.join(day_prev, on=[FEED, "_day"], how="inner")
-    r = r.withColumn("_prev", F.coalesce("_prev", "_prev_day_last")).drop("_prev_day_last")
-    last = days_of_r.groupBy(FEED).agg(F.max_by("_dl", "_day").alias("_l")).select(
-        FEED, F.col("_l._ts").alias("_prev"), *[F.col(f"_l.{m}").alias(m) for m in measures])
-
-    span = left.groupBy(FEED).agg(F.to_date(F.min(ts)).alias("_lmin"), F.to_date(F.max(ts)).alias("_lmax"))
-    tail = last.withColumn("_ts", F.lit(None).cast(r.schema["_ts"].dataType))
-    intervals = r.select(FEED, "_prev", "_ts", *measures).unionByName(tail)
-    intervals = intervals.join(F.broadcast(span), on=FEED, how="inner")
-    lo = F.when(F.col("_prev").isNull(), F.least(F.col("_lmin"), F.to_date("_ts"))).otherwise(F.to_date("_prev"))
-    hi = F.when(F.col("_ts").isNull(), F.greatest(F.col("_lmax"), F.to_date("_prev"))).otherwise(F.to_date("_ts"))
-    days = intervals.withColumn("_day", F.explode(F.sequence(lo, hi))).drop("_lmin", "_lmax")
-
-    l = left.withColumn("_day", F.to_date(ts))
-    out = l.join(days.withColumnRenamed(FEED, "_f").withColumnRenamed("_day", "_d"),
-                 on=[l[FEED] == F.col("_f"), l["_day"] == F.col("_d"),
-                     F.col("_prev").isNull() | (l[ts] > F.col("_prev")),
-                     F.col("_ts").isNull() | (l[ts] <= F.col("_ts"))],
-                 how="left")
-    return out.drop("_f", "_d", "_day", "_prev", "_ts")
+    no_row = F.lit(None).cast(left.select(F.struct(*left.columns).alias("r")).schema["r"].dataType)
+    obs = (right.groupBy(FEED, F.col(rts).alias("_ts")).agg(F.min(F.struct(*measures)).alias("_m"))
+           .where(F.col("_ts").isNotNull()).withColumn("_obs", F.struct("_ts", "_m")))
+    rows = left.select(FEED, F.col(ts).alias("_ts"), F.struct(*left.columns).alias("_row"))
+    no_obs = F.lit(None).cast(obs.schema["_obs"].dataType)
+    # at one instant left rows come first, spread by a hash of the row; then the observation
+    united = rows.select(FEED, "_ts", F.lit(0).alias("_side"), F.xxhash64("_row").alias("_tie"), "_row", no_obs.alias("_obs"))
+    united = united.unionByName(obs.select(FEED, "_ts", F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_tie"),
+                                           no_row.alias("_row"), "_obs"))
+    order = [F.col(FEED), F.col("_ts").asc_nulls_last(), F.col("_side"), F.col("_tie")]
+    ranged = cut_lineage(united.repartitionByRange(*order).withColumn("_rng", F.spark_partition_id()))
+    backwards = (Window.partitionBy("_rng", FEED).orderBy(F.col("_ts").desc_nulls_first(), F.col("_side").desc(), F.col("_tie").desc())
+                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = ranged.withColumn("_next", F.last("_obs", ignorenulls=True).over(backwards)).where(F.col("_side") == 0)
+    # one row per (range, feed): the first observation of a later range, else the feed's last one
+    heads = ranged.groupBy("_rng", FEED).agg(F.min("_obs").alias("_first"), F.max("_obs").alias("_last"))
+    later = Window.partitionBy(FEED).orderBy(F.col("_rng").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = heads.select("_rng", FEED, F.coalesce(F.last("_first", ignorenulls=True).over(later),
+                                                    F.max("_last").over(Window.partitionBy(FEED))).alias("_carry"))
+    out = found.join(carried, ["_rng", FEED], "left")
+    pick = F.when(F.col("_ts").isNotNull(), F.coalesce("_next", "_carry")).otherwise(F.col("_carry"))
+    out = out.select("_row", pick.alias("_pick"))
+    return out.select("_row.*", *[F.col(f"_pick._m.{m}").alias(m) for m in measures])
 
 
 def fallback_lookup(

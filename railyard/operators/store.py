@@ -1,14 +1,17 @@
-"""GTFS store on Parquet: versioned tables, import modes, gates, counts, paging.
-
-Layout: ``<root>/<table>/version=<v>/feed_id=<f>/part-*.parquet`` and a
-pointer dataset ``<root>/_current`` (one row per table: table, version)
-written *after* all table versions, so readers switch atomically (SL-08;
-single writer assumed). Old versions stay readable until pruned.
+"""GTFS store on Parquet: one partition per feed, import modes, gates, counts, paging.
+
+Layout: ``<root>/<table>/feed_id=<f>/batch=<b>/part-*.parquet``, plain Spark
+tables written with dynamic partition overwrite: a load rewrites the partitions
+of the feeds it brings and no others, and any read or write error rises. Tables
+with a primary key keep one batch per feed; tables without one keep the rows of
+every batch, so that a batch loaded again replaces its own rows. Each table is
+switched by Spark's own commit; a load that fails between two tables is
+repeated as a whole, with the same result. Where several tables must switch as
+one, put the folders under a table format of the cluster.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from railyard import catalog, schemas
 from railyard.operators import joins
-from railyard.session import cut_lineage
+from railyard.session import cut_lineage, materialise
 
 FEED = "feed_id"
 MODES = ("replace", "merge", "merge_partial", "abort_if_not_empty")
@@ -79,28 +82,23 @@ def table_counts(tables: Mapping[str, DataFrame], feeds: DataFrame | None = None
         FEED, "table_name", F.coalesce("records", F.lit(0)).cast("long").alias("records"))
 
 
-# --- versioned store (SL-06 / SL-08) --------------------------------------------------------
+# --- the store (SL-06) ------------------------------------------------------------------------
 class GtfsStore:
-    """A versioned, ``feed_id``-partitioned Parquet GTFS store."""
+    """GTFS tables partitioned by ``feed_id``."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    # pointer --------------------------------------------------------------------------
-    def _pointer(self) -> dict[str, str]:
-        try:
-            rows = self.spark.read.json(f"{self.root}/_current").collect()  # one row per table
-        except Exception:  # noqa: BLE001 - no pointer yet: empty store
-            return {}
-        return {r["table_name"]: r["version"] for r in rows}
-
     def read(self, table: str) -> DataFrame:
-        v = self._pointer().get(table)
+        """The rows of a table (none before its first load)."""
+        from railyard.sources.tabular import path_exists
+
         schema = schemas.GTFS[table].struct().add(FEED, "string")
-        if v is None:
+        if not path_exists(self.spark, f"{self.root}/{table}/feed_id=*"):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/version={v}")
+        typed = schemas.GTFS[table].struct().add("batch", "string").add(FEED, "string")
+        return self.spark.read.schema(typed).parquet(f"{self.root}/{table}").select(*schema.names)
 
     def tables(self) -> dict[str, DataFrame]:
         return {t: self.read(t) for t in catalog.TABLES}
@@ -108,90 +106,130 @@ class GtfsStore:
     def counts(self) -> DataFrame:
         return table_counts(self.tables())
 
-    def commit(self, new_tables: Mapping[str, DataFrame]) -> str:
-        """Write every changed table as a new version, then switch the pointer."""
-        version = uuid.uuid4().hex[:12]
-        pointer = self._pointer()
-        for name, df in new_tables.items():
-            cols = [*schemas.GTFS[name].names, FEED]
-            out = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in cols])
-            out.write.mode("errorifexists").partitionBy(FEED).parquet(f"{self.root}/{name}/version={version}")
-            pointer[name] = version
-        rows = [(t, v) for t, v in pointer.items()]
-        self.spark.createDataFrame(rows, "table_name string, version string").coalesce(1).write.mode(
-            "overwrite").json(f"{self.root}/_current")
-        return version
+    def write(self, table: str, rows: DataFrame, batch_id: str = "all") -> None:
+        """Replace the partitions of the feeds (and batch) that ``rows`` holds.
+
+        A large feed is written by many tasks, many small ones by few."""
+        cols = [*schemas.GTFS[table].names, FEED]
+        out = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in cols],
+                          F.lit(batch_id).alias("batch"))
+        (out.hint("rebalance", FEED).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(FEED, "batch").parquet(f"{self.root}/{table}"))
+
+    def clear(self, table: str, feeds: DataFrame) -> None:
+        """Drop the partitions of the given feeds (their folders, one file-system call each)."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for r in feeds.select(F.lit(table).alias("t"), FEED).distinct().toLocalIterator():
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/feed_id={_escaped(self.spark, r[FEED])}")
+            path.getFileSystem(conf).delete(path, True)
+
+    def delete(self, table: str, keys: DataFrame) -> DataFrame:
+        """JN-11: delete the rows of ``keys`` (feed_id and the primary key) and
+        return the deleted count per feed. Only those feeds are rewritten."""
+        if not catalog.PRIMARY_KEYS[table]:
+            raise ValueError(f"{table} has no primary key")
+        feeds = keys.select(FEED).distinct()
+        current = self.read(table).join(feeds, FEED, "left_semi")
+        remaining, deleted = joins.delete_keys(current, keys, list(catalog.PRIMARY_KEYS[table]))
+        counts = materialise(deleted.groupBy(FEED).agg(F.count(F.lit(1)).alias("deleted")))
+        remaining = materialise(remaining)
+        emptied = materialise(counts.join(remaining.select(FEED).distinct(), FEED, "left_anti"))
+        self.write(table, remaining)
+        self.clear(table, emptied)
+        return counts
 
     # import -------------------------------------------------------------------------
     def import_archives(self, path: str, mode: str = "merge") -> tuple[DataFrame, dict[str, DataFrame]]:
-        """SRC-03 → SL-07 → load: parse every archive once (checkpointed),
-        gate each feed for ``mode``, then load the accepted feeds' tables.
+        """SRC-03 → SL-07 → load: parse every archive once, gate each feed for
+        ``mode``, then load the accepted feeds' tables.
         Returns (gate rows, rejected rows per table)."""
         from railyard.sources import archive
 
         return self.import_rows(archive.scan_archives(self.spark, path), mode)
 
-    def import_rows(self, parsed: DataFrame, mode: str = "merge") -> tuple[DataFrame, dict[str, DataFrame]]:
-        """Gate and load archive rows produced by ``archive.parse_files``."""
+    def import_rows(self, parsed: DataFrame, mode: str = "merge", batch_id: str = "import") -> tuple[DataFrame, dict[str, DataFrame]]:
+        """Gate and load archive rows produced by ``archive.parse_files``. The
+        rows are written once, by table, so that each table reads only its own."""
         from railyard.sources import archive
 
-        rows = cut_lineage(parsed)
+        rows = materialise(parsed, by="table_name")
         members = rows.where(F.col("table_name").isNotNull() & F.col("reject").isNull()).select(
             FEED, "table_name").distinct()
         populated = self.counts().groupBy(FEED).agg((F.sum("records") > 0).alias("store_populated"))
         feeds = rows.select(FEED).distinct().join(populated, FEED, "left").select(
             FEED, F.lit(mode).alias("mode"), F.coalesce("store_populated", F.lit(False)).alias("store_populated"))
-        gate = import_gate(feeds, members)
         bad_archives = rows.where(F.col("reject").isNotNull() & F.col("member").isNull()).select(FEED).distinct()
+        gate = materialise(import_gate(feeds, members))
         ok_feeds = gate.where(F.col("reject_reason").isNull()).select(FEED).join(bad_archives, FEED, "left_anti")
         present = [r.table_name for r in members.select("table_name").distinct().collect()]  # <= 15 names
         tables = {t: archive.table_rows(rows, t).join(ok_feeds, FEED, "left_semi") for t in present}
-        rejected = self.load(tables, mode) if tables else {}
+        rejected = self.load(tables, mode, batch_id) if tables else {}
         return gate, rejected
 
-    def load(self, new_tables: Mapping[str, DataFrame], mode: str = "merge") -> dict[str, DataFrame]:
+    def load(self, new_tables: Mapping[str, DataFrame], mode: str = "merge", batch_id: str = "import") -> dict[str, DataFrame]:
         """Apply a parsed feed (tables carry ``feed_id`` and ``row_num``).
 
         REPLACE clears the feeds being loaded first (SL-06); all modes then
         run the FK-enforced load parents-first (JN-09) and upsert by primary
-        key (JN-10). Returns the rejected rows per table."""
+        key (JN-10). Returns the rejected rows per table; ``outcome`` counts."""
         if mode not in MODES:
             raise ValueError(mode)
-        current = self.tables()
-        if mode == "replace":
-            feeds = None
-            for df in new_tables.values():
-                f = df.select(FEED)
-                feeds = f if feeds is None else feeds.unionByName(f)
-            feeds = feeds.distinct()
-            current = {t: df.join(feeds, FEED, "left_anti") for t, df in current.items()}
+        feeds = None
+        for df in new_tables.values():
+            feeds = df.select(FEED) if feeds is None else feeds.unionByName(df.select(FEED))
+        feeds = materialise(feeds.distinct())
+        current = {t: df.join(feeds, FEED, "left_semi") for t, df in self.tables().items()}
+        before = {t: df.limit(0) for t, df in current.items()} if mode == "replace" else current
         # PRJ-08: type / range / pattern checks per row; failures never reach the store
         typed, invalid = {}, {}
         for name, df in new_tables.items():
-            good, bad = schemas.GTFS[name].validate(df, row_col="row_num", keep=[FEED])
-            typed[name], invalid[name] = good, bad
-        accepted, rejected = joins.fk_enforced_load(typed, catalog.FK_EDGES, catalog.INSERT_ORDER, current,
+            typed[name], invalid[name] = schemas.GTFS[name].validate(df, row_col="row_num", keep=[FEED])
+        accepted, rejected = joins.fk_enforced_load(typed, catalog.FK_EDGES, catalog.INSERT_ORDER, before,
                                                     materialize=cut_lineage)
         for name, bad in invalid.items():
             errs = bad.select(FEED, "row_num", F.col("message").alias("error"))
             rej = rejected.get(name)
             rejected[name] = errs if rej is None else rej.select(FEED, "row_num", "error").unionByName(errs)
+        rejected = {t: materialise(df.select(FEED, "row_num", "error")) for t, df in rejected.items()}
         merged = {}
         for name, df in accepted.items():
-            pk = list(catalog.PRIMARY_KEYS[name])
             cols = [*schemas.GTFS[name].names, FEED]
-            typed = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in cols],
-                              *(["row_num"] if "row_num" in df.columns else []))
-            if "row_num" not in typed.columns:
-                typed = typed.withColumn("row_num", F.monotonically_increasing_id())
-            merged[name] = joins.upsert(current[name].select(*cols), typed, pk, ["row_num"])
+            rows = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in cols],
+                             *(["row_num"] if "row_num" in df.columns else []))
+            if "row_num" not in rows.columns:
+                rows = rows.withColumn("row_num", F.monotonically_increasing_id())
+            pk = list(catalog.PRIMARY_KEYS[name])
+            # every table is whole before the first one is written
+            merged[name] = materialise(joins.upsert(before[name].select(*cols), rows, pk, ["row_num"]) if pk else rows.select(*cols))
+        self.outcome = materialise(_outcome(merged, rejected, current if mode == "replace" else {}, feeds))
         if mode == "replace":
-            for t in catalog.TABLES:
-                merged.setdefault(t, current[t])
-        self.commit(merged)
+            for t in catalog.CLEAR_ORDER:
+                self.clear(t, feeds)
+        for name in catalog.INSERT_ORDER:
+            if name in merged:
+                self.write(name, merged[name], "all" if catalog.PRIMARY_KEYS[name] else batch_id)
         return rejected
 
 
+def _outcome(merged: Mapping[str, DataFrame], rejected: Mapping[str, DataFrame], cleared: Mapping[str, DataFrame],
+             feeds: DataFrame) -> DataFrame:
+    """AG-21: per feed and table — rows stored, failed and cleared, and whether the
+    archive skipped the table (every catalogue table has a row)."""
+    parts = []
+    for kind, tables in (("stored", merged), ("failed", rejected), ("cleared", cleared)):
+        parts += [df.select(FEED, F.lit(t).alias("table_name"), F.lit(kind).alias("kind")) for t, df in tables.items()]
+    counts = joins._union_all(parts).groupBy(FEED, "table_name").agg(
+        *[F.count_if(F.col("kind") == k).alias(k) for k in ("stored", "failed", "cleared")])
+    grid = feeds.select(FEED, F.explode(F.array(*[F.lit(t) for t in catalog.TABLES])).alias("table_name"))
+    out = grid.join(counts, [FEED, "table_name"], "left").na.fill(0, ["stored", "failed", "cleared"])
+    return out.withColumn("skipped", ~F.col("table_name").isin(*merged))
+
+
+def _escaped(spark: SparkSession, value: str) -> str:
+    """A partition value as Spark writes it in a folder name."""
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+
+
 # --- feed loading and reports (SRC-12, AG-21, AG-22, SL-06) ----------------------------------
 FEED_GATE_TABLES = ("agency", "stops", "routes", "trips")
 

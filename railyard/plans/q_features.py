@@ -85,12 +85,14 @@ def mode_a_samples(spark, sf):
 
 
 def stop_features(spark, sf):
-    """Network nodes: parts of size above 10 as stops with spatial attributes."""
-    p = A.table(spark, sf, "part").where(F.col("p_size") > 10)
+    """Network nodes: every part as a stop with spatial attributes; the stops of
+    small parts have keys that no passenger row names (a seeded fault)."""
+    p = A.table(spark, sf, "part")
     k, size = F.col("p_partkey"), F.col("p_size")
+    node = F.when(size > 10, k).otherwise(-k)
     zones = F.array(F.lit("urban"), F.lit("suburban"), F.lit("rural"))
     return p.select(
-        F.lit(A.FEED_ID).alias("feed_id"), k.alias("row_num"), k.cast("string").alias("stop_id"),
+        F.lit(A.FEED_ID).alias("feed_id"), k.alias("row_num"), node.cast("string").alias("stop_id"),
         F.col("p_name").alias("stop_name"), ((k * 7919 % 180) - 90).cast("double").alias("latitude"),
         ((k * 104729 % 360) - 180).cast("double").alias("longitude"), F.col("p_brand").alias("zone_id"),
         F.element_at(zones, (size % 3 + 1).cast("int")).alias("zone_type"),
@@ -99,13 +101,13 @@ def stop_features(spark, sf):
 
 
 _STOP_FEATURES_SQL = """
-    SELECT 'F1' AS feed_id, CAST(p_partkey AS VARCHAR) AS node_id,
+    SELECT 'F1' AS feed_id, CAST(CASE WHEN p_size > 10 THEN p_partkey ELSE -p_partkey END AS VARCHAR) AS node_id,
            CAST((p_partkey * 7919 % 180) - 90 AS DOUBLE) AS latitude,
            CAST((p_partkey * 104729 % 360) - 180 AS DOUBLE) AS longitude,
            ['urban', 'suburban', 'rural'][p_size % 3 + 1] AS zone_type, p_retailprice AS population_density,
            CAST(p_size % 5 + 1 AS BIGINT) AS num_lines_served, p_size % 2 = 0 AS is_terminal,
            p_size % 3 = 0 AS is_interchange
-    FROM part WHERE p_size > 10"""
+    FROM part"""
 
 
 @register(
@@ -151,7 +153,7 @@ def stop_connections(spark, sf):
 @register(
     "topology_summary",
     sql="""
-    SELECT 'F1' AS feed_id, (SELECT count(*) FROM part WHERE p_size > 10) AS num_nodes,
+    SELECT 'F1' AS feed_id, (SELECT count(*) FROM part) AS num_nodes,
            (SELECT count(*) FROM orders WHERE o_orderkey % 10 >= 1) AS num_edges,
            CAST(0 AS BIGINT) AS invalid_nodes,
            (SELECT count(*) FROM orders WHERE o_orderkey % 10 < 1) AS invalid_edges,

@@ -11,9 +11,11 @@ from railyard.plans.registry import register
 
 
 def _orphan_feed(spark, sf):
-    """Feed whose trips are only the orders not yet fulfilled: lines of
-    fulfilled orders become orphan stop_times."""
-    trips = A.a_trips(spark, sf).where(F.col("trip_status") != "F")
+    """A feed with a seeded fault: the trips of fulfilled orders carry another
+    key, so the lines of those orders are orphan stop_times. Every row of every
+    table stays in."""
+    trips = A.a_trips(spark, sf).withColumn(
+        "trip_id", F.when(F.col("trip_status") == "F", -F.col("trip_id")).otherwise(F.col("trip_id")))
     return {
         "agency": A.a_agency(spark, sf),
         "routes": A.a_routes(spark, sf),
@@ -33,14 +35,14 @@ def _orphan_feed(spark, sf):
     UNION ALL
     SELECT feed_id, 'trips', CAST(route_id AS VARCHAR), 'orphaned_fk',
            'trips.route_id=''' || CAST(route_id AS VARCHAR) || ''' has no matching routes.route_id'
-    FROM (SELECT DISTINCT feed_id, route_id FROM a_trips t WHERE trip_status <> 'F' AND route_id IS NOT NULL
+    FROM (SELECT DISTINCT feed_id, route_id FROM a_trips t WHERE route_id IS NOT NULL
           AND NOT EXISTS (SELECT 1 FROM a_routes r WHERE r.feed_id = t.feed_id AND r.route_id = t.route_id))
     UNION ALL
     SELECT feed_id, 'stop_times', CAST(trip_id AS VARCHAR), 'orphaned_fk',
            'stop_times.trip_id=''' || CAST(trip_id AS VARCHAR) || ''' has no matching trips.trip_id'
     FROM (SELECT DISTINCT feed_id, trip_id FROM a_stop_times s WHERE trip_id IS NOT NULL
-          AND NOT EXISTS (SELECT 1 FROM a_trips t WHERE t.trip_status <> 'F'
-                          AND t.feed_id = s.feed_id AND t.trip_id = s.trip_id))
+          AND NOT EXISTS (SELECT 1 FROM a_trips t WHERE t.feed_id = s.feed_id
+                          AND CASE WHEN t.trip_status = 'F' THEN -t.trip_id ELSE t.trip_id END = s.trip_id))
     UNION ALL
     SELECT feed_id, 'stop_times', CAST(stop_id AS VARCHAR), 'orphaned_fk',
            'stop_times.stop_id=''' || CAST(stop_id AS VARCHAR) || ''' has no matching stops.stop_id'

@@ -199,9 +199,11 @@ def map_trip_capacity(spark, sf):
 
 
 def _ba_trips(spark, sf):
-    """Trip lookup: one trip per (event type, user parity) among events under 200."""
-    e = A.table(spark, sf, "events").where(F.col("value") < 200)
-    ops = e.select(F.lit(A.FEED_ID).alias("feed_id"), F.col("event_type").alias("line_id"),
+    """Trip lookup: one trip per (event type, user parity); events of 200 and more
+    belong to an express line that no passenger row names."""
+    e = A.table(spark, sf, "events")
+    line = F.when(F.col("value") >= 200, F.concat(F.col("event_type"), F.lit("-express"))).otherwise(F.col("event_type"))
+    ops = e.select(F.lit(A.FEED_ID).alias("feed_id"), line.alias("line_id"),
                    (F.col("user_id") % 2).cast("int").alias("direction_id"), "event_id")
     return M.map_trips(ops, ["event_id"])
 
@@ -210,9 +212,9 @@ def _ba_trips(spark, sf):
     "map_board_alight",
     sql="""
     WITH g AS (SELECT feed_id, line_id, direction_id, row_number() OVER (PARTITION BY feed_id ORDER BY first_id) AS idx
-               FROM (SELECT 'F1' AS feed_id, event_type AS line_id, CAST(user_id % 2 AS INTEGER) AS direction_id,
-                            min(event_id) AS first_id
-                     FROM events WHERE value < 200 GROUP BY 1, 2, 3)),
+               FROM (SELECT 'F1' AS feed_id, CASE WHEN value >= 200 THEN event_type || '-express' ELSE event_type END AS line_id,
+                            CAST(user_id % 2 AS INTEGER) AS direction_id, min(event_id) AS first_id
+                     FROM events GROUP BY 1, 2, 3)),
          t AS (SELECT feed_id, line_id, direction_id, idx, printf('%s_%d_%04d', line_id, direction_id, idx) AS trip_id FROM g),
          f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY feed_id, line_id ORDER BY idx) = 1),
          p AS (SELECT 'F1' AS feed_id, event_type AS line_id, CAST(event_id % 3 AS INTEGER) AS direction_id,

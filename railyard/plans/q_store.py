@@ -112,34 +112,79 @@ def upsert_null_keys(spark, sf):
 
 # --- FK-enforced load (JN-09 + AG-21) ----------------------------------------------------
 
+_LOAD_VIEWS = {
+    "load_routes": """
+        SELECT r.* REPLACE (CASE WHEN c_acctbal >= 0 THEN route_id ELSE -route_id END AS route_id)
+        FROM a_routes r JOIN customer ON c_custkey = r.route_id""",
+    "load_trips": """
+        SELECT t.*, route_id IS NULL OR EXISTS (SELECT 1 FROM load_routes r WHERE r.route_id = t.route_id) AS ok
+        FROM a_trips t""",
+    "load_stop_times": """
+        SELECT s.*, EXISTS (SELECT 1 FROM load_trips t WHERE t.ok AND t.trip_id = s.trip_id) AS ok_trip,
+               s.stop_id IS NULL OR EXISTS (SELECT 1 FROM a_stops p WHERE p.stop_id = s.stop_id) AS ok_stop
+        FROM a_stop_times s""",
+}
+
+
+def _enforced(spark, sf):
+    """Routes of customers in debt carry another key, so their trips are refused, and
+    the stop_times of refused trips are refused in turn (parents first)."""
+    c = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("route_id"), "c_acctbal")
+    routes = A.a_routes(spark, sf).join(c, "route_id").withColumn(
+        "route_id", F.when(F.col("c_acctbal") >= 0, F.col("route_id")).otherwise(-F.col("route_id"))).drop("c_acctbal")
+    new = {
+        "agency": A.a_agency(spark, sf),
+        "routes": routes,
+        "stops": A.a_stops(spark, sf),
+        "trips": A.a_trips(spark, sf),
+        "stop_times": A.a_stop_times(spark, sf),
+    }
+    return joins.fk_enforced_load(new, catalog.FK_EDGES, catalog.INSERT_ORDER)
+
+
 @register(
     "fk_enforced_load",
     sql="""
-    WITH r AS (SELECT * FROM a_routes JOIN customer ON c_custkey = route_id WHERE c_acctbal >= 0),
-         t AS (SELECT * FROM a_trips x WHERE route_id IS NULL OR EXISTS (SELECT 1 FROM r WHERE r.route_id = x.route_id)),
-         s AS (SELECT * FROM a_stop_times x WHERE EXISTS (SELECT 1 FROM t WHERE t.trip_id = x.trip_id)
-                                              AND EXISTS (SELECT 1 FROM a_stops p WHERE p.stop_id = x.stop_id))
-    SELECT 'F1' AS feed_id, 'routes' AS table_name, (SELECT count(*) FROM r) AS inserted, CAST(0 AS BIGINT) AS failed
-    UNION ALL SELECT 'F1', 'trips', (SELECT count(*) FROM t), (SELECT count(*) FROM a_trips) - (SELECT count(*) FROM t)
-    UNION ALL SELECT 'F1', 'stop_times', (SELECT count(*) FROM s),
-                     (SELECT count(*) FROM a_stop_times) - (SELECT count(*) FROM s)
+    SELECT 'F1' AS feed_id, 'routes' AS table_name, (SELECT count(*) FROM load_routes) AS inserted, CAST(0 AS BIGINT) AS failed
+    UNION ALL SELECT 'F1', 'trips', (SELECT count(*) FROM load_trips WHERE ok), (SELECT count(*) FROM load_trips WHERE NOT ok)
+    UNION ALL SELECT 'F1', 'stop_times', (SELECT count(*) FROM load_stop_times WHERE ok_trip AND ok_stop),
+                     (SELECT count(*) FROM load_stop_times WHERE NOT (ok_trip AND ok_stop))
     UNION ALL SELECT 'F1', 'stops', (SELECT count(*) FROM a_stops), 0
     UNION ALL SELECT 'F1', 'agency', (SELECT count(*) FROM a_agency), 0
     """,
+    extra_views=_LOAD_VIEWS,
 )
 def fk_enforced_load(spark, sf):
-    """Routes of customers in debt are missing, so their trips are refused, and
-    the stop_times of refused trips are refused in turn (parents first)."""
-    c = A.table(spark, sf, "customer").where(F.col("c_acctbal") >= 0).select(F.col("c_custkey").alias("route_id"))
-    new = {
-        "agency": A.a_agency(spark, sf),
-        "routes": A.a_routes(spark, sf).join(c, "route_id", "left_semi"),
-        "stops": A.a_stops(spark, sf),
-        "trips": A.a_trips(spark, sf),
-        "stop_times": A.a_stop_times(spark, sf),
-    }
-    accepted, rejected = joins.fk_enforced_load(new, catalog.FK_EDGES, catalog.INSERT_ORDER)
-    return joins.load_counts(accepted, rejected)
+    """Inserted and failed rows per table."""
+    return joins.load_counts(*_enforced(spark, sf))
+
+
+@register(
+    "fk_enforced_rows",
+    sql="""
+    SELECT feed_id, 'trips' AS table_name, trip_id, CAST(NULL AS INTEGER) AS stop_sequence,
+           CASE WHEN NOT ok THEN 'FOREIGN KEY constraint failed: route_id' END AS error
+    FROM load_trips
+    UNION ALL
+    SELECT feed_id, 'stop_times', trip_id, stop_sequence,
+           CASE WHEN NOT ok_trip THEN 'FOREIGN KEY constraint failed: trip_id'
+                WHEN NOT ok_stop THEN 'FOREIGN KEY constraint failed: stop_id' END
+    FROM load_stop_times
+    """,
+    extra_views=_LOAD_VIEWS,
+)
+def fk_enforced_rows(spark, sf):
+    """Every trip and stop_time with its outcome: NULL for accepted rows, else the reason."""
+    accepted, rejected = _enforced(spark, sf)
+    frames = []
+    for name, seq in (("trips", F.lit(None).cast("int")), ("stop_times", F.col("stop_sequence"))):
+        for df, error in ((accepted[name], F.lit(None).cast("string")), (rejected[name], F.col("error"))):
+            frames.append(df.select("feed_id", F.lit(name).alias("table_name"), "trip_id", seq.alias("stop_sequence"),
+                                    error.alias("error")))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 # --- delete by composite key text (JN-11, SC-22) -----------------------------------------

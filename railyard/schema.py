@@ -169,10 +169,9 @@ def _parse(clean: Column, kind: str) -> tuple[Column, Column]:
     if kind == "str":
         val = txt
     elif kind == "int":
-        d = txt.try_cast("double")
-        val = F.when(d == F.floor(d), d.cast("long"))
+        val = S.parse_integer(txt)
     elif kind == "float":
-        val = txt.try_cast("double")
+        val = S.parse_number(txt)
     elif kind == "bool":
         val = F.lower(S.strip(txt)).try_cast("boolean")
     elif kind == "date":

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,8 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the operator of the cluster sets it to a shared, durable
-    location. Only when it is unset (tests, local runs) do we pick a fresh
-    scratch folder of our own.
+    location; without it a cluster run is refused. Only a local session (tests)
+    gets a fresh scratch folder of its own.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -52,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if current:
         return current
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     scratch = tempfile.mkdtemp(prefix="railyard-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", scratch)
     sc.setCheckpointDir(scratch)
@@ -62,3 +65,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write a result once as Parquet to the shared folder and read it back,
+    partitioned by the column ``by`` if given, so that a filter on it prunes."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/railyard-{uuid.uuid4().hex}"
+    writer = df.write
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,11 +1,15 @@
 """GTFS feed archives (ZIP) as distributed row sources (SRC-03..06, SRC-13, SRC-14).
 
-``binaryFile`` lists the archives; the size guard filters on ``length``
-before any content is read. ``mapInArrow`` opens one archive per input row
-(the only per-row Python in the engine: a ZIP container has no Spark
-reader) and streams its members in bounded batches of rows
-``(feed_id, member, table_name, row_num, keys, vals)``. Everything after
-that — table mapping, counts, previews, typing, validation — is DataFrame work.
+``binaryFile`` lists and reads the archives; ``mapInArrow`` opens them where
+they were read (a ZIP container has no Spark reader), streams each member's
+text through a CSV reader and yields bounded batches of rows ``(feed_id,
+member, table_name, row_num, keys, vals, reject)``. A member's header travels
+once, in its ``row_num = -1`` row; the cells of a data row stand in the order
+of the table's own columns. Everything after that — counts, previews, typing,
+validation — is DataFrame work.
+
+No archive is refused by its size or its number of members unless ``Limits``
+are given.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import io
 import posixpath
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,13 +29,18 @@ from pyspark.sql import types as T
 from railyard import catalog, schemas
 
 FEED = "feed_id"
-
-# fixed values: archive guards
-MAX_ARCHIVE_BYTES = 500 * 1024 * 1024
-MAX_MEMBER_BYTES = 1024 * 1024 * 1024
-MAX_MEMBERS = 50
 BATCH_ROWS = 5000
 
+
+@dataclass(frozen=True)
+class Limits:
+    """SRC-05: optional guards; archives and members beyond them become reject rows."""
+
+    archive_bytes: int | None = None
+    member_bytes: int | None = None
+    members: int | None = None
+
+
 ROW_SCHEMA = T.StructType([
     T.StructField(FEED, T.StringType()),
     T.StructField("member", T.StringType()),
@@ -40,144 +50,135 @@ ROW_SCHEMA = T.StructType([
     T.StructField("vals", T.ArrayType(T.StringType())),
     T.StructField("reject", T.StringType()),
 ])
+_ARROW = pa.schema([
+    pa.field(FEED, pa.string()), pa.field("member", pa.string()), pa.field("table_name", pa.string()),
+    pa.field("row_num", pa.int64()), pa.field("keys", pa.list_(pa.string())), pa.field("vals", pa.list_(pa.string())),
+    pa.field("reject", pa.string()),
+])
 
 
-def _member_table(name: str) -> str | None:
-    base = posixpath.basename(name).lower()
-    if not base.endswith(".txt"):
-        return None
-    stem = base[:-4]
-    return stem if stem in catalog.PRIMARY_KEYS else None
-
-
-def _rows_from_archive(feed_id: str, data: bytes, raw: bool) -> Iterator[dict]:
-    """Yield row dicts for one archive (bounded batches are built by the caller)."""
+def _note(feed_id: str, member: str | None = None, table: str | None = None, row_num: int | None = None,
+          keys: list[str] | None = None, reject: str | None = None) -> pa.RecordBatch:
+    """One row that carries no cells: a reject, an unknown member or a header."""
+    cells = ([feed_id], [member], [table], [row_num], [keys], [None], [reject])
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, _ARROW)], schema=_ARROW)
+
+
+def _member_rows(feed_id: str, member: str, table: str, fh, raw: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of one member, read as a stream."""
+    text = io.TextIOWrapper(fh, encoding="utf-8" if raw else "utf-8-sig", errors="strict" if raw else "replace", newline="")
+    reader = csv.reader(text)
+    names = [h if raw else h.strip() for h in next(reader, [])]
+    yield _note(feed_id, member, table, -1, list(dict.fromkeys(names)))
+    place = {n: j for j, n in enumerate(names)}  # of a repeated name the last column counts
+    wanted = [place.get(c) for c in (schemas.GTFS[table].names if table in schemas.GTFS else names)]
+
+    def cell(cells: list[str], j: int | None) -> str | None:
+        if j is None or j >= len(cells):
+            return None
+        return cells[j] if raw else cells[j].strip() or None
+
+    numbers: list[int] = []
+    values: list[list[str | None]] = []
+
+    def batch() -> pa.RecordBatch:
+        n = len(numbers)
+        columns = (pa.repeat(feed_id, n), pa.repeat(member, n), pa.repeat(table, n), pa.array(numbers, pa.int64()),
+                   pa.nulls(n, _ARROW.field("keys").type), pa.array(values, _ARROW.field("vals").type), pa.nulls(n, pa.string()))
+        return pa.RecordBatch.from_arrays(list(columns), schema=_ARROW)
+
+    for i, cells in enumerate(reader):
+        if cells:
+            numbers.append(i)
+            values.append([cell(cells, j) for j in wanted])
+            if len(numbers) >= BATCH_ROWS:
+                yield batch()
+                numbers, values = [], []
+    if numbers:
+        yield batch()
+
+
+def _archive_rows(feed_id: str, data, raw: bool, limits: Limits) -> Iterator[pa.RecordBatch]:
+    """Every row of one archive."""
     try:
         zf = zipfile.ZipFile(io.BytesIO(data))
     except zipfile.BadZipFile:
-        yield {FEED: feed_id, "reject": "Not a valid ZIP archive"}
+        yield _note(feed_id, reject="Not a valid ZIP archive")
         return
     infos = [i for i in zf.infolist() if not i.is_dir()]
-    if len(infos) > MAX_MEMBERS:
-        yield {FEED: feed_id, "reject": f"Archive has {len(infos)} members (max {MAX_MEMBERS})"}
+    if limits.members is not None and len(infos) > limits.members:
+        yield _note(feed_id, reject=f"Archive has {len(infos)} members (max {limits.members})")
         return
-    big = [i.filename for i in infos if i.file_size > MAX_MEMBER_BYTES]
+    big = [i.filename for i in infos if limits.member_bytes is not None and i.file_size > limits.member_bytes]
     if big:
-        yield {FEED: feed_id, "reject": f"Member {big[0]} exceeds {MAX_MEMBER_BYTES} bytes uncompressed"}
+        yield _note(feed_id, reject=f"Member {big[0]} exceeds {limits.member_bytes} bytes uncompressed")
         return
     seen: set[str] = set()
     for info in infos:
-        is_txt = info.filename.lower().endswith(".txt")
-        if raw:  # the validator looks at every .txt member
-            table = posixpath.basename(info.filename).lower()[:-4] if is_txt else None
-        else:
-            table = _member_table(info.filename)
-        if is_txt and table is None:
-            yield {FEED: feed_id, "member": info.filename, "table_name": None, "row_num": None}
+        name = posixpath.basename(info.filename).lower()
+        if not name.endswith(".txt"):
             continue
-        if table is None or table in seen:  # first duplicate wins
-            continue
-        seen.add(table)
-        with zf.open(info) as fh:
-            payload = fh.read()
-        if raw:
+        table = name[:-4]
+        if not raw and table not in catalog.PRIMARY_KEYS:
+            yield _note(feed_id, info.filename)
+        elif table not in seen:  # of two members for one table the first counts
+            seen.add(table)
             try:
-                text = payload.decode("utf-8")
+                with zf.open(info) as fh:
+                    yield from _member_rows(feed_id, info.filename, table, fh, raw)
             except UnicodeDecodeError:
-                yield {FEED: feed_id, "member": info.filename, "table_name": table, "row_num": None,
-                       "reject": "File is not valid UTF-8"}
-                continue
-        else:
-            text = payload.decode("utf-8-sig", errors="replace")
-        reader = csv.reader(io.StringIO(text, newline=""))
-        header = next(reader, None)
-        if header is None:
-            yield {FEED: feed_id, "member": info.filename, "table_name": table, "row_num": -1, "keys": [], "vals": None}
-            continue
-        names = [h if raw else h.strip() for h in header]
-        last = {k: j for j, k in enumerate(names)}  # a repeated header name: the last column wins
-        keys, pos = list(last), list(last.values())
-        yield {FEED: feed_id, "member": info.filename, "table_name": table, "row_num": -1, "keys": keys, "vals": None}
-        for i, cells in enumerate(reader):
-            if not cells:
-                continue
-            if raw:
-                vals = [cells[j] if j < len(cells) else None for j in pos]
-            else:
-                vals = [(cells[j].strip() or None) if j < len(cells) else None for j in pos]
-            yield {FEED: feed_id, "member": info.filename, "table_name": table, "row_num": i, "keys": keys,
-                   "vals": vals}
+                yield _note(feed_id, info.filename, table, reject="File is not valid UTF-8")
 
 
-_ARROW = pa.schema([
-    pa.field(FEED, pa.string()), pa.field("member", pa.string()), pa.field("table_name", pa.string()),
-    pa.field("row_num", pa.int64()), pa.field("keys", pa.list_(pa.string())), pa.field("vals", pa.list_(pa.string())),
-    pa.field("reject", pa.string()),
-])
-
-
-def _parse_batches(raw: bool):
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for feed_id, content in zip(batch.column(FEED).to_pylist(), batch.column("content").to_pylist()):
-                buf: list[dict] = []
-                for row in _rows_from_archive(feed_id, content, raw):
-                    buf.append(row)
-                    if len(buf) >= BATCH_ROWS:
-                        yield pa.RecordBatch.from_pylist(buf, schema=_ARROW)
-                        buf = []
-                if buf:
-                    yield pa.RecordBatch.from_pylist(buf, schema=_ARROW)
-
-    return parse
-
-
-def scan_archives(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
+def scan_archives(spark: SparkSession, path: str, raw: bool = False, limits: Limits = Limits()) -> DataFrame:
     """All archives under ``path`` (``*.zip``); feed_id = archive file stem."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true")
              .load(path))
-    return parse_files(files, raw)
+    return parse_files(files, raw, limits)
 
 
-def parse_files(files: DataFrame, raw: bool = False) -> DataFrame:
+def parse_files(files: DataFrame, raw: bool = False, limits: Limits = Limits()) -> DataFrame:
     """Row stream of ``binaryFile`` rows (a batch or a micro-batch).
 
     Header rows have ``row_num = -1``; rejected archives/members carry
-    ``reject``; unknown ``.txt`` members have a NULL table. Oversized archives
-    are rejected before their bytes are read."""
-    spark = files.sparkSession
+    ``reject``; unknown ``.txt`` members have a NULL table. The archives are
+    parsed in the tasks that read them: their bytes are never shuffled."""
     feed = F.regexp_extract(F.col("path"), r"([^/]+)\.zip$", 1)
-    too_big = files.where(F.col("length") > MAX_ARCHIVE_BYTES).select(
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for feed_id, content in zip(batch.column(FEED), batch.column("content")):
+                yield from _archive_rows(feed_id.as_py(), memoryview(content.as_buffer()), raw, limits)
+
+    if limits.archive_bytes is None:
+        return files.select(feed.alias(FEED), "content").mapInArrow(parse, ROW_SCHEMA)
+    fits = F.col("length") <= limits.archive_bytes
+    too_big = files.where(~fits).select(
         feed.alias(FEED), *[F.lit(None).cast(f.dataType).alias(f.name) for f in ROW_SCHEMA.fields[1:-1]],
-        F.format_string("Archive is %d bytes (max %d)", F.col("length"), F.lit(MAX_ARCHIVE_BYTES)).alias("reject"))
-    ok = files.where(F.col("length") <= MAX_ARCHIVE_BYTES).select(feed.alias(FEED), "content")
-    # one archive per task: spread archives before the (memory-bound) parse
-    ok = ok.repartition(max(1, spark.sparkContext.defaultParallelism), F.col(FEED))
-    rows = ok.mapInArrow(_parse_batches(raw), ROW_SCHEMA)
-    return rows.unionByName(too_big)
+        F.format_string("Archive is %d bytes (max %d)", F.col("length"), F.lit(limits.archive_bytes)).alias("reject"))
+    return files.where(fits).select(feed.alias(FEED), "content").mapInArrow(parse, ROW_SCHEMA).unionByName(too_big)
 
 
 def rejects(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("reject").isNotNull()).select(FEED, "member", "reject")
 
 
-def _cell(name: str):
-    """The value under header ``name`` (NULL when the member has no such column)."""
-    pos = F.array_position(F.col("keys"), F.lit(name))
-    return F.when(pos > 0, F.try_element_at(F.col("vals"), pos.cast("int")))
+def _cells(rows: DataFrame, table: str, columns: list[str]) -> DataFrame:
+    """The data rows of one table; a column that the member lacks is NULL."""
+    names = schemas.GTFS[table].names
+    data = rows.where((F.col("table_name") == table) & (F.col("row_num") >= 0) & F.col("reject").isNull())
+    return data.select(FEED, "row_num", *[
+        (F.get("vals", F.lit(names.index(c))) if c in names else F.lit(None).cast("string")).alias(c) for c in columns])
 
 
 def table_rows(rows: DataFrame, table: str) -> DataFrame:
     """SRC-04 + PRJ-09: one GTFS table as text columns in canonical order."""
-    names = schemas.GTFS[table].names
-    data = rows.where((F.col("table_name") == table) & (F.col("row_num") >= 0) & F.col("reject").isNull())
-    return data.select(FEED, "row_num", *[_cell(c).alias(c) for c in names])
+    return _cells(rows, table, schemas.GTFS[table].names)
 
 
 def raw_table_rows(rows: DataFrame, table: str, columns: list[str]) -> DataFrame:
-    """Validator view: the member's own header, cells untrimmed (SRC-14)."""
-    data = rows.where((F.col("table_name") == table) & (F.col("row_num") >= 0) & F.col("reject").isNull())
-    return data.select(FEED, "row_num", *[_cell(c).alias(c) for c in columns])
+    """Validator view: the named columns, cells untrimmed (SRC-14)."""
+    return _cells(rows, table, columns)
 
 
 def headers(rows: DataFrame) -> DataFrame:

@@ -1,39 +1,79 @@
 """Delimited uploads, batch routing, Silver scans (SRC-01/02/07/08/09, PRJ-01/02/04/07/10).
 
-Every column is read as text (types come from the schema, not inference).
-Rows carry ``row_num``: the 0-based data row of their file, so an error's
-``line`` is ``row_num + 2`` (header on line 1). Row numbers come from the
-file order — (file, split start, position in split) — made dense per file
-by per-split counts and a prefix sum, never by a single-task ``zipWithIndex``.
+Every column is read as text (types come from the schema, not inference), and
+every file by its own header, so files of one read may differ in columns and
+their order. Rows carry ``row_num``: the 0-based data record of their file.
+Numbers come from the order in which a file's blocks are read — per block
+counts and a prefix sum over one small row per block — never from a sort or a
+single-task ``zipWithIndex``.
 """
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from railyard import catalog
+from railyard import catalog, schemas
 from railyard.functions import scalars as S
-from railyard.operators import ordered
 from railyard.schema import Schema
 
 FEED = "feed_id"
-# fixed values: batch guards
-MAX_BATCH_FILES = 20
-MAX_BATCH_FILE_BYTES = 200 * 1024 * 1024
 
 
-def read_csv_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """SRC-01: header CSV, all columns text, with file name and dense row_num."""
-    df = (spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
-          .option("encoding", "UTF-8").csv(path if isinstance(path, str) else list(path)))
-    df = df.select("*", F.col("_metadata.file_path").alias("_file"),
-                   F.col("_metadata.file_block_start").alias("_block"),
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Does the path (or glob) name anything, in whatever file system it is?"""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
+def _layouts(spark: SparkSession, paths: list[str]) -> list[tuple[list[str], list[str]]]:
+    """(column names, files) of every distinct header: one line per file is read,
+    and what reaches the driver is the file listing."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+                                          F.monotonically_increasing_id().alias("i")).where("b = 0")
+    first = lines.groupBy("f").agg(F.min_by("value", "i").alias("header"))
+    out = []
+    for r in first.groupBy("header").agg(F.collect_list("f").alias("files")).orderBy("header").collect():
+        seen: dict[str, int] = {}
+        names = []
+        for i, n in enumerate(next(csv.reader([r.header.lstrip("\ufeff").rstrip("\r")]), [])):
+            names.append(n if n and n not in seen else f"{n or '_c'}{i}")
+            seen[n] = i
+        if names:
+            out.append((names, sorted(r.files)))
+    return out
+
+
+def read_csv_text(spark: SparkSession, path: str | Sequence[str], multiline: bool = True) -> DataFrame:
+    """SRC-01: CSV files with headers, all columns text, with file name and dense row_num.
+
+    ``multiline`` reads records with line breaks inside quotes, a whole file per
+    task; without it large files are split, and a record is a line."""
+    out = None
+    for names, files in _layouts(spark, [path] if isinstance(path, str) else list(path)):
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8")
+              .option("quote", '"').option("escape", '"').option("multiLine", multiline).csv(files))
+        part = _numbered(df)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(f"no file with a header under {path}")
+    return out
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
                    F.monotonically_increasing_id().alias("_pos"))
-    n = ordered.dense_ordinal(df, ["_file"], ["_block", "_pos"], "_rn")
-    return n.withColumn("row_num", F.col("_rn") - 1).drop("_rn", "_block", "_pos")
+    blocks = df.groupBy("_file", "_block").agg(F.min("_pos").alias("_min"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("_file", "_block", "_min", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = df.join(starts, ["_file", "_block"])
+    return out.withColumn("row_num", F.col("_pos") - F.col("_min") + F.col("_before")).drop("_block", "_pos", "_min", "_before")
 
 
 def normalize_headers(df: DataFrame, aliases: Mapping[str, str] | None = None) -> DataFrame:
@@ -47,7 +87,8 @@ def normalize_headers(df: DataFrame, aliases: Mapping[str, str] | None = None) -
 
 
 def preview(df: DataFrame, aliases: Mapping[str, str] | None = None, rows: int = 10) -> DataFrame:
-    """SRC-02: first rows of a normalised upload (the limit is the feature)."""
+    """SRC-02: first rows of a normalised upload (the limit is the feature; the
+    whole upload stays available as ``df``)."""
     return normalize_headers(df, aliases).orderBy("_file", "row_num").limit(rows)
 
 
@@ -83,26 +124,41 @@ def route_files(files: DataFrame, overrides: Mapping[str, str] | None = None) ->
     return files.withColumn("table_name", known)
 
 
-def batch_preview(spark: SparkSession, path: str, overrides: Mapping[str, str] | None = None) -> DataFrame:
-    """SRC-08: per file — size, data rows, target table, and problems
-    (unknown table, duplicate target, too many files, file too large)."""
+def batch_preview(spark: SparkSession, path: str, overrides: Mapping[str, str] | None = None,
+                  max_files: int | None = None, max_file_bytes: int | None = None) -> DataFrame:
+    """SRC-08: per file — size, data records, target table, and problems
+    (unknown table, duplicate target). Limits on the number and size of files
+    are reported only if given; nothing is refused by size on its own."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,csv}").load(path).select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), F.col("path"), F.col("length").alias("size_bytes"))
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), F.col("length").alias("size_bytes"))
     files = route_files(files, overrides)
-    text = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file_name"),
-                                        "value")
-    rows = text.groupBy("file_name").agg((F.count(F.lit(1)) - 1).alias("data_rows"))
+    listed = f"{path}/*.{{txt,csv}}"
+    records = read_csv_text(spark, listed).groupBy(F.regexp_extract("_file", r"([^/]+)$", 1).alias("file_name")).agg(
+        F.count(F.lit(1)).alias("data_rows"))
     dup = files.where(F.col("table_name").isNotNull()).groupBy("table_name").agg(
         F.count_distinct("file_name").alias("_files")).where(F.col("_files") > 1).withColumn("_dup", F.lit(True))
-    n_files = files.count()  # a file listing: one scalar, the batch-level limit
-    out = files.join(rows, "file_name", "left").join(dup.select("table_name", "_dup"), "table_name", "left")
-    problem = F.array_compact(F.array(
-        F.when(F.col("table_name").isNull(), F.lit("unknown table")),
-        F.when(F.col("_dup"), F.lit("duplicate target table")),
-        F.when(F.lit(n_files > MAX_BATCH_FILES), F.lit(f"more than {MAX_BATCH_FILES} files")),
-        F.when(F.col("size_bytes") > MAX_BATCH_FILE_BYTES, F.lit("file too large"))))
+    out = files.join(records, "file_name", "left").join(dup.select("table_name", "_dup"), "table_name", "left")
+    found = [F.when(F.col("table_name").isNull(), F.lit("unknown table")), F.when(F.col("_dup"), F.lit("duplicate target table"))]
+    if max_files is not None and files.count() > max_files:
+        found.append(F.lit(f"more than {max_files} files"))
+    if max_file_bytes is not None:
+        found.append(F.when(F.col("size_bytes") > max_file_bytes, F.lit("file too large")))
     return out.select("file_name", "table_name", "size_bytes", F.coalesce("data_rows", F.lit(0)).alias("data_rows"),
-                      problem.alias("problems"))
+                      F.array_compact(F.array(*found)).alias("problems"))
+
+
+def load_batch(spark: SparkSession, path: str, feed_id: str, overrides: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
+    """SRC-07: the rows of every routed file of a folder as GTFS tables in text
+    columns, ready for ``GtfsStore.load``; a table named by two files gets the
+    rows of both, files without a table are left out."""
+    rows = normalize_headers(read_csv_text(spark, f"{path}/*.{{txt,csv}}"))
+    rows = route_files(rows.withColumn("file_name", F.regexp_extract("_file", r"([^/]+)$", 1)), overrides)
+    names = [r.table_name for r in rows.select("table_name").distinct().collect() if r.table_name]  # 15 at most
+    out = {}
+    for t in sorted(names):
+        columns = [c for c in schemas.GTFS[t].names if c in rows.columns]
+        out[t] = rows.where(F.col("table_name") == t).select(F.lit(feed_id).alias(FEED), "row_num", *columns)
+    return out
 
 
 def read_silver(spark: SparkSession, path: str) -> DataFrame:

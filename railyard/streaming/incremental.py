@@ -6,9 +6,9 @@ micro-batch is parsed, gated and merged into the versioned store by
 ``foreachBatch``. There is no streaming state: the store itself is the state,
 and the stream's checkpoint records which files were applied.
 
-Replays: a micro-batch re-run after a failure re-applies the same archives;
-primary-key tables are replaced row for row (idempotent), tables without a
-key would append again, as the reference's MERGE would.
+Replays: a micro-batch re-run after a failure re-applies the same archives.
+Primary-key tables are replaced row for row, and tables without a key keep the
+rows of each batch in a partition of its own, which the replay overwrites.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from railyard.operators.store import GtfsStore
-from railyard.session import ensure_checkpoint_dir
 from railyard.sources import archive
 
 
@@ -34,23 +33,25 @@ def merge_archive_stream(
     spark: SparkSession,
     source_dir: str,
     store_root: str,
+    checkpoint_location: str,
     mode: str = "merge",
-    checkpoint_location: str | None = None,
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
-    """Start the stream; with ``available_now`` it drains what is there and stops."""
+    """Start the stream; with ``available_now`` it drains what is there and stops.
+
+    ``checkpoint_location`` is the stream's own durable folder: a restarted
+    stream finds there which archives it has applied."""
     reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE)
               .option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     files = reader.load(source_dir)
-    ckpt = checkpoint_location or f"{ensure_checkpoint_dir(spark)}/streams/archive-merge"
 
     def apply(batch: DataFrame, epoch_id: int) -> None:
         store = GtfsStore(batch.sparkSession, store_root)
-        store.import_rows(archive.parse_files(batch), mode)
+        store.import_rows(archive.parse_files(batch), mode, batch_id=f"stream-{epoch_id}")
 
-    writer = files.writeStream.foreachBatch(apply).option("checkpointLocation", ckpt)
+    writer = files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

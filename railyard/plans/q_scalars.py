@@ -166,6 +166,9 @@ def gtfs_times(spark, sf):
     SELECT p_partkey,
            CASE WHEN p_retailprice = floor(p_retailprice) THEN CAST(CAST(p_retailprice AS BIGINT) AS VARCHAR)
                 ELSE CAST(p_retailprice AS VARCHAR) END AS price_text,
+           rtrim(rtrim(CAST(CAST(CAST(p_size / 100000.0::DOUBLE AS VARCHAR) AS DECIMAL(38, 20)) AS VARCHAR), '0'), '.') AS small_text,
+           rtrim(rtrim(CAST(CAST(CAST(-p_size * 1234567.0::DOUBLE - 0.5 AS VARCHAR) AS DECIMAL(38, 20)) AS VARCHAR), '0'), '.')
+             AS huge_text,
            CAST(p_size AS VARCHAR) AS size_text,
            CASE WHEN length(long_text) > 40 THEN substr(long_text, 1, 37) || '…' ELSE long_text END AS sample_text
     FROM t
@@ -177,6 +180,8 @@ def csv_cells(spark, sf):
     return p.select(
         "p_partkey",
         S.format_cell("p_retailprice", is_float=True).alias("price_text"),
+        S.format_cell(F.col("p_size") / F.lit(100000.0), is_float=True).alias("small_text"),
+        S.format_cell(-F.col("p_size") * F.lit(1234567.0) - F.lit(0.5), is_float=True).alias("huge_text"),
         S.format_cell("p_size", is_float=False).alias("size_text"),
         S.stringify(long_text).alias("sample_text"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from railyard import schemas
 from railyard.functions import scalars as S
+from railyard.operators import ordered
 from railyard.operators import validate as V
 from railyard.plans import adapters as A
 from railyard.plans.registry import register
@@ -47,6 +48,19 @@ RAW_VIEWS = {
                CASE WHEN service_id % 13 = 0 THEN strftime(date, '%Y-%m-%d') ELSE strftime(date, '%Y%m%d') END AS date,
                CAST(exception_type AS VARCHAR) AS exception_type
         FROM a_calendar_dates""",
+    "raw_agency": """
+        SELECT feed_id, agency_id AS row_num, CAST(agency_id AS VARCHAR) AS agency_id, agency_name FROM a_agency""",
+    "raw_numbered_stop_times": """
+        SELECT s.feed_id, row_number() OVER (PARTITION BY s.feed_id ORDER BY l_shipdate, l_suppkey, l_partkey, l_extendedprice,
+                                             l_quantity, l_discount, l_tax) AS row_num,
+               CAST(trip_id AS VARCHAR) AS trip_id, CAST(stop_id AS VARCHAR) AS stop_id,
+               CAST(stop_sequence AS VARCHAR) AS stop_sequence,
+               CASE WHEN stop_sequence = 7 THEN printf('%d:%02d', arrival_secs // 3600, (arrival_secs % 3600) // 60)
+                    ELSE printf('%02d:%02d:%02d', arrival_secs // 3600, (arrival_secs % 3600) // 60, arrival_secs % 60)
+               END AS arrival_time,
+               printf('%02d:%02d:%02d', departure_secs // 3600, (departure_secs % 3600) // 60, departure_secs % 60)
+                 AS departure_time
+        FROM a_stop_times s""",
     "raw_stop_times": """
         SELECT feed_id, CAST(trip_id AS VARCHAR) AS trip_id, stop_sequence,
                CASE WHEN stop_sequence = 7 THEN printf('%d:%02d', arrival_secs // 3600, (arrival_secs % 3600) // 60)
@@ -112,6 +126,34 @@ def raw_stop_times(spark, sf):
                      arr.alias("arrival_time"), S.seconds_to_time("departure_secs").alias("departure_time"))
 
 
+def raw_agency(spark, sf):
+    return A.a_agency(spark, sf).select("feed_id", F.col("agency_id").alias("row_num"),
+                                        F.col("agency_id").cast("string").alias("agency_id"), "agency_name")
+
+
+def raw_numbered_stop_times(spark, sf):
+    """Every stop_time with its row number in input order."""
+    st = ordered.dense_ordinal(A.a_stop_times(spark, sf), ["feed_id"], A.stop_time_order_cols(), "row_num")
+    a = F.col("arrival_secs")
+    short = F.format_string("%d:%02d", F.floor(a / 3600), F.floor((a % 3600) / 60))
+    return st.select("feed_id", "row_num", *[F.col(c).cast("string").alias(c) for c in ("trip_id", "stop_id", "stop_sequence")],
+                     F.when(F.col("stop_sequence") == 7, short).otherwise(S.seconds_to_time(a)).alias("arrival_time"),
+                     S.seconds_to_time("departure_secs").alias("departure_time"))
+
+
+def raw_feed(spark, sf):
+    """All validated files of the feed as raw text tables."""
+    return {
+        "agency.txt": raw_agency(spark, sf),
+        "stops.txt": raw_stops(spark, sf),
+        "routes.txt": raw_routes(spark, sf),
+        "trips.txt": raw_trips(spark, sf),
+        "stop_times.txt": raw_numbered_stop_times(spark, sf),
+        "calendar.txt": raw_calendar(spark, sf),
+        "calendar_dates.txt": raw_calendar_dates(spark, sf),
+    }
+
+
 def _issues(frames):
     return V.union_issues([f.select(*V.ISSUE_COLS) for f in frames])
 
@@ -256,25 +298,132 @@ def feed_reference_issues(spark, sf):
     return _issues(V.references(tables))
 
 
+_DUPLICATES_SQL = """
+    SELECT feed_id, 'error' AS severity, 'stop_times.txt' AS file_name, CAST(NULL AS VARCHAR) AS field, row_num AS row_index,
+           'Duplicate primary key [''trip_id'', ''stop_sequence'']=[''' || trip_id || ''', ''' || stop_sequence
+             || '''] (also at row ' || CAST(first_row AS VARCHAR) || ')' AS message
+    FROM (SELECT *, min(row_num) OVER (PARTITION BY feed_id, trip_id, stop_sequence) AS first_row FROM raw_numbered_stop_times)
+    WHERE row_num > first_row"""
+_SEQUENCE_SQL = """
+    SELECT feed_id, 'error' AS severity, 'stop_times.txt' AS file_name, 'stop_sequence' AS field, row_num AS row_index,
+           'trip_id ''' || trip_id || ''' stop_sequence must strictly increase (saw ' || CAST(prev AS VARCHAR) || ' then '
+             || stop_sequence || ')' AS message
+    FROM (SELECT *, lag(CAST(stop_sequence AS BIGINT)) OVER (PARTITION BY feed_id, trip_id ORDER BY row_num) AS prev
+          FROM raw_numbered_stop_times)
+    WHERE CAST(stop_sequence AS BIGINT) <= prev"""
+
+
+def _check_sql(table: str, file: str, field: str | None, where: str, message: str, severity: str = "error") -> str:
+    """One check over a raw table. ``{q}`` in the message is a quoted cell: '<cell>'."""
+    named = f"'{field}'" if field else "CAST(NULL AS VARCHAR)"
+    return (f"SELECT feed_id, '{severity}' AS severity, '{file}' AS file_name, {named} AS field, row_num AS row_index, "
+            f"{message} AS message FROM {table} x WHERE {where}")
+
+
+def _quoted(c: str) -> str:
+    return f"chr(39) || {c} || chr(39)"
+
+
+def _all_issues_sql() -> str:
+    """Every check of the validator over all files, written in SQL."""
+    parts = [f"SELECT DISTINCT feed_id, 'error' AS severity, '{file}' AS file_name, '{c}' AS field, CAST(NULL AS BIGINT) AS row_index, "
+             f"'Required field ''{c}'' missing from header' AS message FROM {table}"
+             for file, table, names in (("agency.txt", "raw_agency", ["agency_url", "agency_timezone"]),
+                                        ("calendar.txt", "raw_calendar", list(A.WEEKDAYS))) for c in names]
+    parts.append(_check_sql("raw_routes", "routes.txt", "route_type", "route_type IS NULL OR trim(route_type) = ''",
+                            "'Required field ''route_type'' is empty'"))
+    for c, lo, hi in (("stop_lat", -90, 90), ("stop_lon", -180, 180)):
+        number = f"regexp_full_match(trim({c}), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?')"
+        value = f"(CASE WHEN {number} THEN CAST({c} AS DOUBLE) END)"
+        parts.append(_check_sql("raw_stops", "stops.txt", c, f"{c} <> '' AND NOT {number}", f"'{c} ' || {_quoted(c)} || ' is not numeric'"))
+        parts.append(_check_sql("raw_stops", "stops.txt", c, f"{c} <> '' AND NOT {value} BETWEEN {lo} AND {hi}",
+                                f"'{c} ' || CAST({value} AS VARCHAR) || ' is outside [{lo}, {hi}]'"))
+    parts.append(_check_sql("raw_routes", "routes.txt", "route_color",
+                            "coalesce(route_color, '') <> '' AND NOT regexp_full_match(route_color, '[0-9A-Fa-f]{6}')",
+                            f"'route_color ' || {_quoted('route_color')} || ' is not a 6-digit hex string'", "warning"))
+    whole = "regexp_full_match(trim(route_type), '[+-]?[0-9]+')"
+    parts.append(_check_sql("raw_routes", "routes.txt", "route_type", f"route_type <> '' AND NOT {whole}",
+                            f"'route_type ' || {_quoted('route_type')} || ' is not an integer'"))
+    parts.append(_check_sql("raw_routes", "routes.txt", "route_type",
+                            f"{whole} AND TRY_CAST(route_type AS INTEGER) NOT IN (0, 1, 2, 3, 4, 5, 6, 7, 11, 12)",
+                            "'route_type ' || trim(route_type) || ' is not a standard value'", "warning"))
+    for c in ("arrival_time", "departure_time"):
+        parts.append(_check_sql("raw_numbered_stop_times", "stop_times.txt", c,
+                                f"{c} <> '' AND NOT regexp_full_match({c}, '[0-9]{{1,2}}:[0-9]{{2}}:[0-9]{{2}}')",
+                                f"'{c} ' || {_quoted(c)} || ' does not match HH:MM:SS'"))
+    eight = "regexp_full_match({c}, '[0-9]{{8}}')"
+    for c, file, table in (("start_date", "calendar.txt", "raw_calendar"), ("end_date", "calendar.txt", "raw_calendar"),
+                           ("date", "calendar_dates.txt", "raw_calendar_dates")):
+        real = f"({eight.format(c=c)} AND substr({c}, 1, 4) <> '0000' AND try_strptime({c}, '%Y%m%d') IS NOT NULL)"
+        parts.append(_check_sql(table, file, c, f"{c} <> '' AND NOT {real}", f"'{c} ' || {_quoted(c)} || ' is not a valid YYYYMMDD date'"))
+    parts.append(_check_sql("raw_calendar", "calendar.txt", None,
+                            f"{eight.format(c='start_date')} AND {eight.format(c='end_date')} AND start_date > end_date",
+                            f"'start_date ' || {_quoted('start_date')} || ' is after end_date ' || {_quoted('end_date')}"))
+    for c, file, table, parents, where in (
+            ("route_id", "trips.txt", "raw_trips", "SELECT feed_id, route_id AS k FROM raw_routes", "routes.txt"),
+            ("service_id", "trips.txt", "raw_trips", "SELECT feed_id, service_id AS k FROM raw_calendar UNION "
+             "SELECT feed_id, service_id AS k FROM raw_calendar_dates", "calendar(_dates).txt"),
+            ("trip_id", "stop_times.txt", "raw_numbered_stop_times", "SELECT feed_id, trip_id AS k FROM raw_trips", "trips.txt"),
+            ("stop_id", "stop_times.txt", "raw_numbered_stop_times", "SELECT feed_id, stop_id AS k FROM raw_stops", "stops.txt")):
+        parts.append(_check_sql(table, file, c, f"{c} <> '' AND NOT EXISTS (SELECT 1 FROM ({parents}) p WHERE p.feed_id = x.feed_id AND p.k = x.{c})",
+                                f"'{c} ' || {_quoted(c)} || ' not found in {where}'"))
+    return "\n UNION ALL ".join([*parts, _DUPLICATES_SQL.strip(), _SEQUENCE_SQL.strip()])
+
+
+@register("validator_duplicate_keys", sql=_DUPLICATES_SQL, extra_views=RAW_VIEWS)
+def validator_duplicate_keys(spark, sf):
+    """VAL-03 over all files of the feed."""
+    return _issues(V.duplicate_primary_keys(raw_feed(spark, sf)))
+
+
+@register("validator_stop_sequence", sql=_SEQUENCE_SQL, extra_views=RAW_VIEWS)
+def validator_stop_sequence(spark, sf):
+    """VAL-09 over every stop_time."""
+    return _issues(V.stop_sequence_order(raw_numbered_stop_times(spark, sf)))
+
+
+_MEMBER_VIEW = {"members": """
+    SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS feed_id,
+           ['agency', 'stops', 'routes', 'trips', 'stop_times', 'calendar', 'calendar_dates', 'shapes']
+             [CAST(o_orderkey % 8 AS INTEGER) + 1] || '.txt' AS file_name
+    FROM orders"""}
+
+
 @register(
-    "issue_summary",
+    "required_files",
     sql="""
-    WITH i AS (
-      SELECT feed_id, 'error' AS severity FROM raw_routes WHERE route_type IS NULL OR trim(route_type) = ''
-      UNION ALL SELECT feed_id, 'error' FROM raw_stops
-        WHERE TRY_CAST(stop_lat AS DOUBLE) IS NULL OR NOT CAST(stop_lat AS DOUBLE) BETWEEN -90 AND 90
-      UNION ALL SELECT feed_id, 'warning' FROM raw_routes
-        WHERE coalesce(route_color, '') <> '' AND NOT regexp_full_match(route_color, '[0-9A-Fa-f]{6}')
-      UNION ALL SELECT feed_id, 'error' FROM raw_routes WHERE route_type <> '' AND NOT regexp_full_match(route_type, '[+-]?[0-9]+')
-      UNION ALL SELECT feed_id, 'warning' FROM raw_routes WHERE regexp_full_match(route_type, '[+-]?[0-9]+')
-        AND TRY_CAST(route_type AS INTEGER) NOT IN (0, 1, 2, 3, 4, 5, 6, 7, 11, 12)
-      UNION ALL SELECT feed_id, 'error' FROM raw_stop_times
-        WHERE NOT regexp_full_match(arrival_time, '\\d{1,2}:\\d{2}:\\d{2}')
-      UNION ALL SELECT feed_id, 'error' FROM raw_trips t WHERE NOT EXISTS (
-        SELECT 1 FROM (SELECT feed_id, service_id FROM raw_calendar UNION SELECT feed_id, service_id FROM raw_calendar_dates) s
-        WHERE s.feed_id = t.feed_id AND s.service_id = t.service_id)
-      UNION ALL SELECT feed_id, 'error' FROM raw_trips t WHERE NOT EXISTS (
-        SELECT 1 FROM raw_routes r WHERE r.feed_id = t.feed_id AND r.route_id = t.route_id))
+    WITH f AS (SELECT DISTINCT feed_id FROM members)
+    SELECT feed_id, 'error' AS severity, r AS file_name, CAST(NULL AS VARCHAR) AS field, CAST(NULL AS BIGINT) AS row_index,
+           'Required file ''' || r || ''' missing from feed' AS message
+    FROM f, (VALUES ('agency.txt'), ('stops.txt'), ('routes.txt'), ('trips.txt'), ('stop_times.txt')) v(r)
+    WHERE NOT EXISTS (SELECT 1 FROM members m WHERE m.feed_id = f.feed_id AND m.file_name = r)
+    UNION ALL
+    SELECT feed_id, 'error', 'calendar.txt', NULL, NULL, 'Either calendar.txt or calendar_dates.txt is required'
+    FROM f WHERE NOT EXISTS (SELECT 1 FROM members m WHERE m.feed_id = f.feed_id
+                             AND m.file_name IN ('calendar.txt', 'calendar_dates.txt'))
+    """,
+    extra_views=_MEMBER_VIEW,
+)
+def required_files(spark, sf):
+    """VAL-01: every customer is a feed whose orders name the files of its archive."""
+    names = F.array(*[F.lit(f"{t}.txt") for t in ("agency", "stops", "routes", "trips", "stop_times", "calendar",
+                                                  "calendar_dates", "shapes")])
+    present = A.table(spark, sf, "orders").select(
+        F.col("o_custkey").cast("string").alias("feed_id"),
+        F.element_at(names, (F.col("o_orderkey") % 8 + 1).cast("int")).alias("file_name")).distinct()
+    return V.required_files(present)
+
+
+@register("validate_feed_issues", sql=_all_issues_sql(), extra_views=RAW_VIEWS)
+def validate_feed_issues(spark, sf):
+    """SO-05: every issue of every check over all files and all their columns."""
+    return V.validate_feed(raw_feed(spark, sf)).select(*V.ISSUE_COLS)
+
+
+@register(
+    "issue_summary",
+    sql=f"""
+    WITH i AS ({_all_issues_sql()})
     SELECT feed_id, count(*) FILTER (WHERE severity = 'error') AS error_count,
            count(*) FILTER (WHERE severity = 'warning') AS warning_count,
            count(*) FILTER (WHERE severity NOT IN ('error', 'warning')) AS info_count,
@@ -286,15 +435,10 @@ def feed_reference_issues(spark, sf):
     extra_views=RAW_VIEWS,
 )
 def issue_summary(spark, sf):
-    routes, stops = raw_routes(spark, sf), raw_stops(spark, sf)
-    tables = {"routes.txt": routes, "trips.txt": raw_trips(spark, sf), "calendar.txt": raw_calendar(spark, sf),
-              "calendar_dates.txt": raw_calendar_dates(spark, sf)}
-    frames = V.required_fields({"routes.txt": routes})
-    frames += V.coordinates(stops.drop("stop_lon"))
-    frames += V.route_metadata(routes)
-    frames += V.time_format(raw_stop_times(spark, sf).drop("departure_time"), row_col=None)
-    frames += V.references(tables)
-    return V.issue_summary(_issues(frames))
+    """AG-13 over all checks, the required files included."""
+    tables = raw_feed(spark, sf)
+    present = V.union_issues([df.select("feed_id", F.lit(t).alias("file_name")).distinct() for t, df in tables.items()])
+    return V.issue_summary(V.validate_feed(tables).unionByName(V.required_files(present)))
 
 
 # --- row validation (PRJ-03/05/06/07) -------------------------------------------------

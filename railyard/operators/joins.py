@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from railyard.operators.ordered import first_per_key
 from railyard.session import cut_lineage
 
 FEED = "feed_id"
@@ -204,26 +203,28 @@ def upsert(
 
     ``null_keys="distinct"`` (SQLite's rule): a row with a NULL key part never
     conflicts and is always appended. ``"equal"`` treats NULLs as equal.
-    Tables without a PK append. ``order_cols`` give the input order of ``new``.
+    Tables without a PK append. ``order_cols`` give the input order of ``new``;
+    ``old`` has one row per key, as every stored table.
     """
     cols = old.columns
     new = new.select(*cols, *[c for c in order_cols if c not in cols])
     if not pk:
         return old.unionByName(new.select(*cols))
     keys = [FEED, *pk]
+    others = [c for c in cols if c not in keys]
+    both = old.select(*cols, F.lit(0).alias("_new"), *[F.lit(None).cast(new.schema[c].dataType).alias(f"_o{i}") for i, c in enumerate(order_cols)])
+    both = both.unionByName(new.select(*cols, F.lit(1).alias("_new"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)]))
+    loose = None
     if null_keys == "distinct":
         has_null = F.lit(False)
         for k in pk:
             has_null = has_null | F.col(k).isNull()
-        keyed = new.where(~has_null)
-        loose = new.where(has_null).select(*cols)
-        latest = first_per_key(keyed, keys, order_cols, last=True).select(*cols)
-        kept = old.join(latest.select(*keys), on=keys, how="left_anti")
-        return kept.unionByName(latest).unionByName(loose)
-    latest = first_per_key(new, keys, order_cols, last=True).select(*cols)
-    cond = [old[k].eqNullSafe(latest[k]) for k in keys]
-    kept = old.join(latest.select(*keys), on=cond, how="left_anti")
-    return kept.unionByName(latest)
+        both, loose = both.where(~has_null), both.where(has_null).select(*cols)
+    # one aggregate over old and new rows: of a key the last new row stays, else the old one
+    age = F.struct("_new", *[f"_o{i}" for i in range(len(order_cols))])
+    picked = both.groupBy(*keys).agg(F.max_by(F.struct(F.lit(1).alias("_x"), *others), age).alias("_row"))
+    out = picked.select(*keys, *[F.col("_row")[c].alias(c) for c in others]).select(*cols)
+    return out if loose is None else out.unionByName(loose)
 
 
 def split_key_text(keys_text: DataFrame, text_col: str, pk: Sequence[str], types: Mapping[str, str]) -> DataFrame:

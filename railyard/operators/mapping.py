@@ -122,9 +122,9 @@ def fleet_capacity(fleet: DataFrame, order_cols: Sequence[str]) -> DataFrame:
 
 def map_trip_capacity(fleet: DataFrame, trips: DataFrame, order_cols: Sequence[str]) -> DataFrame:
     """JN-06: the fleet averages on every trip — an equi-join on feed with the
-    one-row-per-feed capacity frame (broadcast; never a cross join)."""
+    one-row-per-feed capacity frame (never a cross join)."""
     cap = fleet_capacity(fleet, order_cols)
-    return trips.select(FEED, "trip_id").join(F.broadcast(cap), FEED, "inner").select(
+    return trips.select(FEED, "trip_id").join(cap, FEED, "inner").select(
         FEED, "trip_id", F.lit(None).cast("string").alias("service_date"), "vehicle_description",
         "seated_capacity", "standing_capacity")
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from railyard.functions import scalars as S
 from railyard.operators import ordered
+from railyard.session import materialise
 
 FEED = "feed_id"
 CODESPACE_RE = re.compile(r"^[A-Z0-9]+$")
@@ -81,12 +82,15 @@ def stop_places(stops: DataFrame, modes: DataFrame, cfg: NetexConfig, order: Seq
       made for that parent;
     * location_type 0 without an existing parent → ``<id>_place`` with one quay;
     * location types 2..4 are not translated (they may still be parents).
-    A place's mode is the modal mode of its child stops (first met on ties);
+    A place's quays stand in file order, with the stop's code (else its platform
+    code) as public code. A place's mode is the modal mode of its child stops (first met on ties);
     an orphan place takes its own stop's mode; ``other`` when unserved.
     """
     lt = F.coalesce(F.col("location_type").cast("int"), F.lit(0))
+    codes = [F.when(_txt(c) != "", _txt(c)) for c in ("stop_code", "platform_code") if c in stops.columns]
     s = stops.select(FEED, _txt("stop_id").alias("stop_id"), "stop_name", "stop_lat", "stop_lon",
                      _txt("parent_station").alias("parent_station"), lt.alias("lt"),
+                     F.coalesce(*codes, F.lit(None).cast("string")).alias("public_code"),
                      ordered.order_struct(order).alias("_o"))
     m = modes.select(FEED, _txt("stop_id").alias("stop_id"), "mode")
     parents = s.select(FEED, F.col("stop_id").alias("parent_station"), F.col("lt").alias("_plt"),
@@ -100,15 +104,15 @@ def stop_places(stops: DataFrame, modes: DataFrame, cfg: NetexConfig, order: Seq
         F.when(has_parent, F.coalesce(F.col("_pname"), F.col("parent_station")))
         .otherwise(F.coalesce(F.col("stop_name"), F.col("stop_id"))).alias("_name"),
         F.when(has_parent, S.centroid("_plat", "_plon")).otherwise(S.centroid("stop_lat", "stop_lon")).alias("_centroid"),
-        F.struct(cfg.urn("Quay", F.col("stop_id")).alias("id"), F.col("stop_name").alias("name"),
-                 S.centroid("stop_lat", "stop_lon").alias("centroid")).alias("_quay"))
+        F.struct(F.col("_o"), cfg.urn("Quay", F.col("stop_id")).alias("id"), F.col("stop_name").alias("name"),
+                 S.centroid("stop_lat", "stop_lon").alias("centroid"), F.col("public_code")).alias("_quay"))
     # modal mode of a place's quays (children); orphan places have exactly one quay
     mc = quays.where(F.col("mode").isNotNull()).groupBy(FEED, "place_key", "mode").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_first"))
     pm = mc.groupBy(FEED, "place_key").agg(F.min_by("mode", F.struct(-F.col("_n"), F.col("_first"))).alias("_mode"))
     grouped = quays.groupBy(FEED, "place_key").agg(
         F.first("_name").alias("name"), F.first("_centroid").alias("centroid"),
-        F.array_sort(F.collect_list("_quay")).alias("quays"))
+        F.transform(F.array_sort(F.collect_list("_quay")), lambda x: x.dropFields("_o")).alias("quays"))
     from_quays = grouped.join(pm, [FEED, "place_key"], "left")
     stations = s.where(F.col("lt") == 1).select(
         FEED, F.col("stop_id").alias("place_key"), F.coalesce("stop_name", "stop_id").alias("name"),
@@ -207,12 +211,16 @@ def journey_patterns(trips: DataFrame, stop_times: DataFrame, cfg: NetexConfig,
                      st_order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Patterns deduplicated by (route, direction, stop list) — NULL and 0
     directions stay apart — numbered per feed in first-seen trip order.
-    Returns (patterns, trip → pattern)."""
+    Returns (patterns, trip → pattern).
+
+    The stop lists are built and written once; a list is named by two 64-bit
+    hashes, and only the names travel when patterns are found and joined."""
     lists = trip_stop_lists(stop_times, st_order)
     t = trips.select(FEED, "trip_id", "route_id", "direction_id", ordered.order_struct(trip_order).alias("_o"))
-    tl = t.join(lists, [FEED, "trip_id"], "inner")
-    pk = [FEED, "route_id", "direction_id", "stops"]
-    pats = tl.groupBy(*pk).agg(F.min("_o").alias("_first"), F.count(F.lit(1)).alias("n_trips"))
+    tl = materialise(t.join(lists, [FEED, "trip_id"], "inner")
+                     .withColumn("_h1", F.xxhash64("stops")).withColumn("_h2", F.xxhash64(F.size("stops"), "stops")))
+    pk = [FEED, "route_id", "direction_id", "_h1", "_h2"]
+    pats = tl.groupBy(*pk).agg(F.min("_o").alias("_first"), F.count(F.lit(1)).alias("n_trips"), F.first("stops").alias("stops"))
     pats = ordered.dense_ordinal(pats, [FEED], ["_first"], "_n")
     local = F.format_string("%s_%d_%d", _txt("route_id"), F.coalesce(F.col("direction_id").cast("int"), F.lit(0)),
                             F.col("_n"))
@@ -223,8 +231,8 @@ def journey_patterns(trips: DataFrame, stop_times: DataFrame, cfg: NetexConfig,
         "stops", F.size("stops").alias("n_stops"), F.col("n_trips").cast("long").alias("n_trips"), "_n")
     # trips find their pattern by the same null-safe key
     cond = [tl[FEED] == pats[FEED], tl["route_id"] == pats["route_id"],
-            tl["direction_id"].eqNullSafe(pats["direction_id"]), tl["stops"] == pats["stops"]]
-    t2p = tl.join(pats.select(FEED, "route_id", "direction_id", "stops", "local_id"), cond, "inner").select(
+            tl["direction_id"].eqNullSafe(pats["direction_id"]), tl["_h1"] == pats["_h1"], tl["_h2"] == pats["_h2"]]
+    t2p = tl.join(pats.select(*pk, "local_id"), cond, "inner").select(
         tl[FEED], tl["trip_id"], tl["route_id"], F.col("local_id"))
     return patterns, t2p
 
@@ -306,7 +314,7 @@ def calendar_fold(calendar: DataFrame, calendar_dates: DataFrame, cfg: NetexConf
     n1 = ordered.dense_ordinal(a1, [FEED], ["_o"], "order").drop("_o")
     n2 = ordered.dense_ordinal(a2, [FEED], ["_o"], "_o2").drop("_o")
     first_section = a1.groupBy(FEED).agg(F.count(F.lit(1)).alias("_n1"))  # one row per feed
-    n2 = n2.join(F.broadcast(first_section), FEED, "left").withColumn(
+    n2 = n2.join(first_section, FEED, "left").withColumn(
         "order", (F.coalesce("_n1", F.lit(0)) + F.col("_o2")).cast("long")).drop("_n1", "_o2")
     numbered = n1.unionByName(n2)
     assignments = numbered.select(
@@ -315,9 +323,12 @@ def calendar_fold(calendar: DataFrame, calendar_dates: DataFrame, cfg: NetexConf
     return day_types, periods, assignments
 
 
-def validity(periods: DataFrame) -> DataFrame:
-    """AG-12: earliest from / latest to; today .. +1 year when no period."""
+def validity(periods: DataFrame, feeds: DataFrame | None = None) -> DataFrame:
+    """AG-12: earliest from / latest to per feed (of ``feeds``, or those with a
+    period); today .. +1 year when a feed has no period."""
     agg = periods.groupBy(FEED).agg(F.min("from_date").alias("from_date"), F.max("to_date").alias("to_date"))
+    if feeds is not None:
+        agg = feeds.select(FEED).distinct().join(agg, FEED, "left")
     return agg.select(FEED, F.coalesce("from_date", F.date_format(F.current_date(), "yyyy-MM-dd")).alias("from_date"),
                       F.coalesce("to_date", F.date_format(F.add_months(F.current_date(), 12), "yyyy-MM-dd"))
                       .alias("to_date"))

@@ -95,10 +95,10 @@ def dense_ordinal(
     local_w = Window.partitionBy("__rng", *part).orderBy(*order_cols)
     local = ranged.withColumn("__loc", F.row_number().over(local_w))
     counts = ranged.groupBy("__rng", *part).agg(F.count(F.lit(1)).alias("__cnt"))
-    # one row per (range, feed): bounded by ranges + feeds, safe to broadcast
+    # one row per (range, feed); the numbered rows are partitioned by these keys already
     offs_w = Window.partitionBy(*part).orderBy("__rng").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(offs_w), F.lit(0))).drop("__cnt")
-    out = local.join(F.broadcast(offsets), on=["__rng", *part], how="inner")
+    out = local.join(offsets, on=["__rng", *part], how="inner")
     return out.withColumn(name, (F.col("__off") + F.col("__loc")).cast("long")).drop("__rng", "__loc", "__off")
 
 
@@ -108,13 +108,15 @@ def top_n_per_group(
     order_cols: Sequence[ColLike],
     n: int,
     rank_name: str = "rank",
-    salt: int = 32,
+    salt: int | None = None,
 ) -> DataFrame:
     """WN-07: the first ``n`` rows per group by ``order_cols`` (must break ties).
 
     Phase 1 ranks inside (group, salt) slices and keeps ``n`` per slice; phase 2
-    ranks at most ``salt * n`` candidates per group.
+    ranks at most ``salt * n`` candidates per group. The number of slices is
+    that of the shuffle partitions unless given.
     """
+    salt = salt or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     oc = _cols(order_cols)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt)))
     w1 = Window.partitionBy(*keys, "_salt").orderBy(*oc)

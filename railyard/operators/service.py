@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from railyard.functions import scalars as S
+from railyard.session import materialise
 
 FEED = "feed_id"
 
@@ -139,21 +140,27 @@ def route_stats(active: DataFrame, trips: DataFrame, stop_times: DataFrame) -> D
 
 
 def restrict_to_trips(tables: Mapping[str, DataFrame], kept_trips: DataFrame) -> dict[str, DataFrame]:
-    """The restriction cascade from a set of kept trips (feed_id, trip_id)."""
+    """The restriction cascade from a set of kept trips (feed_id, trip_id).
+
+    The keys of the kept trips and the stops they use are written once; every
+    table is then one semi join against them."""
     kt = kept_trips.select(FEED, "trip_id").distinct()
     out: dict[str, DataFrame] = {}
     trips = tables["trips"].join(kt, [FEED, "trip_id"], "left_semi")
-    out["trips"] = trips
+    wanted = [c for c in ("trip_id", "route_id", "service_id", "shape_id") if c in trips.columns]
+    keys = materialise(trips.select(FEED, *wanted))
+    kt = keys.select(FEED, "trip_id").distinct()
+    out["trips"] = tables["trips"].join(kt, [FEED, "trip_id"], "left_semi")
     st = tables.get("stop_times")
     if st is not None:
         out["stop_times"] = st.join(kt, [FEED, "trip_id"], "left_semi")
-        used = out["stop_times"].select(FEED, "stop_id").distinct()
+        used = materialise(out["stop_times"].select(FEED, "stop_id").distinct())
         stops = tables["stops"]
         direct = stops.join(used, [FEED, "stop_id"], "left_semi")
         parents = direct.where(F.col("parent_station").isNotNull()).select(
             FEED, F.col("parent_station").alias("stop_id")).distinct()
         out["stops"] = stops.join(used.unionByName(parents), [FEED, "stop_id"], "left_semi")
-    routes = tables["routes"].join(trips.select(FEED, "route_id").distinct(), [FEED, "route_id"], "left_semi")
+    routes = tables["routes"].join(keys.select(FEED, "route_id").distinct(), [FEED, "route_id"], "left_semi")
     out["routes"] = routes
     if "agency" in tables:
         ag = routes.select(FEED, "agency_id")
@@ -161,12 +168,12 @@ def restrict_to_trips(tables: Mapping[str, DataFrame], kept_trips: DataFrame) ->
         by_id = tables["agency"].join(ag.where(F.col("agency_id").isNotNull()).distinct(), [FEED, "agency_id"], "left_semi")
         all_of_feed = tables["agency"].join(null_feeds, FEED, "left_semi")
         out["agency"] = by_id.unionByName(all_of_feed).distinct()
-    svc = trips.select(FEED, "service_id").distinct()
+    svc = keys.select(FEED, "service_id").distinct()
     for t in ("calendar", "calendar_dates"):
         if t in tables:
             out[t] = tables[t].join(svc, [FEED, "service_id"], "left_semi")
-    if "shapes" in tables and "shape_id" in trips.columns:
-        out["shapes"] = tables["shapes"].join(trips.select(FEED, "shape_id").distinct(), [FEED, "shape_id"], "left_semi")
+    if "shapes" in tables and "shape_id" in wanted:
+        out["shapes"] = tables["shapes"].join(keys.select(FEED, "shape_id").distinct(), [FEED, "shape_id"], "left_semi")
     if "frequencies" in tables:
         out["frequencies"] = tables["frequencies"].join(kt, [FEED, "trip_id"], "left_semi")
     if "transfers" in tables and "stops" in out:

@@ -69,7 +69,7 @@ def stop_modes(spark, sf):
                   GROUP BY feed_id, place_key, mode)
                 QUALIFY row_number() OVER (PARTITION BY feed_id, place_key ORDER BY n DESC, first) = 1),
          g AS (SELECT feed_id, place_key, any_value(qname) AS name, count(*) AS n_quays,
-                      string_agg(quay_id, ' ' ORDER BY quay_id) AS quay_ids FROM qk GROUP BY feed_id, place_key),
+                      string_agg(quay_id, ' ' ORDER BY ord) AS quay_ids FROM qk GROUP BY feed_id, place_key),
          st AS (SELECT feed_id, stop_id AS place_key, coalesce(stop_name, stop_id) AS name FROM s WHERE lt = 1)
     SELECT g.feed_id, g.place_key, {_urn('StopPlace', 'g.place_key')} AS id, coalesce(st.name, g.name) AS name,
            coalesce(pm.mode, 'other') AS transport_mode, CAST(n_quays AS INTEGER) AS n_quays, quay_ids
@@ -303,17 +303,6 @@ def netex_organisations(spark, sf):
     return NX.organisations(A.a_agency(spark, sf), CFG, ["agency_id"])
 
 
-@register("netex_xml_entities")
-def netex_xml_entities(spark, sf):
-    """NX-08/09/13: StopPlace and Line elements rendered as XML text rows
-    (rows-only check: the text is the contract, not a relational result)."""
-    from railyard.sinks import netex_xml
-
-    places = NX.stop_places(A.a_stops(spark, sf), _modes(spark, sf), CFG, ["stop_id"])
-    lines = NX.lines(A.a_routes(spark, sf), CFG)
-    return netex_xml.render_stop_places(places, CFG).unionByName(netex_xml.render_lines(lines, CFG))
-
-
 @register(
     "stop_assignments",
     sql=f"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from railyard.operators import service as SV
@@ -129,7 +130,32 @@ def _feed(spark, sf):
             "calendar": A.a_calendar(spark, sf), "calendar_dates": A.a_calendar_dates(spark, sf)}
 
 
-def _cascade_sql(trips_filter: str) -> str:
+_COUNTS = """
+    SELECT 'F1' AS feed_id, 'trips' AS table_name, count(*) AS records FROM t
+    UNION ALL SELECT 'F1', 'stop_times', count(*) FROM st
+    UNION ALL SELECT 'F1', 'stops', count(*) FROM s
+    UNION ALL SELECT 'F1', 'routes', count(*) FROM ro
+    UNION ALL SELECT 'F1', 'agency', count(*) FROM ag
+    UNION ALL SELECT 'F1', 'calendar', count(*) FROM cal
+    UNION ALL SELECT 'F1', 'calendar_dates', count(*) FROM cd"""
+_KEYS = {"trips": ["trip_id"], "stop_times": ["trip_id", "stop_sequence", "stop_id"], "stops": ["stop_id"],
+         "routes": ["route_id"], "agency": ["agency_id"], "calendar": ["service_id"], "calendar_dates": ["service_id", "date"]}
+_ROWS = "\n    UNION ALL ".join(
+    f"SELECT 'F1' AS feed_id, '{t}' AS table_name, concat_ws('|', {', '.join(f'CAST({c} AS VARCHAR)' for c in _KEYS[t])}) AS row_key FROM {v}"
+    for t, v in zip(_KEYS, ("t", "st", "s", "ro", "ag", "cal", "cd")))
+
+
+def _rows_of(tables) -> DataFrame:
+    """The key of every kept row of every table."""
+    out = None
+    for t, names in _KEYS.items():
+        part = tables[t].select("feed_id", F.lit(t).alias("table_name"),
+                                F.concat_ws("|", *[F.col(c).cast("string") for c in names]).alias("row_key"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _cascade_sql(trips_filter: str, result: str = _COUNTS) -> str:
     return f"""
     WITH t AS (SELECT * FROM a_trips WHERE {trips_filter}),
          st AS (SELECT * FROM a_stop_times WHERE trip_id IN (SELECT trip_id FROM t)),
@@ -142,13 +168,7 @@ def _cascade_sql(trips_filter: str) -> str:
                 OR EXISTS (SELECT 1 FROM ro WHERE agency_id IS NULL)),
          cal AS (SELECT * FROM a_calendar WHERE service_id IN (SELECT service_id FROM t)),
          cd AS (SELECT * FROM a_calendar_dates WHERE service_id IN (SELECT service_id FROM t))
-    SELECT 'F1' AS feed_id, 'trips' AS table_name, count(*) AS records FROM t
-    UNION ALL SELECT 'F1', 'stop_times', count(*) FROM st
-    UNION ALL SELECT 'F1', 'stops', count(*) FROM s
-    UNION ALL SELECT 'F1', 'routes', count(*) FROM ro
-    UNION ALL SELECT 'F1', 'agency', count(*) FROM ag
-    UNION ALL SELECT 'F1', 'calendar', count(*) FROM cal
-    UNION ALL SELECT 'F1', 'calendar_dates', count(*) FROM cd"""
+    {result}"""
 
 
 @register(
@@ -161,6 +181,16 @@ def restrict_routes_counts(spark, sf):
     return SV.counts_of(SV.restrict_to_routes(_feed(spark, sf), routes))
 
 
+@register(
+    "restrict_routes_rows",
+    sql=_cascade_sql("route_id IN (SELECT route_id FROM a_routes WHERE route_long_name = 'BUILDING')", _ROWS),
+)
+def restrict_routes_rows(spark, sf):
+    """JN-12: the key of every row that the restriction to BUILDING routes keeps."""
+    routes = A.a_routes(spark, sf).where(F.col("route_long_name") == "BUILDING").select("feed_id", "route_id")
+    return _rows_of(SV.restrict_to_routes(_feed(spark, sf), routes))
+
+
 WANTED_DATES = [dt.date(2024, 1, 10), dt.date(2024, 1, 11)]
 
 
@@ -173,3 +203,14 @@ def restrict_dates_counts(spark, sf):
     """JN-13: the feed restricted to services running on 10 or 11 January 2024."""
     dates = spark.createDataFrame([(A.FEED_ID, d) for d in WANTED_DATES], "feed_id string, date date")
     return SV.counts_of(SV.restrict_to_dates(_feed(spark, sf), dates))
+
+
+@register(
+    "restrict_dates_rows",
+    sql=_cascade_sql("service_id IN (SELECT service_id FROM active WHERE date IN (DATE '2024-01-10', DATE '2024-01-11'))", _ROWS),
+    extra_views=_ACTIVE_VIEW,
+)
+def restrict_dates_rows(spark, sf):
+    """JN-13: the key of every row that the restriction to two dates keeps."""
+    dates = spark.createDataFrame([(A.FEED_ID, d) for d in WANTED_DATES], "feed_id string, date date")
+    return _rows_of(SV.restrict_to_dates(_feed(spark, sf), dates))

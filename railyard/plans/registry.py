@@ -41,5 +41,6 @@ def load_all() -> None:
         q_mapping,
         q_service,
         q_netex,
+        q_netex_xml,
         q_sources,
     )

@@ -4,8 +4,8 @@ Each entity row becomes an XML element with ``F.to_xml`` (child order is the
 struct field order; NULL children are omitted; ``_x`` fields are attributes,
 ``_VALUE`` is text). Documents are assembled as text rows
 ``(feed_id, document, section, ordinal, text)``; header and footer rows wrap
-the sorted entity rows, and each document is written by one task into its
-own ``feed_id=/document=`` folder.
+the sorted entity rows, and each document is written in ordered parts into
+its own ``feed_id=/document=`` folder.
 """
 
 from __future__ import annotations
@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railyard.operators.netex import NetexConfig
+from railyard.session import materialise
 
 FEED = "feed_id"
+#: Fixed: namespace and schema of the standard.
 NETEX_NS = "http://www.netex.org.uk/netex"
+SCHEMA_LOCATION = "http://netex.uk/netex/schema/1.15/xsd/NeTEx_publication.xsd"
 
 
 def _ref(value: Column, version: str | None = "any") -> Column:
@@ -46,7 +49,8 @@ def render_stop_places(places: DataFrame, cfg: NetexConfig) -> DataFrame:
     """NX-07/08/09: StopPlace ← Name, Centroid?, TransportMode, quays?."""
     quay = lambda q: F.struct(
         q["id"].alias("_id"), F.lit(cfg.version).alias("_version"),
-        _text(q["name"], cfg.default_lang).alias("Name"), _location(q["centroid"]).alias("Centroid"))
+        _text(q["name"], cfg.default_lang).alias("Name"), _location(q["centroid"]).alias("Centroid"),
+        q["public_code"].alias("PublicCode"))
     el = F.struct(
         F.col("id").alias("_id"), F.lit(cfg.version).alias("_version"),
         _text(F.col("name"), cfg.default_lang).alias("Name"), _location(F.col("centroid")).alias("Centroid"),
@@ -116,8 +120,10 @@ def render_passing_times(pt: DataFrame) -> DataFrame:
 
 # --- documents (NX-20..30, SNK-12) ----------------------------------------------------------
 def write_documents(rows: DataFrame, path: str) -> None:
-    """Each (feed, document) is sorted and written by one task, one file."""
-    (rows.repartition(FEED, "document").sortWithinPartitions(FEED, "document", "section", "ordinal")
+    """Sorted rows of every document, cut by range over many tasks: a document is
+    the parts of its folder in the order of their names (one part if it is small)."""
+    order = [FEED, "document", "section", "ordinal", "text"]
+    (rows.repartitionByRange(*order).sortWithinPartitions(*order)
      .select(FEED, "document", "text").write.mode("overwrite").partitionBy(FEED, "document").text(path))
 
 
@@ -259,7 +265,7 @@ def netex_documents(tables: dict, cfg: NetexConfig, timestamp: str, st_order=("s
     journeys = NX.service_journeys(trips, t2p, cfg)
     passing = NX.passing_times(st, t2p, cfg, list(st_order))
     orgs = render_organisations(NX.organisations(tables["agency"], cfg, list(agency_order)), cfg)
-    validity = NX.validity(periods)
+    validity = NX.validity(periods, routes)
     cs, v = cfg.codespace, cfg.version
     stops_doc, lines_doc = F.lit("SiteFrame_Stops"), F.lit("ServiceFrame_Lines")
     line_local = F.regexp_extract(F.col("line_ref"), r"([^:]+)$", 1)
@@ -273,23 +279,23 @@ def netex_documents(tables: dict, cfg: NetexConfig, timestamp: str, st_order=("s
                  stops_doc, 37, _num("order"), "<dayTypeAssignments>", "</dayTypeAssignments>"),
     ]
     service = [
-        _section(render_lines(lines, cfg), lines_doc, 41, F.col("id"), "<lines>", "</lines>"),
+        _section(render_lines(lines, cfg), lines_doc, 46, F.col("id"), "<lines>", "</lines>"),
         _section(render_stop_points(points, cfg).join(points.select(FEED, F.col("ssp_id").alias("id"), "order"),
                                                       [FEED, "id"]),
-                 lines_doc, 44, _num("order"), "<scheduledStopPoints>", "</scheduledStopPoints>"),
-        _section(render_stop_assignments(points, cfg), lines_doc, 47, _num("order"), "<stopAssignments>",
+                 lines_doc, 49, _num("order"), "<scheduledStopPoints>", "</scheduledStopPoints>"),
+        _section(render_stop_assignments(points, cfg), lines_doc, 52, _num("order"), "<stopAssignments>",
                  "</stopAssignments>"),
         _section(render_journey_patterns(patterns, spjp, cfg).join(patterns.select(FEED, "id", "_n"), [FEED, "id"]),
-                 lines_doc, 50, _num("_n"), "<journeyPatterns>", "</journeyPatterns>"),
+                 lines_doc, 55, _num("_n"), "<journeyPatterns>", "</journeyPatterns>"),
     ]
     journeys_xml = render_service_journeys(journeys, passing, cfg)
     timetable = [_section(journeys_xml, F.concat(F.lit("TimetableFrame_Schedules_Line_"), line_local), 61, F.col("id"),
                           "<vehicleJourneys>", "</vehicleJourneys>")]
     frames = [
         _wrappers(site, 20, 29, f'<SiteFrame id="{cs}:SiteFrame:SiteFrame_1" version="{v}">', "</SiteFrame>"),
-        _wrappers(calendar, 30, 39, f'<ServiceCalendarFrame id="{cs}:ServiceCalendarFrame:ServiceCalendarFrame_1" '
+        _wrappers(calendar, 30, 40, f'<ServiceCalendarFrame id="{cs}:ServiceCalendarFrame:ServiceCalendarFrame_1" '
                                     f'version="{v}">', "</ServiceCalendarFrame>"),
-        _wrappers(service, 40, 59, f'<ServiceFrame id="{cs}:ServiceFrame:ServiceFrame_1" version="{v}">',
+        _wrappers(service, 45, 59, f'<ServiceFrame id="{cs}:ServiceFrame:ServiceFrame_1" version="{v}">',
                   "</ServiceFrame>"),
         _wrappers(timetable, 60, 69, F.concat(F.lit(f'<TimetableFrame id="{cs}:TimetableFrame:Line_'),
                                               F.regexp_extract("document", r"Line_(.*)$", 1),
@@ -318,6 +324,7 @@ def netex_documents(tables: dict, cfg: NetexConfig, timestamp: str, st_order=("s
         F.lit('<?xml version="1.0" encoding="UTF-8"?>\n'
               f'<PublicationDelivery xmlns="{NETEX_NS}" xmlns:gml="http://www.opengis.net/gml/3.2" '
               'xmlns:siri="http://www.siri.org.uk/siri" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" '
+              f'xsi:schemaLocation="{NETEX_NS} {SCHEMA_LOCATION}" '
               f'version="1.15:PT-EPIP-1.0"><PublicationTimestamp>{timestamp}</PublicationTimestamp>'
               f'<ParticipantRef>{_esc(participant)}</ParticipantRef><Description lang="{cfg.default_lang}">'),
         description, F.lit("</Description><dataObjects>"),
@@ -335,8 +342,22 @@ def netex_documents(tables: dict, cfg: NetexConfig, timestamp: str, st_order=("s
     return body.unionByName(org_rows).unionByName(fixed)
 
 
-def export_netex(tables: dict, cfg: NetexConfig, path: str, timestamp: str, **orders) -> DataFrame:
-    """SNK-12: write every document; returns the document list with row counts."""
-    rows = netex_documents(tables, cfg, timestamp, **orders)
+def export_issues(tables: dict, cfg: NetexConfig) -> DataFrame:
+    """PRJ-21: what refuses or qualifies the export of each feed — the GTFS
+    pre-export gate, a placeholder codespace, route types without a mode."""
+    from railyard.operators import netex as NX
+    from railyard.operators import store
+    from railyard.sinks import gtfs_text
+
+    return gtfs_text.pre_export_issues(store.table_counts(tables)).unionByName(NX.preflight(tables["routes"], cfg))
+
+
+def export_netex(tables: dict, cfg: NetexConfig, path: str, timestamp: str, **orders) -> tuple[DataFrame, DataFrame]:
+    """SNK-12: write every document of the feeds without an error; returns
+    (issues, document list with row counts)."""
+    issues = materialise(export_issues(tables, cfg))
+    refused = issues.where(F.col("severity") == "error").select(FEED).distinct()
+    ok = {t: df.join(refused, FEED, "left_anti") for t, df in tables.items()}
+    rows = materialise(netex_documents(ok, cfg, timestamp, **orders))
     write_documents(rows, path)
-    return rows.groupBy(FEED, "document").agg(F.count(F.lit(1)).alias("rows"))
+    return issues, rows.groupBy(FEED, "document").agg(F.count(F.lit(1)).alias("rows"))

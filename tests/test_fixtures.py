@@ -319,16 +319,17 @@ def test_netex_export_documents_are_well_formed(spark, scratch):
                                         "feed_id string, row_num long, agency_id string, agency_name string, "
                                         "agency_email string")
     out = f"{scratch}/netex"
-    docs = netex_xml.export_netex(f, CFG, out, "2026-04-21T08:55:45Z")
+    issues, docs = netex_xml.export_netex(f, CFG, out, "2026-04-21T08:55:45Z")
+    assert issues.where("severity = 'error'").count() == 0
     names = sorted(r.document for r in docs.collect())
     assert names == ["ServiceFrame_Lines", "SiteFrame_Stops", "TimetableFrame_Schedules_Line_R1",
                      "TimetableFrame_Schedules_Line_R2"]
     ns = {"n": "http://www.netex.org.uk/netex"}
     parsed = {}
     for name in names:
-        files = glob.glob(f"{out}/feed_id={FEED}/document={name}/part-*.txt")
-        assert len(files) == 1  # one file per document
-        parsed[name] = ET.fromstring(open(files[0], encoding="utf-8").read().encode("utf-8"))
+        files = sorted(glob.glob(f"{out}/feed_id={FEED}/document={name}/part-*.txt"))  # parts in the order of their names
+        parsed[name] = ET.fromstring("".join(open(p, encoding="utf-8").read() for p in files).encode("utf-8"))
+        assert parsed[name].get("{http://www.w3.org/2001/XMLSchema-instance}schemaLocation").endswith("NeTEx_publication.xsd")
     night = parsed["TimetableFrame_Schedules_Line_R2"]
     offsets = [e.text for e in night.iter("{http://www.netex.org.uk/netex}ArrivalDayOffset")]
     assert offsets == ["1"]

@@ -24,6 +24,12 @@ ROUTE_TYPE_TO_VEHICLE_MODE = {
 LOCATION_TYPE_TO_ELEMENT = {0: "Quay", 1: "StopPlace", 2: "StopPlaceEntrance", 3: "PathJunction", 4: "BoardingPosition"}
 WHEELCHAIR_TO_LIMITATION = {0: "unknown", 1: "true", 2: "false"}
 NULL_TOKENS = ("n/a", "nan", "", "null")
+NAME_SEPARATOR = r" / |[/ -]"
+NAME_DROPPED = r"[().]"
+DAY_MONTH_YEAR = r"^(\d{2})/(\d{2})/(\d{4})$"
+YEAR_MONTH_DAY = r"(?s)^(\d{4})-(\d{2})-(\d{2}).*$"
+EIGHT_DIGITS = r"^\d{8}$"
+DEFAULT_DURATION_SECS = 30
 
 
 def _c(c: ColOrName) -> Column:
@@ -37,18 +43,13 @@ def strip(c: ColOrName) -> Column:
 
 # SC-01 ----------------------------------------------------------------------
 def normalize_column_name(c: ColOrName) -> Column:
-    x = F.lower(strip(c))
-    for old, new in ((" / ", "_"), ("/", "_"), (" ", "_"), ("-", "_"), ("(", ""), (")", ""), (".", "")):
-        x = F.replace(x, F.lit(old), F.lit(new))
-    return x
+    """Trimmed lower-case name, blanks, slashes and hyphens as underscores, brackets and dots gone."""
+    return F.regexp_replace(F.regexp_replace(F.lower(strip(c)), NAME_SEPARATOR, "_"), NAME_DROPPED, "")
 
 
 def normalize_header(name: str) -> str:
     """SC-01 on a header name (plan-time, driver side; names only, never data)."""
-    x = name.strip().lower()
-    for old, new in ((" / ", "_"), ("/", "_"), (" ", "_"), ("-", "_"), ("(", ""), (")", ""), (".", "")):
-        x = x.replace(old, new)
-    return x
+    return re.sub(NAME_DROPPED, "", re.sub(NAME_SEPARATOR, "_", name.strip().lower()))
 
 
 # SC-02 ----------------------------------------------------------------------
@@ -90,15 +91,9 @@ def service_id(c: ColOrName) -> Column:
 
 # SC-07 family ---------------------------------------------------------------
 def to_yyyymmdd(c: ColOrName) -> Column:
-    s = strip(c)
-    iso = r"^(\d{4})-(\d{2})-(\d{2})"
-    dmy = r"^(\d{2})/(\d{2})/(\d{4})$"
-    return (
-        F.when(s == "", F.lit(None))
-        .when(s.rlike(r"^\d{8}$"), s)
-        .when(s.rlike(iso), F.concat(F.regexp_extract(s, iso, 1), F.regexp_extract(s, iso, 2), F.regexp_extract(s, iso, 3)))
-        .when(s.rlike(dmy), F.concat(F.regexp_extract(s, dmy, 3), F.regexp_extract(s, dmy, 2), F.regexp_extract(s, dmy, 1)))
-    )
+    """A date text (``dd/MM/yyyy``, ISO date or instant, or eight digits) as eight digits; NULL for any other."""
+    digits = F.regexp_replace(F.regexp_replace(strip(c), DAY_MONTH_YEAR, "$3$2$1"), YEAR_MONTH_DAY, "$1$2$3")
+    return F.when(digits.rlike(EIGHT_DIGITS), digits)
 
 
 def is_valid_yyyymmdd(c: ColOrName) -> Column:
@@ -106,7 +101,7 @@ def is_valid_yyyymmdd(c: ColOrName) -> Column:
     x = _c(c)
     return (
         x.isNotNull()
-        & x.rlike(r"^\d{8}$")
+        & x.rlike(EIGHT_DIGITS)
         & (F.substring(x, 1, 4) != "0000")
         & F.try_to_date(x, "yyyyMMdd").isNotNull()
     )
@@ -140,19 +135,13 @@ def seconds_to_time(c: ColOrName) -> Column:
     return F.format_string("%02d:%02d:%02d", F.floor(x / 3600), F.floor((x % 3600) / 60), x % 60)
 
 
-def parse_duration_secs(c: ColOrName, default: int = 30) -> Column:
-    x = _c(c)
-    s = strip(x.cast("string"))
-    parts = F.split(s, ":")
-    n = F.size(parts)
-    p = [F.try_element_at(parts, F.lit(i)).try_cast("int") for i in (1, 2, 3)]
-    as_num = s.try_cast("double").cast("long")
-    val = (
-        F.when(n == 3, p[0] * 3600 + p[1] * 60 + p[2])
-        .when(n == 2, p[0] * 60 + p[1])
-        .otherwise(as_num)
-    )
-    return F.coalesce(val.cast("long"), F.lit(default).cast("long"))
+def parse_duration_secs(c: ColOrName, default: int = DEFAULT_DURATION_SECS) -> Column:
+    """Seconds of ``h:m:s``, ``m:s`` or a number of seconds; anything else is ``default``."""
+    text = strip(_c(c).cast("string"))
+    units = F.transform(F.split(text, ":"), lambda x: x.try_cast("int").cast("long"))
+    clock = F.aggregate(units, F.lit(0).cast("long"), lambda total, x: total * 60 + x)
+    seconds = F.when(F.size(units).isin(2, 3), clock).otherwise(text.try_cast("double").cast("long"))
+    return F.coalesce(seconds, F.lit(default).cast("long"))
 
 
 def gtfs_time_parts(c: ColOrName) -> Column:
@@ -168,18 +157,6 @@ def gtfs_time_parts(c: ColOrName) -> Column:
     )
 
 
-# SC-12 ----------------------------------------------------------------------
-GTFS_TIME_RE = r"^\d{1,3}:\d{2}:\d{2}$"
-GTFS_DATE_RE = r"^\d{8}$"
-HEX_COLOR_RE = r"^[0-9A-Fa-f]{6}$"
-
-
-def matches(c: ColOrName, pattern: str) -> Column:
-    """NULL passes (optional field); otherwise the pattern must match."""
-    x = _c(c)
-    return x.isNull() | x.rlike(pattern)
-
-
 # SC-13 / SC-14 / SC-15 ------------------------------------------------------
 def weekday0(ts: ColOrName) -> Column:
     """Monday = 0 … Sunday = 6."""

@@ -280,7 +280,7 @@ def validate_text_export(spark, path: str) -> DataFrame:
         glob = f"{path}/feed_id=*/table={t}"
         if not tabular.path_exists(spark, glob):
             continue
-        df = tabular.read_csv_text(spark, glob)
+        df = tabular.read_csv_text(spark, glob, parts=True)
         tables[f"{t}.txt"] = df.withColumn(FEED, F.regexp_extract("_file", r"feed_id=([^/]+)", 1)).drop("_file")
     if not tables:
         raise FileNotFoundError(f"no exported table under {path}")

@@ -185,3 +185,66 @@ def csv_cells(spark, sf):
         S.format_cell("p_size", is_float=False).alias("size_text"),
         S.stringify(long_text).alias("sample_text"),
     )
+
+
+@register(
+    "code_maps",
+    sql="""
+    SELECT p_partkey,
+           CASE p_size % 6 WHEN 0 THEN 'Quay' WHEN 1 THEN 'StopPlace' WHEN 2 THEN 'StopPlaceEntrance' WHEN 3 THEN 'PathJunction'
+                WHEN 4 THEN 'BoardingPosition' END AS element,
+           CASE p_size % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'true' WHEN 2 THEN 'false' END AS limitation,
+           CASE WHEN p_size % 3 = 0 THEN CAST(p_partkey AS DOUBLE) END AS centroid_longitude,
+           CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS DOUBLE) END AS centroid_latitude
+    FROM part
+    """,
+)
+def code_maps(spark, sf):
+    """SC-17 maps (codes without an entry are NULL) and SC-20 centroids (NULL without both coordinates)."""
+    p = A.table(spark, sf, "part")
+    at = S.centroid(F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("double")), F.col("p_partkey").cast("double"))
+    return p.select("p_partkey", S.stop_place_element(F.col("p_size") % 6).alias("element"),
+                    S.wheelchair_limitation(F.col("p_size") % 4).alias("limitation"),
+                    at["longitude"].alias("centroid_longitude"), at["latitude"].alias("centroid_latitude"))
+
+
+@register(
+    "netex_file_names",
+    sql="""
+    SELECT o_orderkey,
+           'NETEX_PT_' || upper(regexp_replace(o_orderpriority, '[^A-Za-z0-9_-]', '_', 'g')) || '_' || strftime(o_orderdate, '%Y%m%d') || '_'
+             || strftime(o_orderdate, '%Y%m%d') || '0000' AS bundle,
+           'TimetableFrame_Schedules_Line_' || regexp_replace(o_orderpriority, '[^A-Za-z0-9_-]', '_', 'g') AS document
+    FROM orders
+    """,
+)
+def netex_file_names(spark, sf):
+    """SC-23: bundle and timetable document names."""
+    o = A.table(spark, sf, "orders")
+    day = F.date_format("o_orderdate", "yyyyMMdd")
+    return o.select("o_orderkey", S.netex_bundle_name("o_orderpriority", day, F.col("o_orderdate").cast("timestamp_ntz")).alias("bundle"),
+                    S.timetable_document_name("o_orderpriority").alias("document"))
+
+
+@register(
+    "durations",
+    sql="""
+    WITH t AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber
+                 WHEN 1 THEN (l_orderkey % 90) || ':' || lpad(CAST(l_partkey % 60 AS VARCHAR), 2, '0')
+                 WHEN 2 THEN (l_orderkey % 30) || ':' || (l_partkey % 60) || ':' || (l_suppkey % 60)
+                 WHEN 3 THEN ' ' || l_partkey || '.75 ' WHEN 4 THEN 'soon' WHEN 5 THEN '1:x' WHEN 6 THEN '' END AS text,
+                 l_orderkey % 90 AS m, l_orderkey % 30 AS h, l_partkey AS p, l_suppkey AS s FROM lineitem)
+    SELECT l_orderkey, l_linenumber, text, CASE l_linenumber WHEN 1 THEN m * 60 + p % 60 WHEN 2 THEN h * 3600 + (p % 60) * 60 + s % 60
+                                                 WHEN 3 THEN p ELSE 30 END AS seconds
+    FROM t
+    """,
+)
+def durations(spark, sf):
+    """SC-10: clock texts, numbers, and what is neither (the default)."""
+    li = A.table(spark, sf, "lineitem")
+    text = lambda c: F.col(c).cast("string")
+    o, p, s, n = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    value = (F.when(n == 1, F.concat((o % 90).cast("string"), F.lit(":"), F.lpad((p % 60).cast("string"), 2, "0")))
+             .when(n == 2, F.concat_ws(":", *[x.cast("string") for x in (o % 30, p % 60, s % 60)]))
+             .when(n == 3, F.concat(F.lit(" "), text("l_partkey"), F.lit(".75 "))).when(n == 4, "soon").when(n == 5, "1:x").when(n == 6, ""))
+    return li.select("l_orderkey", "l_linenumber", value.alias("text"), S.parse_duration_secs(value).alias("seconds"))

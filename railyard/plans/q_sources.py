@@ -13,40 +13,45 @@ from railyard.sources import geojson, lineage
 
 
 def part_features(spark, sf):
-    """One GeoJSON FeatureCollection text per part row, geometry kind by size."""
+    """One GeoJSON FeatureCollection text per part row, geometry kind by key:
+    every kind, valid and not (a bow-tie ring crosses itself)."""
     p = A.table(spark, sf, "part")
     k = F.col("p_partkey")
     lat = ((k * 7919 % 180) - 90).cast("double")
     lon = ((k * 104729 % 360) - 180).cast("double")
-
-    def pos(x, y):
-        return F.array(x, y)
-
-    kind = F.col("p_size") % 6
-    coords = (
-        F.when(kind == 0, F.to_json(pos(lon, lat)))
-        .when(kind == 1, F.to_json(F.array(pos(lon, lat), pos(lon + 1, lat + 1))))
-        .when(kind == 2, F.to_json(F.array(pos(lon, lat))))
-        .when(kind == 3, F.to_json(F.array(F.array(pos(lon, lat), pos(lon + 1, lat), pos(lon + 1, lat + 1), pos(lon, lat)))))
-        .when(kind == 4, F.to_json(F.array(F.array(pos(lon, lat), pos(lon + 1, lat), pos(lon + 1, lat + 1),
-                                                   pos(lon, lat + 1))))))
-    gtype = (F.when(kind.isin(0), "Point").when(kind.isin(1, 2), "LineString").when(kind.isin(3, 4), "Polygon"))
-    geometry = F.when(kind != 5, F.struct(gtype.alias("type"), coords.alias("coordinates")))
-    feature = F.struct(F.lit("Feature").alias("type"),
-                       F.create_map(F.lit("stop_id"), k.cast("string"), F.lit("name"), F.col("p_name")).alias("properties"),
-                       geometry.alias("geometry"))
+    at = lambda x, y: F.array(lon + x, lat + y)
+    closed = F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 0))
+    bow_tie = F.array(at(0, 0), at(1, 1), at(1, 0), at(0, 1), at(0, 0))
+    shapes = [
+        ("Point", at(0, 0)), ("LineString", F.array(at(0, 0), at(1, 1))), ("LineString", F.array(at(0, 0))),
+        ("Polygon", F.array(closed)), ("Polygon", F.array(F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1)))), None,
+        ("Polygon", F.array(bow_tie)), ("MultiPoint", F.array(at(0, 0), at(1, 1))),
+        ("MultiLineString", F.array(F.array(at(0, 0), at(1, 1)), F.array(at(2, 0), at(3, 1)))),
+        ("MultiPolygon", F.array(F.array(closed))), ("MultiPolygon", F.array(F.array(closed), F.array(bow_tie))),
+    ]
+    kind = k % len(shapes)
+    gtype, coords = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, s in enumerate(shapes):
+        if s is not None:
+            gtype, coords = F.when(kind == i, F.lit(s[0])).otherwise(gtype), F.when(kind == i, F.to_json(s[1])).otherwise(coords)
+    geometry = F.when(gtype.isNotNull(), F.struct(gtype.alias("type"), coords.alias("coordinates")))
+    properties = F.map_filter(F.create_map(F.lit("stop_id"), k.cast("string"), F.lit("name"), F.col("p_name"),
+                                           F.lit("brand"), F.when(F.col("p_size") > 25, F.col("p_brand"))), lambda _, v: v.isNotNull())
+    feature = F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry"))
     doc = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features")))
     return geojson.features_from_json(p.select(doc.alias("doc")), "doc")
 
 
-_GEOM_CASE = """CASE p_size % 6 WHEN 0 THEN 'Point' WHEN 1 THEN 'LineString' WHEN 2 THEN 'LineString'
-                WHEN 3 THEN 'Polygon' WHEN 4 THEN 'Polygon' ELSE 'null' END"""
+_GEOM_CASE = """CASE p_partkey % 11 WHEN 0 THEN 'Point' WHEN 1 THEN 'LineString' WHEN 2 THEN 'LineString'
+                WHEN 3 THEN 'Polygon' WHEN 4 THEN 'Polygon' WHEN 6 THEN 'Polygon' WHEN 7 THEN 'MultiPoint'
+                WHEN 8 THEN 'MultiLineString' WHEN 9 THEN 'MultiPolygon' WHEN 10 THEN 'MultiPolygon' ELSE 'null' END"""
+_GEOM_VALID = "p_partkey % 11 IN (0, 1, 3, 7, 8, 9)"
 
 
 @register(
     "geometry_filter",
     sql=f"""
-    SELECT CAST(p_partkey AS VARCHAR) AS stop_id, {_GEOM_CASE} AS geometry_type, p_size % 6 IN (0, 1, 3) AS is_valid
+    SELECT CAST(p_partkey AS VARCHAR) AS stop_id, {_GEOM_CASE} AS geometry_type, {_GEOM_VALID} AS is_valid
     FROM part
     """,
 )
@@ -65,10 +70,44 @@ def geometry_types(spark, sf):
 
 
 @register(
-    "geometry_validation",
+    "geometry_null_ratios",
+    sql="""
+    SELECT count(*) AS features, avg(CASE WHEN p_partkey % 11 = 5 THEN 1 ELSE 0 END) AS geometry, 0.0::DOUBLE AS stop_id,
+           avg(CASE WHEN p_size > 25 THEN 0 ELSE 1 END) AS brand, 1.0::DOUBLE AS zone
+    FROM part
+    """,
+)
+def geometry_null_ratios(spark, sf):
+    """AG-02: null ratios of the geometry and of properties, absent ones included."""
+    return geojson.null_ratios(part_features(spark, sf), ["stop_id", "brand", "zone"])
+
+
+@register(
+    "geometry_wkt",
     sql="""
-    SELECT count(*) AS total, count(*) FILTER (WHERE p_size % 6 IN (0, 1, 3)) AS valid,
-           count(*) FILTER (WHERE p_size % 6 NOT IN (0, 1, 3)) AS invalid, 'zone' AS missing_columns
+    WITH g AS (SELECT p_partkey, p_partkey % 11 AS k, CAST((p_partkey * 7919 % 180) - 90 AS DOUBLE) AS lat,
+                      CAST((p_partkey * 104729 % 360) - 180 AS DOUBLE) AS lon FROM part),
+         c AS (SELECT *, '(' || lon || ' ' || lat || ', ' || (lon + 1) || ' ' || lat || ', ' || (lon + 1) || ' ' || (lat + 1) || ', '
+                          || lon || ' ' || lat || ')' AS ring, lon || ' ' || lat AS p0, (lon + 1) || ' ' || (lat + 1) AS p1 FROM g)
+    SELECT CAST(p_partkey AS VARCHAR) AS stop_id,
+           CASE k WHEN 0 THEN 'POINT (' || p0 || ')' WHEN 1 THEN 'LINESTRING (' || p0 || ', ' || p1 || ')' WHEN 3 THEN 'POLYGON (' || ring || ')'
+                  WHEN 7 THEN 'MULTIPOINT (' || p0 || ', ' || p1 || ')'
+                  WHEN 8 THEN 'MULTILINESTRING ((' || p0 || ', ' || p1 || '), (' || (lon + 2) || ' ' || lat || ', ' || (lon + 3) || ' ' || (lat + 1) || '))'
+                  WHEN 9 THEN 'MULTIPOLYGON ((' || ring || '))' END AS wkt
+    FROM c WHERE k IN (0, 1, 3, 7, 8, 9)
+    """,
+)
+def geometry_wkt(spark, sf):
+    """SNK-03: the WKT text of every valid feature."""
+    valid, _ = geojson.filter_valid(part_features(spark, sf))
+    return valid.select(F.col("properties")["stop_id"].alias("stop_id"), geojson.to_wkt(F.col("geometry")).alias("wkt"))
+
+
+@register(
+    "geometry_validation",
+    sql=f"""
+    SELECT count(*) AS total, count(*) FILTER (WHERE {_GEOM_VALID}) AS valid,
+           count(*) FILTER (WHERE NOT ({_GEOM_VALID})) AS invalid, 'zone' AS missing_columns
     FROM part
     """,
 )

@@ -4,8 +4,10 @@ Each (feed, table) becomes one ``.txt`` member: UTF-8, CRLF line ends,
 minimal quoting, NULL as empty, whole floats as integers, columns that are
 NULL in every row of that feed left out, empty tables left out. Lines are
 formatted as text columns in Spark (per-feed column choice comes from one
-aggregate, one row per feed), then written partitioned by
-``feed_id``/``table``; each partition is sorted header-first.
+aggregate, one row per feed), then range-partitioned in member order and
+written by ``feed_id``/``table``: a large member is several parts in the order
+of their names, the header in the first; ``tabular.read_csv_text(parts=True)``
+reads such a folder as one file.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ def table_lines(df: DataFrame, table: str, columns: Sequence[str] | None = None)
     names = F.array(*[F.lit(c) for c in cols])
     header = active.select(FEED, F.lit(table).alias("table"), F.lit(0).alias("section"), F.lit("").alias("sort_key"),
                            F.array_join(F.transform("_keep", lambda i: F.element_at(names, i + 1)), ",").alias("line"))
-    body = df.join(F.broadcast(active), FEED, "inner")
+    body = df.join(active, FEED, "inner")
     vals = F.array(*[_quote(cells[c]) for c in cols])
     pk = [c for c in catalog.PRIMARY_KEYS.get(table, []) if c in cols] or cols[:1]
     sort_key = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in pk])
@@ -59,7 +61,8 @@ def write_feed(tables: Mapping[str, DataFrame], path: str, order: Sequence[str]
         if t in tables:
             part = table_lines(tables[t], t)
             lines = part if lines is None else lines.unionByName(part)
-    (lines.repartition(FEED, "table").sortWithinPartitions(FEED, "table", "section", "sort_key")
+    member = [FEED, "table", "section", "sort_key", "line"]
+    (lines.repartitionByRange(*member).sortWithinPartitions(*member)
      .select(FEED, "table", "line").write.mode("overwrite").option("lineSep", "\r\n")
      .partitionBy(FEED, "table").text(path))
 

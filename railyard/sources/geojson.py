@@ -3,9 +3,10 @@
 Geometries are kept as ``struct<type string, coordinates string>`` where
 ``coordinates`` is the JSON text of the nested coordinate arrays; validity
 parses it into typed arrays per geometry type with ``from_json``.
-Validity (our definition): not NULL, non-empty coordinates, finite numbers;
-a Point has 2+ numbers; a LineString 2+ distinct positions; a Polygon's
-rings are closed with 4+ positions.
+Validity: not NULL, non-empty coordinates, finite numbers; a Point has 2+
+numbers; a LineString 2+ distinct positions; a Polygon's rings are closed with
+4+ positions and do not cross or touch themselves; the Multi* kinds are valid
+if every member is.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ COLLECTION = T.StructType([T.StructField("type", T.StringType()), T.StructField(
 _POS = T.ArrayType(T.DoubleType())
 _LINE = T.ArrayType(_POS)
 _POLY = T.ArrayType(_LINE)
+_POLYS = T.ArrayType(_POLY)
 
 
 def read_feature_collections(spark: SparkSession, path: str) -> DataFrame:
@@ -50,19 +52,65 @@ def _finite(a: Column) -> Column:
     return F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
 
 
+def _turn(a: Column, b: Column, c: Column) -> Column:
+    """On which side of the line a-b the position c lies (sign of the cross product)."""
+    return F.signum((F.get(b, 0) - F.get(a, 0)) * (F.get(c, 1) - F.get(a, 1)) - (F.get(b, 1) - F.get(a, 1)) * (F.get(c, 0) - F.get(a, 0)))
+
+
+def _within(a: Column, b: Column, c: Column) -> Column:
+    """Is c inside the box of a and b?"""
+    return F.get(c, 0).between(F.least(F.get(a, 0), F.get(b, 0)), F.greatest(F.get(a, 0), F.get(b, 0))) & \
+        F.get(c, 1).between(F.least(F.get(a, 1), F.get(b, 1)), F.greatest(F.get(a, 1), F.get(b, 1)))
+
+
+def _meet(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Do the segments a-b and c-d have a position in common?"""
+    proper = (_turn(a, b, c) * _turn(a, b, d) < 0) & (_turn(c, d, a) * _turn(c, d, b) < 0)
+    touch = ((_turn(a, b, c) == 0) & _within(a, b, c)) | ((_turn(a, b, d) == 0) & _within(a, b, d)) | \
+        ((_turn(c, d, a) == 0) & _within(c, d, a)) | ((_turn(c, d, b) == 0) & _within(c, d, b))
+    return proper | touch
+
+
+def _ring_simple(r: Column) -> Column:
+    """No two sides of a closed ring meet, except neighbours at their common corner."""
+    n = F.size(r) - 1  # sides
+
+    def crossed(i: Column) -> Column:
+        later = F.when(i + 2 <= n - 1, F.sequence(i + 2, n - 1)).otherwise(F.array().cast("array<int>"))
+        neighbour_of_first = lambda j: (i == 0) & (j == n - 1)
+        return F.exists(later, lambda j: ~neighbour_of_first(j) & _meet(F.get(r, i), F.get(r, i + 1), F.get(r, j), F.get(r, j + 1)))
+
+    return ~F.exists(F.sequence(F.lit(0), n - 1), crossed)
+
+
+def _point_ok(p: Column) -> Column:
+    return p.isNotNull() & (F.size(p) >= 2) & _finite(p)
+
+
+def _line_ok(ln: Column) -> Column:
+    return ln.isNotNull() & (F.size(F.array_distinct(ln)) >= 2) & F.forall(ln, _point_ok)
+
+
+def _ring_ok(r: Column) -> Column:
+    closed = (F.size(r) >= 4) & (F.get(r, 0) == F.element_at(r, -1)) & F.forall(r, _point_ok)
+    return F.when(closed, _ring_simple(r)).otherwise(F.lit(False))
+
+
+def _polygon_ok(pg: Column) -> Column:
+    return pg.isNotNull() & (F.size(pg) >= 1) & F.forall(pg, _ring_ok)
+
+
 def geometry_valid(geom: Column) -> Column:
     """PRJ-11 predicate (NULL-safe: a NULL geometry is invalid)."""
-    t = geom["type"]
-    c = geom["coordinates"]
-    pt = F.from_json(c, _POS)
-    ln = F.from_json(c, _LINE)
-    pg = F.from_json(c, _POLY)
-    point_ok = pt.isNotNull() & (F.size(pt) >= 2) & _finite(pt)
-    line_ok = ln.isNotNull() & (F.size(F.array_distinct(ln)) >= 2) & F.forall(ln, lambda p: (F.size(p) >= 2) & _finite(p))
-    ring_ok = lambda r: (F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -1)) & F.forall(
-        r, lambda p: (F.size(p) >= 2) & _finite(p))
-    poly_ok = pg.isNotNull() & (F.size(pg) >= 1) & F.forall(pg, ring_ok)
-    ok = (F.when(t == "Point", point_ok).when(t == "LineString", line_ok).when(t == "Polygon", poly_ok)
+    t, c = geom["type"], geom["coordinates"]
+
+    def each(kind: T.DataType, ok) -> Column:
+        many = F.from_json(c, kind)
+        return many.isNotNull() & (F.size(many) >= 1) & F.forall(many, ok)
+
+    ok = (F.when(t == "Point", _point_ok(F.from_json(c, _POS))).when(t == "LineString", _line_ok(F.from_json(c, _LINE)))
+          .when(t == "Polygon", _polygon_ok(F.from_json(c, _POLY))).when(t == "MultiPoint", each(_LINE, _point_ok))
+          .when(t == "MultiLineString", each(_POLY, _line_ok)).when(t == "MultiPolygon", each(_POLYS, _polygon_ok))
           .otherwise(F.lit(False)))
     return F.coalesce(geom.isNotNull() & c.isNotNull() & ok, F.lit(False))
 
@@ -74,12 +122,12 @@ def filter_valid(features: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def validation_counts(features: DataFrame, required: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """PRJ-12: total / valid / invalid, plus required properties missing from
-    every feature (as a list)."""
-    props = F.map_keys("properties")
+    every feature (as a list). One flag per required property is aggregated,
+    never a list of the properties seen."""
+    seen = [F.coalesce(F.max(F.map_contains_key("properties", F.lit(p))), F.lit(False)).alias(f"_seen{i}") for i, p in enumerate(required)]
     agg = features.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(geometry_valid(F.col("geometry"))).alias("valid"),
-        F.array_distinct(F.flatten(F.collect_set(props))).alias("_seen"))
-    missing = F.array_compact(F.array(*[F.when(~F.array_contains("_seen", p), F.lit(p)) for p in required])) \
+        F.count(F.lit(1)).alias("total"), F.count_if(geometry_valid(F.col("geometry"))).alias("valid"), *seen)
+    missing = F.array_compact(F.array(*[F.when(~F.col(f"_seen{i}"), F.lit(p)) for i, p in enumerate(required)])) \
         if required else F.array().cast("array<string>")
     return agg.select(*keys, "total", "valid", (F.col("total") - F.col("valid")).alias("invalid"),
                       missing.alias("missing_columns"))
@@ -91,13 +139,28 @@ def geometry_metrics(features: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     return features.groupBy(*keys, t.alias("geometry_type")).agg(F.count(F.lit(1)).alias("features"))
 
 
+def null_ratios(features: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """AG-02: share of features whose geometry, or whose named property, is NULL or absent."""
+    ratio = lambda x: F.avg(x.isNull().cast("int"))
+    return features.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("features"), ratio(F.col("geometry")).alias("geometry"),
+        *[ratio(F.try_element_at("properties", F.lit(c))).alias(c) for c in columns])
+
+
 def to_wkt(geom: Column) -> Column:
-    """WKT text of Point / LineString / Polygon (SNK-03 text column)."""
-    c = geom["coordinates"]
+    """WKT text of every geometry kind (SNK-03 text column)."""
+    c, t = geom["coordinates"], geom["type"]
+
+    def listed(a: Column, item) -> Column:
+        return F.concat(F.lit("("), F.concat_ws(", ", F.transform(a, item)), F.lit(")"))
+
     pos = lambda p: F.concat_ws(" ", F.transform(p, lambda x: x.cast("string")))
-    line = lambda ln: F.concat_ws(", ", F.transform(ln, pos))
-    t = geom["type"]
-    return (F.when(t == "Point", F.concat(F.lit("POINT ("), pos(F.from_json(c, _POS)), F.lit(")")))
-            .when(t == "LineString", F.concat(F.lit("LINESTRING ("), line(F.from_json(c, _LINE)), F.lit(")")))
-            .when(t == "Polygon", F.concat(F.lit("POLYGON ("), F.concat_ws(", ", F.transform(
-                F.from_json(c, _POLY), lambda r: F.concat(F.lit("("), line(r), F.lit(")")))), F.lit(")"))))
+    line = lambda ln: listed(ln, pos)
+    polygon = lambda pg: listed(pg, line)
+    named = lambda name, text: F.concat(F.lit(f"{name} "), text)
+    return (F.when(t == "Point", named("POINT", F.concat(F.lit("("), pos(F.from_json(c, _POS)), F.lit(")"))))
+            .when(t == "LineString", named("LINESTRING", line(F.from_json(c, _LINE))))
+            .when(t == "Polygon", named("POLYGON", polygon(F.from_json(c, _POLY))))
+            .when(t == "MultiPoint", named("MULTIPOINT", line(F.from_json(c, _LINE))))
+            .when(t == "MultiLineString", named("MULTILINESTRING", polygon(F.from_json(c, _POLY))))
+            .when(t == "MultiPolygon", named("MULTIPOLYGON", listed(F.from_json(c, _POLYS), polygon))))

@@ -31,12 +31,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def _layouts(spark: SparkSession, paths: list[str]) -> list[tuple[list[str], list[str]]]:
+def _layouts(spark: SparkSession, paths: list[str], parts: bool) -> list[tuple[list[str], list[str]]]:
     """(column names, files) of every distinct header: one line per file is read,
-    and what reaches the driver is the file listing."""
+    and what reaches the driver is the file listing. With ``parts`` the files of
+    a folder are one, and its header is the first line of the first."""
     lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
                                           F.monotonically_increasing_id().alias("i")).where("b = 0")
     first = lines.groupBy("f").agg(F.min_by("value", "i").alias("header"))
+    if parts:
+        folder = F.regexp_extract("f", r"^(.*)/", 1).alias("folder")
+        first = first.groupBy(folder).agg(F.min_by("header", "f").alias("header"), F.collect_list("f").alias("files"))
+        first = first.select("header", F.explode("files").alias("f"))
     out = []
     for r in first.groupBy("header").agg(F.collect_list("f").alias("files")).orderBy("header").collect():
         seen: dict[str, int] = {}
@@ -49,31 +54,37 @@ def _layouts(spark: SparkSession, paths: list[str]) -> list[tuple[list[str], lis
     return out
 
 
-def read_csv_text(spark: SparkSession, path: str | Sequence[str], multiline: bool = True) -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str | Sequence[str], multiline: bool = True, parts: bool = False) -> DataFrame:
     """SRC-01: CSV files with headers, all columns text, with file name and dense row_num.
 
     ``multiline`` reads records with line breaks inside quotes, a whole file per
-    task; without it large files are split, and a record is a line."""
+    task; without it large files are split, and a record is a line. ``parts``
+    takes the files of a folder, in the order of their names, as one file with
+    the header in the first (then ``_file`` is the folder)."""
     out = None
-    for names, files in _layouts(spark, [path] if isinstance(path, str) else list(path)):
+    for names, files in _layouts(spark, [path] if isinstance(path, str) else list(path), parts):
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8")
+        df = (spark.read.schema(schema).option("header", not parts).option("mode", "PERMISSIVE").option("encoding", "UTF-8")
               .option("quote", '"').option("escape", '"').option("multiLine", multiline).csv(files))
-        part = _numbered(df)
+        part = _numbered(df, parts)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         raise FileNotFoundError(f"no file with a header under {path}")
     return out
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-                   F.monotonically_increasing_id().alias("_pos"))
-    blocks = df.groupBy("_file", "_block").agg(F.min("_pos").alias("_min"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("_file", "_block", "_min", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    out = df.join(starts, ["_file", "_block"])
-    return out.withColumn("row_num", F.col("_pos") - F.col("_min") + F.col("_before")).drop("_block", "_pos", "_min", "_before")
+def _numbered(df: DataFrame, parts: bool) -> DataFrame:
+    path = F.col("_metadata.file_path")
+    df = df.select("*", (F.regexp_extract(path, r"^(.*)/", 1) if parts else path).alias("_file"), path.alias("_part"),
+                   F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_pos"))
+    key = ["_file", "_part", "_block"]
+    blocks = df.groupBy(*key).agg(F.min("_pos").alias("_min"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_part", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(*key, "_min", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = df.join(starts, key).withColumn("row_num", F.col("_pos") - F.col("_min") + F.col("_before"))
+    if parts:  # the header line is record 0
+        out = out.withColumn("row_num", F.col("row_num") - 1).where("row_num >= 0")
+    return out.drop("_part", "_block", "_pos", "_min", "_before")
 
 
 def normalize_headers(df: DataFrame, aliases: Mapping[str, str] | None = None) -> DataFrame:

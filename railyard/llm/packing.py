@@ -31,13 +31,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
-from railyard.llm.common import batch_of, materialise, slices, text_bytes
+from railyard.llm.common import SPACE, batch_of, materialise, slices, text_bytes, word_spans
 
 LENGTH = 2048
 END_ID = 1
 VECTOR, DIMS, BITS = 64, 3, 16
 #: Words whose ids a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -47,42 +47,81 @@ def tokenizer(path: str, literal: bool) -> Tokenizer:
     return t
 
 
+#: Byte classes: white space, letter a-z, digit, other ASCII, apostrophe, beyond ASCII.
+_BLANK, _LETTER, _DIGIT, _MARK, _APOSTROPHE, _HIGH = range(6)
+_CLASS = np.full(256, _MARK, np.uint8)
+_CLASS[SPACE] = _BLANK
+_CLASS[97:123] = _LETTER
+_CLASS[48:58] = _DIGIT
+_CLASS[39] = _APOSTROPHE
+_CLASS[128:] = _HIGH
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Two neighbouring bytes between which the tokenizer always cuts.
+_CUT = np.zeros((6, 6), bool)
+for _a, _b in ((_LETTER, _MARK), (_LETTER, _DIGIT), (_DIGIT, _MARK)):
+    _CUT[_a, _b] = _CUT[_b, _a] = True
+_CUT[_DIGIT, _DIGIT] = True
+_CUT = _CUT.ravel()
+
+
 class WordIds:
-    """Token ids of texts whose tokenizer drops white space and never joins
-    across it: ids are found once per distinct word between blanks.
+    """Token ids of texts whose tokenizer lower-cases, drops white space and cuts
+    letters, single digits and other characters apart before it merges (as the
+    file used here does): ids are found once per distinct word.
 
-    New words are encoded together, set apart by a special token that no word
-    contains; words that contain ``<|`` are encoded by themselves."""
+    Texts are lower-cased and cut in ASCII, all rows at once; what touches an
+    apostrophe or a byte beyond ASCII is left whole for the tokenizer to cut.
+    New words are encoded together, a digit between them as a mark; words with
+    digits or ``<|`` are encoded by themselves."""
 
-    def __init__(self, path: str, separator: str = "<|startoftext|>", remembered: int = REMEMBERED):
-        self.path, self.separator, self.remembered = path, separator, remembered
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.tokenizer, self.remembered = tokenizer(path, True), remembered
         self.known: dict[bytes, bytes] = {}
+        mark = self.tokenizer.encode("0", add_special_tokens=False).ids
+        if len(mark) != 1:
+            raise ValueError("the tokenizer has no token for a digit")
+        self.mark = mark[0]
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         if len(self.known) + len(words) > self.remembered:
             self.known.clear()
-        new = [w for w in words if w not in self.known]
-        plain = [w for w in new if b"<|" not in w]
-        apart, literal = tokenizer(self.path, False), tokenizer(self.path, True)
-        mark = apart.token_to_id(self.separator)
-        for i in range(0, len(plain), 5_000):
-            some = plain[i : i + 5_000]
-            ids = np.array(apart.encode(self.separator + self.separator.join(w.decode() for w in some), add_special_tokens=False).ids, "<u2")
-            at = np.append(np.flatnonzero(ids == mark), len(ids))
-            for w, a, b in zip(some, at[:-1] + 1, at[1:], strict=True):
-                self.known[w] = ids[a:b].tobytes()
-        for w in new:
-            if b"<|" in w:
-                self.known[w] = np.array(literal.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+        text = [w.decode() for w in words]
+        plain = [i for i, w in enumerate(text) if w.isalpha()]
+        for i, e in zip(plain_groups := [plain[k : k + 200] for k in range(0, len(plain), 200)],
+                        self.tokenizer.encode_batch_fast([" 0 ".join(text[i] for i in g) for g in plain_groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u2")
+            at = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            begin = np.append(0, at[:-1] + 1)
+            for j, x, y in zip(i, begin.tolist(), at.tolist(), strict=True):
+                self.known[words[j]] = ids[x:y].tobytes()
+        rest = sorted(set(range(len(text))).difference(plain))
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([text[i] for i in rest], add_special_tokens=False)):
+            self.known[words[i]] = np.array(e.ids, "<u2").tobytes()
 
     def ids(self, raw: np.ndarray, off: np.ndarray) -> list[bytes]:
         """The ids of every row, as little-endian 16-bit numbers."""
-        words = [raw[a:b].tobytes().split() for a, b in zip(off[:-1], off[1:])]
-        fresh = set().union(*words)
-        if not fresh <= self.known.keys():
-            self.learn(fresh)
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        if not len(raw):
+            return [b""] * (len(off) - 1)
+        lower = _LOWER[raw]
+        kind = _CLASS[lower]
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[1:-1] = _CUT[kind[:-1] * np.uint8(6) + kind[1:]]
+        cut[off] = True
+        cuts = np.cumsum(cut)
+        spaced = np.full(len(raw) + int(cuts[-1]), 0x20, np.uint8)
+        spaced[np.arange(len(raw)) + cuts[:-1]] = lower
+        _, _, bound = word_spans(spaced, off + cuts[off] - 1, SPACE)
+        words = spaced.tobytes().split()
+        found = list(map(self.known.get, words))
+        if None in found:
+            fresh = {w for w, x in zip(words, found) if x is None}
+            size = len(self.known)
+            self.learn(list(fresh))
+            if len(self.known) < size + len(fresh):  # the table was cleared
+                self.learn([w for w in set(words) if w not in self.known])
+            found = list(map(self.known.__getitem__, words))
+        return [b"".join(found[a:b]) for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())]
 
 
 def projections(ids: list[np.ndarray], size: int, seed: int = 3) -> np.ndarray:

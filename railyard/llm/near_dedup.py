@@ -42,9 +42,11 @@ RECALL = 0.9999
 DEPTH = 2
 #: Trees after which what is linked is joined, so that later leaves can be skipped.
 FIRST_TREES = 3
-#: Largest node that is compared at once, and the block size of larger ones.
+#: Largest node that is compared at once.
 SMALL = 256
 HUBS = 8
+#: Classes of a block when the blocks of a large node are compared pair by pair.
+BLOCK = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -294,7 +296,7 @@ def _open_blocks(large: DataFrame) -> DataFrame:
     """(task, class): pairs of blocks of large nodes that may still hold a link
     between components. Components of half a block and more have blocks of their
     own, the others share blocks; two blocks of one component are no pair."""
-    half = SMALL // 2
+    half = BLOCK
     size = large.groupBy("node", "component").agg(F.count("*").alias("c"))
     placed = large.select("node", "class", "component").join(size, ["node", "component"])
     placed = placed.select("node", "class", F.when(F.col("c") >= half, F.col("component")).alias("own"))

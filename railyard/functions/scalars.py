@@ -243,7 +243,7 @@ def format_cell(c: ColOrName, is_float: bool) -> Column:
     if is_float:
         plain = F.regexp_replace(x.cast("string").try_cast("decimal(38,20)").cast("string"), r"\.?0+$", "")
         whole = F.when(F.abs(x) < 1e18, x.cast("long").cast("string")).otherwise(x.try_cast("decimal(38,0)").cast("string"))
-        txt = F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit("")).when(x == F.floor(x), whole).otherwise(plain)
+        txt = F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit("")).when(x == F.rint(x), whole).otherwise(plain)
     else:
         txt = x.cast("string")
     return F.coalesce(txt, F.lit(""))

@@ -5,7 +5,7 @@ Input frames carry ``feed_id`` and an input-order key (``order_cols``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,3 +146,30 @@ def map_board_alight(passengers: DataFrame, trips: DataFrame) -> DataFrame:
         F.coalesce(F.col("alighting_count").cast("long"), F.lit(0)).alias("alightings"),
         F.col("number_of_users").cast("long").alias("current_load"),
         F.when(F.col("timestamp").isNotNull(), S.to_yyyymmdd(ts_text)).alias("service_date"))
+
+
+def map_feed(datasets: Mapping[str, DataFrame], order_cols: Mapping[str, Sequence[str]],
+             service_id: str = DEFAULT_SERVICE_ID) -> dict[str, DataFrame]:
+    """The whole Silver → GTFS run: the GTFS tables that the given datasets
+    yield, by the names of the upload schemas. Tables that need a dataset which
+    is absent are absent too."""
+    out: dict[str, DataFrame] = {}
+    ops, fleet = datasets.get("Operations and Circulation"), datasets.get("Fleet Identification")
+    if "Stop Spatial Features" in datasets:
+        out["stops"] = map_stops(datasets["Stop Spatial Features"])
+    if ops is not None:
+        order = order_cols["Operations and Circulation"]
+        out["routes"] = map_routes(ops, order)
+        out["trips"] = map_trips(ops, order, service_id)
+        out["stop_times"] = map_stop_times(ops, out["trips"], order)
+    if "Stop Connections" in datasets:
+        out["transfers"] = map_transfers(datasets["Stop Connections"], order_cols["Stop Connections"])
+    if "Calendar Events" in datasets:
+        out["calendar_dates"] = map_calendar_dates(datasets["Calendar Events"], service_id)
+    if fleet is not None:
+        out["agency"] = map_agency(fleet)
+        if ops is not None:
+            out["trip_capacity"] = map_trip_capacity(fleet, out["trips"], order_cols["Fleet Identification"])
+    if "Transported Passengers" in datasets and ops is not None:
+        out["board_alight"] = map_board_alight(datasets["Transported Passengers"], out["trips"])
+    return out

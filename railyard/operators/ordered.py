@@ -76,30 +76,42 @@ def dense_ordinal(
     name: str = "ordinal",
     num_ranges: int | None = None,
 ) -> DataFrame:
-    """1-based ordinal of each row within ``part`` by ``order_cols``.
+    """1-based ordinal of each row within ``part`` by ``order_cols`` (unique in ``part``)."""
+    return running_total(df, part, order_cols, F.lit(1), name, num_ranges)
+
+
+def running_total(
+    df: DataFrame,
+    part: Sequence[str],
+    order_cols: Sequence[str],
+    weight: Column,
+    name: str,
+    num_ranges: int | None = None,
+) -> DataFrame:
+    """Sum of ``weight`` over the rows of ``part`` up to and with each row, by ``order_cols``.
 
     The rows must already be reduced (one per entity) and ``order_cols`` must
     be unique within ``part``. Rows are range-partitioned by (part, order), so
-    a single huge feed spans many ranges. Each range numbers its rows locally;
-    the per-range counts (one small row per range and feed) give the offsets.
+    a single huge feed spans many ranges. Each range sums its rows locally;
+    the per-range totals (one small row per range and feed) give the offsets.
     The ranged rows are checkpointed once (reliable checkpoint in the shared
     ``spark.checkpoint.dir``), which also cuts the lineage.
     """
     spark = df.sparkSession
     n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*part, *order_cols]
-    ranged = df.repartitionByRange(n, *[F.col(c) for c in keys]).withColumn("__rng", F.spark_partition_id())
+    ranged = df.withColumn("__w", weight.cast("long")).repartitionByRange(n, *[F.col(c) for c in keys]).withColumn("__rng", F.spark_partition_id())
     # Range bounds come from sampling whose seed depends on the RDD, so two
     # evaluations may cut differently: materialise the ranges exactly once.
     ranged = cut_lineage(ranged)
-    local_w = Window.partitionBy("__rng", *part).orderBy(*order_cols)
-    local = ranged.withColumn("__loc", F.row_number().over(local_w))
-    counts = ranged.groupBy("__rng", *part).agg(F.count(F.lit(1)).alias("__cnt"))
-    # one row per (range, feed); the numbered rows are partitioned by these keys already
+    local_w = Window.partitionBy("__rng", *part).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.withColumn("__loc", F.sum("__w").over(local_w))
+    totals = ranged.groupBy("__rng", *part).agg(F.sum("__w").alias("__sum"))
+    # one row per (range, feed); the summed rows are partitioned by these keys already
     offs_w = Window.partitionBy(*part).orderBy("__rng").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(offs_w), F.lit(0))).drop("__cnt")
+    offsets = totals.withColumn("__off", F.coalesce(F.sum("__sum").over(offs_w), F.lit(0))).drop("__sum")
     out = local.join(offsets, on=["__rng", *part], how="inner")
-    return out.withColumn(name, (F.col("__off") + F.col("__loc")).cast("long")).drop("__rng", "__loc", "__off")
+    return out.withColumn(name, (F.col("__off") + F.col("__loc")).cast("long")).drop("__rng", "__loc", "__off", "__w")
 
 
 def top_n_per_group(

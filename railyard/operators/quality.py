@@ -1,9 +1,8 @@
 """Quality, profiling and completeness operators (AG-01..08, PRJ-13..15, JN-20).
 
 Whole-table statistics are single aggregates with map-side partial
-aggregation. Exact quantiles are computed distributively: all numeric
-columns are unpivoted once, ranked with one range-partitioned numbering,
-and only the 2 rows around each requested rank are picked (no column is
+aggregation. Exact quantiles are computed distributively: a sketch brackets
+each one, and only the values inside the brackets are ranked (no column is
 ever buffered in one task, unlike an exact ``percentile`` aggregate).
 """
 
@@ -11,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railyard import catalog
@@ -22,44 +21,68 @@ FEED = "feed_id"
 QUANTILES = (("25%", 0.25), ("50%", 0.5), ("75%", 0.75))
 
 
-def _long_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in cols
-    ])).alias("_kv")).select("_kv.*")
+#: Accuracy of the sketch that brackets each quantile (its rank error is 1 / this).
+SKETCH_ACCURACY = 2_000
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], qs=QUANTILES) -> DataFrame:
     """(column_name, metric, value): linear-interpolated quantiles (like
-    ``quantile_cont``/pandas) of every column, NULL and NaN excluded."""
-    long = _long_numeric(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    ranked = ordered.dense_ordinal(long, ["column_name"], ["value"], "_idx")
-    counts = long.groupBy("column_name").agg(F.count(F.lit(1)).alias("_n"))
-    targets = counts.select("column_name", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("metric"), F.lit(q).alias("q")) for name, q in qs])).alias("_t"), "_n")
-    pos = F.col("_t.q") * (F.col("_n") - 1)
-    targets = targets.select("column_name", F.col("_t.metric").alias("metric"),
-                             (F.floor(pos) + 1).cast("long").alias("_lo"), (F.ceil(pos) + 1).cast("long").alias("_hi"),
-                             (pos - F.floor(pos)).alias("_frac"))
-    # one row per (column, quantile): tiny, bounded by #columns x #quantiles
-    pairs = targets.select("column_name", "metric", "_frac", F.explode(F.array(
-        F.struct(F.lit("lo").alias("side"), F.col("_lo").alias("_idx")),
-        F.struct(F.lit("hi").alias("side"), F.col("_hi").alias("_idx")))).alias("_p"))
-    pairs = pairs.select("column_name", "metric", "_frac", "_p.side", "_p._idx")
-    picked = ranked.join(F.broadcast(pairs), ["column_name", "_idx"], "inner")
-    agg = picked.groupBy("column_name", "metric", "_frac").agg(
-        F.max(F.when(F.col("side") == "lo", F.col("value"))).alias("_vlo"),
-        F.max(F.when(F.col("side") == "hi", F.col("value"))).alias("_vhi"),
-    )
+    ``quantile_cont``/pandas) of every column, NULL and NaN excluded.
+
+    One pass brackets every quantile by two values of a sketch, with twice its
+    rank error to either side. A second pass counts what lies below each bracket
+    and groups the values inside it; only those are ranked."""
+    num = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    margin = 2.0 / SKETCH_ACCURACY
+    bounds = [0.0, 1.0, *(max(0.0, min(1.0, q + m)) for _, q in qs for m in (-margin, margin))]
+    sketch = df.agg(*[F.percentile_approx(x, bounds, SKETCH_ACCURACY).alias(f"b{i}") for i, x in enumerate(num.values())],
+                    *[F.count(x).alias(f"n{i}") for i, x in enumerate(num.values())]).first()  # one row, a few values a column
+    below, inside, targets = [], [], []
+    for i, (c, x) in enumerate(num.items()):
+        for j, (name, q) in enumerate(qs):
+            if not sketch[f"n{i}"]:
+                continue
+            # with few values a rank is more than the margin: the bracket is the whole range
+            at = 0 if sketch[f"n{i}"] <= SKETCH_ACCURACY else 2 * j + 2
+            low, high = sketch[f"b{i}"][at], sketch[f"b{i}"][at + 1]
+            at = q * (sketch[f"n{i}"] - 1)
+            targets.append((c, name, int(at) + 1, int(at) + (at > int(at)) + 1, at - int(at)))
+            below.append(F.count_if(x < low).alias(f"c{len(below)}"))
+            inside.append(F.when(x.between(low, high), F.struct(F.lit(c).alias("column_name"), F.lit(name).alias("metric"), x.alias("value"))))
+    spark = df.sparkSession
+    frame = spark.createDataFrame(targets, "column_name string, metric string, _lo long, _hi long, _frac double")
+    if not targets:
+        return frame.select("column_name", "metric", F.lit(None).cast("double").alias("value"))
+    counts = df.agg(*below).first()
+    base = spark.createDataFrame([(t[0], t[1], counts[f"c{k}"]) for k, t in enumerate(targets)], "column_name string, metric string, _below long")
+    values = (df.select(F.explode(F.array_compact(F.array(*inside))).alias("_v")).select("_v.*")
+              .groupBy("column_name", "metric", "value").agg(F.count(F.lit(1)).alias("_n")))
+    upto = ordered.running_total(values, ["column_name", "metric"], ["value"], F.col("_n"), "_upto")
+    # of a column and quantile: the first value whose rank reaches the wanted one
+    known = upto.join(base, ["column_name", "metric"]).join(frame, ["column_name", "metric"])
+    last = F.col("_below") + F.col("_upto")
+    first = last - F.col("_n")
+    reached = lambda rank: F.max(F.when((first < rank) & (last >= rank), F.col("value")))
+    agg = known.groupBy("column_name", "metric", "_frac").agg(reached(F.col("_lo")).alias("_vlo"), reached(F.col("_hi")).alias("_vhi"))
     return agg.select("column_name", "metric",
                       (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("value"))
 
 
-def gold_metrics(df: DataFrame, dataset: str, numeric: Sequence[str]) -> DataFrame:
-    """AG-01 in long form (dataset, column_name, metric, value).
+def seconds_of(col: Column | str) -> Column:
+    """An instant as seconds since 1970 (a number, so that it has the statistics of one)."""
+    epoch = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+    return F.timestamp_diff("MICROSECOND", epoch, F.col(col) if isinstance(col, str) else col) / 1e6
+
+
+def gold_metrics(df: DataFrame, dataset: str, numeric: Sequence[str], instants: Sequence[str] = ()) -> DataFrame:
+    """AG-01 in long form (dataset, column_name, metric, value). Instants get the
+    statistics of numbers too, in seconds since 1970.
 
     Table rows/columns, null ratio of every column, and describe()-style
     count/mean/std/min/25%/50%/75%/max of every numeric column."""
     cols = df.columns
+    df = df.withColumns({c: seconds_of(c) for c in instants})
+    numeric = [*numeric, *instants]
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for c in cols:
         aggs.append(F.count_if(F.col(c).isNull()).alias(f"_null_{c}"))

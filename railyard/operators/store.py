@@ -166,6 +166,20 @@ class GtfsStore:
         rejected = self.load(tables, mode, batch_id) if tables else {}
         return gate, rejected
 
+    def import_silver(self, datasets: Mapping[str, DataFrame], order_cols: Mapping[str, Sequence[str]],
+                      batch_id: str = "silver", warning_limit: int = 20) -> tuple[DataFrame, DataFrame]:
+        """AG-22: map the Silver datasets of the feeds, load the tables and report:
+        (mapped and failed totals with the unmapped tables per feed, the first warnings)."""
+        from railyard.operators import mapping
+
+        mapped = {t: df.withColumn("row_num", F.monotonically_increasing_id()) for t, df in mapping.map_feed(datasets, order_cols).items()}
+        mapped = {t: materialise(df) for t, df in mapped.items()}
+        rejected = self.load(mapped, "merge", batch_id)
+        stored = {t: df.join(rejected[t].select(FEED, "row_num"), [FEED, "row_num"], "left_anti") for t, df in mapped.items()}
+        warnings = joins._union_all([df.select(FEED, F.concat_ws(" ", F.lit(t), F.col("row_num").cast("string")).alias("ordinal"), F.col("error").alias("message"))
+                                     for t, df in rejected.items()])
+        return mapping_report(stored, rejected, warnings, warning_limit)
+
     def load(self, new_tables: Mapping[str, DataFrame], mode: str = "merge", batch_id: str = "import") -> dict[str, DataFrame]:
         """Apply a parsed feed (tables carry ``feed_id`` and ``row_num``).
 

@@ -234,3 +234,43 @@ def map_board_alight(spark, sf):
                           F.col("ts").alias("timestamp"), (F.col("user_id") % 7).alias("boarding_count"),
                           (F.col("user_id") % 5).alias("alighting_count"), F.col("user_id").alias("number_of_users"))
     return M.map_board_alight(passengers, _ba_trips(spark, sf))
+
+
+def _silver(spark, sf):
+    """The Silver datasets of one feed, whole tables each."""
+    from railyard.plans.q_features import stop_connections, stop_features
+
+    e = A.table(spark, sf, "events")
+    passengers = e.select(F.lit(A.FEED_ID).alias("feed_id"), F.concat(F.lit("L"), (F.col("user_id") % 20).cast("string")).alias("line_id"),
+                          (F.col("event_id") % 2).alias("direction_id"), F.col("user_id").alias("stop_id"), F.col("ts").alias("timestamp"),
+                          (F.col("user_id") % 7).alias("boarding_count"), (F.col("user_id") % 5).alias("alighting_count"),
+                          F.col("user_id").alias("number_of_users"))
+    return {"Stop Spatial Features": stop_features(spark, sf), "Operations and Circulation": operations(spark, sf),
+            "Stop Connections": stop_connections(spark, sf), "Fleet Identification": fleet(spark, sf).join(
+                A.table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("Operator "), F.col("s_nationkey").cast("string")).alias("owner_operator")), "s_suppkey"),
+            "Transported Passengers": passengers}
+
+
+@register(
+    "map_feed_tables",
+    sql="""
+    WITH t AS (SELECT DISTINCT l_suppkey, l_orderkey % 2 AS d FROM lineitem)
+    SELECT 'F1' AS feed_id, 'stops' AS table_name, (SELECT count(*) FROM part) AS records
+    UNION ALL SELECT 'F1', 'routes', (SELECT count(DISTINCT l_suppkey) FROM lineitem)
+    UNION ALL SELECT 'F1', 'trips', (SELECT count(*) FROM t)
+    UNION ALL SELECT 'F1', 'stop_times', (SELECT count(*) FROM lineitem)
+    UNION ALL SELECT 'F1', 'transfers', (SELECT count(DISTINCT o_custkey) FROM orders)
+    UNION ALL SELECT 'F1', 'agency', (SELECT count(DISTINCT s_nationkey) FROM supplier)
+    UNION ALL SELECT 'F1', 'trip_capacity', (SELECT count(*) FROM t)
+    UNION ALL SELECT 'F1', 'board_alight', (SELECT count(*) FROM events WHERE user_id % 20 IN (SELECT l_suppkey FROM lineitem))
+    """,
+)
+def map_feed_tables(spark, sf):
+    """The whole Silver → GTFS run: rows per mapped table."""
+    order = {"Operations and Circulation": ORDER, "Stop Connections": ["row_num"], "Fleet Identification": ["s_suppkey"]}
+    tables = M.map_feed(_silver(spark, sf), order)
+    out = None
+    for name, df in tables.items():
+        part = df.groupBy("feed_id").agg(F.count(F.lit(1)).alias("records")).select("feed_id", F.lit(name).alias("table_name"), "records")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -32,33 +32,37 @@ _COUNTS_VIEW = {"feed_counts": "\nUNION ALL\n".join(
 
 
 # --- AG-01 -------------------------------------------------------------------------------
-def _gold_sql(table: str, cols: list[str], numeric: list[str]) -> str:
+def _gold_sql(table: str, cols: list[str], numeric: list[str], instants: list[str]) -> str:
     parts = [f"SELECT '{table}' AS dataset, '*' AS column_name, 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM {table}",
              f"SELECT '{table}', '*', 'columns', {float(len(cols))}"]
     for c in cols:
         parts.append(f"SELECT '{table}', '{c}', 'null_ratio', count(*) FILTER (WHERE {c} IS NULL) / count(*) FROM {table}")
-    for c in numeric:
+    for name in [*numeric, *instants]:
+        c = f"epoch_us({name}) / 1e6" if name in instants else name
         for m, expr in (("count", f"count({c})"), ("mean", f"avg({c})"), ("std", f"stddev_samp({c})"),
                         ("min", f"min({c})"), ("max", f"max({c})"), ("25%", f"quantile_cont({c}, 0.25)"),
                         ("50%", f"quantile_cont({c}, 0.5)"), ("75%", f"quantile_cont({c}, 0.75)")):
-            parts.append(f"SELECT '{table}', '{c}', '{m}', CAST({expr} AS DOUBLE) FROM {table}")
+            parts.append(f"SELECT '{table}', '{name}', '{m}', CAST({expr} AS DOUBLE) FROM {table}")
     return "\nUNION ALL\n".join(parts)
 
 
-_GOLD = {"part": ["p_size", "p_retailprice"], "customer": ["c_acctbal", "c_nationkey"]}
+_GOLD = {"part": ["p_size", "p_retailprice"], "customer": ["c_acctbal", "c_nationkey"], "orders": ["o_totalprice"],
+         "lineitem": ["l_quantity", "l_extendedprice"]}
+_GOLD_INSTANTS = {"orders": ["o_orderdate"]}
 _GOLD_COLS = {"part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
-              "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]}
+              "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+              "orders": ["o_orderkey", "o_orderdate", "o_totalprice"], "lineitem": ["l_orderkey", "l_quantity", "l_extendedprice"]}
 
 
 @register(
     "gold_metrics",
     sql="SELECT dataset, column_name, metric, round(value, 6) AS value FROM (\n"
-        + "\nUNION ALL\n".join(_gold_sql(t, _GOLD_COLS[t], n) for t, n in _GOLD.items()) + ")",
+        + "\nUNION ALL\n".join(_gold_sql(t, _GOLD_COLS[t], n, _GOLD_INSTANTS.get(t, [])) for t, n in _GOLD.items()) + ")",
 )
 def gold_metrics(spark, sf):
     out = None
     for t, numeric in _GOLD.items():
-        m = Q.gold_metrics(A.table(spark, sf, t), t, numeric)
+        m = Q.gold_metrics(A.table(spark, sf, t).select(*_GOLD_COLS[t]), t, numeric, _GOLD_INSTANTS.get(t, []))
         out = m if out is None else out.unionByName(m)
     return out.select("dataset", "column_name", "metric", F.round("value", 6).alias("value"))
 

@@ -416,9 +416,12 @@ def comments(say, mark, pick, rng: np.random.Generator) -> str:
 def fit(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", seed: int = 5) -> dict[str, np.ndarray] | None:
     """Train on at most ``SAMPLE_PAGES`` pages, in the order of a hash of id and
     page, and on ``MADE_PAGES`` made from their words; None without any page."""
-    key = F.xxhash64(F.col(id_column).cast("string"), F.col(html_column))
-    rows = (pages.filter(F.length(html_column).between(1, SAMPLE_CHARS)).select(F.col(html_column).alias("h"), key.alias("k"))
-            .orderBy("k").limit(SAMPLE_PAGES).collect())
+    rows = (pages.filter(F.length(html_column).between(1, SAMPLE_CHARS))
+            .select(F.col(html_column).alias("h"), F.xxhash64(F.col(id_column).cast("string"), F.col(html_column)).alias("k")))
+    least = rows.select("k").orderBy("k").limit(SAMPLE_PAGES).collect()  # hashes first: only the sample's pages reach the driver
+    if not least:
+        return None
+    rows = sorted(rows.filter(F.col("k") <= least[-1].k).limit(2 * SAMPLE_PAGES).collect(), key=lambda r: (r.k, r.h))
     found = [blocks(r.h) for r in rows]
     words = sorted({w for page in found for b in page for w in b.text.split()})
     if not words:

@@ -59,9 +59,20 @@ def import_gate(feeds: DataFrame, members: DataFrame) -> DataFrame:
 
 
 # --- paging (SL-01) ------------------------------------------------------------------
+#: Rows that one task may gather for a page.
+TOP_K_ROWS = 100_000
+
+
 def page(df: DataFrame, order: Sequence[str], limit: int, offset: int = 0) -> DataFrame:
-    """``LIMIT/OFFSET`` in key order (a top-k plan: no full sort of the table)."""
-    return df.orderBy(*order).offset(offset).limit(limit)
+    """``LIMIT/OFFSET`` in key order (``order`` is unique). Pages near the start
+    are a top-k plan; for deeper ones the rows are numbered by range, so that no
+    task gathers the rows before the page. The rows are the same either way."""
+    if offset + limit <= TOP_K_ROWS:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    from railyard.operators import ordered
+
+    numbered = ordered.dense_ordinal(df, [], list(order), "__place")
+    return numbered.where(F.col("__place").between(offset + 1, offset + limit)).orderBy("__place").drop("__place")
 
 
 # --- counts (AG-04 / AG-05) ----------------------------------------------------------------

@@ -185,3 +185,10 @@ def test_netex_refuses_and_defaults(spark, scratch):
     assert docs.count() == 0 and "unmapped route_type 99" in issues.where("severity = 'error'").first().message
     issues, docs = netex_xml.export_netex(f, netex_xml.NetexConfig("FIXME", CFG.authority, CFG.operator), f"{scratch}/p", "t")
     assert docs.count() == 0 and issues.where("message like '%placeholder%'").count() == 1
+
+
+def test_deep_pages_equal_shallow_ones(spark, monkeypatch):
+    df = spark.range(500).select((F.col("id") * 7919 % 500).alias("k"), F.lit("v").alias("v"))
+    want = [r.k for r in store.page(df, ["k"], 20, 300).collect()]
+    monkeypatch.setattr(store, "TOP_K_ROWS", 10)
+    assert [r.k for r in store.page(df, ["k"], 20, 300).collect()] == want == list(range(300, 320))

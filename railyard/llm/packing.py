@@ -19,7 +19,9 @@ table gives no rows; rows with a null id keep it.
 from __future__ import annotations
 
 import functools
+import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +33,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
-from railyard.llm.common import SPACE, batch_of, materialise, slices, text_bytes, word_spans
+from railyard.llm.common import SPACE, batch_of, materialise, slices, text_bytes
 
 LENGTH = 2048
 END_ID = 1
 VECTOR, DIMS, BITS = 64, 3, 16
 #: Words whose ids a task remembers.
 REMEMBERED = 1_000_000
+#: Of these, the frequent words of its first texts are looked up first.
+FREQUENT = 8_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -51,12 +55,13 @@ def tokenizer(path: str, literal: bool) -> Tokenizer:
 _BLANK, _LETTER, _DIGIT, _MARK, _APOSTROPHE, _HIGH = range(6)
 _CLASS = np.full(256, _MARK, np.uint8)
 _CLASS[SPACE] = _BLANK
-_CLASS[97:123] = _LETTER
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
 _CLASS[48:58] = _DIGIT
 _CLASS[39] = _APOSTROPHE
 _CLASS[128:] = _HIGH
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOWER[SPACE] = 0x20
 #: Two neighbouring bytes between which the tokenizer always cuts.
 _CUT = np.zeros((6, 6), bool)
 for _a, _b in ((_LETTER, _MARK), (_LETTER, _DIGIT), (_DIGIT, _MARK)):
@@ -76,16 +81,16 @@ class WordIds:
     digits or ``<|`` are encoded by themselves."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.remembered = tokenizer(path, True), remembered
         self.known: dict[bytes, bytes] = {}
+        self.frequent: dict[bytes, bytes] = {}
         mark = self.tokenizer.encode("0", add_special_tokens=False).ids
         if len(mark) != 1:
             raise ValueError("the tokenizer has no token for a digit")
         self.mark = mark[0]
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > self.remembered:
-            self.known.clear()
         text = [w.decode() for w in words]
         plain = [i for i, w in enumerate(text) if w.isalpha()]
         for i, e in zip(plain_groups := [plain[k : k + 200] for k in range(0, len(plain), 200)],
@@ -103,24 +108,32 @@ class WordIds:
         """The ids of every row, as little-endian 16-bit numbers."""
         if not len(raw):
             return [b""] * (len(off) - 1)
-        lower = _LOWER[raw]
-        kind = _CLASS[lower]
+        kind = _CLASS[raw]
         cut = np.zeros(len(raw) + 1, bool)
         cut[1:-1] = _CUT[kind[:-1] * np.uint8(6) + kind[1:]]
         cut[off] = True
-        cuts = np.cumsum(cut)
+        cuts = np.cumsum(cut, dtype=np.int64)
         spaced = np.full(len(raw) + int(cuts[-1]), 0x20, np.uint8)
-        spaced[np.arange(len(raw)) + cuts[:-1]] = lower
-        _, _, bound = word_spans(spaced, off + cuts[off] - 1, SPACE)
+        spaced[np.arange(len(raw)) + cuts[:-1]] = _LOWER[raw]
+        inside = spaced != 0x20  # a row starts with a blank
+        bound = np.searchsorted(np.flatnonzero(inside[1:] & ~inside[:-1]), off + cuts[off] - 1)
         words = spaced.tobytes().split()
-        found = list(map(self.known.get, words))
-        if None in found:
-            fresh = {w for w, x in zip(words, found) if x is None}
-            size = len(self.known)
+        # the frequent words first, in a table small enough to stay near the processor
+        found = list(map(self.frequent.get, words))
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i in rest:
+            found[i] = self.known.get(words[i])
+        rest = [i for i in rest if found[i] is None]
+        if rest:
+            fresh = {words[i] for i in rest}
+            if len(self.known) + len(fresh) > self.remembered:
+                self.known.clear()
             self.learn(list(fresh))
-            if len(self.known) < size + len(fresh):  # the table was cleared
-                self.learn([w for w in set(words) if w not in self.known])
-            found = list(map(self.known.__getitem__, words))
+            for i in rest:
+                found[i] = self.known[words[i]]
+        if len(self.frequent) < FREQUENT:
+            counts = Counter(words)
+            self.frequent |= {w: self.known.get(w) or found[words.index(w)] for w, _ in counts.most_common(FREQUENT - len(self.frequent))}
         return [b"".join(found[a:b]) for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())]
 
 

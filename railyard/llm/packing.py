@@ -137,6 +137,12 @@ class WordIds:
         return [b"".join(found[a:b]) for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())]
 
 
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The table of a Python worker, kept from task to task."""
+    return WordIds(path)
+
+
 def projections(ids: list[np.ndarray], size: int, seed: int = 3) -> np.ndarray:
     """(rows, DIMS) projections of the hashed, length-normalised token counts."""
     place, sign, matrix = _hashing(size, seed)
@@ -186,8 +192,8 @@ def _tokenized(docs: DataFrame, path: str) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
-        size = tokenizer(path, False).get_vocab_size()
+        words = word_ids(path)
+        size = words.tokenizer.get_vocab_size()
         for whole in batches:
             for part in slices(whole, "text"):
                 raw, off, _ = text_bytes(part.column("text"))

@@ -15,7 +15,8 @@ Spark then works on symbols, not on windows:
 1. count every representative symbol over all texts; windows whose symbol
    occurs once are unique;
 2. a stretch (the windows of one symbol occurrence) whose whole content occurs
-   twice is repeated as a whole; hot passages and copies end here;
+   twice is repeated as a whole; hot passages and copies end here, and what
+   repeats within one text (runs, periods) is settled inside its task;
 3. only stretches whose symbol is shared but whose content is not are compared
    window by window, one per distinct content;
 4. the words of repeated windows are removed.
@@ -176,11 +177,31 @@ def _lists(values: pa.Array, cuts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
 
 
+def _distinct(row: np.ndarray, symbol: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the stretches of each row: (index of the first of every distinct content,
+    how often it occurs, and by stretch whether its content occurs twice in its row)."""
+    order = np.lexsort((content, symbol, row))
+    new = np.ones(len(order), bool)
+    for x in (row, symbol, content):
+        new[1:] &= x[order][1:] == x[order][:-1]
+    new[1:] = ~new[1:]
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(order)))
+    again = np.zeros(len(order), bool)
+    again[order] = np.repeat(times > 1, times)
+    first = order[at]  # lexsort is stable
+    back = np.argsort(first, kind="stable")
+    return first[back], times[back], again
+
+
 def _parsed(docs: DataFrame, window: int) -> DataFrame:
-    """Per row: id, key (a hash of id and text), n_words, digest of all words, and its stretches as arrays."""
+    """Per row: id, key (a hash of id and text), n_words, digest of all words, its
+    distinct stretches as arrays with how often each occurs, and ``own``: the
+    window ranges that repeat within the text itself."""
+    spans = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType())]))
     schema = T.StructType([docs.schema["id"], T.StructField("key", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("whole_sha256", T.StringType()),
                            *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("symbol", "content")],
-                           *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("first", "n")]])
+                           *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("first", "n", "times")], T.StructField("own", spans)])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,12 +209,23 @@ def _parsed(docs: DataFrame, window: int) -> DataFrame:
             for part in slices(whole, "text"):
                 raw, off, words, bound = _text_words(part)
                 symbol, content, first, n = stretches(words, bound, window)
-                cuts = np.searchsorted(first, bound)
-                first = first - np.repeat(bound[:-1], np.diff(cuts))
+                row = np.searchsorted(bound, first, "right") - 1
+                some, times, again = _distinct(row, symbol, content)
+                # ranges of windows whose stretches repeat in the same text, neighbours joined
+                mine = np.flatnonzero(again)
+                begin, end = first[mine], first[mine] + n[mine]
+                opens = np.ones(len(mine), bool)
+                opens[1:] = (begin[1:] != end[:-1]) | (row[mine][1:] != row[mine][:-1])
+                closes = np.append(opens[1:], True)[: len(mine)]
+                begin, end, owner = begin[opens], end[closes], row[mine][opens]
+                own = pa.StructArray.from_arrays([pa.array((begin - bound[owner]).astype(np.int32)), pa.array((end - begin).astype(np.int32))], names=["first", "n"])
+                rows = np.arange(part.num_rows + 1)
+                cuts = np.searchsorted(row[some], rows)
                 shas = [hashlib.sha256(b" ".join(raw[a:b].tobytes().split())).hexdigest() for a, b in zip(off[:-1], off[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("key"), pa.array(np.diff(bound)), pa.array(shas), _lists(signed(symbol), cuts), _lists(signed(content), cuts),
-                     _lists(pa.array(first.astype(np.int32)), cuts), _lists(pa.array(n.astype(np.int32)), cuts)], names=arrow.names).cast(arrow)
+                    [part.column("id"), part.column("key"), pa.array(np.diff(bound)), pa.array(shas), _lists(signed(symbol[some]), cuts), _lists(signed(content[some]), cuts),
+                     _lists(pa.array((first - bound[row])[some].astype(np.int32)), cuts), _lists(pa.array(n[some].astype(np.int32)), cuts),
+                     _lists(pa.array(times.astype(np.int32)), cuts), _lists(own, np.searchsorted(owner, rows))], names=arrow.names).cast(arrow)
 
     return docs.mapInArrow(run, schema)
 
@@ -250,30 +282,41 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     cuts: key, n_removed, kept_text, kept_sha256 of the texts that lose words."""
     source = keyed(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), "id", "text")
     parsed = materialise(_parsed(source, window))
-    each = (parsed.select("key", F.explode(F.arrays_zip("symbol", "content", "first", "n")).alias("s")).select("key", "s.*"))
-    # 1. symbols that occur more than once; do their contents differ?
-    shared = (each.groupBy("symbol").agg(F.count("*").alias("c"), F.min("content").alias("a"), F.max("content").alias("b"))
-              .filter("c > 1").select("symbol", (F.col("a") != F.col("b")).alias("mixed")))
+    texts, spans = _repeated(source, parsed, window)
+    rows = materialise(parsed.select("id", "key", "n_words", "whole_sha256"))
+    cuts = materialise(_cut(texts.select("key", "text").join(spans, "key"), window).dropDuplicates(["key"]))
+    return rows, cuts
+
+
+def _repeated(source: DataFrame, parsed: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(key, text, ..) and (key, spans) of the texts with repeated windows; spans are ranges of windows."""
+    each = parsed.select("key", F.explode(F.arrays_zip("symbol", "content", "first", "n", "times")).alias("s")).select("key", "s.*")
+    # 1. symbols that occur more than once; do their contents differ? (written, so that
+    # the join below stands by itself and a hot symbol's side can be split)
+    shared = materialise(each.groupBy("symbol").agg(F.sum("times").alias("c"), F.min("content").alias("a"), F.max("content").alias("b"))
+                         .filter("c > 1").select("symbol", (F.col("a") != F.col("b")).alias("mixed")))
     found = materialise(each.join(shared, "symbol"))
     # 2. contents that occur more than once
     contents = (found.filter("mixed").groupBy("symbol", "content")
-                .agg(F.count("*").alias("c"), F.min(F.struct("key", "first", "n")).alias("one")))
+                .agg(F.sum("times").alias("c"), F.min(F.struct("key", "first", "n")).alias("one")))
     contents = materialise(contents.select("symbol", "content", (F.col("c") == 1).alias("once"), "one.*"))
-    whole = found.filter("not mixed").select("key", "first", "n").unionByName(
-        found.filter("mixed").select("symbol", "content", "key", "first", "n").join(contents.filter("not once").select("symbol", "content"), ["symbol", "content"]).select("key", "first", "n"))
+    # (what repeats within its own text is known already)
+    others = found.filter("times = 1")
+    whole = others.filter("not mixed").select("key", "first", "n").unionByName(
+        others.filter("mixed").select("symbol", "content", "key", "first", "n")
+        .join(contents.filter("not once").select("symbol", "content"), ["symbol", "content"]).select("key", "first", "n"))
+    whole = whole.unionByName(parsed.select("key", F.explode("own").alias("s")).select("key", "s.first", "s.n"))
     # 3. one stretch of each content of a mixed symbol, window by window
     stretch = F.struct("symbol", "first", "n", "once")
     listed = contents.groupBy("key").agg(F.collect_list(stretch).alias("compare"))
-    touched = found.select("key").distinct().join(listed, "key", "left")
+    touched = found.select("key").unionByName(parsed.filter("size(own) > 0").select("key")).distinct().join(listed, "key", "left")
     texts = materialise(source.select("key", "text").join(touched, "key"))
-    windows = _windows(texts.filter("compare is not null"), window)
-    windows = materialise(windows)
+    windows = materialise(_windows(texts.filter("compare is not null"), window))
     twice = windows.groupBy("symbol", "hash").agg(F.count("*").alias("c")).filter("c > 1").select("symbol", "hash")
     single = windows.filter("once").join(twice, ["symbol", "hash"]).select("key", "first", F.lit(1).alias("n"))
-    # 4. cut the words
-    spans = whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
-    cuts = _cut(texts.select("key", "text").join(spans, "key"), window).dropDuplicates(["key"])
-    return parsed.select("id", "key", "n_words", "whole_sha256"), cuts
+    # 4. the ranges to cut, by text
+    spans = materialise(whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("spans")))
+    return texts, spans
 
 
 def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:

@@ -8,6 +8,7 @@ time, so no task holds a partition and no Python string is made per word.
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,7 +51,21 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*written: DataFrame) -> None:
+    """Delete the files of materialised frames of which everything that was
+    derived has been materialised in turn, and let Spark drop the shuffle files
+    of frames that are garbage by now."""
+    for df in written:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 # --- Arrow text columns -----------------------------------------------------

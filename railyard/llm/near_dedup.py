@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from railyard.llm.common import SPACE, U64, batch_of, materialise, mix, prefix, range_hash, signed, slices, text_bytes, word_hashes, word_spans
+from railyard.llm.common import SPACE, U64, batch_of, materialise, mix, prefix, range_hash, release, signed, slices, text_bytes, word_hashes, word_spans
 
 SHINGLE = 5
 #: Similarity threshold as a fraction: intersection * 100 >= union * 75.
@@ -219,7 +219,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialise(small.filter("u <> v").distinct())
+        last, edges = edges, materialise(small.filter("u <> v").distinct())
+        release(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -229,17 +230,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _nodes(classes: DataFrame, trees: int) -> DataFrame:
-    """(node, class, size) of every node in which a class ends, with two classes or more:
-    the first small one on its path, or the last one."""
+    """(tree, node, class, size), written, of every node in which a class ends, with two
+    classes or more: the first small one on its path, or the last one."""
     level = classes.select("class", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("path", t * DEPTH + 1, DEPTH))).alias("tree", "path"))
-    done = None
+    done, written = None, []
     for d in range(DEPTH):
         level = level.withColumn("node", F.get("path", F.lit(d)))
         size = level.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         level = materialise(level.join(size, "node"))
+        written.append(level)
         ends = (level if d == DEPTH - 1 else level.filter(f"size <= {SMALL}")).select("tree", "node", "class", "size")
         done = ends if done is None else done.unionByName(ends)
         level = level.filter(f"size > {SMALL}").select("class", "tree", "path")
+    done = materialise(done)
+    release(*written)
     return done
 
 
@@ -250,9 +254,10 @@ def classes_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     trees = n_trees()
     sketch = _sketch(source, trees).withColumn("class", F.when(F.col("n_shingles") > 0, F.xxhash64("set_a", "set_b")))
     sketch = materialise(sketch)
-    rows = sketch.select("id", "key", "n_shingles", "class")
+    rows = materialise(sketch.select("id", "key", "n_shingles", "class"))
     classes = sketch.filter("class is not null").groupBy("class").agg(F.min("key").alias("key"), F.first("path").alias("path"))
-    nodes = materialise(_nodes(classes.select("class", "path"), trees))
+    nodes = _nodes(classes.select("class", "path"), trees)
+    release(sketch)
     wanted = nodes.select("class").distinct()
     one = rows.join(wanted, "class").groupBy("class").agg(F.min("key").alias("key"))
     texts = source.select("key", "text").join(one, "key")
@@ -261,7 +266,7 @@ def classes_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     small, large = nodes.filter(f"size <= {SMALL}"), nodes.filter(f"size > {SMALL}")
     first = _distinct_leaves(small.filter(f"tree < {FIRST_TREES}")).unionByName(_blocks_with_hubs(large))
     edges = materialise(_compare(first, sets))
-    joined = materialise(components(edges))
+    joined = materialise(components(edges))  # its own files are small and stay
 
     # the other trees, without the leaves that are one component already, and what is open in large nodes
     def named(some: DataFrame) -> DataFrame:
@@ -270,8 +275,9 @@ def classes_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     rest = named(small.filter(f"tree >= {FIRST_TREES}"))
     unjoined = rest.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("node")
     second = _distinct_leaves(rest.join(unjoined, "node")).unionByName(_open_blocks(named(large)))
-    edges = materialise(edges.unionByName(_compare(second, sets)))
-    return rows, components(edges)
+    linked = materialise(edges.unionByName(_compare(second, sets)))
+    release(sets, nodes, joined, edges)
+    return rows, components(linked)
 
 
 def _distinct_leaves(leaves: DataFrame) -> DataFrame:

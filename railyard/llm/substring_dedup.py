@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from railyard.llm.common import SPACE, U64, batch_of, materialise, mix, prefix, range_hash, ranges, signed, slices, text_bytes, word_hashes, word_spans
+from railyard.llm.common import SPACE, U64, batch_of, materialise, mix, prefix, range_hash, ranges, release, signed, slices, text_bytes, word_hashes, word_spans
 
 WINDOW = 35
 #: Rounds of recompression. A symbol of the third round depends on about a dozen words.
@@ -284,7 +284,9 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     parsed = materialise(_parsed(source, window))
     texts, spans = _repeated(source, parsed, window)
     rows = materialise(parsed.select("id", "key", "n_words", "whole_sha256"))
+    release(parsed)
     cuts = materialise(_cut(texts.select("key", "text").join(spans, "key"), window).dropDuplicates(["key"]))
+    release(texts, spans)
     return rows, cuts
 
 
@@ -296,6 +298,7 @@ def _repeated(source: DataFrame, parsed: DataFrame, window: int) -> tuple[DataFr
     shared = materialise(each.groupBy("symbol").agg(F.sum("times").alias("c"), F.min("content").alias("a"), F.max("content").alias("b"))
                          .filter("c > 1").select("symbol", (F.col("a") != F.col("b")).alias("mixed")))
     found = materialise(each.join(shared, "symbol"))
+    release(shared)
     # 2. contents that occur more than once
     contents = (found.filter("mixed").groupBy("symbol", "content")
                 .agg(F.sum("times").alias("c"), F.min(F.struct("key", "first", "n")).alias("one")))
@@ -316,6 +319,7 @@ def _repeated(source: DataFrame, parsed: DataFrame, window: int) -> tuple[DataFr
     single = windows.filter("once").join(twice, ["symbol", "hash"]).select("key", "first", F.lit(1).alias("n"))
     # 4. the ranges to cut, by text
     spans = materialise(whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("spans")))
+    release(found, contents, windows)
     return texts, spans
 
 

@@ -18,6 +18,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -102,11 +103,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * margin + self.b, -30, 30)))
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, size: int,
+class Scaled:
+    """Row values ratio[row] / norm, made when asked for: the driver holds the indices alone."""
+
+    def __init__(self, rows: list[np.ndarray], ratio: np.ndarray):
+        self.rows, self.ratio = rows, ratio
+        self.scale = [1 / max(1e-9, float(np.sqrt((ratio[r] ** 2).sum()))) for r in rows]
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.ratio[self.rows[i]] * self.scale[i]
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+
+def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray] | Scaled, y: np.ndarray, cost: np.ndarray, size: int,
                             epochs: int = EPOCHS, seed: int = 7) -> np.ndarray:
     """Weights of min |w|^2 / 2 + sum cost_i * hinge(y_i w.x_i), x_i sparse."""
     w, alpha, rng = np.zeros(size), np.zeros(len(rows)), np.random.default_rng(seed)
-    norm = np.array([max(1e-9, float(v @ v)) for v in values])
+    norm = np.array([max(1e-9, float(values[i] @ values[i])) for i in range(len(rows))])
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             at, x = rows[i], values[i]
@@ -138,14 +153,18 @@ def train(rows: list[np.ndarray], y: np.ndarray, share_of_ones: float) -> Model:
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(y), bool)
     fitted = np.flatnonzero(~held)
-    counts = {c: np.ones(BUCKETS) + np.bincount(np.concatenate([rows[i] for i in fitted if y[i] == c]), minlength=BUCKETS) for c in (0, 1)}
+    counts = np.ones((2, BUCKETS))
+    for i in fitted:
+        counts[y[i], rows[i]] += 1  # the indicators of a row are distinct
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    values = [ratio[r] / max(1e-9, np.sqrt((ratio[r] ** 2).sum())) for r in rows]
     n = {c: max(1, int((y[fitted] == c).sum())) for c in (0, 1)}
     cost = np.array([PENALTY * len(fitted) / (2 * n[y[i]]) for i in fitted])
-    w = dual_coordinate_descent([rows[i] for i in fitted], [values[i] for i in fitted], 2.0 * y[fitted] - 1, cost, BUCKETS)
+    mine = [rows[i] for i in fitted]
+    w = dual_coordinate_descent(mine, Scaled(mine, ratio), 2.0 * y[fitted] - 1, cost, BUCKETS)
     use = np.flatnonzero(held) if held.any() else fitted
-    margin = np.array([w[rows[i]] @ values[i] for i in use])
+    tried = [rows[i] for i in use]
+    values = Scaled(tried, ratio)
+    margin = np.array([w[r] @ values[k] for k, r in enumerate(tried)])
     ones = max(1, int(y[use].sum()))
     weight = np.where(y[use] == 1, prior * len(use) / ones, (1 - prior) * len(use) / max(1, len(use) - ones))
     a, b = logistic_link(margin, y[use].astype(float), weight)
@@ -178,10 +197,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_column: str = "
                 cut = np.searchsorted(row, np.arange(part.num_rows + 1))
                 yield batch_of(arrow, part.column("id"), part.column("y"), [bucket[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])])
 
-    got = sorted(sample.mapInArrow(run, schema).limit(4 * per_class).collect(), key=lambda r: (str(r.id), bytes(r.grams)))
-    order = np.random.default_rng(11).permutation(len(got))
-    got = [got[i] for i in order]
-    return train([np.frombuffer(r.grams, np.int32) for r in got], np.array([r.y for r in got], int), n.get(1, 0) / sum(n.values()))
+    got = sample.mapInArrow(run, schema).limit(4 * per_class).toArrow()  # at most that many index lists
+    grams = [np.frombuffer(g.as_buffer(), np.int32) for g in got.column("grams")]
+    labels_of, ids = got.column("y").to_pylist(), got.column("id").to_pylist()
+    order = sorted(range(len(grams)), key=lambda i: (str(ids[i]), zlib.crc32(grams[i])))
+    order = [order[i] for i in np.random.default_rng(11).permutation(len(order))]
+    return train([grams[i] for i in order], np.array([labels_of[i] for i in order], int), n.get(1, 0) / sum(n.values()))
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", name: str = "score") -> DataFrame:

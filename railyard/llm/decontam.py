@@ -8,7 +8,8 @@ Defined results: a null, empty or word-less text has no words, no hits and is
 clean; a null or word-less item has no window; a null ``item_id`` still hits
 but is not listed; repeated items are listed once; repeated document rows each
 get their own row; an empty table gives no hits (or no rows). Extra columns are
-passed through by :func:`annotate` under their own names.
+passed through by :func:`annotate` under their own names, all of them by
+:func:`decontaminate`.
 """
 
 from __future__ import annotations
@@ -92,32 +93,32 @@ def _entry(raw: np.ndarray, automaton, before: dict | None) -> dict:
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id",
-             item_text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (the columns in ``keep``, or all) plus a struct column ``leak``:
+             item_text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, keep: list[str] | None = None, name: str = "leak") -> DataFrame:
+    """``docs`` (the columns in ``keep``, or all) plus a struct column ``name``:
     n_words, n_hit, items (item ids, sorted as strings), spans (byte ranges of
     the original text for each maximal run of hit words).
 
     The benchmark is cut into shards of about ``shard_bytes`` by a hash of its
     text. Each shard's automaton is one bounded broadcast; with more than one,
     the shards scan the texts in turn, each result written to shared storage.
-    Documents are never shuffled. An input column named ``leak`` is replaced.
+    Documents are never shuffled. An input column of that name is replaced.
     """
     size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     n = max(1, -(-size // shard_bytes))
-    columns = [c for c in dict.fromkeys([*(docs.columns if keep is None else keep), text_column]) if c != "leak"]
+    columns = [c for c in dict.fromkeys([*(docs.columns if keep is None else keep), text_column]) if c != name]
     out = docs.select(*[F.col(f"`{c}`") for c in columns])
     items = benchmark.select(F.col(item_column).alias("i"), F.col(item_text).alias("t")).filter("t is not null")
     for k in range(n):
-        out = _scan_shard(out, items.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == k), text_column, window)
+        out = _scan_shard(out, items.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == k), text_column, window, name)
         if k < n - 1:
             out = materialise(out)
     return out
 
 
-def _scan_shard(docs: DataFrame, items: DataFrame, text_column: str, window: int) -> DataFrame:
+def _scan_shard(docs: DataFrame, items: DataFrame, text_column: str, window: int, name: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast([(r.i, r.t) for r in items.collect()])
-    names = [c for c in docs.columns if c != "leak"]
-    schema = T.StructType([*docs.select(*[F.col(f"`{c}`") for c in names]).schema.fields, T.StructField("leak", LEAK)])
+    names = [c for c in docs.columns if c != name]
+    schema = T.StructType([*docs.select(*[F.col(f"`{c}`") for c in names]).schema.fields, T.StructField(name, LEAK)])
     kind = to_arrow_type(LEAK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,16 +126,17 @@ def _scan_shard(docs: DataFrame, items: DataFrame, text_column: str, window: int
         for whole in batches:
             for part in slices(whole, text_column):
                 raw, off, _ = text_bytes(part.column(text_column))
-                before = part.column("leak").to_pylist() if "leak" in part.schema.names else [None] * part.num_rows
+                before = part.column(name).to_pylist() if name in part.schema.names else [None] * part.num_rows
                 rows = [_entry(raw[off[i] : off[i + 1]], automaton, before[i]) for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(rows, kind)], names=[*names, "leak"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(rows, kind)], names=[*names, name])
 
     return docs.mapInArrow(run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows in which any benchmark window occurs."""
-    return annotate(docs, benchmark, **options).filter("leak.n_hit = 0").drop("leak")
+    name = "__leak"
+    return annotate(docs, benchmark, name=name, **options).filter(F.col(name)["n_hit"] == 0).drop(name)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ VECTOR, DIMS, BITS = 64, 3, 16
 #: Words whose ids a task remembers.
 REMEMBERED = 1_000_000
 #: Of these, the frequent words of its first texts are looked up first.
-FREQUENT = 8_000
+FREQUENT = 40_000
 
 
 @functools.lru_cache(maxsize=2)

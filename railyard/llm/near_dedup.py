@@ -320,20 +320,22 @@ def _open_blocks(large: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: id, key, n_shingles, component_id (smallest id reachable), kept."""
+    """Per row: id, key, n_shingles, component (least class; null for empty sets), component_id (smallest id reachable), kept."""
     rows, comps = classes_of(docs, id_column, text_column)
     rows = rows.join(comps, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = rows.filter("component is not null").groupBy("component").agg(F.min("id").alias("least"))
     out = rows.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")))
-    return out.select("id", "key", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("id", "key", "n_shingles", "component", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def dedupe(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one row of every component: the one with the smallest id (of
-    repeated ids, the least text hash; of wholly repeated rows, any one)."""
-    kept = (near_duplicates(docs, id_column, text_column).filter("kept")
-            .withColumn("one", F.when(F.col("n_shingles") > 0, F.col("component_id").cast("string")).otherwise(F.concat(F.lit("empty "), F.col("key").cast("string")))))
-    one = kept.groupBy("one", F.col("one").isNull().alias("n")).agg(F.min("key").alias("__key")).select("__key")
+    repeated ids, or where all ids are null, the least text hash; of wholly
+    repeated rows, any one)."""
+    kept = near_duplicates(docs, id_column, text_column).filter("kept")
+    # by the component itself, as ids may be null or stand for several texts; empty sets each by themselves
+    alone = F.when(F.col("component").isNull(), F.col("key"))
+    one = kept.groupBy("component", alone.alias("alone")).agg(F.min("key").alias("__key")).select("__key")
     key = F.xxhash64(F.col(id_column).cast("string"), F.lit("\t"), F.col(text_column))
     found = docs.withColumn("__key", key).join(one, "__key")
     return found.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(1)))).filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -408,6 +408,22 @@ def test_near_dedup_keeps_one_of_each_group(spark, frame):
     assert near_dedup.dedupe(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_stage_goes_by_components_not_ids(spark, frame):
+    passage = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    groups = [[(None, passage("a")), (None, passage("a") + " end"), (None, passage("a"))], [(None, passage("b"))], [(None, passage("c"))], [(7, passage("d"))],
+              [(7, passage("e")), (8, passage("e"))], [(None, passage("f")), (9, passage("f"))], [(7, None)], [(None, "")], [(None, None)]]
+    docs = [r for g in groups for r in g]
+    component = {}
+    for i in range(len(docs)):  # brute force: any two texts, the first that is close enough
+        close = [j for j in range(i) if len({c for _, _, c, _ in brute_components([(0, docs[i][1]), (1, docs[j][1])])}) == 1]
+        component[i] = component[close[0]] if close else i
+    assert len(set(component.values())) == len(groups)
+    least = collections.Counter(min((docs[i][0] for i in component if component[i] == c and docs[i][0] is not None), default=None) for c in set(component.values()))
+    out = [(r.doc_id, r.text) for r in near_dedup.dedupe(frame(docs)).collect()]
+    assert collections.Counter(i for i, _ in out) == least
+    assert sorted(component[docs.index(r)] for r in out) == sorted(set(component.values()))
+
+
 # --- 9 -------------------------------------------------------------------------
 
 

@@ -26,16 +26,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from railyard.llm.common import batch_of, slices
 
-#: Pages that the fit takes at most, and the longest one it takes (characters).
+#: Pages that the fit takes at most; of a longer page it learns from a run of so many
+#: blocks, and makes pages from so many characters of its words, each cut to WORD_CHARS.
 SAMPLE_PAGES = 400
+SAMPLE_BLOCKS = 512
 SAMPLE_CHARS = 50_000
+WORD_CHARS = 200
 MADE_PAGES = 1_200
 PATH_DIM, WORD_DIM, SHARE_DIM = 128, 32, 8
 DIM = PATH_DIM + WORD_DIM + SHARE_DIM
@@ -413,21 +416,46 @@ def comments(say, mark, pick, rng: np.random.Generator) -> str:
             + "".join(f'<{pick("p", "div class=comment")}>{say(3, 40)}</p></div>' for _ in range(n)) + "</section></div>")
 
 
+def excerpt(found: list[Block], k: int, encoder: Encoder) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Vectors, training labels and words of a page; of more than ``SAMPLE_BLOCKS``
+    blocks a run of so many, at a place by the page's hash, as they are in the whole page."""
+    at = k % (len(found) - SAMPLE_BLOCKS + 1) if len(found) > SAMPLE_BLOCKS else 0
+    run = slice(at, at + SAMPLE_BLOCKS)
+    room, words = SAMPLE_CHARS, []
+    for w in dict.fromkeys(w[:WORD_CHARS] for b in found[run] for w in b.text.split()):
+        room -= len(w) + 1
+        if room < 0:
+            break
+        words.append(w)
+    return encoder.page(found)[run], structural_marks(found[run]), words
+
+
 def fit(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", seed: int = 5) -> dict[str, np.ndarray] | None:
-    """Train on at most ``SAMPLE_PAGES`` pages, in the order of a hash of id and
-    page, and on ``MADE_PAGES`` made from their words; None without any page."""
-    rows = (pages.filter(F.length(html_column).between(1, SAMPLE_CHARS))
+    """Train on at most ``SAMPLE_PAGES`` distinct pages with a block, whatever
+    their length, in the order of a hash of id and page, and on ``MADE_PAGES``
+    made from their words; None where no page of the whole table has a block.
+
+    Pages are cut and encoded in their tasks: the driver gets excerpts."""
+    rows = (pages.filter(F.length(html_column) >= 1)
             .select(F.col(html_column).alias("h"), F.xxhash64(F.col(id_column).cast("string"), F.col(html_column)).alias("k")))
-    least = rows.select("k").orderBy("k").limit(SAMPLE_PAGES).collect()  # hashes first: only the sample's pages reach the driver
+    least = [r.k for r in rows.select("k").distinct().orderBy("k").limit(SAMPLE_PAGES).collect()]  # hashes first
     if not least:
         return None
-    rows = sorted(rows.filter(F.col("k") <= least[-1].k).limit(2 * SAMPLE_PAGES).collect(), key=lambda r: (r.k, r.h))
-    found = [blocks(r.h) for r in rows]
-    words = sorted({w for page in found for b in page for w in b.text.split()})
+    sample = _encoded(rows, least)
+    # pages without a block gave nothing: go on in the order of the hash, in ranges that grow until all pages are seen
+    low, first = least[-1], -(1 << 63)
+    while len(sample) < SAMPLE_PAGES and low < (1 << 63) - 1:
+        high = min((1 << 63) - 1, first + 16 * max(low - first, 1 << 40))
+        more = _with_blocks(rows.filter((F.col("k") > low) & (F.col("k") <= high)))
+        more = [r.k for r in more.distinct().orderBy("k").limit(SAMPLE_PAGES - len(sample)).collect()]
+        if more:
+            sample += _encoded(rows, more)
+        low = high
+    words = sorted({w for r in sample for w in r.words.split(" ")})
     if not words:
         return None
     rng, encoder = np.random.default_rng(seed), Encoder()
-    x, y = [encoder.page(f) for f in found], [structural_marks(f) for f in found]
+    x, y = [np.frombuffer(r.x, np.float32).reshape(-1, DIM) for r in sample], [np.frombuffer(r.y, np.float32) for r in sample]
     for _ in range(MADE_PAGES):
         page, marks = made_page(words, rng)
         got = blocks(page)
@@ -437,6 +465,38 @@ def fit(pages: DataFrame, id_column: str = "page_id", html_column: str = "html",
     return train(x, y, seed=seed)
 
 
+def _with_blocks(rows: DataFrame) -> DataFrame:
+    """The hashes ``k`` of the pages with a block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, "h"):
+                k = [k for h, k in zip(part.column("h").to_pylist(), part.column("k").to_pylist()) if blocks(h)]
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64())], names=["k"])
+
+    return rows.mapInArrow(run, "k long")
+
+
+def _encoded(rows: DataFrame, wanted: list[int]) -> list[Row]:
+    """The excerpts (k, x, y, words) of the pages of these hashes that have a
+    block, one of each hash, in order."""
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("x", T.BinaryType()), T.StructField("y", T.BinaryType()), T.StructField("words", T.StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, seen = Encoder(), set()
+        for whole in batches:
+            for part in slices(whole, "h"):
+                for h, k in zip(part.column("h").to_pylist(), part.column("k").to_pylist()):
+                    if k not in seen:
+                        seen.add(k)
+                        if found := blocks(h):
+                            x, y, words = excerpt(found, k, encoder)
+                            yield batch_of(arrow, [k], [x.tobytes()], [y.tobytes()], [" ".join(words)])
+
+    one = rows.filter(F.col("k").isin(wanted)).mapInArrow(run, schema).dropDuplicates(["k"])
+    return sorted(one.collect(), key=lambda r: r.k)
+
+
 def main_text(found: list[Block], p: np.ndarray) -> str:
     return " ".join(b.text for b, q in zip(found, p) if q >= 0.5)
 

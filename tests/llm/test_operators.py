@@ -449,6 +449,26 @@ def test_extraction_finds_the_article(spark):
     assert html_extract.digest(pages.limit(0)).count() == 0
 
 
+def test_extraction_learns_from_long_pages_and_past_empty_ones(spark, monkeypatch):
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"word{rng.randrange(3000)}" for _ in range(n))
+    page = lambda n: f"<title>t</title><nav><a href=x>{say(2)}</a></nav><article>" + "".join(f"<p>{say(60)}.</p>" for _ in range(n)) + f"</article><footer>{say(3)}</footer>"
+    rows = [(i, "u", page(600)) for i in range(8)]
+    assert min(len(r[2]) for r in rows) > 50_000
+    article = lambda h: " ".join(re.sub("<[^>]*>", " ", re.search("<article>(.*)</article>", h)[1]).split())
+    long = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [r.text for r in html_extract.digest(long).orderBy("page_id").collect()] == [article(r[2]) for r in rows]
+    # empty pages come first in the order of the hash; repeated pages count once
+    monkeypatch.setattr(html_extract, "SAMPLE_PAGES", 3)
+    mixed = long.limit(2).union(spark.createDataFrame([(100 + i, "u", "<p></p>") for i in range(300)], long.schema)).union(long.limit(1)).union(long.limit(1))
+    seen = []
+    monkeypatch.setattr(html_extract, "train", lambda x, y, seed: seen.append((x, y)) or {})
+    monkeypatch.setattr(html_extract, "MADE_PAGES", 0)
+    assert html_extract.fit(mixed) is not None
+    assert [len(x) for x in seen[0][0]] == [len(y) for y in seen[0][1]] == [512, 512]
+    assert html_extract.fit(mixed.filter("page_id >= 100")) is None
+
+
 def test_labeller_on_layouts_it_has_not_seen():
     rng = np.random.default_rng(77)
     words = [f"word{i}" for i in range(500)]

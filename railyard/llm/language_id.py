@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -37,9 +37,8 @@ from railyard.llm.common import batch_of, slices, text_bytes
 
 #: Letter classes of training text per language (the fit's documented bound).
 TRAIN_CLASSES = 30_000
-#: Longest text, in characters, that the training sample takes.
+#: Most characters of one text that the training sample takes.
 TRAIN_TEXT = 20_000
-MAX_LANGUAGES = 200
 SEGMENT = 1024
 BLANK, RARE, FIRST = 0, 1, 2
 MAX_CLASSES = 128
@@ -188,23 +187,24 @@ def remainder(id_column: str, modulus: int) -> Column:
 
 def fit(docs: DataFrame, usable: Column, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
         classes: int = TRAIN_CLASSES) -> Model:
-    """Fit on at most about ``classes`` characters of each language: whole texts
-    of at most ``TRAIN_TEXT`` characters among the usable rows, in the order of
-    a hash of their ids. Only that sample reaches the driver."""
-    rows = docs.filter(usable).select(F.col(id_column).cast("string").alias("i"), F.col(text_column).alias("t"), F.col(lang_column).alias("l"))
-    rows = rows.filter("l is not null and length(t) between 1 and %d and rlike(t, '\\\\p{L}')" % TRAIN_TEXT)
-    sizes = rows.groupBy("l").agg(F.sum(F.length("t")).alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not sizes:
-        return Model({})
-    # about twice the wanted text by hash, cut to the bound below; small languages whole
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r.l), F.lit(min(1.0, 2.0 * classes / r.n + 40_000 / r.n)))])
-    place = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(place < share[F.col("l")]).select("l", "i", "t", F.xxhash64("i").alias("h")).collect()
+    """Fit on at most about ``classes`` characters of each language: distinct
+    usable rows in the order of a hash of id and text, as many as the bound takes
+    and one of every language at least. Of a text of more than ``TRAIN_TEXT``
+    characters so many are taken from its first letter on, cut in Spark. Only that
+    sample reaches the driver."""
+    rows = docs.filter(usable).select(F.col(lang_column).alias("l"), F.col(text_column).alias("t"), F.xxhash64(F.col(id_column).cast("string"), F.col(text_column)).alias("h"))
+    rows = rows.filter("l is not null and rlike(t, '\\\\p{L}')").withColumn("place", F.pmod("h", F.lit(1 << 30)))
+    # by language, the characters at places of so many bits; the sample is the fewest bits that hold enough
+    sizes = rows.select("l", "h", F.length(F.bin("place")).alias("bits"), F.least(F.length("t"), F.lit(TRAIN_TEXT)).alias("n")).distinct()
+    sizes = sizes.groupBy("l", "bits").agg(F.sum("n").alias("n"))
+    sizes = sizes.withColumn("n", F.sum("n").over(Window.partitionBy("l").orderBy("bits")))
+    upto = sizes.groupBy("l").agg(F.coalesce(F.min(F.when(F.col("n") >= classes, F.col("bits"))), F.max("bits")).alias("upto"))
+    some = rows.join(F.broadcast(upto), "l").filter("length(bin(place)) <= upto")
+    excerpt = F.when(F.length("t") > TRAIN_TEXT, F.substring(F.regexp_replace("t", "^[^\\p{L}]++", ""), 1, TRAIN_TEXT)).otherwise(F.col("t"))
+    sample = some.select("l", "place", "h", excerpt.alias("t")).dropDuplicates(["l", "h"]).collect()
     texts: dict[str, list[str]] = {}
     total: Counter = Counter()
-    for r in sorted(sample, key=lambda r: (r.l, r.h, r.i, r.t)):
+    for r in sorted(sample, key=lambda r: (r.l, r.place, r.h)):
         if total[r.l] < classes:
             texts.setdefault(r.l, []).append(r.t)
             total[r.l] += len(r.t)

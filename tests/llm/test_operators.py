@@ -261,6 +261,26 @@ def test_long_texts_are_parsed_whole(spark):
     assert model.predict(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0] == ["bb"]
 
 
+def test_language_id_learns_from_long_and_repeated_texts(spark, frame):
+    rng = random.Random(8)
+    words = {lang: ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(300)] for lang in ("aa", "bb", "cc")}
+    say = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(i, "1 " * 15_000 + say("aa", 6000), "aa") for i in range(6)] + [(100 + i, say("bb", 30), "bb") for i in range(60)] + [(200, say("cc", 9000), "cc")]
+    rows += [(300, say("cc", 20), "cc")] * 400  # one row, many times
+    assert min(len(r[1]) for r in rows[:6]) > language_id.TRAIN_TEXT
+    docs = frame(rows)
+    seen = {}
+    model, language_id.Model = language_id.Model, lambda samples: seen.update(samples) or model(samples)
+    try:
+        fitted = language_id.fit(docs, F.lit(True))
+    finally:
+        language_id.Model = model
+    assert set(seen) == {"aa", "bb", "cc"} and len(seen["cc"]) < 2 * language_id.TRAIN_TEXT and seen["cc"].count(rows[-1][1]) == 1
+    assert 40_000 <= len(seen["aa"]) <= 50_001 and seen["aa"][0].isalpha()
+    tests = [(i, say(lang, 25), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 10)]
+    assert [r.lang_pred for r in language_id.identify(frame(tests), fitted).orderBy("doc_id").collect()] == [t[2] for t in tests]
+
+
 def test_quality_model_held_out_accuracy_and_edges(spark, frame):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")

@@ -8,7 +8,9 @@ table, so that whole texts are parsed for every language at once, many texts
 side by side.
 
 Text is reduced to letter classes: lower case, anything that is not a letter is
-one blank, blanks are merged, letters unseen or rare in training share a class.
+one blank, blanks are merged. Letters unseen in training share a class; where a
+shard has more letters than classes, its rarer ones share classes by a hash.
+Languages beyond a bounded shard are parsed shard by shard.
 A phrase never crosses a multiple of ``SEGMENT`` classes, so that long texts are
 parsed in parallel pieces.
 
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from railyard.llm.common import batch_of, slices, text_bytes
+from railyard.llm.common import U64, batch_of, mix, slices, text_bytes
 
 #: Letter classes of training text per language (the fit's documented bound).
 TRAIN_CLASSES = 30_000
@@ -41,7 +43,12 @@ TRAIN_CLASSES = 30_000
 TRAIN_TEXT = 20_000
 SEGMENT = 1024
 BLANK, RARE, FIRST = 0, 1, 2
+#: Most letter classes of a shard of languages, and those of them that rarer letters share by a hash.
 MAX_CLASSES = 128
+HASHED = 64
+#: Most languages whose automata a task holds at once, and the text that it holds meanwhile if there are several shards.
+SHARD_LANGUAGES = 8
+HELD_BYTES = 32 << 20
 #: Damping of the phrase cost when it is turned into a score.
 TEMPER = 0.1
 
@@ -104,16 +111,20 @@ class Model:
         for lang, text in sorted(samples.items()):
             cp = code_points(np.frombuffer(text.encode("utf-8", "replace"), np.uint8))
             reduced[lang] = np.where(letter[cp], lower[cp], 0)
-        seen = Counter()
-        for cp in reduced.values():
-            seen.update(cp[cp > 0].tolist())
-        common = sorted(seen, key=lambda c: (-seen[c], c))[: MAX_CLASSES - FIRST]
-        kind = np.zeros(0x110000, np.uint8)
-        kind[letter] = RARE
-        for i, c in enumerate(common):
-            kind[lower == c] = FIRST + i
+        seen = {lang: Counter(cp[cp > 0].tolist()) for lang, cp in reduced.items()}
+        every, room = sorted(set().union(*seen.values())), MAX_CLASSES - FIRST
+        if len(every) <= room:
+            own, rest = every, []
+        else:  # by turns the most frequent letters of each language; the others are dealt to classes by a hash
+            turns = sorted((i, lang, c) for lang, n in seen.items() for i, c in enumerate(sorted(n, key=lambda c: (-n[c], c))))
+            own = list(dict.fromkeys(c for _, _, c in turns))[: room - HASHED]
+            rest = sorted(set(every) - set(own))
+        class_of = np.full(0x110000, RARE, np.uint8)
+        class_of[own] = FIRST + np.arange(len(own))
+        class_of[rest] = FIRST + len(own) + mix(np.array(rest, U64)) % U64(HASHED)
+        kind = class_of[lower]
         kind[~letter] = BLANK
-        self.kind, self.classes = kind, FIRST + len(common)
+        self.kind, self.classes = kind, FIRST + len(own) + (HASHED if rest else 0)
         self.languages, roots, moves, costs, base = list(reduced), [], [], [], 0
         for lang, cp in reduced.items():
             codes = self.merge_blanks(kind[cp], np.zeros(len(cp), np.int64))[0]
@@ -170,15 +181,50 @@ class Model:
         return out, n_letters
 
     def predict(self, raw: np.ndarray, off: np.ndarray) -> tuple[list[str], np.ndarray]:
-        rows = len(off) - 1
-        if not self.languages:
-            return ["und"] * rows, np.zeros(rows)
-        count, n_letters = self.phrases(raw, off)
-        bits = count * self.costs
-        best = bits.argmin(1)
-        score = 1 / np.exp(-TEMPER * (bits - bits.min(1, keepdims=True))).sum(1)
-        known = n_letters > 0
-        return [self.languages[b] if k else "und" for b, k in zip(best, known)], np.where(known, score, 0.0)
+        found = Found(len(off) - 1)
+        found.add(self, raw, off)
+        return found.result()
+
+
+class Found:
+    """The best language of the rows of a slice, over one shard after another."""
+
+    def __init__(self, rows: int):
+        self.name, self.low = np.full(rows, "", object), np.full(rows, np.inf)
+        self.total, self.known = np.zeros(rows), np.zeros(rows, bool)
+
+    def add(self, model: Model, raw: np.ndarray, off: np.ndarray) -> None:
+        if not model.languages or len(off) < 2:
+            return
+        count, n_letters = model.phrases(raw, off)
+        bits = count * model.costs
+        here, name = bits.min(1), np.array(model.languages, object)[bits.argmin(1)]
+        low = np.minimum(self.low, here)
+        self.total = self.total * np.exp(-TEMPER * (self.low - low)) + np.exp(-TEMPER * (bits - low[:, None])).sum(1)
+        better = (here < self.low) | ((here == self.low) & (name < self.name))
+        self.name, self.low, self.known = np.where(better, name, self.name), low, n_letters > 0
+
+    def result(self) -> tuple[list[str], np.ndarray]:
+        score = 1 / np.where(self.known, self.total, 1.0)
+        return [n if k else "und" for n, k in zip(self.name, self.known)], np.where(self.known, score, 0.0)
+
+
+def shards(samples: dict[str, str]) -> list[dict[str, str]]:
+    """The languages in groups of at most ``SHARD_LANGUAGES`` whose letters all have
+    classes of their own, or of one language; those of like letters together."""
+    letter, lower = letters()
+    used = {}
+    for lang, text in samples.items():
+        cp = code_points(np.frombuffer(text.encode("utf-8", "replace"), np.uint8))
+        used[lang] = Counter(lower[cp[letter[cp]]].tolist())
+    out, inside = [], set()
+    for lang in sorted(used, key=lambda k: (used[k].most_common(1)[0][0] >> 8 if used[k] else 0, k)):
+        both = inside | used[lang].keys()
+        if not out or len(out[-1]) >= SHARD_LANGUAGES or len(both) > MAX_CLASSES - FIRST:
+            out.append({})
+            both = set(used[lang])
+        out[-1][lang], inside = samples[lang], both
+    return out
 
 
 def remainder(id_column: str, modulus: int) -> Column:
@@ -186,8 +232,8 @@ def remainder(id_column: str, modulus: int) -> Column:
 
 
 def fit(docs: DataFrame, usable: Column, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
-        classes: int = TRAIN_CLASSES) -> Model:
-    """Fit on at most about ``classes`` characters of each language: distinct
+        classes: int = TRAIN_CLASSES) -> list[dict[str, str]]:
+    """The training texts, in shards of languages: about ``classes`` characters of each language at most, distinct
     usable rows in the order of a hash of id and text, as many as the bound takes
     and one of every language at least. Of a text of more than ``TRAIN_TEXT``
     characters so many are taken from its first letter on, cut in Spark. Only that
@@ -208,21 +254,38 @@ def fit(docs: DataFrame, usable: Column, id_column: str = "doc_id", text_column:
         if total[r.l] < classes:
             texts.setdefault(r.l, []).append(r.t)
             total[r.l] += len(r.t)
-    return Model({lang: "\n".join(t) for lang, t in texts.items()})
+    return shards({lang: "\n".join(t) for lang, t in texts.items()})
 
 
-def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per document: id, lang_pred, score (0 to 1)."""
+def identify(docs: DataFrame, model: list[dict[str, str]], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Per document: id, lang_pred, score (0 to 1). The automata of each shard of
+    ``model`` are one broadcast; a task holds those of one shard at a time."""
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     schema = T.StructType([source.schema.fields[0], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(schema)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = [docs.sparkSession.sparkContext.broadcast(Model(s)) for s in model]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        parts, size = [], 0
         for whole in batches:
             for part in slices(whole, "text"):
-                raw, off, _ = text_bytes(part.column("text"))
-                yield batch_of(arrow, part.column("id"), *sent.value.predict(raw, off))
+                parts.append(part)
+                size += part.column("text").nbytes
+                if len(sent) < 2 or size >= HELD_BYTES:
+                    yield parts
+                    parts, size = [], 0
+        yield parts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in held(batches):
+            found = [Found(p.num_rows) for p in parts]
+            for shard in sent if parts else ():
+                for f, p in zip(found, parts):
+                    f.add(shard.value, *text_bytes(p.column("text"))[:2])
+                if len(sent) > 1 and shard._path is not None:
+                    shard.__dict__.pop("_value", None)  # read again from its file for the next parts
+            for f, p in zip(found, parts):
+                yield batch_of(arrow, p.column("id"), *f.result())
 
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_column)
 

@@ -269,18 +269,39 @@ def test_language_id_learns_from_long_and_repeated_texts(spark, frame):
     rows += [(300, say("cc", 20), "cc")] * 400  # one row, many times
     assert min(len(r[1]) for r in rows[:6]) > language_id.TRAIN_TEXT
     docs = frame(rows)
-    seen = {}
-    model, language_id.Model = language_id.Model, lambda samples: seen.update(samples) or model(samples)
-    try:
-        fitted = language_id.fit(docs, F.lit(True))
-    finally:
-        language_id.Model = model
+    fitted = language_id.fit(docs, F.lit(True))
+    seen = {lang: text for shard in fitted for lang, text in shard.items()}
     assert set(seen) == {"aa", "bb", "cc"} and len(seen["cc"]) < 2 * language_id.TRAIN_TEXT and seen["cc"].count(rows[-1][1]) == 1
     assert 40_000 <= len(seen["aa"]) <= 50_001 and seen["aa"][0].isalpha()
     tests = [(i, say(lang, 25), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 10)]
     assert [r.lang_pred for r in language_id.identify(frame(tests), fitted).orderBy("doc_id").collect()] == [t[2] for t in tests]
 
 
+def test_language_id_takes_many_languages_and_large_scripts(spark, frame):
+    rng = random.Random(12)
+    first = {"zh": 0x4E00, "zj": 0x4E00, "ko": 0xAC00, "am": 0x1200}
+    big = {k: ["".join(chr(c + rng.randrange(250)) for _ in range(2)) for _ in range(900)] for k, c in first.items()}
+    words = big | {f"x{i:03}": ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(40)] for i in range(203)}
+    say = lambda lang, n: ("" if lang in big else " ").join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(len(words) * k + i, say(lang, 1500 if lang in big else 80), lang) for k in range(2) for i, lang in enumerate(words)]
+    fitted = language_id.fit(frame(rows), F.lit(True))
+    assert {lang for s in fitted for lang in s} == set(words) and max(map(len, fitted)) <= language_id.SHARD_LANGUAGES
+    tests = [(i, say(lang, 40), lang) for i, lang in enumerate([*big] * 5 + [*words][4::20])]
+    got = language_id.identify(frame(tests), fitted).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == [t[2] for t in tests] and all(0 < r.score <= 1 for r in got)
+
+
+def test_shards_of_languages_give_what_one_model_gives():
+    texts = {"aa": "the cat sat on the mat and the dog", "bb": "le chat est sur le tapis et le chien", "cc": "die katze sitzt auf der matte"}
+    raw = "the dog le chien zzz katze".encode()
+    off = np.array([0, 7, 16, 20, 26])
+    found = language_id.Found(4)
+    for lang in ("cc", "aa", "bb"):
+        found.add(language_id.Model({lang: texts[lang]}), np.frombuffer(raw, np.uint8), off)
+    name, score = language_id.Model(texts).predict(np.frombuffer(raw, np.uint8), off)
+    assert found.result()[0] == name and np.allclose(found.result()[1], score)
+
+
 def test_quality_model_held_out_accuracy_and_edges(spark, frame):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")

@@ -183,9 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_column: str = "
     for y in sorted(n):
         some = votes.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
-    # at most 2 * per_class rows of (id, y): a bounded broadcast
+    # at most 2 * per_class rows of (id, y): a bounded broadcast; of each id one row, that of the least text hash
     sample = (docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-              .join(F.broadcast(picked), "id").select("id", "y", "text"))
+              .join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
     schema = T.StructType([sample.schema["id"], T.StructField("y", T.IntegerType()), T.StructField("grams", T.BinaryType())])
     arrow = to_arrow_schema(schema)
 
@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_column: str = "
                 cut = np.searchsorted(row, np.arange(part.num_rows + 1))
                 yield batch_of(arrow, part.column("id"), part.column("y"), [bucket[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])])
 
-    got = sample.mapInArrow(run, schema).limit(4 * per_class).toArrow()  # at most that many index lists
+    got = sample.mapInArrow(run, schema).toArrow()  # one index list an id
     grams = [np.frombuffer(g.as_buffer(), np.int32) for g in got.column("grams")]
     labels_of, ids = got.column("y").to_pylist(), got.column("id").to_pylist()
     order = sorted(range(len(grams)), key=lambda i: (str(ids[i]), zlib.crc32(grams[i])))

@@ -317,6 +317,14 @@ def test_quality_model_held_out_accuracy_and_edges(spark, frame):
     assert quality_model.digest(odd.limit(0), labels).count() == 0
 
 
+def test_quality_model_takes_one_row_of_each_id(spark, frame, monkeypatch):
+    docs = frame([(1, "the one repeated text")] * 600 + [(i, f"text number {i}") for i in range(2, 20)] + [(2, "another text of two")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 20)], "doc_id long, quality long")
+    monkeypatch.setattr(quality_model, "train", lambda rows, y, share: (len({r.tobytes() for r in rows}), y.tolist()))
+    n, y = quality_model.fit(docs, labels, F.lit(True), per_class=20)
+    assert n == len(y) == 19 and sum(y) == 10
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(1)
     y = np.where(rng.random(200) < 0.5, 1.0, -1.0)

@@ -34,12 +34,20 @@ _POLYS = T.ArrayType(_POLY)
 
 
 def read_feature_collections(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-10: FeatureCollection files → one row per feature."""
+    """SRC-10: FeatureCollection files → one row per feature. A file is one
+    document, read by one task; see :func:`read_features` for large inputs."""
     raw = spark.read.option("multiLine", True).option("primitivesAsString", True).schema(COLLECTION).json(path)
     feats = raw.select(F.col("_metadata.file_path").alias("_file"), F.posexplode("features").alias("row_num", "f"))
     return feats.select("_file", "row_num", F.col("f.properties").alias("properties"), F.col("f.geometry").alias("geometry"))
 
 
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-10 for large inputs: files of one feature a line → one row per feature.
+    Lines are read in splits, so they have no ``row_num``."""
+    raw = spark.read.option("primitivesAsString", True).schema(FEATURE).json(path)
+    return raw.select(F.col("_metadata.file_path").alias("_file"), "properties", "geometry")
+
+
 def features_from_json(text: DataFrame, col: str) -> DataFrame:
     """Parse FeatureCollection JSON text held in a column (one document per row)."""
     doc = text.select("*", F.from_json(F.col(col), COLLECTION).alias("_doc"))

@@ -204,3 +204,25 @@ def test_empty_member_warning(spark, scratch):
     rows = archive.scan_archives(spark, d, raw=True)
     w = [r.message for r in V.empty_file_warnings(rows).collect()]
     assert w == ["File 'calendar_dates.txt' has no data rows"]
+
+
+def test_features_by_line_are_those_of_the_collection(spark, scratch):
+    import json
+    import os
+
+    from railyard.sources import geojson
+
+    made = [{"type": "Feature", "properties": {"n": i, "name": f"stop {i}"}, "geometry": {"type": "Point", "coordinates": [i, 1.5]}} for i in range(500)]
+    os.makedirs(f"{scratch}/lines")
+    with open(f"{scratch}/lines/a.json", "w") as f:
+        f.writelines(json.dumps(x) + "\n" for x in made)
+    with open(f"{scratch}/whole.json", "w") as f:
+        json.dump({"type": "FeatureCollection", "features": made}, f)
+    rows = lambda df: sorted((r.properties["name"], r.properties["n"], tuple(r.geometry)) for r in df.collect())
+    lines = geojson.read_features(spark, f"{scratch}/lines")
+    assert rows(lines) == rows(geojson.read_feature_collections(spark, f"{scratch}/whole.json")) and lines.count() == 500
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert geojson.read_features(spark, f"{scratch}/lines").rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

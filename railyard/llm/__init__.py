@@ -1,4 +1,5 @@
 """Operators of a training-data pipeline (token counts, decontamination,
 substring dedup, chat formatting, language id, quality rules, packing,
-near-dedup, HTML extraction, quality classifier). Nothing else in the library
+near-dedup, HTML extraction, quality classifier, line dedup, conversation
+prefix trie, importance resampling). Nothing else in the library
 imports this subpackage."""

@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railyard import catalog, schemas
-from railyard.operators import joins
+from railyard.operators import joins, ordered
 from railyard.session import cut_lineage, materialise
 
 FEED = "feed_id"
+ROW_ORDER = "row_order"
 MODES = ("replace", "merge", "merge_partial", "abort_if_not_empty")
 
 
@@ -69,8 +70,6 @@ def page(df: DataFrame, order: Sequence[str], limit: int, offset: int = 0) -> Da
     task gathers the rows before the page. The rows are the same either way."""
     if offset + limit <= TOP_K_ROWS:
         return df.orderBy(*order).offset(offset).limit(limit)
-    from railyard.operators import ordered
-
     numbered = ordered.dense_ordinal(df, [], list(order), "__place")
     return numbered.where(F.col("__place").between(offset + 1, offset + limit)).orderBy("__place").drop("__place")
 
@@ -93,6 +92,31 @@ def table_counts(tables: Mapping[str, DataFrame], feeds: DataFrame | None = None
         FEED, "table_name", F.coalesce("records", F.lit(0)).cast("long").alias("records"))
 
 
+# --- row order and batches -----------------------------------------------------------------
+def number_rows(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """``new`` (with ``row_num``, its input order) with ``row_order``: 1, 2, ..
+    within the feed, after the highest number that ``stored`` has for it. Equal
+    ``row_num`` (two files of one table) are told apart by a hash of the row."""
+    data = [c for c in new.columns if c not in ("row_num", ROW_ORDER)]
+    numbered = ordered.dense_ordinal(new.select(*data, "row_num", F.xxhash64(*data).alias("__tie")), [FEED], ["row_num", "__tie"], "__n")
+    top = stored.groupBy(FEED).agg(F.max(ROW_ORDER).alias("__top"))
+    return numbered.join(top, FEED, "left").select(*data, "row_num", (F.coalesce("__top", F.lit(0)) + F.col("__n")).alias(ROW_ORDER))
+
+
+def merge_rows(stored: DataFrame, new: DataFrame, pk: Sequence[str]) -> DataFrame:
+    """The rows of a table with a key after ``new`` (with ``row_num``) is merged
+    into ``stored`` (with ``row_order``): of a key the last new row stays, in its
+    own place, else the stored one in its old place."""
+    return joins.upsert(stored, number_rows(new, stored), pk, [ROW_ORDER])
+
+
+def content_batches(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feed_id, batch): a name per feed from the rows' ``columns``, whatever their order."""
+    hashed = rows.select(FEED, *[F.xxhash64(F.lit(k), *columns).cast("decimal(20,0)").alias(f"_h{k}") for k in (1, 2)])
+    sums = hashed.groupBy(FEED).agg(F.count(F.lit(1)).alias("_n"), F.sum("_h1").alias("_s1"), F.sum("_h2").alias("_s2"))
+    return sums.select(FEED, F.substring(F.sha2(F.concat_ws(" ", "_n", "_s1", "_s2"), 256), 1, 32).alias("batch"))
+
+
 # --- the store (SL-06) ------------------------------------------------------------------------
 class GtfsStore:
     """GTFS tables partitioned by ``feed_id``."""
@@ -102,14 +126,20 @@ class GtfsStore:
         self.root = root.rstrip("/")
 
     def read(self, table: str) -> DataFrame:
-        """The rows of a table (none before its first load)."""
+        """The rows of a table with their ``row_order`` (none before its first load)."""
+        return self._stored(table).drop("batch")
+
+    def _stored(self, table: str) -> DataFrame:
         from railyard.sources.tabular import path_exists
 
-        schema = schemas.GTFS[table].struct().add(FEED, "string")
+        schema = schemas.GTFS[table].struct().add(FEED, "string").add(ROW_ORDER, "long").add("batch", "string")
         if not path_exists(self.spark, f"{self.root}/{table}/feed_id=*"):
             return self.spark.createDataFrame([], schema)
-        typed = schemas.GTFS[table].struct().add("batch", "string").add(FEED, "string")
-        return self.spark.read.schema(typed).parquet(f"{self.root}/{table}").select(*schema.names)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}").select(*schema.names)
+
+    def page(self, table: str, limit: int, offset: int = 0) -> DataFrame:
+        """SL-01: ``LIMIT/OFFSET`` over a table in stored order, feed after feed."""
+        return page(self.read(table), [FEED, ROW_ORDER], limit, offset)
 
     def tables(self) -> dict[str, DataFrame]:
         return {t: self.read(t) for t in catalog.TABLES}
@@ -117,13 +147,14 @@ class GtfsStore:
     def counts(self) -> DataFrame:
         return table_counts(self.tables())
 
-    def write(self, table: str, rows: DataFrame, batch_id: str = "all") -> None:
-        """Replace the partitions of the feeds (and batch) that ``rows`` holds.
+    def write(self, table: str, rows: DataFrame, batches: DataFrame | str = "all") -> None:
+        """Replace the partitions of the feeds and batches (one name, or one per
+        feed) that ``rows`` holds.
 
         A large feed is written by many tasks, many small ones by few."""
-        cols = [*schemas.GTFS[table].names, FEED]
-        out = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in cols],
-                          F.lit(batch_id).alias("batch"))
+        cols = [*schemas.GTFS[table].names, FEED, ROW_ORDER]
+        out = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in cols])
+        out = out.withColumn("batch", F.lit(batches)) if isinstance(batches, str) else out.join(batches, FEED)
         (out.hint("rebalance", FEED).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(FEED, "batch").parquet(f"{self.root}/{table}"))
 
@@ -158,9 +189,11 @@ class GtfsStore:
 
         return self.import_rows(archive.scan_archives(self.spark, path), mode)
 
-    def import_rows(self, parsed: DataFrame, mode: str = "merge", batch_id: str = "import") -> tuple[DataFrame, dict[str, DataFrame]]:
+    def import_rows(self, parsed: DataFrame, mode: str = "merge", batch_id: str | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
         """Gate and load archive rows produced by ``archive.parse_files``. The
-        rows are written once, by table, so that each table reads only its own."""
+        rows are written once, by table, so that each table reads only its own.
+        Tables without a key are filed under a hash of all rows of the feed's
+        archive, or under ``batch_id``, whose earlier rows are then replaced."""
         from railyard.sources import archive
 
         rows = materialise(parsed, by="table_name")
@@ -174,11 +207,12 @@ class GtfsStore:
         ok_feeds = gate.where(F.col("reject_reason").isNull()).select(FEED).join(bad_archives, FEED, "left_anti")
         present = [r.table_name for r in members.select("table_name").distinct().collect()]  # <= 15 names
         tables = {t: archive.table_rows(rows, t).join(ok_feeds, FEED, "left_semi") for t in present}
-        rejected = self.load(tables, mode, batch_id) if tables else {}
+        batches = batch_id or content_batches(rows.where(F.col("reject").isNull()), ["table_name", "row_num", "keys", "vals"])
+        rejected = self.load(tables, mode, batches) if tables else {}
         return gate, rejected
 
     def import_silver(self, datasets: Mapping[str, DataFrame], order_cols: Mapping[str, Sequence[str]],
-                      batch_id: str = "silver", warning_limit: int = 20) -> tuple[DataFrame, DataFrame]:
+                      batch_id: str | None = None, warning_limit: int = 20) -> tuple[DataFrame, DataFrame]:
         """AG-22: map the Silver datasets of the feeds, load the tables and report:
         (mapped and failed totals with the unmapped tables per feed, the first warnings)."""
         from railyard.operators import mapping
@@ -191,12 +225,15 @@ class GtfsStore:
                                      for t, df in rejected.items()])
         return mapping_report(stored, rejected, warnings, warning_limit)
 
-    def load(self, new_tables: Mapping[str, DataFrame], mode: str = "merge", batch_id: str = "import") -> dict[str, DataFrame]:
+    def load(self, new_tables: Mapping[str, DataFrame], mode: str = "merge", batches: DataFrame | str | None = None) -> dict[str, DataFrame]:
         """Apply a parsed feed (tables carry ``feed_id`` and ``row_num``).
 
         REPLACE clears the feeds being loaded first (SL-06); all modes then
         run the FK-enforced load parents-first (JN-09) and upsert by primary
-        key (JN-10). Returns the rejected rows per table; ``outcome`` counts."""
+        key (JN-10). Rows of tables without a key are added under ``batches``
+        (a name per feed; by default a hash of what the feed brings), unless the
+        feed has that batch already; a name given as text replaces its earlier
+        rows. Returns the rejected rows per table; ``outcome`` counts."""
         if mode not in MODES:
             raise ValueError(mode)
         feeds = None
@@ -216,6 +253,12 @@ class GtfsStore:
             rej = rejected.get(name)
             rejected[name] = errs if rej is None else rej.select(FEED, "row_num", "error").unionByName(errs)
         rejected = {t: materialise(df.select(FEED, "row_num", "error")) for t, df in rejected.items()}
+        if batches is None and not all(catalog.PRIMARY_KEYS[t] for t in new_tables):
+            batches = content_batches(joins._union_all([
+                df.select(FEED, F.lit(t).alias("t"), F.struct(*sorted(c for c in df.columns if c not in (FEED, "row_num"))).cast("string").alias("row"))
+                for t, df in new_tables.items()]), ["t", "row"])
+        if isinstance(batches, DataFrame):
+            batches = materialise(batches)
         merged = {}
         for name, df in accepted.items():
             cols = [*schemas.GTFS[name].names, FEED]
@@ -224,15 +267,18 @@ class GtfsStore:
             if "row_num" not in rows.columns:
                 rows = rows.withColumn("row_num", F.monotonically_increasing_id())
             pk = list(catalog.PRIMARY_KEYS[name])
+            if not pk and isinstance(batches, DataFrame) and mode != "replace":
+                held = self._stored(name).select(FEED, "batch").join(batches, [FEED, "batch"], "left_semi").select(FEED).distinct()
+                rows = rows.join(held, FEED, "left_anti")
             # every table is whole before the first one is written
-            merged[name] = materialise(joins.upsert(before[name].select(*cols), rows, pk, ["row_num"]) if pk else rows.select(*cols))
+            merged[name] = materialise(merge_rows(before[name], rows, pk) if pk else number_rows(rows, before[name]).drop("row_num"))
         self.outcome = materialise(_outcome(merged, rejected, current if mode == "replace" else {}, feeds))
         if mode == "replace":
             for t in catalog.CLEAR_ORDER:
                 self.clear(t, feeds)
         for name in catalog.INSERT_ORDER:
             if name in merged:
-                self.write(name, merged[name], "all" if catalog.PRIMARY_KEYS[name] else batch_id)
+                self.write(name, merged[name], "all" if catalog.PRIMARY_KEYS[name] else batches)
         return rejected
 
 
@@ -270,8 +316,6 @@ def feed_from_store(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
 
 def error_samples(rejected: Mapping[str, DataFrame], limit: int = 50) -> DataFrame:
     """AG-21: the first ``limit`` error rows per (feed, table), in file order."""
-    from railyard.operators import ordered
-
     parts = [df.select(FEED, F.lit(t).alias("table_name"), "row_num", "error") for t, df in rejected.items()]
     u = parts[0]
     for p in parts[1:]:
@@ -283,8 +327,6 @@ def mapping_report(mapped: Mapping[str, DataFrame], failed: Mapping[str, DataFra
                    limit: int = 20) -> tuple[DataFrame, DataFrame]:
     """AG-22: per feed mapped / failed totals and unmapped tables (SO-03), plus
     the first ``limit`` warnings. ``warnings``: (feed_id, ordinal, message)."""
-    from railyard.operators import ordered
-
     m = table_counts(mapped)
     f = table_counts(failed) if failed else m.select(FEED, "table_name", F.lit(0).cast("long").alias("records"))
     joined = m.join(f.withColumnRenamed("records", "_failed"), [FEED, "table_name"], "left")

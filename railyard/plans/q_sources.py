@@ -170,6 +170,29 @@ def gtfs_text_stops(spark, sf):
     return gtfs_text.table_lines(stops, "stops").select("feed_id", "table", "section", "line")
 
 
+def _long_trips(spark, sf):
+    """lineitem as trips of many stops: the lines of a span of order keys are one trip."""
+    li = A.table(spark, sf, "lineitem")
+    return li.select(F.lit(A.FEED_ID).alias("feed_id"), (F.col("l_orderkey") - F.col("l_orderkey") % 32).alias("trip_id"),
+                     ((F.col("l_orderkey") % 32) * 8 + F.col("l_linenumber")).alias("stop_sequence"), F.col("l_partkey").alias("stop_id"),
+                     F.col("l_quantity").alias("shape_dist_traveled"))
+
+
+@register(
+    "gtfs_text_stop_times",
+    sql=f"""
+    WITH t AS (SELECT l_orderkey - l_orderkey % 32 AS trip_id, (l_orderkey % 32) * 8 + l_linenumber AS stop_sequence, l_partkey AS stop_id, l_quantity AS q FROM lineitem),
+         l AS (SELECT trip_id, stop_sequence, trip_id || ',' || stop_id || ',' || stop_sequence || ',' || {_num('q')} AS line FROM t)
+    SELECT 'F1' AS feed_id, 'stop_times' AS "table", 1::BIGINT AS line_no, 'trip_id,stop_id,stop_sequence,shape_dist_traveled' AS line
+    UNION ALL
+    SELECT 'F1', 'stop_times', 1 + row_number() OVER (ORDER BY trip_id, stop_sequence, line), line FROM l
+    """,
+)
+def gtfs_text_stop_times(spark, sf):
+    """SNK-09: the lines of stop_times in file order, sequence numbers in the order of numbers."""
+    return gtfs_text.numbered_lines(_long_trips(spark, sf), "stop_times")
+
+
 @register(
     "export_gate",
     sql="""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from railyard import catalog
-from railyard.operators import joins, store
+from railyard.operators import joins, ordered, store
 from railyard.plans import adapters as A
 from railyard.plans.registry import register
 
@@ -285,3 +285,26 @@ def import_mode_gate(spark, sf):
 def page_of_table(spark, sf):
     """Page 3 (50 rows per page) of stops in key order: the limit is the feature."""
     return store.page(A.a_stops(spark, sf).select("feed_id", "stop_id", "stop_name", "zone_id"), ["stop_id"], 50, 100)
+
+
+# --- row order (SNK-09, SL-01) -----------------------------------------------------------------
+
+@register(
+    "stored_row_order",
+    sql=f"""
+    WITH old AS (SELECT o_orderkey AS trip_id, o_orderdate AS day, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row_order FROM orders),
+         lines AS (SELECT l_orderkey AS trip_id, l_shipdate AS day, row_number() OVER (ORDER BY {", ".join(A.stop_time_order_cols())}) AS n FROM lineitem),
+         last AS (SELECT trip_id, max_by(day, n) AS day, (SELECT count(*) FROM old) + max(n) AS row_order FROM lines GROUP BY trip_id),
+         merged AS (SELECT * FROM last UNION ALL SELECT * FROM old WHERE trip_id NOT IN (SELECT trip_id FROM last))
+    SELECT 'F1' AS feed_id, trip_id, strftime(day, '%Y-%m-%d') AS day, row_order::BIGINT AS row_order FROM merged
+    """,
+)
+def stored_row_order(spark, sf):
+    """Row order of a merge: numbers go on from the stored ones, and a replaced row takes its new place."""
+    o = A.table(spark, sf, "orders").select(F.lit(A.FEED_ID).alias("feed_id"), F.col("o_orderkey").alias("trip_id"), F.col("o_orderdate").alias("day"))
+    li = A.table(spark, sf, "lineitem").select(F.lit(A.FEED_ID).alias("feed_id"), F.col("l_orderkey").alias("trip_id"), F.col("l_shipdate").alias("day"),
+                                               *A.stop_time_order_cols())
+    stored = ordered.dense_ordinal(o, ["feed_id"], ["day", "trip_id"], store.ROW_ORDER)
+    lines = ordered.dense_ordinal(li, ["feed_id"], A.stop_time_order_cols(), "row_num").select("feed_id", "trip_id", "day", "row_num")
+    out = store.merge_rows(stored, lines, ["trip_id"])
+    return out.select("feed_id", "trip_id", F.date_format("day", "yyyy-MM-dd").alias("day"), store.ROW_ORDER)

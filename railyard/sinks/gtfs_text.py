@@ -4,8 +4,8 @@ Each (feed, table) becomes one ``.txt`` member: UTF-8, CRLF line ends,
 minimal quoting, NULL as empty, whole floats as integers, columns that are
 NULL in every row of that feed left out, empty tables left out. Lines are
 formatted as text columns in Spark (per-feed column choice comes from one
-aggregate, one row per feed), then range-partitioned in member order and
-written by ``feed_id``/``table``: a large member is several parts in the order
+aggregate, one row per feed), then range-partitioned in member order — stored
+order where rows carry ``row_order``, else by typed primary key — and written by ``feed_id``/``table``: a large member is several parts in the order
 of their names, the header in the first; ``tabular.read_csv_text(parts=True)``
 reads such a folder as one file.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from railyard import catalog, schemas
 from railyard.functions import scalars as S
-from railyard.operators import quality, service, store
+from railyard.operators import ordered, quality, service, store
 
 FEED = "feed_id"
 
@@ -31,6 +31,32 @@ def _quote(cell: Column) -> Column:
     return F.when(needs, F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(cell)
 
 
+def _sortable(c: Column, kind: T.DataType) -> Column:
+    """Text that sorts like the typed value (NULL first)."""
+    if isinstance(kind, T.StringType):
+        return F.coalesce(c, F.lit(""))
+    if isinstance(kind, T.IntegralType):
+        shifted = c.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
+        return F.coalesce(F.lpad(shifted.cast("string"), 20, "0"), F.lit(""))
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def _member_order(df: DataFrame, table: str, cols: Sequence[str]) -> Column:
+    """The sort key of a table's rows: stored order, else the primary key by its schema's types."""
+    if store.ROW_ORDER in df.columns:
+        return _sortable(F.col(store.ROW_ORDER), T.LongType())
+    types = {f.name: f.dataType for f in schemas.GTFS[table].struct()}
+    keys = [c for c in catalog.PRIMARY_KEYS.get(table, []) if c in cols] or cols[:1]
+    parts = []
+    for c in keys:
+        given, kind = df.schema[c].dataType, types[c]
+        if isinstance(given, T.IntegralType) or not isinstance(kind, T.IntegralType):
+            parts.append(_sortable(F.col(c), given))
+        else:  # numbers held as text: the number first, then the text of what is none
+            parts += [_sortable(F.col(c).try_cast("long"), T.LongType()), F.coalesce(F.col(c).cast("string"), F.lit(""))]
+    return F.concat_ws("\u0001", *parts)
+
+
 def table_lines(df: DataFrame, table: str, columns: Sequence[str] | None = None) -> DataFrame:
     """(feed_id, table, section, sort_key, line) rows of one GTFS table."""
     cols = [c for c in (columns or schemas.GTFS[table].names) if c in df.columns]
@@ -47,13 +73,20 @@ def table_lines(df: DataFrame, table: str, columns: Sequence[str] | None = None)
                            F.array_join(F.transform("_keep", lambda i: F.element_at(names, i + 1)), ",").alias("line"))
     body = df.join(active, FEED, "inner")
     vals = F.array(*[_quote(cells[c]) for c in cols])
-    pk = [c for c in catalog.PRIMARY_KEYS.get(table, []) if c in cols] or cols[:1]
-    sort_key = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in pk])
-    data = body.select(FEED, F.lit(table).alias("table"), F.lit(1).alias("section"), sort_key.alias("sort_key"),
+    data = body.select(FEED, F.lit(table).alias("table"), F.lit(1).alias("section"), _member_order(df, table, cols).alias("sort_key"),
                        F.array_join(F.transform("_keep", lambda i: F.element_at(vals, i + 1)), ",").alias("line"))
     return header.unionByName(data)
 
 
+MEMBER = [FEED, "table", "section", "sort_key", "line"]
+
+
+def numbered_lines(df: DataFrame, table: str) -> DataFrame:
+    """(feed_id, table, line_no, line): the lines of a member in file order, numbered from 1 (the header) by range."""
+    numbered = ordered.dense_ordinal(table_lines(df, table), [FEED, "table"], MEMBER[2:], "line_no")
+    return numbered.select(FEED, "table", "line_no", "line")
+
+
 def write_feed(tables: Mapping[str, DataFrame], path: str, order: Sequence[str] = catalog.EXPORT_ORDER) -> None:
     """SNK-09: write every table of every feed as ``feed_id=/table=`` text."""
     lines = None
@@ -61,8 +94,7 @@ def write_feed(tables: Mapping[str, DataFrame], path: str, order: Sequence[str]
         if t in tables:
             part = table_lines(tables[t], t)
             lines = part if lines is None else lines.unionByName(part)
-    member = [FEED, "table", "section", "sort_key", "line"]
-    (lines.repartitionByRange(*member).sortWithinPartitions(*member)
+    (lines.repartitionByRange(*MEMBER).sortWithinPartitions(*MEMBER)
      .select(FEED, "table", "line").write.mode("overwrite").option("lineSep", "\r\n")
      .partitionBy(FEED, "table").text(path))
 
@@ -120,4 +152,4 @@ def export_subset(tables: Mapping[str, DataFrame], path: str, route_ids: DataFra
 
 def write_page_csv(df: DataFrame, order: Sequence[str], limit: int, offset: int, path: str) -> None:
     """SNK-13: one page of a table as CSV."""
-    store.page(df, order, limit, offset).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    store.page(df, order, limit, offset).drop(store.ROW_ORDER).coalesce(1).write.mode("overwrite").option("header", True).csv(path)

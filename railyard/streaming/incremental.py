@@ -7,8 +7,8 @@ micro-batch is parsed, gated and merged into the versioned store by
 and the stream's checkpoint records which files were applied.
 
 Replays: a micro-batch re-run after a failure re-applies the same archives.
-Primary-key tables are replaced row for row, and tables without a key keep the
-rows of each batch in a partition of its own, which the replay overwrites.
+Primary-key tables are replaced row for row, and tables without a key file the
+rows of an archive under a hash of its content, so a replay adds none.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def merge_archive_stream(
 
     def apply(batch: DataFrame, epoch_id: int) -> None:
         store = GtfsStore(batch.sparkSession, store_root)
-        store.import_rows(archive.parse_files(batch), mode, batch_id=f"stream-{epoch_id}")
+        store.import_rows(archive.parse_files(batch), mode)
 
     writer = files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from railyard.functions import scalars as S
@@ -78,7 +78,7 @@ def map_stop_times(operations: DataFrame, trips: DataFrame, order_cols: Sequence
 
     The k-th stop by stop_sequence arrives at start + (k-1)(dwell + 120 s) and
     departs dwell later; start and dwell come from the lowest-sequence row.
-    The window is per (line, direction): bounded by one line's stop list."""
+    Positions come from an ordered scan over ranges, so a line may be of any length."""
     ops = operations.select(FEED, F.col("line_id").cast("string").alias("line_id"),
                             F.col("direction_id").cast("int").alias("direction_id"),
                             F.col("stop_id").cast("string").alias("stop_id"),
@@ -86,9 +86,8 @@ def map_stop_times(operations: DataFrame, trips: DataFrame, order_cols: Sequence
                             S.time_to_seconds(F.col("service_start_time").cast("string")).alias("_start"),
                             S.parse_duration_secs(F.col("average_dwell_time")).alias("_dwell"),
                             *order_cols)
-    w = Window.partitionBy(FEED, "line_id", "direction_id").orderBy("stop_sequence", *order_cols)
-    ranked = ops.withColumn("_k", F.row_number().over(w)).withColumn(
-        "_start0", F.first("_start").over(w)).withColumn("_dwell0", F.first("_dwell").over(w))
+    ranked = ordered.range_scan(ops, [FEED, "line_id", "direction_id"], ["stop_sequence", *order_cols],
+                                first={"_start0": "_start", "_dwell0": "_dwell"}, index="_k")
     lookup = trips.select(FEED, F.col("route_id").alias("line_id"), "direction_id", "trip_id")
     joined = ranked.join(lookup, [FEED, "line_id", "direction_id"], "inner")
     start = F.coalesce(F.col("_start0"), F.lit(6 * 3600))

@@ -6,13 +6,17 @@ Design rules (scale):
   never a window partitioned by the key alone.
 * Ordinals "per feed" are numbered with a range-partitioned sort and per-range
   offsets, so one huge feed is spread over many tasks.
+* Previous values, first values and positions within a group come from an
+  ordered scan over ranges that hands its state from range to range
+  (``range_scan``), so one huge group is spread over many tasks too.
 * Top-N per group runs in two salted phases, so a hot group is cut into
   ``salt`` slices before its final N are picked.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,14 +63,55 @@ def duplicates_after_first(
     return joined.where(order_struct(order_cols) > F.col(first_alias))
 
 
-def lag_over(df: DataFrame, part: Sequence[str], order_cols: Sequence[str], col: str, name: str) -> DataFrame:
-    """Previous value of ``col`` within ``part`` in input order.
-
-    Used per trip / per route-direction only, whose groups are bounded by the
-    length of one vehicle journey or one day's timetable of a line.
+def range_scan(
+    df: DataFrame,
+    part: Sequence[str],
+    order_cols: Sequence[str],
+    lag: Mapping[str, str] | None = None,
+    first: Mapping[str, str] | None = None,
+    index: str | None = None,
+    num_ranges: int | None = None,
+) -> DataFrame:
+    """``lag``, ``first_value`` and ``row_number`` over (part, order) for groups of any size.
+
+    ``lag`` and ``first`` map a new column to the column it reads; ``index``
+    names the 1-based position. Rows are range-partitioned by (part, order) and
+    scanned range by range. The state that a group hands on — its last row, its
+    first row, its rows so far — is needed only where a range begins inside a
+    group: at most one row per range, which is the bound of the broadcast.
+    ``order_cols`` should be unique within ``part``; NULL keys form one group.
+    The ranges are checkpointed once, because their bounds are sampled.
     """
-    w = Window.partitionBy(*part).orderBy(*order_cols)
-    return df.withColumn(name, F.lag(col).over(w))
+    lag, first = dict(lag or {}), dict(first or {})
+    n = num_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *[F.col(c) for c in [*part, *order_cols]]).withColumn("__rng", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    w = Window.partitionBy("__rng", *part).orderBy(*order_cols)
+    local = ranged.select("*", F.row_number().over(w).alias("__at"), *[F.lag(c).over(w).alias(f"__lag_{k}") for k, c in lag.items()],
+                          *[F.first(c).over(w).alias(f"__first_{k}") for k, c in first.items()])
+    # per (range, group): rows, last row, first row; of these only groups that go on are carried
+    order = order_struct(order_cols)
+    seen = ranged.groupBy("__rng", *part).agg(
+        F.count(F.lit(1)).alias("__n"), F.max_by(F.struct(F.lit(0).alias("_"), *[F.col(c).alias(k) for k, c in lag.items()]), order).alias("__last"),
+        F.min_by(F.struct(F.lit(0).alias("_"), *[F.col(c).alias(k) for k, c in first.items()]), order).alias("__head"))
+    back = Window.partitionBy(*part).orderBy("__rng")
+    carried = seen.select(F.col("__rng").alias("__r"), *[F.col(c).alias(f"__p{i}") for i, c in enumerate(part)],
+                          F.sum("__n").over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+                          F.lag("__last").over(back).alias("__last"), F.first("__head").over(back).alias("__head")).where("__before is not null")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__p{i}")) for i, c in enumerate(part)], F.col("__rng") == F.col("__r"))
+    out = local.join(F.broadcast(carried), same, "left")
+    goes_on = F.col("__before").isNotNull()
+    added = [F.when((F.col("__at") == 1) & goes_on, F.col("__last")[k]).otherwise(F.col(f"__lag_{k}")).alias(k) for k in lag]
+    added += [F.when(goes_on, F.col("__head")[k]).otherwise(F.col(f"__first_{k}")).alias(k) for k in first]
+    if index:
+        added.append((F.col("__at") + F.coalesce("__before", F.lit(0))).cast("long").alias(index))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *added)
+
+
+def lag_over(df: DataFrame, part: Sequence[str], order_cols: Sequence[str], col: str, name: str) -> DataFrame:
+    """WN-01: previous value of ``col`` within ``part`` in input order, whatever
+    the size of a group (a blank id may hold most rows of a feed)."""
+    return range_scan(df, part, order_cols, lag={name: col})
 
 
 def dense_ordinal(

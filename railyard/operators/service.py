@@ -13,12 +13,13 @@ Definitions (the GTFS data model):
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railyard.functions import scalars as S
+from railyard.operators import ordered
 from railyard.session import materialise
 
 FEED = "feed_id"
@@ -113,19 +114,51 @@ def health(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def route_stats(active: DataFrame, trips: DataFrame, stop_times: DataFrame) -> DataFrame:
+#: Mean radius of the earth in kilometres.
+EARTH_RADIUS_KM = 6371.0
+
+
+def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Distance along the sphere between two positions in degrees, in the form of
+    the haversine that keeps its digits near the antipode too."""
+    a, b, d = F.radians(lat1), F.radians(lat2), F.radians(lon2) - F.radians(lon1)
+    across = F.sqrt(F.pow(F.cos(b) * F.sin(d), 2) + F.pow(F.cos(a) * F.sin(b) - F.sin(a) * F.cos(b) * F.cos(d), 2))
+    return F.lit(EARTH_RADIUS_KM) * F.atan2(across, F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(d))
+
+
+def path_lengths(stop_times: DataFrame, stops: DataFrame, stop_order: Sequence[str] = ("stop_sequence",)) -> DataFrame:
+    """(feed_id, trip_id, path_km): great-circle distance from stop to stop in
+    ``stop_order``. Calls at stops without a position in range are passed over;
+    a trip with fewer than two positions has none."""
+    lat, lon = F.col("stop_lat").try_cast("double"), F.col("stop_lon").try_cast("double")
+    placed = stops.where(lat.between(-90, 90) & lon.between(-180, 180)).groupBy(FEED, "stop_id").agg(F.min(F.struct(lat.alias("lat"), lon.alias("lon"))).alias("_at"))
+    calls = stop_times.select(FEED, "trip_id", "stop_id", *stop_order).join(placed, [FEED, "stop_id"])
+    legs = ordered.range_scan(calls, [FEED, "trip_id"], list(stop_order), lag={"_from": "_at"})
+    km = great_circle_km(F.col("_from.lat"), F.col("_from.lon"), F.col("_at.lat"), F.col("_at.lon"))
+    return legs.groupBy(FEED, "trip_id").agg(F.sum(km).alias("path_km"))
+
+
+def route_stats(active: DataFrame, trips: DataFrame, stop_times: DataFrame, stops: DataFrame | None = None,
+                stop_order: Sequence[str] = ("stop_sequence",)) -> DataFrame:
     """AG-18 for the first active day of each feed: trips, mean headway
-    (minutes, successive starts per direction), service hours, distance
-    (max shape_dist_traveled per trip) and speed per route."""
+    (minutes, successive starts per direction), service hours, distance and
+    speed per route. A trip's distance is its largest shape_dist_traveled or,
+    where that is absent and ``stops`` are given, the great-circle distance
+    along its stops."""
     first_day = active.groupBy(FEED).agg(F.min("date").alias("date"))
     services = active.join(first_day, [FEED, "date"], "left_semi").select(FEED, "service_id").distinct()
     day_trips = trips.join(services, [FEED, "service_id"], "left_semi")
     per_trip = stop_times.groupBy(FEED, "trip_id").agg(
         F.min("arrival_secs").alias("_start"), F.max("arrival_secs").alias("_end"),
-        F.max("shape_dist_traveled").alias("_dist"))
+        F.max("shape_dist_traveled").cast("double").alias("_dist"))
     t = day_trips.select(FEED, "trip_id", "route_id", "direction_id").join(per_trip, [FEED, "trip_id"], "inner")
-    w = Window.partitionBy(FEED, "route_id", "direction_id").orderBy("_start", "trip_id")
-    t = t.withColumn("_gap", F.col("_start") - F.lag("_start").over(w))
+    if stops is not None:
+        t = materialise(t)
+        unmeasured = t.where(F.col("_dist").isNull()).select(FEED, "trip_id").distinct()
+        paths = path_lengths(stop_times.join(unmeasured, [FEED, "trip_id"], "left_semi"), stops, stop_order)
+        t = t.join(paths, [FEED, "trip_id"], "left").withColumn("_dist", F.coalesce("_dist", "path_km"))
+    t = ordered.range_scan(t, [FEED, "route_id", "direction_id"], ["_start", "trip_id"], lag={"_before": "_start"})
+    t = t.withColumn("_gap", F.col("_start") - F.col("_before"))
     agg = t.groupBy(FEED, "route_id").agg(
         F.count(F.lit(1)).alias("num_trips"), F.avg("_gap").alias("_gap"),
         F.sum((F.col("_end") - F.col("_start")) / 3600.0).alias("service_duration"),

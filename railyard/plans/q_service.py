@@ -124,8 +124,8 @@ _ST_ORDER = ", ".join(A.stop_time_order_cols())
                FROM a_trips t JOIN svc USING (feed_id, service_id) JOIN pt USING (feed_id, trip_id)),
          g AS (SELECT *, s - lag(s) OVER (PARTITION BY feed_id, route_id, direction_id ORDER BY s, trip_id) AS gap FROM t)
     SELECT g.feed_id, fd.date, route_id, count(*) AS num_trips, round(avg(gap) / 60.0, 6) AS mean_headway,
-           round(sum((e - s) / 3600.0), 6) AS service_duration, round(sum(d), 3) AS service_distance,
-           round(CASE WHEN sum((e - s) / 3600.0) > 0 THEN sum(d) / sum((e - s) / 3600.0) END, 3) AS service_speed
+           round(sum((e - s) / 3600.0), 6) AS service_duration, round(round(sum(d), 6), 3) AS service_distance,
+           round(round(CASE WHEN sum((e - s) / 3600.0) > 0 THEN sum(d) / sum((e - s) / 3600.0) END, 6), 3) AS service_speed
     FROM g JOIN fd USING (feed_id) GROUP BY g.feed_id, fd.date, route_id
     """,
     extra_views=_ACTIVE_VIEW,

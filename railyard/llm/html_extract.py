@@ -5,10 +5,14 @@ LSTM, written in numpy and trained here, reads one vector per block (its tag
 path and its words, both hashed, and a few shares) over the whole page and
 labels every block main text or not, with the context of the whole document.
 
-It is trained on a bounded sample of pages (``SAMPLE_PAGES``) with labels from
-the page's own structure, and on pages made from their words under other
-layouts (menus, side bars, notices, adverts, forms, reader comments, main text
-under other elements), so that neither one element name nor one place decides.
+It is trained on a bounded sample of pages (``SAMPLE_PAGES``) and on pages made
+from their words under many layouts (menus, side bars, notices, adverts, forms,
+reader comments; main text in article, main, section, table cell or div, with
+known, unknown or no names), so that neither one element name nor one place
+decides. Sampled pages with an article or main element are labelled by it. The
+others are labelled by agreement: a first network judges every block in its
+page, and its verdict is averaged with that on all sampled blocks of the same
+tag path; the network is then trained again with these pages.
 
 Defined results: null, empty and text-less pages give an empty text; character
 references are decoded; white space in a block becomes one space; unclosed tags,
@@ -40,7 +44,7 @@ SAMPLE_BLOCKS = 512
 SAMPLE_CHARS = 50_000
 WORD_CHARS = 200
 MADE_PAGES = 1_200
-PATH_DIM, WORD_DIM, SHARE_DIM = 128, 32, 8
+PATH_DIM, WORD_DIM, SHARE_DIM = 256, 32, 8
 DIM = PATH_DIM + WORD_DIM + SHARE_DIM
 HIDDEN = 20
 EPOCHS = 10
@@ -309,8 +313,12 @@ def train(pages: list[np.ndarray], marks: list[np.ndarray], epochs: int = EPOCHS
 # --- training pages -----------------------------------------------------------------
 
 
-def structural_marks(found: list[Block]) -> np.ndarray:
-    """Training labels of a real page: inside article or main and under nothing marked as an aside."""
+def structural_marks(found: list[Block]) -> np.ndarray | None:
+    """Training labels of a real page: inside article or main and under nothing
+    marked as an aside. A page without such an element says nothing about where
+    its main text is and gets no labels."""
+    if not any(e.split(" ")[0] in MAIN_TAGS for b in found for e in b.path):
+        return None
     out = np.zeros(len(found), np.float32)
     for i, b in enumerate(found):
         words = [e.split(" ") for e in b.path]
@@ -374,8 +382,13 @@ def made_page(words: list[str], rng: np.random.Generator) -> tuple[str, list[int
         out.append(links(pick("<nav>", '<div class="menu">', '<div id="nav">'), "</nav></div>", int(rng.integers(2, 9))))
     for _ in range(int(rng.integers(0, 3))):
         out.append(small())
-    tag, inside = [("article", "<article>"), ("main", "<main>"), ("article", '<main><article class="post">'), ("div", '<div class="content">'), ("div", '<div id="post-body">'),
-                   ("section", '<section class="story">')][int(rng.choice(6, p=[0.5, 0.1, 0.15, 0.1, 0.075, 0.075]))]
+    unknown = "".join(chr(97 + i) for i in rng.integers(0, 26, int(rng.integers(3, 10))))
+    inside, behind, share = zip(*(
+        ("<article>", "</article>", 0.4), ("<main>", "</main>", 0.1), ('<main><article class="post">', "</article></main>", 0.12),
+        ('<div class="content">', "</div>", 0.08), ('<div id="post-body">', "</div>", 0.05), ('<section class="story">', "</section>", 0.05),
+        ("<div>", "</div>", 0.08), (f'<div class="{unknown}">', "</div>", 0.06), ("<table><tr><td>", "</td></tr></table>", 0.06)))
+    k = int(rng.choice(len(inside), p=share))
+    inside, behind = inside[k], behind[k]
     out.append(inside)
     if rng.random() < 0.8:
         mark(1, 1)
@@ -396,9 +409,9 @@ def made_page(words: list[str], rng: np.random.Generator) -> tuple[str, list[int
             out.append(small())
         mark(1, 1)
         out.append(f'<p>{pick("", "<b>")}{say(3, 90)}{pick("</p>", "<br>")}')
-    if tag == "article" and rng.random() < 0.15:
+    if "article" in inside and rng.random() < 0.15:
         out.append(comments(say, mark, pick, rng))
-    out.append({"article": "</article>", "main": "</main>", "div": "</div>", "section": "</section>"}[tag] + ("</main>" if inside.startswith("<main><") else ""))
+    out.append(behind)
     if rng.random() < 0.4:
         out.append(comments(say, mark, pick, rng))
     for _ in range(int(rng.integers(0, 3))):
@@ -416,8 +429,19 @@ def comments(say, mark, pick, rng: np.random.Generator) -> str:
             + "".join(f'<{pick("p", "div class=comment")}>{say(3, 40)}</p></div>' for _ in range(n)) + "</section></div>")
 
 
-def excerpt(found: list[Block], k: int, encoder: Encoder) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Vectors, training labels and words of a page; of more than ``SAMPLE_BLOCKS``
+def agreed_marks(model: dict[str, np.ndarray], pages: list[np.ndarray]) -> list[np.ndarray]:
+    """Labels of unmarked pages: a block's own probability and, with double
+    weight, the mean over all blocks of its tag path."""
+    own = probabilities(model, pages)
+    _, path = np.unique(np.concatenate([x[:, :PATH_DIM] for x in pages]), axis=0, return_inverse=True)
+    path, flat = path.ravel(), np.concatenate(own)
+    mean = np.bincount(path, flat) / np.bincount(path)
+    marks = ((2 * mean[path] + flat) / 3 >= 0.5).astype(np.float32)
+    return np.split(marks, np.cumsum([len(x) for x in pages])[:-1])
+
+
+def excerpt(found: list[Block], k: int, encoder: Encoder) -> tuple[np.ndarray, np.ndarray | None, list[str]]:
+    """Vectors, training labels (None for an unmarked page) and words of a page; of more than ``SAMPLE_BLOCKS``
     blocks a run of so many, at a place by the page's hash, as they are in the whole page."""
     at = k % (len(found) - SAMPLE_BLOCKS + 1) if len(found) > SAMPLE_BLOCKS else 0
     run = slice(at, at + SAMPLE_BLOCKS)
@@ -427,7 +451,8 @@ def excerpt(found: list[Block], k: int, encoder: Encoder) -> tuple[np.ndarray, n
         if room < 0:
             break
         words.append(w)
-    return encoder.page(found)[run], structural_marks(found[run]), words
+    marks = structural_marks(found)
+    return encoder.page(found)[run], None if marks is None else marks[run], words
 
 
 def fit(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", seed: int = 5) -> dict[str, np.ndarray] | None:
@@ -455,14 +480,22 @@ def fit(pages: DataFrame, id_column: str = "page_id", html_column: str = "html",
     if not words:
         return None
     rng, encoder = np.random.default_rng(seed), Encoder()
-    x, y = [np.frombuffer(r.x, np.float32).reshape(-1, DIM) for r in sample], [np.frombuffer(r.y, np.float32) for r in sample]
+    x, y, unmarked = [], [], []
+    for r in sample:
+        vectors = np.frombuffer(r.x, np.float32).reshape(-1, DIM)
+        if r.y is None:
+            unmarked.append(vectors)
+        else:
+            x.append(vectors)
+            y.append(np.frombuffer(r.y, np.float32))
     for _ in range(MADE_PAGES):
         page, marks = made_page(words, rng)
         got = blocks(page)
         if len(got) == len(marks):
             x.append(encoder.page(got))
             y.append(np.array(marks, np.float32))
-    return train(x, y, seed=seed)
+    model = train(x, y, seed=seed)
+    return train(x + unmarked, y + agreed_marks(model, unmarked), seed=seed) if unmarked else model
 
 
 def _with_blocks(rows: DataFrame) -> DataFrame:
@@ -491,7 +524,7 @@ def _encoded(rows: DataFrame, wanted: list[int]) -> list[Row]:
                         seen.add(k)
                         if found := blocks(h):
                             x, y, words = excerpt(found, k, encoder)
-                            yield batch_of(arrow, [k], [x.tobytes()], [y.tobytes()], [" ".join(words)])
+                            yield batch_of(arrow, [k], [x.tobytes()], [None if y is None else y.tobytes()], [" ".join(words)])
 
     one = rows.filter(F.col("k").isin(wanted)).mapInArrow(run, schema).dropDuplicates(["k"])
     return sorted(one.collect(), key=lambda r: r.k)

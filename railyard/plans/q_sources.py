@@ -14,7 +14,8 @@ from railyard.sources import geojson, lineage
 
 def part_features(spark, sf):
     """One GeoJSON FeatureCollection text per part row, geometry kind by key:
-    every kind, valid and not (a bow-tie ring crosses itself)."""
+    every kind, valid and not (a ring that crosses itself; holes inside, outside
+    and across their shell or touching it; members that touch or overlap)."""
     p = A.table(spark, sf, "part")
     k = F.col("p_partkey")
     lat = ((k * 7919 % 180) - 90).cast("double")
@@ -22,12 +23,17 @@ def part_features(spark, sf):
     at = lambda x, y: F.array(lon + x, lat + y)
     closed = F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 0))
     bow_tie = F.array(at(0, 0), at(1, 1), at(1, 0), at(0, 1), at(0, 0))
+    ring = lambda *corners: F.array(*[at(x, y) for x, y in (*corners, corners[0])])
+    square = lambda a, b: ring((a, a), (b, a), (b, b), (a, b))
     shapes = [
         ("Point", at(0, 0)), ("LineString", F.array(at(0, 0), at(1, 1))), ("LineString", F.array(at(0, 0))),
         ("Polygon", F.array(closed)), ("Polygon", F.array(F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1)))), None,
         ("Polygon", F.array(bow_tie)), ("MultiPoint", F.array(at(0, 0), at(1, 1))),
         ("MultiLineString", F.array(F.array(at(0, 0), at(1, 1)), F.array(at(2, 0), at(3, 1)))),
         ("MultiPolygon", F.array(F.array(closed))), ("MultiPolygon", F.array(F.array(closed), F.array(bow_tie))),
+        ("Polygon", F.array(square(0, 4), ring((1, 1), (2, 1), (2, 2)))), ("Polygon", F.array(square(0, 4), ring((6, 6), (7, 6), (7, 7)))),
+        ("Polygon", F.array(square(0, 4), ring((3, 3), (6, 3), (6, 6)))), ("MultiPolygon", F.array(F.array(closed), F.array(square(-1, 3)))),
+        ("MultiPolygon", F.array(F.array(closed), F.array(ring((1, 1), (2, 1), (2, 2))))), ("Polygon", F.array(square(0, 4), ring((0, 0), (2, 1), (1, 2)))),
     ]
     kind = k % len(shapes)
     gtype, coords = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -42,10 +48,11 @@ def part_features(spark, sf):
     return geojson.features_from_json(p.select(doc.alias("doc")), "doc")
 
 
-_GEOM_CASE = """CASE p_partkey % 11 WHEN 0 THEN 'Point' WHEN 1 THEN 'LineString' WHEN 2 THEN 'LineString'
+_GEOM_CASE = """CASE p_partkey % 17 WHEN 0 THEN 'Point' WHEN 1 THEN 'LineString' WHEN 2 THEN 'LineString'
                 WHEN 3 THEN 'Polygon' WHEN 4 THEN 'Polygon' WHEN 6 THEN 'Polygon' WHEN 7 THEN 'MultiPoint'
-                WHEN 8 THEN 'MultiLineString' WHEN 9 THEN 'MultiPolygon' WHEN 10 THEN 'MultiPolygon' ELSE 'null' END"""
-_GEOM_VALID = "p_partkey % 11 IN (0, 1, 3, 7, 8, 9)"
+                WHEN 8 THEN 'MultiLineString' WHEN 9 THEN 'MultiPolygon' WHEN 10 THEN 'MultiPolygon' WHEN 11 THEN 'Polygon'
+                WHEN 12 THEN 'Polygon' WHEN 13 THEN 'Polygon' WHEN 14 THEN 'MultiPolygon' WHEN 15 THEN 'MultiPolygon' WHEN 16 THEN 'Polygon' ELSE 'null' END"""
+_GEOM_VALID = "p_partkey % 17 IN (0, 1, 3, 7, 8, 9, 11, 15, 16)"
 
 
 @register(
@@ -72,7 +79,7 @@ def geometry_types(spark, sf):
 @register(
     "geometry_null_ratios",
     sql="""
-    SELECT count(*) AS features, avg(CASE WHEN p_partkey % 11 = 5 THEN 1 ELSE 0 END) AS geometry, 0.0::DOUBLE AS stop_id,
+    SELECT count(*) AS features, avg(CASE WHEN p_partkey % 17 = 5 THEN 1 ELSE 0 END) AS geometry, 0.0::DOUBLE AS stop_id,
            avg(CASE WHEN p_size > 25 THEN 0 ELSE 1 END) AS brand, 1.0::DOUBLE AS zone
     FROM part
     """,
@@ -82,10 +89,18 @@ def geometry_null_ratios(spark, sf):
     return geojson.null_ratios(part_features(spark, sf), ["stop_id", "brand", "zone"])
 
 
+def _sql_ring(*corners):
+    return "'(' || " + " || ', ' || ".join(f"(lon + {x}) || ' ' || (lat + {y})" for x, y in (*corners, corners[0])) + " || ')'"
+
+
+_SQUARE = _sql_ring((0, 0), (4, 0), (4, 4), (0, 4))
+_SMALL = _sql_ring((1, 1), (2, 1), (2, 2))
+
+
 @register(
     "geometry_wkt",
-    sql="""
-    WITH g AS (SELECT p_partkey, p_partkey % 11 AS k, CAST((p_partkey * 7919 % 180) - 90 AS DOUBLE) AS lat,
+    sql=f"""
+    WITH g AS (SELECT p_partkey, p_partkey % 17 AS k, CAST((p_partkey * 7919 % 180) - 90 AS DOUBLE) AS lat,
                       CAST((p_partkey * 104729 % 360) - 180 AS DOUBLE) AS lon FROM part),
          c AS (SELECT *, '(' || lon || ' ' || lat || ', ' || (lon + 1) || ' ' || lat || ', ' || (lon + 1) || ' ' || (lat + 1) || ', '
                           || lon || ' ' || lat || ')' AS ring, lon || ' ' || lat AS p0, (lon + 1) || ' ' || (lat + 1) AS p1 FROM g)
@@ -93,8 +108,10 @@ def geometry_null_ratios(spark, sf):
            CASE k WHEN 0 THEN 'POINT (' || p0 || ')' WHEN 1 THEN 'LINESTRING (' || p0 || ', ' || p1 || ')' WHEN 3 THEN 'POLYGON (' || ring || ')'
                   WHEN 7 THEN 'MULTIPOINT (' || p0 || ', ' || p1 || ')'
                   WHEN 8 THEN 'MULTILINESTRING ((' || p0 || ', ' || p1 || '), (' || (lon + 2) || ' ' || lat || ', ' || (lon + 3) || ' ' || (lat + 1) || '))'
-                  WHEN 9 THEN 'MULTIPOLYGON ((' || ring || '))' END AS wkt
-    FROM c WHERE k IN (0, 1, 3, 7, 8, 9)
+                  WHEN 9 THEN 'MULTIPOLYGON ((' || ring || '))' WHEN 11 THEN 'POLYGON (' || {_SQUARE} || ', ' || {_SMALL} || ')'
+                  WHEN 15 THEN 'MULTIPOLYGON ((' || ring || '), (' || {_SMALL} || '))'
+                  WHEN 16 THEN 'POLYGON (' || {_SQUARE} || ', ' || {_sql_ring((0, 0), (2, 1), (1, 2))} || ')' END AS wkt
+    FROM c WHERE k IN (0, 1, 3, 7, 8, 9, 11, 15, 16)
     """,
 )
 def geometry_wkt(spark, sf):

@@ -5,8 +5,8 @@ Geometries are kept as ``struct<type string, coordinates string>`` where
 parses it into typed arrays per geometry type with ``from_json``.
 Validity: not NULL, non-empty coordinates, finite numbers; a Point has 2+
 numbers; a LineString 2+ distinct positions; a Polygon's rings are closed with
-4+ positions and do not cross or touch themselves; the Multi* kinds are valid
-if every member is.
+4+ positions and valid together (``sources.polygons``), as are the members of a
+MultiPolygon; the other Multi* kinds are valid if every member is.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from railyard.sources import polygons
+
 FEED = "feed_id"
 
 GEOMETRY = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])
@@ -60,37 +62,6 @@ def _finite(a: Column) -> Column:
     return F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
 
 
-def _turn(a: Column, b: Column, c: Column) -> Column:
-    """On which side of the line a-b the position c lies (sign of the cross product)."""
-    return F.signum((F.get(b, 0) - F.get(a, 0)) * (F.get(c, 1) - F.get(a, 1)) - (F.get(b, 1) - F.get(a, 1)) * (F.get(c, 0) - F.get(a, 0)))
-
-
-def _within(a: Column, b: Column, c: Column) -> Column:
-    """Is c inside the box of a and b?"""
-    return F.get(c, 0).between(F.least(F.get(a, 0), F.get(b, 0)), F.greatest(F.get(a, 0), F.get(b, 0))) & \
-        F.get(c, 1).between(F.least(F.get(a, 1), F.get(b, 1)), F.greatest(F.get(a, 1), F.get(b, 1)))
-
-
-def _meet(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Do the segments a-b and c-d have a position in common?"""
-    proper = (_turn(a, b, c) * _turn(a, b, d) < 0) & (_turn(c, d, a) * _turn(c, d, b) < 0)
-    touch = ((_turn(a, b, c) == 0) & _within(a, b, c)) | ((_turn(a, b, d) == 0) & _within(a, b, d)) | \
-        ((_turn(c, d, a) == 0) & _within(c, d, a)) | ((_turn(c, d, b) == 0) & _within(c, d, b))
-    return proper | touch
-
-
-def _ring_simple(r: Column) -> Column:
-    """No two sides of a closed ring meet, except neighbours at their common corner."""
-    n = F.size(r) - 1  # sides
-
-    def crossed(i: Column) -> Column:
-        later = F.when(i + 2 <= n - 1, F.sequence(i + 2, n - 1)).otherwise(F.array().cast("array<int>"))
-        neighbour_of_first = lambda j: (i == 0) & (j == n - 1)
-        return F.exists(later, lambda j: ~neighbour_of_first(j) & _meet(F.get(r, i), F.get(r, i + 1), F.get(r, j), F.get(r, j + 1)))
-
-    return ~F.exists(F.sequence(F.lit(0), n - 1), crossed)
-
-
 def _point_ok(p: Column) -> Column:
     return p.isNotNull() & (F.size(p) >= 2) & _finite(p)
 
@@ -100,8 +71,7 @@ def _line_ok(ln: Column) -> Column:
 
 
 def _ring_ok(r: Column) -> Column:
-    closed = (F.size(r) >= 4) & (F.get(r, 0) == F.element_at(r, -1)) & F.forall(r, _point_ok)
-    return F.when(closed, _ring_simple(r)).otherwise(F.lit(False))
+    return (F.size(r) >= 4) & (F.get(r, 0) == F.element_at(r, -1)) & F.forall(r, _point_ok)
 
 
 def _polygon_ok(pg: Column) -> Column:
@@ -120,7 +90,9 @@ def geometry_valid(geom: Column) -> Column:
           .when(t == "Polygon", _polygon_ok(F.from_json(c, _POLY))).when(t == "MultiPoint", each(_LINE, _point_ok))
           .when(t == "MultiLineString", each(_POLY, _line_ok)).when(t == "MultiPolygon", each(_POLYS, _polygon_ok))
           .otherwise(F.lit(False)))
-    return F.coalesce(geom.isNotNull() & c.isNotNull() & ok, F.lit(False))
+    # only closed, finite rings go on to the sweep
+    together = polygons.rings_valid(t, F.when(F.coalesce(ok, F.lit(False)), c))
+    return F.coalesce(geom.isNotNull() & c.isNotNull() & ok & F.coalesce(together, F.lit(True)), F.lit(False))
 
 
 def filter_valid(features: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -285,7 +285,7 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     texts, spans = _repeated(source, parsed, window)
     rows = materialise(parsed.select("id", "key", "n_words", "whole_sha256"))
     release(parsed)
-    cuts = materialise(_cut(texts.select("key", "text").join(spans, "key"), window).dropDuplicates(["key"]))
+    cuts = materialise(_cut(texts.select("key", "text").join(spans, "key"), window))
     release(texts, spans)
     return rows, cuts
 
@@ -313,12 +313,13 @@ def _repeated(source: DataFrame, parsed: DataFrame, window: int) -> tuple[DataFr
     stretch = F.struct("symbol", "first", "n", "once")
     listed = contents.groupBy("key").agg(F.collect_list(stretch).alias("compare"))
     touched = found.select("key").unionByName(parsed.filter("size(own) > 0").select("key")).distinct().join(listed, "key", "left")
-    texts = materialise(source.select("key", "text").join(touched, "key"))
+    # (rows of equal id and text are one text here; their symbols were counted row by row)
+    texts = materialise(source.select("key", "text").dropDuplicates(["key"]).join(touched, "key"))
     windows = materialise(_windows(texts.filter("compare is not null"), window))
     twice = windows.groupBy("symbol", "hash").agg(F.count("*").alias("c")).filter("c > 1").select("symbol", "hash")
     single = windows.filter("once").join(twice, ["symbol", "hash"]).select("key", "first", F.lit(1).alias("n"))
     # 4. the ranges to cut, by text
-    spans = materialise(whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("spans")))
+    spans = materialise(whole.unionByName(single).distinct().groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("spans")))
     release(found, contents, windows)
     return texts, spans
 

@@ -2,10 +2,9 @@
 
 Every column is read as text (types come from the schema, not inference), and
 every file by its own header, so files of one read may differ in columns and
-their order. Rows carry ``row_num``: the 0-based data record of their file.
-Numbers come from the order in which a file's blocks are read — per block
-counts and a prefix sum over one small row per block — never from a sort or a
-single-task ``zipWithIndex``.
+their order. Rows carry ``row_num``: the 0-based data record of their file, from
+record counts per split and a prefix sum over one small row per split — never
+from a sort or a single-task ``zipWithIndex``.
 """
 
 from __future__ import annotations
@@ -13,13 +12,13 @@ from __future__ import annotations
 import csv
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from railyard import catalog, schemas
 from railyard.functions import scalars as S
 from railyard.schema import Schema
+from railyard.sources import csv_splits
 
 FEED = "feed_id"
 
@@ -31,60 +30,47 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def _layouts(spark: SparkSession, paths: list[str], parts: bool) -> list[tuple[list[str], list[str]]]:
-    """(column names, files) of every distinct header: one line per file is read,
-    and what reaches the driver is the file listing. With ``parts`` the files of
-    a folder are one, and its header is the first line of the first."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
-                                          F.monotonically_increasing_id().alias("i")).where("b = 0")
-    first = lines.groupBy("f").agg(F.min_by("value", "i").alias("header"))
-    if parts:
-        folder = F.regexp_extract("f", r"^(.*)/", 1).alias("folder")
-        first = first.groupBy(folder).agg(F.min_by("header", "f").alias("header"), F.collect_list("f").alias("files"))
-        first = first.select("header", F.explode("files").alias("f"))
-    out = []
-    for r in first.groupBy("header").agg(F.collect_list("f").alias("files")).orderBy("header").collect():
-        seen: dict[str, int] = {}
-        names = []
-        for i, n in enumerate(next(csv.reader([r.header.lstrip("\ufeff").rstrip("\r")]), [])):
-            names.append(n if n and n not in seen else f"{n or '_c'}{i}")
-            seen[n] = i
-        if names:
-            out.append((names, sorted(r.files)))
-    return out
+def _header_names(header: str) -> list[str]:
+    """Column names of a header line; empty and repeated names get their place."""
+    seen: set[str] = set()
+    names = []
+    for i, n in enumerate(next(csv.reader([header.lstrip("\ufeff").rstrip("\r")]), [])):
+        names.append(n if n and n not in seen else f"{n or '_c'}{i}")
+        seen.add(n)
+    return names
 
 
 def read_csv_text(spark: SparkSession, path: str | Sequence[str], multiline: bool = True, parts: bool = False) -> DataFrame:
-    """SRC-01: CSV files with headers, all columns text, with file name and dense row_num.
+    """SRC-01: CSV files with headers, all columns text (empty cells NULL), with
+    file name and dense row_num; the columns are those of all headers.
 
-    ``multiline`` reads records with line breaks inside quotes, a whole file per
-    task; without it large files are split, and a record is a line. ``parts``
+    Files are read in splits (``csv_splits``). ``multiline`` takes line breaks
+    inside quotes as part of the cell; without it a record is a line. ``parts``
     takes the files of a folder, in the order of their names, as one file with
     the header in the first (then ``_file`` is the folder)."""
-    out = None
-    for names, files in _layouts(spark, [path] if isinstance(path, str) else list(path), parts):
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        df = (spark.read.schema(schema).option("header", not parts).option("mode", "PERMISSIVE").option("encoding", "UTF-8")
-              .option("quote", '"').option("escape", '"').option("multiLine", multiline).csv(files))
-        part = _numbered(df, parts)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+    paths = [path] if isinstance(path, str) else list(path)
+    heads = csv_splits.first_lines(spark, paths)
+    if parts:
+        heads = heads.groupBy(F.regexp_extract("f", r"^(.*)/", 1).alias("f")).agg(F.min_by("header", "f").alias("header"))
+    # the distinct headers reach the driver, not the files
+    layouts = [(r.header, names) for r in heads.select("header").distinct().orderBy("header").collect() if (names := _header_names(r.header))]
+    if not layouts:
         raise FileNotFoundError(f"no file with a header under {path}")
-    return out
-
-
-def _numbered(df: DataFrame, parts: bool) -> DataFrame:
-    path = F.col("_metadata.file_path")
-    df = df.select("*", (F.regexp_extract(path, r"^(.*)/", 1) if parts else path).alias("_file"), path.alias("_part"),
-                   F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_pos"))
-    key = ["_file", "_part", "_block"]
-    blocks = df.groupBy(*key).agg(F.min("_pos").alias("_min"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_file").orderBy("_part", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select(*key, "_min", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    out = df.join(starts, key).withColumn("row_num", F.col("_pos") - F.col("_min") + F.col("_before"))
-    if parts:  # the header line is record 0
-        out = out.withColumn("row_num", F.col("row_num") - 1).where("row_num >= 0")
-    return out.drop("_part", "_block", "_pos", "_min", "_before")
+    rows = csv_splits.records(spark, paths, multiline, parts).where("row_num > 0")
+    if len(layouts) > 1:  # (one row a file; AQE broadcasts it if small)
+        rows = rows.join(heads.withColumnRenamed("f", "file"), "file")
+    places: dict[str, list[tuple[str, int]]] = {}
+    for header, names in layouts:
+        for i, n in enumerate(names):
+            places.setdefault(n, []).append((header, i))
+
+    def cell(found: list[tuple[str, int]]) -> Column:
+        if len(layouts) == 1:
+            return F.get("cells", F.lit(found[0][1]))
+        place = F.coalesce(*[F.when(F.col("header") == h, F.lit(i)) for h, i in found])
+        return F.when(place.isNotNull(), F.get("cells", place))
+
+    return rows.select(*[cell(found).alias(n) for n, found in places.items()], F.col("file").alias("_file"), (F.col("row_num") - 1).alias("row_num"))
 
 
 def normalize_headers(df: DataFrame, aliases: Mapping[str, str] | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from railyard.functions import scalars as S
 from railyard.operators import store
 from railyard.plans import adapters as A
 from railyard.plans.q_quality import _COUNTS_VIEW, feed_tables
@@ -224,3 +225,77 @@ def gtfs_text_stop_times(spark, sf):
 def export_gate(spark, sf):
     """PRJ-15: the pre-export gate over the feed's table counts."""
     return gtfs_text.pre_export_issues(store.table_counts(feed_tables(spark, sf)))
+
+
+# --- lineage listings (SRC-16, SL-02/03, AG-23), direction labels (SC-20) --------------------
+
+@register("list_runs", sql="SELECT o_orderpriority AS project, CAST(o_orderkey AS VARCHAR) AS run_id, strftime(o_orderdate, '%Y-%m-%d') AS created_at FROM orders")
+def list_runs(spark, sf):
+    """SRC-16: the runs of every project."""
+    return lineage.list_runs(_lineage_rows(spark, sf)).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd"))
+
+
+def _exports(spark, sf):
+    """Every order is an export of its clerk's project, some of them subsets."""
+    o = A.table(spark, sf, "orders")
+    kind = F.when(F.col("o_orderkey") % 4 == 0, F.lit("_Subset")).otherwise(F.lit(""))
+    return o.select(F.col("o_orderpriority").alias("project"), F.concat(F.lit("exports/feed"), F.col("o_orderkey").cast("string"), kind, F.lit(".zip")).alias("path"),
+                    F.col("o_orderdate").alias("modified"))
+
+
+_EXPORTS_VIEW = {"x": """
+    SELECT o_orderpriority AS project, 'exports/feed' || o_orderkey || CASE WHEN o_orderkey % 4 = 0 THEN '_Subset' ELSE '' END || '.zip' AS path, o_orderdate AS modified
+    FROM orders"""}
+
+
+@register(
+    "list_exports",
+    sql="SELECT project, path, row_number() OVER (PARTITION BY project ORDER BY modified DESC, path DESC) AS rank FROM x",
+    extra_views=_EXPORTS_VIEW,
+)
+def list_exports(spark, sf):
+    """SL-02: exports of every project, newest first."""
+    return lineage.list_exports(_exports(spark, sf)).select("project", "path", "rank")
+
+
+@register(
+    "latest_export",
+    sql="""SELECT project, path FROM x WHERE path NOT LIKE '%_Subset%'
+           QUALIFY row_number() OVER (PARTITION BY project ORDER BY modified DESC, path DESC) = 1""",
+    extra_views=_EXPORTS_VIEW,
+)
+def latest_export(spark, sf):
+    """SL-03: the newest full export of every project."""
+    return lineage.latest_export(_exports(spark, sf))
+
+
+@register(
+    "maturity_levels",
+    sql="""
+    WITH bronze AS (SELECT DISTINCT c_custkey AS k FROM customer), silver AS (SELECT DISTINCT o_custkey AS k FROM orders),
+         store AS (SELECT c_custkey AS k, count(o_orderkey) FILTER (WHERE o_totalprice > 100000) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1),
+         done AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P')
+    SELECT CAST(k AS VARCHAR) AS project,
+           CASE WHEN k IN (SELECT k FROM done) THEN 4 WHEN k IN (SELECT k FROM store WHERE n > 0) THEN 3
+                WHEN k IN (SELECT k FROM silver) THEN 2 WHEN k IN (SELECT k FROM bronze) THEN 1 ELSE 0 END AS maturity_level
+    FROM (SELECT k FROM bronze UNION SELECT k FROM silver)
+    """,
+)
+def maturity_levels(spark, sf):
+    """AG-23: customers as projects: uploads, Silver orders, stored large orders, exports of closed ones."""
+    c, o = A.table(spark, sf, "customer"), A.table(spark, sf, "orders")
+    project = lambda df, key: df.select(F.col(key).cast("string").alias("project"))
+    large = o.where(F.col("o_totalprice") > 100000).select("o_custkey", "o_orderkey")
+    counts = c.join(large, c.c_custkey == large.o_custkey, "left").groupBy(F.col("c_custkey").cast("string").alias("feed_id")).agg(F.count("o_orderkey").alias("records"))
+    return lineage.maturity(project(c, "c_custkey"), project(o, "o_custkey"), counts, project(o.where(F.col("o_orderstatus") == "P"), "o_custkey"))
+
+
+@register(
+    "direction_labels",
+    sql="SELECT o_orderkey AS trip_id, CASE WHEN o_orderkey % 3 = 1 THEN 'inbound' ELSE 'outbound' END AS direction FROM orders",
+)
+def direction_labels(spark, sf):
+    """SC-20: direction 0 or none is outbound, any other inbound."""
+    o = A.table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    return o.select(k.alias("trip_id"), S.direction_label(F.when(k % 3 != 2, k % 3)).alias("direction"))

@@ -308,3 +308,25 @@ def stored_row_order(spark, sf):
     lines = ordered.dense_ordinal(li, ["feed_id"], A.stop_time_order_cols(), "row_num").select("feed_id", "trip_id", "day", "row_num")
     out = store.merge_rows(stored, lines, ["trip_id"])
     return out.select("feed_id", "trip_id", F.date_format("day", "yyyy-MM-dd").alias("day"), store.ROW_ORDER)
+
+
+# --- clearing (SL-06) ---------------------------------------------------------------------------
+
+@register(
+    "cleared_tables",
+    sql="""
+    WITH t AS (SELECT o_orderstatus AS feed_id, 'trips' AS table_name FROM orders UNION ALL SELECT l_linestatus, 'stop_times' FROM lineitem)
+    SELECT feed_id, table_name, count(*) AS records, feed_id = 'F' AS deleted FROM t GROUP BY feed_id, table_name
+    """,
+)
+def cleared_tables(spark, sf):
+    """SL-06: order and line states as feeds; the rows of feed F go, the others stay."""
+    current = {"trips": A.table(spark, sf, "orders").select(F.col("o_orderstatus").alias("feed_id")),
+               "stop_times": A.table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("feed_id"))}
+    feeds = A.table(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select(F.col("o_orderstatus").alias("feed_id")).distinct()
+    keep, deleted = store.clear_tables(current, feeds)
+    kept = None
+    for t, df in keep.items():
+        part = df.groupBy("feed_id").agg(F.count(F.lit(1)).alias("records")).select("feed_id", F.lit(t).alias("table_name"), "records", F.lit(False).alias("deleted"))
+        kept = part if kept is None else kept.unionByName(part)
+    return kept.unionByName(deleted.select("feed_id", "table_name", F.col("deleted").alias("records"), F.lit(True).alias("deleted")))

@@ -7,10 +7,12 @@ listing and "latest per dataset" are distributed scans, not directory walks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from railyard.operators import ordered
+
 LINEAGE = T.StructType([
     T.StructField("project", T.StringType()),
     T.StructField("run_id", T.StringType()),
@@ -59,9 +61,11 @@ def latest_export(exports: DataFrame) -> DataFrame:
 
 
 def list_exports(exports: DataFrame) -> DataFrame:
-    """SL-02: newest first."""
-    w = Window.partitionBy("project").orderBy(F.desc("modified"), F.desc("path"))
-    return exports.withColumn("rank", F.row_number().over(w))
+    """SL-02: exports with their rank, newest first. Ranks are dealt by range,
+    so a project may have any number of them."""
+    numbered = ordered.dense_ordinal(exports, ["project"], ["modified", "path"], "_n")
+    total = exports.groupBy("project").agg(F.count(F.lit(1)).alias("_all"))
+    return numbered.join(total, "project").select(*exports.columns, (F.col("_all") - F.col("_n") + 1).alias("rank"))
 
 
 def maturity(bronze: DataFrame, silver: DataFrame, store_counts: DataFrame, exports: DataFrame) -> DataFrame:

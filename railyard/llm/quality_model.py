@@ -38,6 +38,8 @@ BUCKETS = 1 << 17
 EPOCHS = 12
 PENALTY = 1.0
 SLICE = 1 << 20
+#: A table of flags is used up to so many per indicator; few indicators of many rows are sorted.
+DENSE = 16
 
 _LOWER, _UPPER, _DIGIT, _HIGH = (np.zeros(256, bool) for _ in range(4))
 _LOWER[97:123] = _UPPER[65:91] = _DIGIT[48:58] = True
@@ -50,14 +52,15 @@ def _any(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def indicators(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every distinct indicator of a slice, in row order."""
+    """(row, bucket) of every distinct indicator of a slice, in row order. The
+    memory goes with the text, not with rows x buckets."""
     rows = len(off) - 1
-    present = np.zeros((rows, BUCKETS), bool)
+    found = [np.zeros(0, np.int64)]  # row * BUCKETS + bucket
     if len(raw) >= 3:
         row = np.repeat(np.arange(rows), np.diff(off))
         same = row[2:] == row[:-2]
         gram = raw[:-2].astype(U64) << U64(16) | raw[1:-1].astype(U64) << U64(8) | raw[2:].astype(U64)
-        present[row[2:][same], (mix(gram[same]) % U64(BUCKETS)).astype(np.int64)] = True
+        found.append(row[2:][same] * BUCKETS + (mix(gram[same]) % U64(BUCKETS)).astype(np.int64))
     start, end, bound = word_spans(raw, off, SPACE)
     if len(start):
         word = np.repeat(np.arange(rows), np.diff(bound))
@@ -82,8 +85,15 @@ def indicators(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
             share = np.minimum(6, -np.log2(count / n_words[r])).astype(np.int64)
             for level in range(7):
                 on = share <= level
-                present[r[on], (mix(key[order][at][on] + U64(level)) % U64(BUCKETS)).astype(np.int64)] = True
-    return np.nonzero(present)
+                found.append(r[on] * BUCKETS + (mix(key[order][at][on] + U64(level)) % U64(BUCKETS)).astype(np.int64))
+    places = np.concatenate(found)
+    if rows * BUCKETS <= DENSE * len(places):
+        present = np.zeros(rows * BUCKETS, bool)
+        present[places] = True
+        places = np.flatnonzero(present)
+    else:
+        places = np.unique(places)
+    return places // BUCKETS, places % BUCKETS
 
 
 @dataclass

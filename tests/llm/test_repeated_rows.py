@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import time
+import tracemalloc
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from railyard.llm import substring_dedup
+from railyard.llm import quality_model, substring_dedup
 
 
 def test_substring_dedup_of_50_000_equal_rows(spark):
@@ -19,3 +21,26 @@ def test_substring_dedup_of_50_000_equal_rows(spark):
     counts = {(r.doc_id, r.n_words, r.n_removed): r.n for r in got.groupBy("doc_id", "n_words", "n_removed").agg(F.count("*").alias("n")).collect()}
     assert counts == {(7, 120, 120): 25_000, (None, 120, 120): 25_000, (1, 66, 60): 1, (2, 60, 0): 1, (3, 0, 0): 1}
     assert time.time() - start < 120
+
+
+def test_indicators_of_many_short_rows_take_memory_by_their_text():
+    texts = [f"row {i} has words {i % 7}, a few.".encode() for i in range(20_000)]
+    raw, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    tracemalloc.start()
+    row, bucket = quality_model.indicators(raw, off)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and row[-1] == 19_999
+    # one row alone, and a few rows in a table of flags, have the same indicators
+    for i in (0, 5, 19_999):
+        alone = quality_model.indicators(raw[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))
+        assert (alone[1] == bucket[row == i]).all()
+    long = [(" ".join(texts[i].decode() for i in range(k, k + 400))).encode() for k in (0, 3000)]
+    raw2, off2 = np.frombuffer(b"".join(long), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in long])))
+    both, sparse = quality_model.indicators(raw2, off2), None
+    before, quality_model.DENSE = quality_model.DENSE, 0
+    try:
+        sparse = quality_model.indicators(raw2, off2)
+    finally:
+        quality_model.DENSE = before
+    assert all((a == b).all() for a, b in zip(both, sparse))

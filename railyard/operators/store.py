@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from railyard import catalog, schemas
 from railyard.operators import joins, ordered
-from railyard.session import cut_lineage, materialise
+from railyard.session import cut_lineage, materialise, written
 
 FEED = "feed_id"
 ROW_ORDER = "row_order"
@@ -130,10 +130,8 @@ class GtfsStore:
         return self._stored(table).drop("batch")
 
     def _stored(self, table: str) -> DataFrame:
-        from railyard.sources.tabular import path_exists
-
         schema = schemas.GTFS[table].struct().add(FEED, "string").add(ROW_ORDER, "long").add("batch", "string")
-        if not path_exists(self.spark, f"{self.root}/{table}/feed_id=*"):
+        if not self._present(table):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{table}").select(*schema.names)
 
@@ -145,7 +143,31 @@ class GtfsStore:
         return {t: self.read(t) for t in catalog.TABLES}
 
     def counts(self) -> DataFrame:
-        return table_counts(self.tables())
+        """AG-04/05 over the store: the row counts in the footers of its files,
+        summed by feed; no row is read. The counts (one row per feed and table)
+        are written once, as they come from a session of their own settings."""
+        side = self.spark.newSession()
+        side.conf.set("spark.sql.sources.useV1SourceList", "")
+        side.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+        stored = [self._footer_counts(side, t) for t in catalog.TABLES if self._present(t)]
+        counted = self._handed_over(stored) if stored else self.spark.createDataFrame([], f"{FEED} string, table_name string, records long")
+        grid = counted.select(FEED).distinct().select(FEED, F.explode(F.array(*[F.lit(t) for t in catalog.TABLES])).alias("table_name"))
+        return grid.join(counted, [FEED, "table_name"], "left").select(FEED, "table_name", F.coalesce("records", F.lit(0)).cast("long").alias("records"))
+
+    def _footer_counts(self, side: SparkSession, table: str) -> DataFrame:
+        schema = schemas.GTFS[table].struct().add(ROW_ORDER, "long").add("batch", "string").add(FEED, "string")
+        rows = side.read.schema(schema).parquet(f"{self.root}/{table}")
+        per_folder = rows.groupBy(FEED, "batch").agg(F.count(F.lit(1)).alias("n"))  # by all partition columns, as push-down needs
+        return per_folder.groupBy(FEED).agg(F.sum("n").alias("records")).select(FEED, F.lit(table).alias("table_name"), "records")
+
+    def _handed_over(self, frames: Sequence[DataFrame]) -> DataFrame:
+        """Small frames of another session as one frame of this one."""
+        return self.spark.read.schema(frames[0].schema).parquet(written(joins._union_all(frames), self.spark))
+
+    def _present(self, table: str) -> bool:
+        from railyard.sources.tabular import path_exists
+
+        return path_exists(self.spark, f"{self.root}/{table}/feed_id=*")
 
     def write(self, table: str, rows: DataFrame, batches: DataFrame | str = "all") -> None:
         """Replace the partitions of the feeds and batches (one name, or one per

@@ -67,11 +67,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, spark: SparkSession, by: str | None = None) -> str:
+    """Write a result once as Parquet to the shared folder of ``spark``; its path."""
+    path = f"{ensure_checkpoint_dir(spark)}/railyard-{uuid.uuid4().hex}"
+    writer = df.write
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return path
+
+
 def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write a result once as Parquet to the shared folder and read it back,
     partitioned by the column ``by`` if given, so that a filter on it prunes."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/railyard-{uuid.uuid4().hex}"
-    writer = df.write
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    path = written(df, spark, by)
     return spark.read.schema(df.schema).parquet(path)

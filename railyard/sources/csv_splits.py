@@ -21,14 +21,13 @@ from __future__ import annotations
 
 import csv
 import io
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from railyard.session import ensure_checkpoint_dir, materialise
+from railyard.session import materialise, written
 
 #: Larger than any file: a file is not split, and no two share a partition.
 WHOLE_FILES = str(1 << 50)
@@ -49,10 +48,7 @@ def first_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
                 return
 
     lines = side.read.text(list(paths)).select(F.col("_metadata.file_path").alias("f"), F.col("value").alias("header"))
-    found = lines.mapInArrow(one, "f string, header string")
-    path = f"{ensure_checkpoint_dir(spark)}/railyard-{uuid.uuid4().hex}"
-    found.write.parquet(path)
-    return spark.read.schema("f string, header string").parquet(path)
+    return spark.read.schema("f string, header string").parquet(written(lines.mapInArrow(one, "f string, header string"), spark))
 
 
 def inside_after(line: str, inside: bool) -> bool:

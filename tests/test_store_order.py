@@ -76,3 +76,16 @@ def test_imports_append_to_tables_without_a_key_and_a_replay_changes_nothing(spa
     assert rows() == [*want[:3], ("A", 4, "P"), want[3]]
     _import(spark, f"{scratch}/f", root, {"A": first}, "replace")
     assert rows() == [("A", 1, "P"), ("B", 1, "P")]
+
+
+def test_counts_come_from_file_footers(spark, scratch, capfd):
+    st = _import(spark, f"{scratch}/a", f"{scratch}/store", {"A": MINIMAL, "B": {**MINIMAL, "stops.txt": MINIMAL["stops.txt"] + "S9,Nine,41,-8\n"}})
+    as_rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert as_rows(st.counts()) == as_rows(store.table_counts(st.tables()))
+    side = spark.newSession()
+    side.conf.set("spark.sql.sources.useV1SourceList", "")
+    side.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    st._footer_counts(side, "stops").explain("formatted")
+    plan = capfd.readouterr().out
+    assert "PushedAggregation: [COUNT(*)]" in plan and "PushedGroupBy: [feed_id, batch]" in plan
+    assert store.GtfsStore(spark, f"{scratch}/none").counts().count() == 0

@@ -14,12 +14,13 @@ Defined results: null texts and null roles are empty; turns sort by turn, role,
 text (nulls first), so ties and repeated rows keep a fixed order and each stays
 a turn; rows with a null conversation id form one conversation; an empty table
 gives no rows; extra columns are not read. A conversation is one value of the
-output, so its turns meet in one task by the nature of the result.
+output, so its turns meet in one task by the nature of the result, where the
+work is linear in them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Characters of control strings and what stands for them in texts, in the order of escaping.
@@ -47,24 +48,38 @@ def format_chats(turns: DataFrame, id_column: str = "conv_id", turn_column: str
     text, role = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (text_column, role_column))
     rows = turns.select(F.col(id_column).alias("id"), F.col(turn_column).alias("turn"), escape(role).alias("role"), escape(text).alias("text"))
     lists = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    # a turn opens a block unless the turn before has its role; then it only joins it
-    begins = F.transform("turns", lambda t, i: (i == 0) | (F.get(F.col("turns"), i - 1)["role"] != t["role"]))
-    parts = F.transform("turns", lambda t, i: F.struct(
-        F.when(~F.get(F.col("begins"), i), F.lit(JOIN)).otherwise(
-            F.concat(F.when(i == 0, F.lit("")).otherwise(F.lit(CLOSE)), F.lit(OPEN), t["role"], F.lit("]"))).alias("mark"),
+    # a turn of the role before it only joins its block, any other opens one
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(F.slice("turns", F.lit(1), F.size("turns") - 1), lambda t: t["role"]))
+    parts = F.zip_with("turns", before, lambda t, role: F.struct(
+        F.when(role == t["role"], F.lit(JOIN)).otherwise(
+            F.concat(F.when(role.isNull(), F.lit("")).otherwise(F.lit(CLOSE)), F.lit(OPEN), t["role"], F.lit("]"))).alias("mark"),
         t["text"].alias("text"), (t["role"] == F.lit(learned_role)).alias("learned")))
-    start = F.aggregate(
-        "parts",
-        F.struct(F.lit(0).cast("int").alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["mark"]) + F.length(p["text"])).alias("at"),
-            F.when(p["learned"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(p["mark"])).alias("start"), F.length(p["text"]).alias("length")))))
-            .otherwise(acc["spans"]).alias("spans")),
-        lambda acc: acc["spans"])
-    return (lists.withColumn("begins", begins).withColumn("parts", parts)
-            .select(F.col("id").alias(id_column),
-                    F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p["mark"], p["text"])), ""), F.lit(CLOSE)).alias("formatted"),
-                    start.alias("loss_mask")))
+    # where each text ends: a running sum over the parts, then the parts in order again
+    upto = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = lists.select("id", F.posexplode(parts).alias("at", "p")).select(
+        "id", "at", "p.*", F.sum(F.length("p.mark") + F.length("p.text")).over(upto).cast("int").alias("end"))
+    whole = each.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "mark", "text", "learned", "end"))).alias("parts"))
+    mask = F.transform(F.filter("parts", lambda p: p["learned"]), lambda p: F.struct((p["end"] - F.length(p["text"])).alias("start"), F.length(p["text"]).alias("length")))
+    return whole.select(F.col("id").alias(id_column),
+                        F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p["mark"], p["text"])), ""), F.lit(CLOSE)).alias("formatted"),
+                        mask.alias("loss_mask"))
+
+
+#: Characters of a piece of a formatted text; a span is taken from the pieces it lies in.
+PIECE = 1024
+
+
+def spans_of(text: Column, spans: Column) -> Column:
+    """The substrings of ``text`` at (start, length), in time linear in the text and the spans."""
+    pieces = F.array(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))  # one element: a lambda's argument is evaluated once
+
+    def cut(all_pieces: Column, s: Column) -> Column:
+        first = F.floor(s["start"] / PIECE).cast("int")
+        last = F.floor((s["start"] + s["length"]) / PIECE).cast("int")
+        near = F.array_join(F.slice(all_pieces, first + 1, last - first + 1), "")
+        return F.substring(near, s["start"] - first * PIECE + 1, s["length"])
+
+    return F.flatten(F.transform(pieces, lambda p: F.transform(spans, lambda s: cut(p, s))))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -72,10 +87,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
     ``loss_texts`` (unescaped texts under the mask), from ``formatted`` and ``loss_mask`` alone."""
     blocks = F.split("formatted", CLOSE)
     blocks = F.slice(blocks, F.lit(1), F.size(blocks) - 1)
-    turns = F.flatten(F.transform(blocks, lambda b: F.transform(
-        F.split(F.substring(b, F.locate("]", b) + 1, F.length(b)), r"<\+>"),
-        lambda t: F.struct(unescape(F.substring(b, F.lit(len(OPEN) + 1), F.locate("]", b) - len(OPEN) - 1)).alias("role"), unescape(t).alias("text")))))
-    losses = F.transform("loss_mask", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"])))
+    opened = F.transform(blocks, lambda b: F.struct(
+        unescape(F.substring(b, F.lit(len(OPEN) + 1), F.locate("]", b) - len(OPEN) - 1)).alias("role"),
+        F.split(F.substring(b, F.locate("]", b) + 1, F.length(b)), r"<\+>").alias("texts")))
+    turns = F.flatten(F.transform(opened, lambda o: F.transform(o["texts"], lambda t: F.struct(o["role"].alias("role"), unescape(t).alias("text")))))
+    losses = F.transform(spans_of(F.col("formatted"), F.col("loss_mask")), unescape)
     return formatted.withColumn("turns", turns).withColumn("loss_texts", losses)
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from railyard.llm import quality_model, substring_dedup
+from railyard.llm import chat_format, quality_model, substring_dedup
 
 
 def test_substring_dedup_of_50_000_equal_rows(spark):
@@ -44,3 +45,26 @@ def test_indicators_of_many_short_rows_take_memory_by_their_text():
     finally:
         quality_model.DENSE = before
     assert all((a == b).all() for a, b in zip(both, sparse))
+
+
+def test_a_conversation_of_200_000_turns_is_formatted_in_linear_time(spark):
+    n = 200_000
+    turns = spark.range(n).select(F.lit(5).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") < n // 2, F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")).otherwise("assistant").alias("role"),
+                                  F.concat(F.lit("é<&[turn "), "id").alias("text"))
+    start = time.time()
+    got = {r.conv_id: r for r in chat_format.digest(turns).collect()}[5]
+    learned = [f"é<&[turn {i}" for i in range(n) if i >= n // 2 or i % 2]
+    assert (got.n_turns, got.loss_chars) == (n, sum(map(len, learned)))
+    assert got.loss_sha256 == hashlib.sha256("".join(learned).encode()).hexdigest()
+    role = lambda i: "assistant" if i >= n // 2 or i % 2 else "user"
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{role(i)}\né<&[turn {i}\n" for i in range(n)).encode()).hexdigest()
+    assert time.time() - start < 90
+
+
+def test_spans_across_pieces_of_a_text(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "PIECE", 3)
+    text = "ab\U0001d4b3c\né\U0001f600\U0001f600xyz\r\nend\U0001d4b3"
+    spans = [(i, k) for i in range(len(text) + 1) for k in (0, 1, 2, 3, 7) if i + k <= len(text)]
+    df = spark.createDataFrame([(text, spans)], "t string, s array<struct<start:int,length:int>>")
+    assert df.select(chat_format.spans_of(F.col("t"), F.col("s")).alias("x")).first().x == [text[i : i + k] for i, k in spans]

@@ -106,8 +106,11 @@ def number_rows(new: DataFrame, stored: DataFrame) -> DataFrame:
 def merge_rows(stored: DataFrame, new: DataFrame, pk: Sequence[str]) -> DataFrame:
     """The rows of a table with a key after ``new`` (with ``row_num``) is merged
     into ``stored`` (with ``row_order``): of a key the last new row stays, in its
-    own place, else the stored one in its old place."""
-    return joins.upsert(stored, number_rows(new, stored), pk, [ROW_ORDER])
+    own place, else the stored one in its old place. Numbers go on from the rows
+    that stay, so the same merge again gives the same numbers."""
+    key = [FEED, *pk]
+    staying = stored.select(*key, ROW_ORDER).join(new.select(*key).distinct(), key, "left_anti")
+    return joins.upsert(stored, number_rows(new, staying), pk, [ROW_ORDER])
 
 
 def content_batches(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -293,7 +296,8 @@ class GtfsStore:
                 held = self._stored(name).select(FEED, "batch").join(batches, [FEED, "batch"], "left_semi").select(FEED).distinct()
                 rows = rows.join(held, FEED, "left_anti")
             # every table is whole before the first one is written
-            merged[name] = materialise(merge_rows(before[name], rows, pk) if pk else number_rows(rows, before[name]).drop("row_num"))
+            staying = before[name] if pk or not isinstance(batches, str) or mode == "replace" else self._stored(name).where(F.col("batch") != batches)
+            merged[name] = materialise(merge_rows(before[name], rows, pk) if pk else number_rows(rows, staying).drop("row_num"))
         self.outcome = materialise(_outcome(merged, rejected, current if mode == "replace" else {}, feeds))
         if mode == "replace":
             for t in catalog.CLEAR_ORDER:

@@ -294,13 +294,14 @@ def page_of_table(spark, sf):
     sql=f"""
     WITH old AS (SELECT o_orderkey AS trip_id, o_orderdate AS day, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row_order FROM orders),
          lines AS (SELECT l_orderkey AS trip_id, l_shipdate AS day, row_number() OVER (ORDER BY {", ".join(A.stop_time_order_cols())}) AS n FROM lineitem),
-         last AS (SELECT trip_id, max_by(day, n) AS day, (SELECT count(*) FROM old) + max(n) AS row_order FROM lines GROUP BY trip_id),
+         top AS (SELECT coalesce(max(row_order), 0) AS n FROM old WHERE trip_id NOT IN (SELECT trip_id FROM lines)),
+         last AS (SELECT trip_id, max_by(day, n) AS day, (SELECT n FROM top) + max(n) AS row_order FROM lines GROUP BY trip_id),
          merged AS (SELECT * FROM last UNION ALL SELECT * FROM old WHERE trip_id NOT IN (SELECT trip_id FROM last))
     SELECT 'F1' AS feed_id, trip_id, strftime(day, '%Y-%m-%d') AS day, row_order::BIGINT AS row_order FROM merged
     """,
 )
 def stored_row_order(spark, sf):
-    """Row order of a merge: numbers go on from the stored ones, and a replaced row takes its new place."""
+    """Row order of a merge: numbers go on from the rows that stay, and a replaced row takes its new place."""
     o = A.table(spark, sf, "orders").select(F.lit(A.FEED_ID).alias("feed_id"), F.col("o_orderkey").alias("trip_id"), F.col("o_orderdate").alias("day"))
     li = A.table(spark, sf, "lineitem").select(F.lit(A.FEED_ID).alias("feed_id"), F.col("l_orderkey").alias("trip_id"), F.col("l_shipdate").alias("day"),
                                                *A.stop_time_order_cols())

@@ -5,10 +5,12 @@ Design rules (scale):
   aggregates with map-side partial aggregation (``min_by``/``max_by``/``min``),
   never a window partitioned by the key alone.
 * Ordinals "per feed" are numbered with a range-partitioned sort and per-range
-  offsets, so one huge feed is spread over many tasks.
-* Previous values, first values and positions within a group come from an
-  ordered scan over ranges that hands its state from range to range
-  (``range_scan``), so one huge group is spread over many tasks too.
+  offsets, so one huge feed is spread over many tasks. The sorted ranges are
+  written once with the place of every row; what follows only adds an offset.
+* Previous values, first values and positions within a group come from a window
+  where a group is small enough for one task, else from an ordered scan over
+  ranges that hands its state from range to range (``range_scan``), so one huge
+  group is spread over many tasks too.
 * Top-N per group runs in two salted phases, so a hot group is cut into
   ``salt`` slices before its final N are picked.
 """
@@ -21,9 +23,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from railyard.session import cut_lineage
+from railyard.session import cut_lineage, materialise
 
 ColLike = str | Column
+#: Rows of one group that a single task may gather in a window.
+GROUP_ROWS = 100_000
+#: Hash slices whose sizes tell which groups may have more rows.
+SLICES = 1 << 16
+#: Rows of per-range totals that are sent to every task; more are joined by a shuffle.
+SMALL_ROWS = 100_000
 
 
 def _cols(cols: Sequence[ColLike]) -> list[Column]:
@@ -49,18 +57,41 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
     return agg.select(*keys, *[F.col("_row")[c].alias(c) for c in others]).select(*df.columns)
 
 
+def by_group_size(df: DataFrame, part: Sequence[str], most: int = GROUP_ROWS) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows whose groups have at most ``most`` rows each, the other rows); None for no rows.
+
+    Rows are counted by hash slice of the group (one small map-side aggregate):
+    a group of more rows lies in a slice of more. The list of such slices is
+    bounded by their number and by rows / ``most``. Groups that share a slice
+    with a large one go with it; both kinds of path give the same rows."""
+    piece = F.pmod(F.xxhash64(*part), F.lit(SLICES)) if part else F.lit(0).cast("long")
+    full = [r[0] for r in df.select(piece.alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("s").collect()]
+    if not full:
+        return df, None
+    return (df.where(~piece.isin(full)) if part and len(full) < SLICES else None), df.where(piece.isin(full))
+
+
 def duplicates_after_first(
-    df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], first_alias: str = "first_row"
+    df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], first_alias: str = "first_row", most: int = GROUP_ROWS
 ) -> DataFrame:
     """WN-09: every row of a key except its first, with the first row's order key.
 
-    First occurrences come from a partial aggregate; joining them back is an
-    equi-join on the key that AQE's skew-join handling can split when a key is
-    hot (the aggregate side holds exactly one row per key).
+    Keys of at most ``most`` rows are compared within one window (one shuffle).
+    For the others, first occurrences come from a partial aggregate; joining
+    them back is an equi-join on the key that AQE's skew-join handling can split
+    (the aggregate side holds exactly one row per key). NULL keys never match.
     """
-    firsts = df.groupBy(*keys).agg(F.min(order_struct(order_cols)).alias(first_alias))
-    joined = df.join(firsts, on=list(keys), how="inner")
-    return joined.where(order_struct(order_cols) > F.col(first_alias))
+    place = order_struct(order_cols)
+    columns = [*keys, *[c for c in df.columns if c not in keys]]
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keys])
+    small, large = by_group_size(df.where(known), keys, most)
+    found = []
+    if small is not None:
+        found.append(small.select(*columns, F.min(place).over(Window.partitionBy(*keys)).alias(first_alias)))
+    if large is not None:
+        firsts = large.groupBy(*keys).agg(F.min(place).alias(first_alias))
+        found.append(large.join(firsts, on=list(keys), how="inner").select(*columns, first_alias))
+    return reduce(DataFrame.unionByName, found).where(place > F.col(first_alias))
 
 
 def range_scan(
@@ -75,15 +106,26 @@ def range_scan(
     """``lag``, ``first_value`` and ``row_number`` over (part, order) for groups of any size.
 
     ``lag`` and ``first`` map a new column to the column it reads; ``index``
-    names the 1-based position. Rows are range-partitioned by (part, order) and
-    scanned range by range. The state that a group hands on — its last row, its
+    names the 1-based position. Groups of at most ``GROUP_ROWS`` rows go through
+    Spark's own window; the rows of larger ones (all rows if ``num_ranges`` is
+    given) are range-partitioned by (part, order) and scanned range by range.
+    The state that a group hands on — its last row, its
     first row, its rows so far — is needed only where a range begins inside a
     group: at most one row per range, which is the bound of the broadcast.
     ``order_cols`` should be unique within ``part``; NULL keys form one group.
     The ranges are checkpointed once, because their bounds are sampled.
     """
     lag, first = dict(lag or {}), dict(first or {})
-    n = num_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if num_ranges is None:
+        small, large = by_group_size(df, part)
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        done = [] if large is None else [range_scan(large, part, order_cols, lag, first, index, n)]
+        if small is not None:
+            w = Window.partitionBy(*part).orderBy(*order_cols)
+            done.append(small.select("*", *[F.lag(c).over(w).alias(k) for k, c in lag.items()], *[F.first(c).over(w).alias(k) for k, c in first.items()],
+                                     *([F.row_number().over(w).cast("long").alias(index)] if index else [])))
+        return reduce(DataFrame.unionByName, done)
+    n = num_ranges
     ranged = df.repartitionByRange(n, *[F.col(c) for c in [*part, *order_cols]]).withColumn("__rng", F.spark_partition_id())
     ranged = cut_lineage(ranged)
     w = Window.partitionBy("__rng", *part).orderBy(*order_cols)
@@ -120,9 +162,32 @@ def dense_ordinal(
     order_cols: Sequence[str],
     name: str = "ordinal",
     num_ranges: int | None = None,
+    after: DataFrame | None = None,
 ) -> DataFrame:
-    """1-based ordinal of each row within ``part`` by ``order_cols`` (unique in ``part``)."""
-    return running_total(df, part, order_cols, F.lit(1), name, num_ranges)
+    """1-based ordinal of each row within ``part`` by ``order_cols`` (unique in ``part``).
+
+    Rows are range-partitioned and sorted by (part, order) and written once with
+    their place in the range (bounds come from sampling, so two evaluations may
+    cut differently). An ordinal is that place plus an offset from the rows of
+    each (range, part): no further shuffle or sort of the rows.
+
+    ``after`` (part and one number a row) gives what the ordinals of a part go
+    on from; it is added to the offsets, so no join gathers the rows of a part."""
+    n = num_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in [*part, *order_cols]]
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ranged = ranged.select("*", F.spark_partition_id().alias("__rng"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__pos"))
+    ranged = cut_lineage(ranged) if "void" in df.schema.simpleString() else materialise(ranged)
+    totals = cut_lineage(ranged.groupBy("__rng", *part).agg(F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__from")))
+    before = Window.partitionBy(*part).orderBy("__rng").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__rng", *part, (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__from") + 1).alias("__off"))
+    if after is not None:
+        start = next(c for c in after.columns if c not in part)
+        offsets = offsets.join(after, list(part), "left").select("__rng", *part, (F.col("__off") + F.coalesce(start, F.lit(0))).alias("__off"))
+    if totals.count() <= SMALL_ROWS:
+        offsets = F.broadcast(offsets)
+    out = ranged.join(offsets, on=["__rng", *part], how="inner")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c != name], (F.col("__off") + F.col("__pos")).cast("long").alias(name))
 
 
 def running_total(

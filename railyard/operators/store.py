@@ -98,9 +98,9 @@ def number_rows(new: DataFrame, stored: DataFrame) -> DataFrame:
     within the feed, after the highest number that ``stored`` has for it. Equal
     ``row_num`` (two files of one table) are told apart by a hash of the row."""
     data = [c for c in new.columns if c not in ("row_num", ROW_ORDER)]
-    numbered = ordered.dense_ordinal(new.select(*data, "row_num", F.xxhash64(*data).alias("__tie")), [FEED], ["row_num", "__tie"], "__n")
     top = stored.groupBy(FEED).agg(F.max(ROW_ORDER).alias("__top"))
-    return numbered.join(top, FEED, "left").select(*data, "row_num", (F.coalesce("__top", F.lit(0)) + F.col("__n")).alias(ROW_ORDER))
+    numbered = ordered.dense_ordinal(new.select(*data, "row_num", F.xxhash64(*data).alias("__tie")), [FEED], ["row_num", "__tie"], ROW_ORDER, after=top)
+    return numbered.select(*data, "row_num", ROW_ORDER)
 
 
 def merge_rows(stored: DataFrame, new: DataFrame, pk: Sequence[str]) -> DataFrame:

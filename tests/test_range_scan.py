@@ -73,3 +73,40 @@ def test_distance_from_stop_to_stop_where_shape_distance_is_absent(spark):
     dist = lambda *more: {r.route_id: r.service_distance for r in service.route_stats(active, trips, st, *more).collect()}
     assert dist(stops) == {"R1": round(want, 6), "R2": 7.5, "R3": None}
     assert dist() == {"R1": None, "R2": 7.5, "R3": None}
+
+
+def test_small_groups_need_no_ranges(spark, monkeypatch):
+    """Groups that fit a task go through a window, larger ones through the ranges; the rows are the same either way."""
+    df = spark.range(400).select(F.lit("A").alias("feed_id"), F.when(F.col("id") < 300, "hot").when(F.col("id") % 2 == 0, (F.col("id") % 7).cast("string")).alias("trip_id"),
+                                 F.col("id").alias("n"), (F.col("id") % 5).alias("v"))
+    part, want = ["feed_id", "trip_id"], None
+    for most, split in ((1000, (400, 0)), (200, (100, 300)), (0, (0, 400))):
+        small, large = ordered.by_group_size(df, part, most)
+        assert (small.count() if small else 0, large.count() if large else 0) == split
+        monkeypatch.setattr(ordered, "by_group_size", lambda *_, s=small, b=large: (s, b))
+        got = sorted(map(str, ordered.range_scan(df, part, ["n"], {"before": "v"}, {"head": "v"}, "k").collect()))
+        monkeypatch.undo()
+        want = want or got
+        assert got == want
+    plan = ordered.lag_over(df, part, ["n"], "v", "before")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "BroadcastHashJoin" not in plan
+
+
+def test_duplicates_of_small_and_large_keys(spark):
+    df = spark.range(60).select(F.when(F.col("id") < 40, 1).when(F.col("id") < 55, F.col("id") % 7).alias("k"), F.col("id").alias("n"))
+    found = [sorted(map(str, ordered.duplicates_after_first(df, ["k"], ["n"], "first", most).collect())) for most in (1000, 10, 0)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 55 - 7
+    plan = ordered.duplicates_after_first(df, ["k"], ["n"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_numbers_are_not_gathered_by_feed(spark):
+    """Ordinals, and those that go on from a feed's last number, shuffle the rows by range only."""
+    df = spark.range(0, 900, 1, 4).select(F.when(F.col("id") % 3 == 0, "B").otherwise("A").alias("feed_id"), F.col("id").alias("n"))
+    after = spark.createDataFrame([("A", 1000)], "feed_id string, top long")
+    for start, extra in ((None, 0), (after, 1000)):
+        out = ordered.dense_ordinal(df, ["feed_id"], ["n"], "k", num_ranges=5, after=start)
+        got = {f: sorted((r.n, r.k) for r in out.where(F.col("feed_id") == f).collect()) for f in ("A", "B")}
+        assert [k for _, k in got["A"]] == list(range(1 + extra, 601 + extra)) and [k for _, k in got["B"]] == list(range(1, 301))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan.split("Initial Plan")[-1].split("BroadcastExchange")[0]

@@ -1,9 +1,8 @@
 """Target-distribution importance resampling (operator 13).
 
-Texts are lower-cased (A-Z), separators collapse to single spaces, and one
-overlapped regex scan with boundary lookarounds starts a match at every word:
-its groups end the spans of 1, 2, .. ``orders`` words, whose CRC-32 is carried
-from group to group and counted modulo ``buckets``. A document's counts (at
+Texts are lower-cased (A-Z) and cut into words; the CRC-32 of every word is
+carried on over the words after it to the runs of 2, .. ``orders`` words, and
+all are counted modulo ``buckets``. A document's counts (at
 most ``buckets`` entries) are written once; sums over all documents and over
 the target give a gain per bucket, and the gains (one number a bucket, a fixed
 bound) go back to the tasks for the weights. Ranks are dealt by range: sorted
@@ -19,13 +18,12 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
-from itertools import chain, islice
+from collections.abc import Callable, Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,41 +36,40 @@ ORDERS = 3
 SEED = 42
 LEAST_WORDS = 20
 PERCENT = 5
-#: Features counted at once, so that a very long text needs no list of all of them.
-BLOCK = 1 << 18
+#: Words whose features are counted at once, so that a very long text needs no list of all of them.
+BLOCK = 1 << 17
 
 #: Fixed: separators of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` become spaces, A-Z lower case.
 _NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
 
 
-def scanner(orders: int = ORDERS) -> regex.Pattern:
-    """Pattern whose overlapped matches start at each word; group k ends the span of k words."""
-    return regex.compile(rb"(?<![^ ])([^ ]++)" + rb"( [^ ]++)?+" * (orders - 1) + rb"(?![^ ])")
+def scanner(orders: int = ORDERS) -> Callable[[list[bytes], int], list[list[int]]]:
+    """Function of words and a number n: the CRC-32 of all runs of 1 .. ``orders``
+    words that start at the first n; a run's goes on from that of the run one word shorter."""
 
+    def scan(words: list[bytes], n: int) -> list[list[int]]:
+        added = [b" " + w for w in words]
+        found = [list(map(crc32, words[:n]))]
+        for k in range(1, orders):
+            found.append(list(map(crc32, added[k:], found[-1])))
+        return found
 
-def _spans(match: regex.Match) -> Iterator[int]:
-    """CRC-32 of each span of a match, from the shortest on."""
-    crc = 0
-    for group in match.groups():
-        if group is None:
-            return
-        crc = crc32(group, crc)
-        yield crc
+    scan.orders = orders
+    return scan
 
 
-def features(raw: bytes, pattern: regex.Pattern, buckets: int = BUCKETS) -> tuple[int, np.ndarray, np.ndarray]:
+def features(raw: bytes, scan: Callable[[list[bytes], int], list[list[int]]], buckets: int = BUCKETS) -> tuple[int, np.ndarray, np.ndarray]:
     """(words, distinct buckets ascending, counts) of one text's UTF-8 bytes."""
     words = raw.translate(_NORMAL).split()
-    found = chain.from_iterable(map(_spans, pattern.finditer(b" ".join(words), overlapped=True)))
-    total = None
-    while True:
-        block = np.fromiter(islice(found, BLOCK), np.int64) % buckets
-        if total is None and len(block) < BLOCK:
+    total = np.zeros(buckets, np.int64) if len(words) > BLOCK else None
+    for start in range(0, len(words) or 1, BLOCK):
+        found = scan(words[start : start + BLOCK + scan.orders - 1], BLOCK)
+        block = np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found))) % buckets
+        if total is None:
             return (len(words), *np.unique(block, return_counts=True))
-        if not len(block):
-            at = np.flatnonzero(total)
-            return len(words), at, total[at]
-        total = (0 if total is None else total) + np.bincount(block, minlength=buckets)
+        total += np.bincount(block, minlength=buckets)
+    at = np.flatnonzero(total)
+    return len(words), at, total[at]
 
 
 def _counted(docs: DataFrame, text_column: str, keep: list[str], orders: int, buckets: int) -> DataFrame:
@@ -81,11 +78,11 @@ def _counted(docs: DataFrame, text_column: str, keep: list[str], orders: int, bu
     schema = T.StructType([shown.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = scanner(orders)
+        scan = scanner(orders)
         for whole in batches:
             for part in slices(whole, "text"):
                 raw, off, _ = text_bytes(part.column("text"))
-                rows = [features(raw[s:e].tobytes(), pattern, buckets) for s, e in zip(off[:-1].tolist(), off[1:].tolist())]
+                rows = [features(raw[s:e].tobytes(), scan, buckets) for s, e in zip(off[:-1].tolist(), off[1:].tolist())]
                 # buckets as steps, which compress well
                 yield pa.RecordBatch.from_arrays([
                     part.column("row"), pa.array([r[0] for r in rows], pa.int64()),

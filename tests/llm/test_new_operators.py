@@ -221,3 +221,11 @@ def test_resample_returns_drawn_rows_with_their_columns(spark, frame):
     kept = out.collect()
     assert len(kept) == 20 and all(r.importance == "mine" and r.text == rows[r.doc_id][1] for r in kept)
     assert sum(r.doc_id % 10 == 0 for r in kept) >= 15
+
+
+def test_importance_runs_of_other_lengths():
+    words = [f"w{i % 5}" for i in range(30)]
+    for orders in (1, 2, 4):
+        total, at, count = importance.features(" ".join(words).encode(), importance.scanner(orders))
+        want = collections.Counter(zlib.crc32(" ".join(words[i : i + k]).encode()) % 10_000 for k in range(1, orders + 1) for i in range(len(words) - k + 1))
+        assert total == 30 and dict(zip(at.tolist(), count.tolist())) == want

@@ -203,7 +203,7 @@ def trip_stop_lists(stop_times: DataFrame, st_order: Sequence[str]) -> DataFrame
     A trip's list is bounded by its length; ``collect_list`` per trip is safe."""
     st = stop_times.select(FEED, "trip_id", "stop_sequence", "stop_id", *st_order)
     key = F.struct("stop_sequence", *st_order, F.col("stop_id").alias("_sid"))
-    per = st.groupBy(FEED, "trip_id").agg(F.array_sort(F.collect_list(key)).alias("_l"))
+    per = st.groupBy(FEED, "trip_id").agg(F.sort_array(F.collect_list(key)).alias("_l"))
     return per.select(FEED, "trip_id", F.transform("_l", lambda x: x["_sid"]).alias("stops"))
 
 
@@ -214,7 +214,8 @@ def journey_patterns(trips: DataFrame, stop_times: DataFrame, cfg: NetexConfig,
     Returns (patterns, trip → pattern).
 
     The stop lists are built and written once; a list is named by two 64-bit
-    hashes, and only the names travel when patterns are found and joined."""
+    hashes, and only the names travel when patterns are found and joined. Trips
+    with their patterns are written once too, as journeys and times both read them."""
     lists = trip_stop_lists(stop_times, st_order)
     t = trips.select(FEED, "trip_id", "route_id", "direction_id", ordered.order_struct(trip_order).alias("_o"))
     tl = materialise(t.join(lists, [FEED, "trip_id"], "inner")
@@ -234,7 +235,7 @@ def journey_patterns(trips: DataFrame, stop_times: DataFrame, cfg: NetexConfig,
             tl["direction_id"].eqNullSafe(pats["direction_id"]), tl["_h1"] == pats["_h1"], tl["_h2"] == pats["_h2"]]
     t2p = tl.join(pats.select(*pk, "local_id"), cond, "inner").select(
         tl[FEED], tl["trip_id"], tl["route_id"], F.col("local_id"))
-    return patterns, t2p
+    return patterns, materialise(t2p)
 
 
 def stop_points_in_pattern(patterns: DataFrame, cfg: NetexConfig) -> DataFrame:

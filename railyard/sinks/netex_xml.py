@@ -10,6 +10,8 @@ its own ``feed_id=/document=`` folder.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ FEED = "feed_id"
 #: Fixed: namespace and schema of the standard.
 NETEX_NS = "http://www.netex.org.uk/netex"
 SCHEMA_LOCATION = "http://netex.uk/netex/schema/1.15/xsd/NeTEx_publication.xsd"
+#: White space that ``to_xml`` may leave at the end.
+BLANKS = " \t\n\x0b\f\r"
 
 
 def _ref(value: Column, version: str | None = "any") -> Column:
@@ -42,7 +46,7 @@ def _location(centroid: Column) -> Column:
 
 def _xml(df: DataFrame, entity: str, element: Column, row_tag: str) -> DataFrame:
     return df.select(FEED, F.lit(entity).alias("entity"), F.col("id"),
-                     F.regexp_replace(F.to_xml(element, {"rowTag": row_tag}), r"\s+$", "").alias("xml"))
+                     F.rtrim(F.to_xml(element, {"rowTag": row_tag}), F.lit(BLANKS)).alias("xml"))
 
 
 def render_stop_places(places: DataFrame, cfg: NetexConfig) -> DataFrame:
@@ -140,7 +144,7 @@ def _passing_struct(pt: Column) -> Column:
 def render_service_journeys(journeys: DataFrame, passing: DataFrame, cfg: NetexConfig) -> DataFrame:
     """NX-19: ServiceJourney ← Name?, dayTypes?, JourneyPatternRef, LineRef,
     OperatorRef?, passingTimes (one journey's times: bounded by its length)."""
-    per = passing.groupBy(FEED, "trip_id").agg(F.array_sort(F.collect_list(F.struct(
+    per = passing.groupBy(FEED, "trip_id").agg(F.sort_array(F.collect_list(F.struct(
         "idx", "id", "spjp_ref", "arrival_time", "arrival_day_offset", "departure_time",
         "departure_day_offset"))).alias("_pt"))
     j = journeys.join(per, [FEED, "trip_id"], "left")
@@ -153,7 +157,7 @@ def render_service_journeys(journeys: DataFrame, passing: DataFrame, cfg: NetexC
         F.struct(F.transform(F.coalesce("_pt", F.array()), _passing_struct).alias("TimetabledPassingTime"))
         .alias("passingTimes"))
     return j.select(FEED, F.lit("ServiceJourney").alias("entity"), "id", "line_ref",
-                    F.regexp_replace(F.to_xml(el, {"rowTag": "ServiceJourney"}), r"\s+$", "").alias("xml"))
+                    F.rtrim(F.to_xml(el, {"rowTag": "ServiceJourney"}), F.lit(BLANKS)).alias("xml"))
 
 
 def render_stop_points(points: DataFrame, cfg: NetexConfig) -> DataFrame:
@@ -288,7 +292,8 @@ def netex_documents(tables: dict, cfg: NetexConfig, timestamp: str, st_order=("s
         _section(render_journey_patterns(patterns, spjp, cfg).join(patterns.select(FEED, "id", "_n"), [FEED, "id"]),
                  lines_doc, 55, _num("_n"), "<journeyPatterns>", "</journeyPatterns>"),
     ]
-    journeys_xml = render_service_journeys(journeys, passing, cfg)
+    # written once: the rows of the documents and the list of documents both read it
+    journeys_xml = materialise(render_service_journeys(journeys, passing, cfg).select(FEED, "id", "line_ref", "xml"))
     timetable = [_section(journeys_xml, F.concat(F.lit("TimetableFrame_Schedules_Line_"), line_local), 61, F.col("id"),
                           "<vehicleJourneys>", "</vehicleJourneys>")]
     frames = [
@@ -305,7 +310,8 @@ def netex_documents(tables: dict, cfg: NetexConfig, timestamp: str, st_order=("s
     for part in [*calendar, *service, *timetable, *frames]:
         body = body.unionByName(part)
 
-    docs = body.select(FEED, "document").distinct()
+    sections = [p.select(FEED, "document") for p in [*site, *calendar, *service, *timetable]]
+    docs = reduce(DataFrame.unionByName, sections).distinct()
     head, tail = _resource_texts(cfg)
     org_rows = orgs.join(docs, FEED).select(FEED, "document", F.lit(11).alias("section"),
                                             F.concat(F.when(F.col("entity") == "Authority", "0").otherwise("1"),

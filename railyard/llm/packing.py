@@ -38,8 +38,10 @@ from railyard.llm.common import SPACE, batch_of, materialise, slices, text_bytes
 LENGTH = 2048
 END_ID = 1
 VECTOR, DIMS, BITS = 64, 3, 16
-#: Words whose ids a task remembers.
-REMEMBERED = 1_000_000
+#: Words whose ids a task remembers (some 60 MB).
+REMEMBERED = 400_000
+#: Bytes of text tokenized at once: a worker needs some fifty times that for its arrays and word lists.
+SLICE = 1 << 20
 #: Of these, the frequent words of its first texts are looked up first.
 FREQUENT = 40_000
 
@@ -132,8 +134,8 @@ class WordIds:
             for i in rest:
                 found[i] = self.known[words[i]]
         if len(self.frequent) < FREQUENT:
-            counts = Counter(words)
-            self.frequent |= {w: self.known.get(w) or found[words.index(w)] for w, _ in counts.most_common(FREQUENT - len(self.frequent))}
+            ids_of = dict(zip(words, found))
+            self.frequent |= {w: ids_of[w] for w, _ in Counter(words).most_common(FREQUENT - len(self.frequent))}
         return [b"".join(found[a:b]) for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())]
 
 
@@ -195,7 +197,7 @@ def _tokenized(docs: DataFrame, path: str) -> DataFrame:
         words = word_ids(path)
         size = words.tokenizer.get_vocab_size()
         for whole in batches:
-            for part in slices(whole, "text"):
+            for part in slices(whole, "text", SLICE):
                 raw, off, _ = text_bytes(part.column("text"))
                 ids = words.ids(raw, off)
                 at = projections([np.frombuffer(x, "<u2") for x in ids], size)

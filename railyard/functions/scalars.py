@@ -144,10 +144,11 @@ def parse_duration_secs(c: ColOrName, default: int = DEFAULT_DURATION_SECS) -> C
     return F.coalesce(seconds, F.lit(default).cast("long"))
 
 
-def gtfs_time_parts(c: ColOrName) -> Column:
-    """SC-11: struct(time 'HH:MM:SS' with hours mod 24, day_offset)."""
+def gtfs_time_parts(c: ColOrName, parts: Column | None = None) -> Column:
+    """SC-11: struct(time 'HH:MM:SS' with hours mod 24, day_offset); ``parts``
+    are the text's pieces, if the caller has them."""
     x = _c(c)
-    parts = F.split(x, ":")
+    parts = F.split(x, ":") if parts is None else parts
     h = F.try_element_at(parts, F.lit(1)).try_cast("int")
     empty = x.isNull() | (x == "")
     t = F.format_string("%02d:%s:%s", h % 24, F.try_element_at(parts, F.lit(2)), F.try_element_at(parts, F.lit(3)))

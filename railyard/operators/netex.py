@@ -23,6 +23,8 @@ FEED = "feed_id"
 CODESPACE_RE = re.compile(r"^[A-Z0-9]+$")
 PLACEHOLDER_CODESPACES = ("FIXME",)
 OTHER_MODE = "other"
+#: The lists of a trip's calls, by the column of stop_times that each is of.
+CALLS = {"stop_id": "stops", "arrival_time": "arrivals", "departure_time": "departures"}
 
 
 @dataclass(frozen=True)
@@ -55,6 +57,12 @@ class NetexConfig:
         return S.build_urn(self.codespace, kind, F.lit(local) if isinstance(local, str) else local)
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once a row, however often the
+    body's own lambdas read it: a lambda's expressions are not shared."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _txt(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
@@ -62,14 +70,37 @@ def _txt(c: str | Column) -> Column:
 # --- JN-14 / AG-10: modal vehicle mode per stop ------------------------------------
 def stop_modes(routes: DataFrame, trips: DataFrame, stop_times: DataFrame, st_order: Sequence[str]) -> DataFrame:
     """Most frequent mode over the stop_times rows at each stop; ties go to
-    the mode met first in file order. Unmapped route types are skipped."""
+    the mode met first in file order. Unmapped route types are skipped.
+
+    Rows travel with the first column of the order alone; the whole order is read
+    only where modes of a stop are equal in number and in that column."""
     rm = routes.select(FEED, "route_id", S.vehicle_mode("route_type").alias("mode")).where(F.col("mode").isNotNull())
     tm = trips.select(FEED, "trip_id", "route_id").join(rm, [FEED, "route_id"], "inner").select(FEED, "trip_id", "mode")
-    st = stop_times.select(FEED, "trip_id", "stop_id", ordered.order_struct(st_order).alias("_o"))
-    per = st.join(tm, [FEED, "trip_id"], "inner").groupBy(FEED, "stop_id", "mode").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_first"))
-    return per.groupBy(FEED, "stop_id").agg(
-        F.min_by("mode", F.struct(-F.col("_n"), F.col("_first"))).alias("mode"))
+    st = stop_times.select(FEED, "trip_id", "stop_id", *dict.fromkeys(st_order))
+    by_first = st.select(FEED, "trip_id", "stop_id", F.col(st_order[0]).alias("_o")).join(tm, [FEED, "trip_id"], "inner").groupBy(
+        FEED, "stop_id", "mode").agg(F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_first"), F.min(F.col("_o").isNotNull()).alias("_known"))
+    # a stop has few modes: those that share the highest number and the first value (NULL comes first)
+    rank = F.struct((-F.col("_n")).alias("n"), F.when(F.col("_known"), F.col("_first")).alias("first"))
+    tops = by_first.groupBy(FEED, "stop_id").agg(F.collect_list(F.struct(rank.alias("rank"), "mode")).alias("_m")).select(
+        FEED, "stop_id", F.filter("_m", lambda x: x["rank"] == F.array_min("_m")["rank"])["mode"].alias("_top"))
+    if len(st_order) == 1:
+        return tops.select(FEED, "stop_id", F.col("_top")[0].alias("mode"))
+    tops = materialise(tops)
+    tied = tops.where(F.size("_top") > 1)
+    clear = tops.where(F.size("_top") == 1).select(FEED, "stop_id", F.col("_top")[0].alias("mode"))
+    n = tied.count()
+    if n == 0:
+        return clear
+    same = lambda a, b: a[FEED].eqNullSafe(b[FEED]) & a["stop_id"].eqNullSafe(b["stop_id"])
+    if n <= ordered.SMALL_ROWS:
+        t = tied.select(FEED, "stop_id")
+        st = st.join(F.broadcast(t), same(st, t), "left_semi")
+    firsts = st.select(FEED, "trip_id", "stop_id", ordered.order_struct(st_order).alias("_o")).join(tm, [FEED, "trip_id"], "inner").groupBy(
+        FEED, "stop_id", "mode").agg(F.min("_o").alias("_o"))
+    t = tied.select(F.col(FEED).alias("_f"), F.col("stop_id").alias("_s"), "_top")
+    found = firsts.join(t, firsts[FEED].eqNullSafe(t["_f"]) & firsts["stop_id"].eqNullSafe(t["_s"]), "inner").where(
+        F.array_contains("_top", F.col("mode"))).groupBy(FEED, "stop_id").agg(F.min_by("mode", "_o").alias("mode"))
+    return clear.unionByName(found)
 
 
 # --- JN-15 / PRJ-20: stop places and quays ---------------------------------------------
@@ -197,14 +228,39 @@ def organisations(agencies: DataFrame, cfg: NetexConfig, order: Sequence[str]) -
 
 
 # --- AG-11 / JN-16 / WN-06: journey patterns -----------------------------------------------
-def trip_stop_lists(stop_times: DataFrame, st_order: Sequence[str]) -> DataFrame:
-    """(feed, trip, stops array ordered by stop_sequence then file order).
+def trip_calls(stop_times: DataFrame, st_order: Sequence[str]) -> DataFrame:
+    """(feed, trip, a list for each of ``CALLS``): a trip's stop_times by
+    stop_sequence, then file order; rows of no trip are left out. Such a frame is
+    returned as it is, so that one written by the caller serves stop lists and times
+    without another shuffle of the rows. Rows are dealt by trip before they are
+    gathered: a slice of the input seldom has many rows of a trip, and gathering
+    within it would sort, and so spill, the slice.
 
     A trip's list is bounded by its length; ``collect_list`` per trip is safe."""
-    st = stop_times.select(FEED, "trip_id", "stop_sequence", "stop_id", *st_order)
-    key = F.struct("stop_sequence", *st_order, F.col("stop_id").alias("_sid"))
-    per = st.groupBy(FEED, "trip_id").agg(F.sort_array(F.collect_list(key)).alias("_l"))
-    return per.select(FEED, "trip_id", F.transform("_l", lambda x: x["_sid"]).alias("stops"))
+    if CALLS["stop_id"] in stop_times.columns:
+        return stop_times
+    kept = [c for c in CALLS if c in stop_times.columns]
+    order = list(dict.fromkeys(["stop_sequence", *st_order]))
+    st = stop_times.where(F.col(FEED).isNotNull() & F.col("trip_id").isNotNull()).select(
+        *dict.fromkeys([FEED, "trip_id", *order, *kept]))
+    call = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *kept)
+    # feed_id may be a fixed value, which no grouping counts as a key: dealt by trip alone
+    per = st.repartition("trip_id").groupBy(FEED, "trip_id").agg(F.sort_array(F.collect_list(call)).alias("_l"))
+    return per.select(FEED, "trip_id", *[F.col("_l")[c].alias(CALLS[c]) for c in kept])
+
+
+def written_trips(trips: DataFrame, stop_times: DataFrame, trip_order: Sequence[str],
+                  st_order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(trips, their calls), both written once, for what reads them more than once.
+    Read back, they meet by (feed, trip) in every join, so the calls are dealt once."""
+    names = [c for c in ("trip_short_name", "trip_headsign") if c in trips.columns]
+    kept = dict.fromkeys([FEED, "trip_id", "route_id", "service_id", "direction_id", *names, *trip_order])
+    return materialise(trips.select(*kept)), materialise(trip_calls(stop_times, st_order))
+
+
+def trip_stop_lists(stop_times: DataFrame, st_order: Sequence[str]) -> DataFrame:
+    """(feed, trip, stops array ordered by stop_sequence then file order)."""
+    return trip_calls(stop_times.drop("arrival_time", "departure_time"), st_order).select(FEED, "trip_id", "stops")
 
 
 def journey_patterns(trips: DataFrame, stop_times: DataFrame, cfg: NetexConfig, trip_order: Sequence[str],
@@ -213,9 +269,10 @@ def journey_patterns(trips: DataFrame, stop_times: DataFrame, cfg: NetexConfig,
     directions stay apart — numbered per feed in first-seen trip order.
     Returns (patterns, trip → pattern).
 
-    The stop lists are built and written once; a list is named by two 64-bit
-    hashes, and only the names travel when patterns are found and joined. Trips
-    with their patterns are written once too, as journeys and times both read them."""
+    ``stop_times`` are rows or the lists of ``trip_calls``. The stop lists are built
+    and written once; a list is named by two 64-bit hashes, and only the names
+    travel when patterns are found and joined. Trips with their patterns are
+    written once too, as journeys and times both read them."""
     lists = trip_stop_lists(stop_times, st_order)
     t = trips.select(FEED, "trip_id", "route_id", "direction_id", ordered.order_struct(trip_order).alias("_o"))
     tl = materialise(t.join(lists, [FEED, "trip_id"], "inner")
@@ -238,31 +295,55 @@ def journey_patterns(trips: DataFrame, stop_times: DataFrame, cfg: NetexConfig,
     return patterns, materialise(t2p)
 
 
-def stop_points_in_pattern(patterns: DataFrame, cfg: NetexConfig) -> DataFrame:
-    """StopPointInJourneyPattern rows (position = order)."""
+def stop_points_in_pattern(patterns: DataFrame, cfg: NetexConfig, lists: bool = False) -> DataFrame:
+    """StopPointInJourneyPattern rows (position = order); with ``lists`` the
+    patterns themselves, each with the list of its points."""
+    def point(own: Column, pos: Column, stop: Column) -> list[Column]:
+        return [(pos + 1).alias("order"), F.concat(own, (pos + 1).cast("string")).alias("id"),
+                cfg.urn("ScheduledStopPoint", _txt(stop)).alias("ssp_ref")]
+
+    own = cfg.urn("StopPointInJourneyPattern", F.format_string("%s_", F.col("local_id")))
+    if lists:
+        return patterns.withColumn("points", _bound(own, lambda o: F.transform("stops", lambda s, i: F.struct(*point(o, i, s)))))
     x = patterns.select(FEED, "local_id", F.posexplode("stops").alias("_pos", "stop_id"))
-    return x.select(FEED, "local_id", (F.col("_pos") + 1).alias("order"),
-                    cfg.urn("StopPointInJourneyPattern",
-                            F.format_string("%s_%d", F.col("local_id"), F.col("_pos") + 1)).alias("id"),
-                    cfg.urn("ScheduledStopPoint", _txt("stop_id")).alias("ssp_ref"))
+    return x.select(FEED, "local_id", *point(own, F.col("_pos"), F.col("stop_id")))
 
 
 # --- JN-18 / SC-11: service journeys and passing times ----------------------------------------
 def passing_times(stop_times: DataFrame, trip_patterns: DataFrame, cfg: NetexConfig,
-                  st_order: Sequence[str]) -> DataFrame:
+                  st_order: Sequence[str], lists: bool = False) -> DataFrame:
     """One TimetabledPassingTime per stop_time of a trip that has a pattern,
     matched to the pattern's stop point by position (a strict superset of
-    matching by stop_sequence). Times keep hours mod 24 plus a day offset."""
-    st = stop_times.join(trip_patterns.select(FEED, "trip_id", "local_id"), [FEED, "trip_id"], "inner")
-    w = Window.partitionBy(FEED, "trip_id").orderBy("stop_sequence", *st_order)  # one journey per window
-    st = st.withColumn("_idx", F.row_number().over(w))
-    arr, dep = S.gtfs_time_parts("arrival_time"), S.gtfs_time_parts("departure_time")
-    return st.select(
-        FEED, "trip_id", F.col("_idx").cast("long").alias("idx"),
-        cfg.urn("TimetabledPassingTime", F.format_string("%s_%d", _txt("trip_id"), F.col("_idx"))).alias("id"),
-        cfg.urn("StopPointInJourneyPattern", F.format_string("%s_%d", F.col("local_id"), F.col("_idx"))).alias("spjp_ref"),
-        arr["time"].alias("arrival_time"), arr["day_offset"].alias("arrival_day_offset"),
-        dep["time"].alias("departure_time"), dep["day_offset"].alias("departure_day_offset"))
+    matching by stop_sequence). Times keep hours mod 24 plus a day offset.
+    With ``lists``, one row per trip with the list of its times. A trip id that
+    comes with several patterns has each of its calls once for each."""
+    calls = trip_calls(stop_times, st_order)
+    per = trip_patterns.groupBy(FEED, "trip_id").agg(F.sort_array(F.collect_list("local_id")).alias("_locals"))
+    x = calls.join(per, [FEED, "trip_id"], "inner")
+
+    def time(own: Column, ref: Column, idx: Column, arr: Column, dep: Column) -> list[Column]:
+        return [
+            idx.cast("long").alias("idx"), F.concat(own, idx.cast("string")).alias("id"),
+            F.concat(ref, idx.cast("string")).alias("spjp_ref"),
+            arr["time"].alias("arrival_time"), arr["day_offset"].alias("arrival_day_offset"),
+            dep["time"].alias("departure_time"), dep["day_offset"].alias("departure_day_offset")]
+
+    own = cfg.urn("TimetabledPassingTime", F.format_string("%s_", _txt("trip_id")))
+    ref = lambda local: cfg.urn("StopPointInJourneyPattern", F.format_string("%s_", local))
+    place = lambda k, j: k * F.size("_locals") + j + 1
+    if lists:
+        def parts(c):
+            cut = F.transform(c, lambda x: F.struct(x.alias("text"), F.split(x, ":").alias("parts")))
+            return F.transform(cut, lambda x: S.gtfs_time_parts(x["text"], x["parts"]))
+
+        once = F.struct(own.alias("own"), F.transform("_locals", ref).alias("refs"), parts("departures").alias("dep"))
+        return x.select(FEED, "trip_id", _bound(once, lambda b: F.flatten(F.transform(
+            parts("arrivals"), lambda a, k: F.transform(b["refs"], lambda r, j: F.struct(
+                *time(b["own"], r, place(k, j), a, F.get(b["dep"], k))))))).alias("times"))
+    x = x.select(FEED, "trip_id", "departures", "_locals", F.posexplode("arrivals").alias("_k", "_arr"))
+    x = x.select("*", F.posexplode("_locals").alias("_j", "local_id"))
+    return x.select(FEED, "trip_id", *time(own, ref(F.col("local_id")), place(F.col("_k"), F.col("_j")), S.gtfs_time_parts("_arr"),
+                                           S.gtfs_time_parts(F.get("departures", F.col("_k")))))
 
 
 def service_journeys(trips: DataFrame, trip_patterns: DataFrame, cfg: NetexConfig) -> DataFrame:

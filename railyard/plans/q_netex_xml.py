@@ -235,15 +235,16 @@ def netex_xml_points(spark, sf):
 def netex_xml_patterns(spark, sf):
     """NX-16/17: ServiceJourneyPattern elements with their points."""
     patterns, _ = _patterns(spark, sf)
-    return X.render_journey_patterns(patterns, NX.stop_points_in_pattern(patterns, CFG), CFG)
+    return X.render_journey_patterns(patterns, NX.stop_points_in_pattern(patterns, CFG, lists=True), CFG)
 
 
 @register("netex_xml_journeys", sql=_union("x_journeys"), extra_views=ENTITY_VIEWS)
 def netex_xml_journeys(spark, sf):
     """NX-18/19: ServiceJourney elements with their passing times."""
-    _, t2p = _patterns(spark, sf)
-    journeys = NX.service_journeys(A.a_trips(spark, sf), t2p, CFG)
-    return X.render_service_journeys(journeys, NX.passing_times(_timed_stop_times(spark, sf), t2p, CFG, ORDER), CFG).drop("line_ref")
+    trips, calls = NX.written_trips(A.a_trips(spark, sf), _timed_stop_times(spark, sf), ["row_num"], ORDER)
+    _, t2p = NX.journey_patterns(trips, calls, CFG, ["row_num"], ORDER)
+    journeys = NX.service_journeys(trips, t2p, CFG)
+    return X.render_service_journeys(journeys, NX.passing_times(calls, t2p, CFG, ORDER, lists=True), CFG).drop("line_ref")
 
 
 # --- documents ---------------------------------------------------------------------------------

@@ -45,8 +45,15 @@ def _location(centroid: Column) -> Column:
 
 
 def _xml(df: DataFrame, entity: str, element: Column, row_tag: str) -> DataFrame:
+    """The entity rows as XML; a column ``ordinal`` of their place goes along."""
     return df.select(FEED, F.lit(entity).alias("entity"), F.col("id"),
-                     F.rtrim(F.to_xml(element, {"rowTag": row_tag}), F.lit(BLANKS)).alias("xml"))
+                     F.rtrim(F.to_xml(element, {"rowTag": row_tag}), F.lit(BLANKS)).alias("xml"),
+                     *[c for c in ("ordinal",) if c in df.columns])
+
+
+def _numbered(entities: DataFrame, id_col: str, ordinal: Column) -> DataFrame:
+    """Entities with the place of every row of their id: joined before the XML is made, so that it stays where it is."""
+    return entities.join(entities.select(FEED, id_col, ordinal.alias("ordinal")), [FEED, id_col])
 
 
 def render_stop_places(places: DataFrame, cfg: NetexConfig) -> DataFrame:
@@ -144,9 +151,12 @@ def _passing_struct(pt: Column) -> Column:
 def render_service_journeys(journeys: DataFrame, passing: DataFrame, cfg: NetexConfig) -> DataFrame:
     """NX-19: ServiceJourney ← Name?, dayTypes?, JourneyPatternRef, LineRef,
     OperatorRef?, passingTimes (one journey's times: bounded by its length)."""
-    per = passing.groupBy(FEED, "trip_id").agg(F.sort_array(F.collect_list(F.struct(
-        "idx", "id", "spjp_ref", "arrival_time", "arrival_day_offset", "departure_time",
-        "departure_day_offset"))).alias("_pt"))
+    if "times" in passing.columns:  # one row per trip already
+        per = passing.select(FEED, "trip_id", F.col("times").alias("_pt"))
+    else:
+        per = passing.groupBy(FEED, "trip_id").agg(F.sort_array(F.collect_list(F.struct(
+            "idx", "id", "spjp_ref", "arrival_time", "arrival_day_offset", "departure_time",
+            "departure_day_offset"))).alias("_pt"))
     j = journeys.join(per, [FEED, "trip_id"], "left")
     el = F.struct(
         F.col("id").alias("_id"), F.lit(cfg.version).alias("_version"),
@@ -171,8 +181,8 @@ def render_stop_assignments(points: DataFrame, cfg: NetexConfig) -> DataFrame:
     """NX-15: PassengerStopAssignment(order) ← ScheduledStopPointRef, QuayRef."""
     el = F.struct(F.col("psa_id").alias("_id"), F.lit(cfg.version).alias("_version"), F.col("order").alias("_order"),
                   _ref(F.col("ssp_id")).alias("ScheduledStopPointRef"), _ref(F.col("quay_ref")).alias("QuayRef"))
-    out = _xml(points.withColumn("id", F.col("psa_id")), "PassengerStopAssignment", el, "PassengerStopAssignment")
-    return out.join(points.select(FEED, F.col("psa_id").alias("id"), "order"), [FEED, "id"])
+    numbered = _numbered(points, "psa_id", F.col("order")).withColumn("id", F.col("psa_id"))
+    return _xml(numbered, "PassengerStopAssignment", el, "PassengerStopAssignment").withColumnRenamed("ordinal", "order")
 
 
 def render_journey_patterns(patterns: DataFrame, points: DataFrame, cfg: NetexConfig) -> DataFrame:
@@ -181,9 +191,12 @@ def render_journey_patterns(patterns: DataFrame, points: DataFrame, cfg: NetexCo
         p["id"].alias("_id"), F.lit(cfg.version).alias("_version"), p["order"].alias("_order"),
         _ref(p["ssp_ref"]).alias("ScheduledStopPointRef"), F.lit("true").alias("ForAlighting"),
         F.lit("true").alias("ForBoarding"))
-    per = points.groupBy(FEED, "local_id").agg(
-        F.array_sort(F.collect_list(F.struct("order", "id", "ssp_ref"))).alias("_pts"))
-    j = patterns.join(per, [FEED, "local_id"], "left")
+    if "points" in points.columns:  # the patterns with their points
+        j = points.withColumnRenamed("points", "_pts")
+    else:
+        per = points.groupBy(FEED, "local_id").agg(
+            F.array_sort(F.collect_list(F.struct("order", "id", "ssp_ref"))).alias("_pts"))
+        j = patterns.join(per, [FEED, "local_id"], "left")
     el = F.struct(F.col("id").alias("_id"), F.lit(cfg.version).alias("_version"),
                   _text(F.col("local_id"), cfg.default_lang).alias("Name"), _ref(F.col("line_ref")).alias("LineRef"),
                   F.col("direction_type").alias("DirectionType"),
@@ -218,34 +231,26 @@ def _esc(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
 
 
-def _section(entities: DataFrame, doc: Column, sec: int, order: Column, open_text: str, close_text: str) -> DataFrame:
+def _section(entities: DataFrame, doc: Column, sec: int, open_text: str, close_text: str, present: DataFrame) -> DataFrame:
     """Entity rows of one section plus its wrapper rows — wrappers only for
     documents where the section has rows (empty containers are left out)."""
-    body = entities.select(FEED, doc.alias("document"), F.lit(sec + 1).alias("section"),
-                           order.cast("string").alias("ordinal"), F.col("xml").alias("text"))
-    docs = body.select(FEED, "document").distinct()
-    wrap_rows = docs.select(FEED, "document", F.lit(sec).alias("section"), F.lit("").alias("ordinal"),
-                            F.lit(open_text).alias("text")).unionByName(
-        docs.select(FEED, "document", F.lit(sec + 2).alias("section"), F.lit("").alias("ordinal"),
-                    F.lit(close_text).alias("text")))
-    return body.unionByName(wrap_rows)
+    body = entities.select(FEED, doc.alias("document"), F.lit(sec + 1).alias("section"), "ordinal", F.col("xml").alias("text"))
+    return body.unionByName(_wrappers(present, [sec], sec, sec + 2, open_text, close_text))
 
 
 def _num(c: str) -> Column:
     return F.lpad(F.col(c).cast("string"), 12, "0")
 
 
-def _wrappers(bodies: list[DataFrame], open_sec: int, close_sec: int, open_text, close_text: str) -> DataFrame:
-    """Open/close rows of a frame for every document that has one of its sections."""
-    docs = bodies[0].select(FEED, "document")
-    for b in bodies[1:]:
-        docs = docs.unionByName(b.select(FEED, "document"))
-    docs = docs.distinct()
+def _wrappers(present: DataFrame, sections: list[int], open_sec: int, close_sec: int, open_text, close_text: str) -> DataFrame:
+    """Open/close rows for every document that has one of the sections."""
+    docs = present.where(F.col("section").isin(sections)).select(FEED, "document")
+    docs = docs.distinct() if len(sections) > 1 else docs
     opener = open_text if isinstance(open_text, Column) else F.lit(open_text)
-    return docs.select(FEED, "document", F.lit(open_sec).alias("section"), F.lit("").alias("ordinal"),
-                       opener.alias("text")).unionByName(
-        docs.select(FEED, "document", F.lit(close_sec).alias("section"), F.lit("").alias("ordinal"),
-                    F.lit(close_text).alias("text")))
+    return docs.select(FEED, "document", F.explode(F.array(
+        F.struct(F.lit(open_sec).alias("section"), opener.alias("text")),
+        F.struct(F.lit(close_sec).alias("section"), F.lit(close_text).alias("text")))).alias("_r")).select(
+        FEED, "document", "_r.section", F.lit("").alias("ordinal"), "_r.text")
 
 
 def netex_documents(tables: dict, cfg: NetexConfig, timestamp: str, st_order=("stop_sequence",),
@@ -258,60 +263,59 @@ def netex_documents(tables: dict, cfg: NetexConfig, timestamp: str, st_order=("s
     from railyard.operators import netex as NX
 
     st, stops, routes, trips = tables["stop_times"], tables["stops"], tables["routes"], tables["trips"]
+    trips, calls = NX.written_trips(trips, st, list(trip_order), list(st_order))
     modes = NX.stop_modes(routes, trips, st, list(st_order))
-    places = render_stop_places(NX.stop_places(stops, modes, cfg, list(stop_order)), cfg)
+    places = NX.stop_places(stops, modes, cfg, list(stop_order))
     day_types, periods, assignments = NX.calendar_fold(tables["calendar"], tables["calendar_dates"], cfg,
                                                        ["service_id"], ["service_id", "date"])
     lines = NX.lines(routes, cfg)
     points = NX.stop_points(stops, cfg, list(stop_order))
-    patterns, t2p = NX.journey_patterns(trips, st, cfg, list(trip_order), list(st_order))
-    spjp = NX.stop_points_in_pattern(patterns, cfg)
+    patterns, t2p = NX.journey_patterns(trips, calls, cfg, list(trip_order), list(st_order))
+    spjp = NX.stop_points_in_pattern(patterns, cfg, lists=True)
     journeys = NX.service_journeys(trips, t2p, cfg)
-    passing = NX.passing_times(st, t2p, cfg, list(st_order))
+    passing = NX.passing_times(calls, t2p, cfg, list(st_order), lists=True)
     orgs = render_organisations(NX.organisations(tables["agency"], cfg, list(agency_order)), cfg)
     validity = NX.validity(periods, routes)
     cs, v = cfg.codespace, cfg.version
     stops_doc, lines_doc = F.lit("SiteFrame_Stops"), F.lit("ServiceFrame_Lines")
-    line_local = F.regexp_extract(F.col("line_ref"), r"([^:]+)$", 1)
-
-    site = [_section(places, stops_doc, 21, F.col("id"), "<stopPlaces>", "</stopPlaces>")]
-    calendar = [
-        _section(render_day_types(day_types, cfg), stops_doc, 31, F.col("id"), "<dayTypes>", "</dayTypes>"),
-        _section(render_operating_periods(periods, cfg), stops_doc, 34, F.col("id"), "<operatingPeriods>",
-                 "</operatingPeriods>"),
-        _section(render_assignments(assignments, cfg).join(assignments.select(FEED, "id", "order"), [FEED, "id"]),
-                 stops_doc, 37, _num("order"), "<dayTypeAssignments>", "</dayTypeAssignments>"),
-    ]
-    service = [
-        _section(render_lines(lines, cfg), lines_doc, 46, F.col("id"), "<lines>", "</lines>"),
-        _section(render_stop_points(points, cfg).join(points.select(FEED, F.col("ssp_id").alias("id"), "order"),
-                                                      [FEED, "id"]),
-                 lines_doc, 49, _num("order"), "<scheduledStopPoints>", "</scheduledStopPoints>"),
-        _section(render_stop_assignments(points, cfg), lines_doc, 52, _num("order"), "<stopAssignments>",
-                 "</stopAssignments>"),
-        _section(render_journey_patterns(patterns, spjp, cfg).join(patterns.select(FEED, "id", "_n"), [FEED, "id"]),
-                 lines_doc, 55, _num("_n"), "<journeyPatterns>", "</journeyPatterns>"),
-    ]
-    # written once: the rows of the documents and the list of documents both read it
-    journeys_xml = materialise(render_service_journeys(journeys, passing, cfg).select(FEED, "id", "line_ref", "xml"))
-    timetable = [_section(journeys_xml, F.concat(F.lit("TimetableFrame_Schedules_Line_"), line_local), 61, F.col("id"),
-                          "<vehicleJourneys>", "</vehicleJourneys>")]
-    frames = [
-        _wrappers(site, 20, 29, f'<SiteFrame id="{cs}:SiteFrame:SiteFrame_1" version="{v}">', "</SiteFrame>"),
-        _wrappers(calendar, 30, 40, f'<ServiceCalendarFrame id="{cs}:ServiceCalendarFrame:ServiceCalendarFrame_1" '
-                                    f'version="{v}">', "</ServiceCalendarFrame>"),
-        _wrappers(service, 45, 59, f'<ServiceFrame id="{cs}:ServiceFrame:ServiceFrame_1" version="{v}">',
+    line_doc = F.concat(F.lit("TimetableFrame_Schedules_Line_"), F.regexp_extract(F.col("line_ref"), r"([^:]+)$", 1))
+
+    # the documents of each section come from its rows before they are rendered, once
+    sections = [(places, stops_doc, 21), (day_types, stops_doc, 31), (periods, stops_doc, 34), (assignments, stops_doc, 37),
+                (lines, lines_doc, 46), (points, lines_doc, 49), (points, lines_doc, 52), (patterns, lines_doc, 55),
+                (journeys, line_doc, 61)]
+    present = materialise(reduce(DataFrame.unionByName, [
+        rows.select(FEED, doc.alias("document")).distinct().withColumn("section", F.lit(sec)) for rows, doc, sec in sections]))
+    by_id = lambda rows: rows.withColumn("ordinal", F.col("id").cast("string"))
+
+    parts = [
+        _section(render_stop_places(by_id(places), cfg), stops_doc, 21, "<stopPlaces>", "</stopPlaces>", present),
+        _section(render_day_types(by_id(day_types), cfg), stops_doc, 31, "<dayTypes>", "</dayTypes>", present),
+        _section(render_operating_periods(by_id(periods), cfg), stops_doc, 34, "<operatingPeriods>", "</operatingPeriods>",
+                 present),
+        _section(render_assignments(_numbered(assignments, "id", _num("order")), cfg), stops_doc, 37, "<dayTypeAssignments>",
+                 "</dayTypeAssignments>", present),
+        _section(render_lines(by_id(lines), cfg), lines_doc, 46, "<lines>", "</lines>", present),
+        _section(render_stop_points(_numbered(points, "ssp_id", _num("order")), cfg), lines_doc, 49, "<scheduledStopPoints>",
+                 "</scheduledStopPoints>", present),
+        _section(render_stop_assignments(points, cfg).withColumn("ordinal", _num("order")), lines_doc, 52,
+                 "<stopAssignments>", "</stopAssignments>", present),
+        _section(render_journey_patterns(patterns, spjp.withColumn("ordinal", _num("_n")), cfg), lines_doc, 55,
+                 "<journeyPatterns>", "</journeyPatterns>", present),
+        _section(render_service_journeys(journeys, passing, cfg).withColumn("ordinal", F.col("id")), line_doc, 61,
+                 "<vehicleJourneys>", "</vehicleJourneys>", present),
+        _wrappers(present, [21], 20, 29, f'<SiteFrame id="{cs}:SiteFrame:SiteFrame_1" version="{v}">', "</SiteFrame>"),
+        _wrappers(present, [31, 34, 37], 30, 40, f'<ServiceCalendarFrame id="{cs}:ServiceCalendarFrame:'
+                                                 f'ServiceCalendarFrame_1" version="{v}">', "</ServiceCalendarFrame>"),
+        _wrappers(present, [46, 49, 52, 55], 45, 59, f'<ServiceFrame id="{cs}:ServiceFrame:ServiceFrame_1" version="{v}">',
                   "</ServiceFrame>"),
-        _wrappers(timetable, 60, 69, F.concat(F.lit(f'<TimetableFrame id="{cs}:TimetableFrame:Line_'),
-                                              F.regexp_extract("document", r"Line_(.*)$", 1),
-                                              F.lit(f'" version="{v}">')), "</TimetableFrame>"),
+        _wrappers(present, [61], 60, 69, F.concat(F.lit(f'<TimetableFrame id="{cs}:TimetableFrame:Line_'),
+                                                  F.regexp_extract("document", r"Line_(.*)$", 1),
+                                                  F.lit(f'" version="{v}">')), "</TimetableFrame>"),
     ]
-    body = site[0]
-    for part in [*calendar, *service, *timetable, *frames]:
-        body = body.unionByName(part)
+    body = reduce(DataFrame.unionByName, parts)
 
-    sections = [p.select(FEED, "document") for p in [*site, *calendar, *service, *timetable]]
-    docs = reduce(DataFrame.unionByName, sections).distinct()
+    docs = present.select(FEED, "document").distinct()
     head, tail = _resource_texts(cfg)
     org_rows = orgs.join(docs, FEED).select(FEED, "document", F.lit(11).alias("section"),
                                             F.concat(F.when(F.col("entity") == "Authority", "0").otherwise("1"),
